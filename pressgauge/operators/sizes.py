@@ -1,0 +1,18 @@
+"""Size-checked broadcasts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+MAX_BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only when the table has at most ``max_rows`` rows.
+
+    Looks at max_rows + 1 rows at most. A larger table keeps no hint and is
+    joined by shuffle, with AQE splitting skewed partitions.
+    """
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df

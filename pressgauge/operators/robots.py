@@ -28,9 +28,14 @@ def robots_snapshot(
     return latest.withColumn("fresh", F.col("fetched_at") + hours(max_age_hours) > at(as_of))
 
 
+def fresh_robots(snapshots: DataFrame, as_of: datetime | str) -> DataFrame:
+    """The files to check urls against; a stale or failed domain is absent and thus permissive."""
+    return robots_snapshot(snapshots, as_of).filter("fresh").drop("fresh")
+
+
 def refetch_list(snapshots: DataFrame, urls: DataFrame, as_of: datetime | str) -> DataFrame:
     """Domains about to be crawled that have no fresh snapshot."""
-    fresh = robots_snapshot(snapshots, as_of).filter("fresh").select("domain")
+    fresh = fresh_robots(snapshots, as_of).select("domain")
     domains = urls.select(url_domain(F.col("url")).alias("domain")).distinct()
     return domains.join(fresh, "domain", "left_anti")
 
@@ -117,7 +122,7 @@ def _target(url: Column) -> Column:
 def robots_check(
     urls: DataFrame, snapshots: DataFrame, user_agent: str = settings.USER_AGENT, on_missing: str = "allow"
 ) -> DataFrame:
-    """urls plus domain, allowed, reason, crawl_delay.
+    """urls plus domain, allowed, reason, crawl_delay. ``snapshots`` has one file per domain.
 
     The rules travel as one array per domain and are tested inside the url's row:
     no (url, rule) pairs are produced. Domains are broadcast when few; otherwise

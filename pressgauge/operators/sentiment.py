@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pressgauge import settings
 from pressgauge.functions.text import WHITESPACE_RUN, is_upper, label_for, strip
-from pressgauge.operators.sizes import broadcast_if_small
+from pressgauge.operators.sizes import broadcast_if_small, spread
 
 # --- fixed values of the method -------------------------------------------------
 
@@ -71,6 +71,7 @@ DEFAULT_WORDS = {
 # The word that closes every token list. It is in the lexicon with valence 0, so
 # each text keeps one row through the inner join even when nothing else matches.
 END = ""
+NO_COALESCE = 1 << 30
 
 
 def default_lexicon(spark: SparkSession) -> DataFrame:
@@ -104,16 +105,35 @@ def _emphasis(text: Column) -> Column:
 
 def _words(lexicon: DataFrame) -> DataFrame:
     """The lexicon keyed by lowercase word, plus the end marker."""
-    end = lexicon.sparkSession.range(1).select(F.lit(END).alias("word"), F.lit(0.0).alias("valence"))
+    end = lexicon.sparkSession.createDataFrame([(END, 0.0)], "word string, valence double")
     words = lexicon.select(F.lower("word").alias("word"), F.col("valence").cast("double").alias("valence"))
     words = words.filter(F.col("word") != END).unionByName(end)
     return broadcast_if_small(words.groupBy("word").agg(F.max("valence").alias("valence")))
 
 
+def _dictionary(lexicon: DataFrame) -> DataFrame:
+    """Everything known about a word: valence, strength as a modifier, whether it negates."""
+    modifiers = (
+        [(w, None, BOOST, False) for w in BOOSTERS] + [(w, None, -BOOST, False) for w in DAMPENERS]
+        + [(w, None, None, True) for w in NEGATIONS] + [(END, 0.0, None, False)]
+    )
+    schema = "word string, valence double, strength double, negates boolean"
+    words = lexicon.select(
+        F.lower("word").alias("word"), F.col("valence").cast("double").alias("valence"),
+        F.lit(None).cast("double").alias("strength"), F.lit(False).alias("negates"),
+    ).filter(F.col("word") != END)
+    entries = words.unionByName(lexicon.sparkSession.createDataFrame(modifiers, schema)).groupBy("word").agg(
+        F.max("valence").alias("valence"), F.max("strength").alias("strength"), F.bool_or("negates").alias("negates")
+    )
+    return broadcast_if_small(entries)
+
+
 def _tokens(text: Column) -> Column:
+    """Whitespace-separated tokens without outer punctuation, then the end marker."""
     bare = strip(text)
-    split = F.when(bare != "", F.split(bare, WHITESPACE_RUN)).otherwise(F.array().cast("array<string>"))
-    return F.array_append(F.coalesce(split, F.array().cast("array<string>")), F.lit(END))
+    none = F.array().cast("array<string>")
+    split = F.coalesce(F.when(bare != "", F.split(bare, WHITESPACE_RUN)).otherwise(none), none)
+    return F.transform(F.array_append(split, F.lit(END)), _without_punctuation)
 
 
 NEAR = {3: "_b3", 2: "_b2", 1: "_b1", 0: "_b0", -1: "_a1", -2: "_a2"}
@@ -122,71 +142,73 @@ NEAR = {3: "_b3", 2: "_b2", 1: "_b1", 0: "_b0", -1: "_a1", -2: "_a2"}
 def _hits(df: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
     """One row per lexicon hit with its neighbours; every text keeps its end marker row.
 
-    Each token is looked up in the broadcast lexicon, and only the hits go on to
-    have their neighbours looked up the same way. No row is shuffled here.
+    Arrays are built once per text. Each token is looked up in the broadcast
+    lexicon, and only the hits pick their neighbours out of the arrays, so no row
+    ever copies them. Nothing is shuffled here.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    docs = df.select(
-        F.col(key), _tokens(F.col(text)).alias("_tokens"), _emphasis(body).alias("_emphasis"),
-        F.lower(body).contains("but").alias("_has_but"),
+    docs = spread(df.select(key, text)).select(
+        F.col(key), _tokens(F.col(text)).alias("_tokens"), _emphasis(body).alias("_emphasis")
     )
-    first_but = F.array_position(F.transform("_tokens", lambda t: F.lower(_without_punctuation(t))), "but") - 1
-    docs = docs.withColumn("_but", F.when(F.col("_has_but"), first_but).otherwise(-1).cast("int")).drop("_has_but")
-
-    each = docs.select("*", F.posexplode("_tokens").alias("_pos", "_raw"))
-    each = each.withColumn("_key", F.lower(_without_punctuation(F.col("_raw"))))
+    docs = docs.withColumn("_low", F.transform("_tokens", F.lower))
+    docs = docs.withColumns({
+        "_but": F.array_position("_low", "but").cast("int") - 1,
+        # Capitals count only in a text that also has words in another case.
+        "_other_case": F.exists("_tokens", lambda t: (t != END) & ~is_upper(t)),
+    })
+    each = docs.select("*", F.posexplode_outer("_low").alias("_pos", "_key"))
     hits = each.join(words, F.col("_key") == F.col("word"))
 
-    def neighbour(distance: int) -> Column:
-        token = F.get("_tokens", F.col("_pos") - distance)
-        return F.coalesce(_without_punctuation(token), F.lit(END))
+    def pick(array: str, distance: int) -> Column:
+        return F.coalesce(F.get(array, F.col("_pos") - distance), F.lit(END))
 
-    hits = hits.select(
-        key, "_pos", "word", "valence", "_but", "_emphasis", "_tokens",
+    return hits.select(
+        key, "_pos", "word", "valence", "_but", "_emphasis", "_other_case",
         (F.size("_tokens") - 2 - F.col("_pos")).alias("_after"),
-        *[neighbour(d).alias(name) for d, name in NEAR.items()],
+        *[pick("_low", d).alias(name) for d, name in NEAR.items()],
+        *[pick("_tokens", d).alias(f"{NEAR[d]}_cased") for d in (3, 2, 1, 0)],
     )
-    # Capitals count only in a text that also has words in another case.
-    real = F.col("_tokens")
-    loud_near = reduce(lambda a, b: a | b, [is_upper(F.col(NEAR[d])) for d in (3, 2, 1, 0)])
-    mixed = F.exists(real, lambda t: (t != END) & ~is_upper(_without_punctuation(t)))
-    return hits.withColumn("_caps", loud_near & mixed).drop("_tokens")
 
 
 def sentiment_words(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """One row per lexicon hit with its final valence, plus one zero row per text."""
-    words = _words(lexicon)
-    hits = _hits(df, key, text, words)
-    for d in (1, 2, 3, -1):
-        known = words.select(F.col("word").alias("_known"), F.lit(True).alias(f"_in{NEAR[d]}"))
-        hits = hits.join(known, F.lower(NEAR[d]) == F.col("_known"), "left").drop("_known")
-
-    word, pos, caps, after = F.col("word"), F.col("_pos"), F.col("_caps"), F.col("_after")
-    low = {d: F.lower(F.col(name)) for d, name in NEAR.items()}
+    known = _dictionary(lexicon)
+    # A modifier that is also in the lexicon has no valence of its own.
+    scoring = known.filter("valence IS NOT NULL AND strength IS NULL").select("word", "valence")
+    # coalesce() to no fewer partitions moves nothing. It ends the generated-code stage here:
+    # lookup and rules in one method would be too long for the JVM to compile.
+    hits = _hits(df, key, text, scoring).coalesce(NO_COALESCE)
+    for back in (1, 2, 3):
+        hits = hits.join(
+            known.select(
+                F.col("word").alias("_known"), F.col("valence").alias(f"_valence{back}"),
+                F.col("strength").alias(f"_strength{back}"), F.col("negates").alias(f"_negates{back}"),
+            ),
+            F.col(NEAR[back]) == F.col("_known"), "left",
+        ).drop("_known")
+    after_it = known.select(F.col("word").alias("_known"), F.col("valence").alias("_valence_after"))
+    hits = hits.join(after_it, F.col(NEAR[-1]) == F.col("_known"), "left").drop("_known")
+
+    word, pos, after, v = F.col("word"), F.col("_pos"), F.col("_after"), F.col("_v")
+    low = {d: F.col(name) for d, name in NEAR.items()}
+    loud = {d: is_upper(F.col(f"{NEAR[d]}_cased")) & F.col("_other_case") for d in (3, 2, 1, 0)}
 
     # "no" right before a sentiment word hands its weight over; a "no" before the word flips it.
-    hands_over = (word == "no") & (after > 0) & F.col(f"_in{NEAR[-1]}").isNotNull()
-    after_no = (
-        ((pos >= 1) & (low[1] == "no")) | ((pos >= 2) & (low[2] == "no"))
-        | ((pos >= 3) & (low[3] == "no") & low[1].isin("or", "nor"))
-    )
+    hands_over = (word == "no") & (after > 0) & F.col("_valence_after").isNotNull()
+    after_no = (low[1] == "no") | (low[2] == "no") | ((low[3] == "no") & low[1].isin("or", "nor"))
     start = F.when(after_no, F.col("valence") * NEGATE).when(hands_over, 0.0).otherwise(F.col("valence"))
     out = hits.withColumn("_v", start)
-    v = F.col("_v")
-    out = out.withColumn("_v", F.when(is_upper(F.col(NEAR[0])) & caps, v + F.when(v > 0, CAPS).otherwise(-CAPS)).otherwise(v))
-
+    out = out.withColumn("_v", F.when(loud[0], v + F.when(v > 0, CAPS).otherwise(-CAPS)).otherwise(v))
     for back in (1, 2, 3):
-        plain = (pos >= back) & F.col(f"_in{NEAR[back]}").isNull()
-        out = out.withColumn("_v", F.when(plain, v + _scaled(back, v, low, caps)).otherwise(v))
-        out = out.withColumn("_v", F.when(plain, v * _negation(back, low)).otherwise(v))
+        # Only a word that is there and carries no valence itself can modify.
+        plain = (pos >= back) & F.col(f"_valence{back}").isNull()
+        added = _added(v, F.col(f"_strength{back}"), loud[back], DISTANCE_DAMPING[back])
+        out = out.withColumn("_v", F.when(plain, (v + added) * _negation(back, low)).otherwise(v))
         if back == 3:
             out = out.withColumn("_v", F.when(plain, _idioms(v, low, after)).otherwise(v))
 
-    least = (
-        (low[1] == "least") & F.col(f"_in{NEAR[1]}").isNull()
-        & ((pos == 1) | ((pos >= 2) & ~low[2].isin("at", "very")))
-    )
-    silent = (word == END) | word.isin(BOOSTERS + DAMPENERS) | ((word == "kind") & (after > 0) & (low[-1] == "of"))
+    least = (low[1] == "least") & F.col("_valence1").isNull() & ~low[2].isin("at", "very")
+    silent = (word == END) | ((word == "kind") & (after > 0) & (low[-1] == "of"))
     but = F.col("_but")
     contrast = F.when((but >= 0) & (pos < but), 0.5).when((but >= 0) & (pos > but), 1.5).otherwise(1.0)
     return out.select(
@@ -195,17 +217,16 @@ def sentiment_words(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> D
     )
 
 
-def _scaled(back: int, valence: Column, low: dict[int, Column], caps: Column) -> Column:
-    """Booster or dampener ``back`` words earlier, weaker with distance."""
-    strength = F.when(low[back].isin(BOOSTERS), BOOST).when(low[back].isin(DAMPENERS), -BOOST)
-    signed = F.when(valence < 0, -strength).otherwise(strength)
-    loud = F.when(is_upper(F.col(NEAR[back])) & caps, F.when(valence > 0, CAPS).otherwise(-CAPS)).otherwise(0.0)
-    return F.coalesce((signed + loud) * DISTANCE_DAMPING[back], F.lit(0.0))
+def _added(valence: Column, strength: Column, loud: Column, damping: float) -> Column:
+    """What a booster or dampener adds, weaker with distance and stronger in capitals."""
+    toward = F.when(valence < 0, -damping).otherwise(damping)
+    shout = F.when(loud, F.when(valence > 0, CAPS * damping).otherwise(-CAPS * damping)).otherwise(0.0)
+    return F.coalesce(strength * toward + shout, F.lit(0.0))
 
 
 def _negation(back: int, low: dict[int, Column]) -> Column:
     """Factor for a negation ``back`` words earlier."""
-    factor = F.when(low[back].isin(NEGATIONS) | low[back].contains("n't"), NEGATE).otherwise(1.0)
+    factor = F.when(F.col(f"_negates{back}") | low[back].contains("n't"), NEGATE).otherwise(1.0)
     if back == 1:
         return factor
     stressed = (low[back] == "never") & low[back - 1].isin("so", "this")
@@ -220,8 +241,10 @@ def _idioms(valence: Column, low: dict[int, Column], after: Column) -> Column:
     def phrase(first: int, final: int) -> Column:
         return F.concat_ws(" ", *[low[d] for d in range(first, final - 1, -1)])
 
+    table = F.create_map(*[F.lit(x) for pair in IDIOMS.items() for x in pair])
+
     def value_of(text: Column) -> Column:
-        return F.coalesce(*[F.when(text == idiom, F.lit(value)) for idiom, value in IDIOMS.items()])
+        return F.try_element_at(table, text)
 
     fixed = F.coalesce(
         F.when(after > 1, value_of(phrase(0, -2))),
@@ -254,8 +277,7 @@ def lexicon_scores(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> Da
 
 def lexicon_scores_plain(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """The valence sum alone, without the modifier rules."""
-    tokens = df.select(key, F.explode(_tokens(F.col(text))).alias("_raw"))
-    tokens = tokens.withColumn("_key", F.lower(_without_punctuation(F.col("_raw"))))
+    tokens = spread(df.select(key, text)).select(key, F.explode_outer(F.transform(_tokens(F.col(text)), F.lower)).alias("_key"))
     sums = tokens.join(_words(lexicon), F.col("_key") == F.col("word")).groupBy(key).agg(
         F.sum("valence").alias("total"), (F.count("*") - 1).alias("hits")
     )

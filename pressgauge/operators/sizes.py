@@ -1,4 +1,4 @@
-"""Size-checked broadcasts."""
+"""Checks of size: what may be broadcast, what needs spreading."""
 
 from __future__ import annotations
 
@@ -16,3 +16,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out over the cluster when the input has too few files to do so itself.
+
+    For steps that are heavy per row (tokenising, HTML). A small unsplittable file
+    would keep them in one task; an input with at least one file per core is left
+    alone, so large tables pay no shuffle. Streams are left alone too.
+    """
+    if df.isStreaming:
+        return df
+    files = df.inputFiles()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(files) < cores else df

@@ -1,5 +1 @@
-"""News sentiment analytics as Spark jobs.
-
-Every operator takes DataFrames and returns a DataFrame; nothing is executed
-until the caller writes or collects.
-"""
+"""News sentiment analytics as Spark jobs: operators take DataFrames and return DataFrames."""

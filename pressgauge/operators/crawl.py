@@ -15,6 +15,7 @@ from pressgauge.operators.politeness import politeness_gate
 from pressgauge.operators.reads import article_sentiment_update, pending_jobs
 from pressgauge.operators.robots import robots_check
 from pressgauge.operators.sentiment import lexicon_scores
+from pressgauge.session import materialize
 from pressgauge.sources.events import build_events
 
 
@@ -72,14 +73,15 @@ def attempt(
     responses = fetches.select(
         "url", "requested_at", "response_status", "response_error", F.octet_length("html").cast("long").alias("bytes")
     )
-    asked = checked.join(responses, "url", "left")
+    # Narrow rows that the gate, the decision and the text branch all start from: computed once.
+    asked = materialize(checked.join(responses, "url", "left"))
     # Any HTTP answer moves the domain's clock, error answers included.
     requests = asked.filter("robots_allowed").select(
         "domain", F.col("id").alias("job_id"), "requested_at", F.col("crawl_delay").alias("delay"),
         F.col("response_status").isNotNull().alias("fetched"),
     )
     gate = politeness_gate(requests).withColumnRenamed("job_id", "id")
-    decided = asked.join(gate, "id", "left").withColumn("polite", F.coalesce("polite", F.lit(False)))
+    decided = materialize(asked.join(gate, "id", "left").withColumn("polite", F.coalesce("polite", F.lit(False))))
     readable = decided.filter("robots_allowed AND polite AND response_status < 400 AND response_error IS NULL")
     pages = readable.select("id", "url").join(fetches.select("url", "html"), "url")
     texts = extract_text(pages.select("id", "html"), "id")

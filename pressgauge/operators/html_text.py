@@ -14,6 +14,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from pressgauge.operators.sizes import spread
+
 # --- fixed values -------------------------------------------------------------
 
 DROPPED = {"script", "style", "nav", "header", "footer", "aside"}
@@ -174,4 +176,4 @@ def extract_text(pages: DataFrame, key: str = "page_id") -> DataFrame:
             yield pd.DataFrame({key: batch[key], "text": [main_text(h) for h in batch["html"]]})
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, "html").mapInPandas(each, f"{key} {kind}, text string")
+    return spread(pages.select(key, "html")).mapInPandas(each, f"{key} {kind}, text string")

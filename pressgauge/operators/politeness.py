@@ -39,26 +39,20 @@ def _sliced(requests: DataFrame, slice_delays: int) -> DataFrame:
     t = F.unix_micros(F.col("requested_at").cast("timestamp"))
     d = (effective_delay(F.col("delay")) * 1_000_000).cast("long")
     moves = F.col("fetched") if "fetched" in requests.columns else F.lit(True)
-    rows = requests.select("domain", "job_id", t.alias("t"), d.alias("d"), F.coalesce(moves, F.lit(False)).alias("moves"))
+    rows = requests.select("domain", F.col("job_id").cast("long").alias("job_id"), t.alias("t"), d.alias("d"), F.coalesce(moves, F.lit(False)).alias("moves"))
     return rows.withColumn("slice", F.expr(f"t div (d * {int(slice_delays)})"))
 
 
-def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[bool, tuple, pd.DataFrame]]:
-    """Cut sorted batches at key changes: (is a new key, key, rows)."""
-    previous = None
-    for batch in batches:
-        if batch.empty:
-            continue
-        changed = np.zeros(len(batch), dtype=bool)
-        for k in keys:
-            column = batch[k].to_numpy()
-            changed[1:] |= column[1:] != column[:-1]
-        cuts = [0, *np.flatnonzero(changed).tolist(), len(batch)]
-        for a, b in zip(cuts, cuts[1:]):
-            run = batch.iloc[a:b]
-            key = tuple(run[k].iloc[0] for k in keys)
-            yield key != previous, key, run
-            previous = key
+def _runs(batch: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, slice]]:
+    """Cut a sorted batch at key changes."""
+    columns = [batch[k].to_numpy() for k in keys]
+    changed = np.zeros(len(batch), dtype=bool)
+    for column in columns:
+        changed[1:] |= column[1:] != column[:-1]
+    cuts = [0, *np.flatnonzero(changed).tolist(), len(batch)]
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            yield tuple(column[a] for column in columns), slice(a, b)
 
 
 def _advance(clock: np.ndarray, times: np.ndarray, d: int) -> np.ndarray:
@@ -75,96 +69,101 @@ def _advance(clock: np.ndarray, times: np.ndarray, d: int) -> np.ndarray:
     return heads[back]
 
 
+EXITS = ["domain", "slice", "d", "first_fetch", "last_fetch"]
+
+
 def _slice_exits(slice_delays: int):
+    """Per (domain, slice): every request that may be its first fetch, and the last fetch that leads to."""
+
+    def finish(state: dict) -> dict:
+        none = np.array([NO_FETCH], dtype=np.int64)  # a slice without fetches still passes the clock on
+        starts, clock = (state["starts"], state["clock"]) if len(state["starts"]) else (none, none)
+        n = len(starts)
+        return {
+            "domain": np.repeat(state["key"][0], n), "slice": np.repeat(state["key"][1], n),
+            "d": np.repeat(state["d"], n), "first_fetch": starts, "last_fetch": clock,
+        }
+
     def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = None
-
-        def emit(s) -> pd.DataFrame:
-            starts = s["starts"] if len(s["starts"]) else [None]
-            ends = s["clock"] if len(s["starts"]) else [None]
-            return pd.DataFrame({
-                "domain": s["key"][0], "slice": s["key"][1], "d": s["d"],
-                "first_fetch": pd.array(list(starts), dtype="Int64"), "last_fetch": pd.array(list(ends), dtype="Int64"),
-            })
-
-        for is_new, key, run in _runs(batches, ["domain", "slice"]):
-            if is_new:
-                if state is not None:
-                    yield emit(state)
-                d = int(run["d"].iloc[0])
-                state = {
-                    "key": key, "d": d, "open_until": int(key[1]) * d * slice_delays + d, "closed": False,
-                    "starts": np.empty(0, np.int64), "clock": np.empty(0, np.int64),
-                }
-            times = run["t"].to_numpy(np.int64)[run["moves"].to_numpy(bool)]
-            if not len(times):
-                continue
-            # Any fetch in the first delay may come first; so may the one right after it.
-            new = times[:0]
-            if not state["closed"]:
-                k = int(np.searchsorted(times, state["open_until"], side="left"))
-                state["closed"] = k < len(times)
-                new = np.unique(times[: k + 1])
-                if len(state["starts"]):
-                    new = new[new > state["starts"][-1]]
-            clock = np.concatenate([state["clock"], new])
-            state["starts"] = np.concatenate([state["starts"], new])
-            state["clock"] = _advance(clock, times, state["d"])
+        state: dict | None = None
+        for batch in batches:
+            done = []
+            t, moves, delays = (batch[c].to_numpy() for c in ("t", "moves", "d"))
+            for key, rows in _runs(batch, ["domain", "slice"]):
+                if state is None or key != state["key"]:
+                    if state is not None:
+                        done.append(finish(state))
+                    d = int(delays[rows.start])
+                    state = {
+                        "key": key, "d": d, "open_until": int(key[1]) * d * slice_delays + d, "closed": False,
+                        "starts": np.empty(0, np.int64), "clock": np.empty(0, np.int64),
+                    }
+                times = t[rows][moves[rows].astype(bool)]
+                if not len(times):
+                    continue
+                # Any fetch in the first delay may come first; so may the one right after it.
+                new = times[:0]
+                if not state["closed"]:
+                    k = int(np.searchsorted(times, state["open_until"], side="left"))
+                    state["closed"] = k < len(times)
+                    new = np.unique(times[: k + 1])
+                    if len(state["starts"]):
+                        new = new[new > state["starts"][-1]]
+                state["starts"] = np.concatenate([state["starts"], new])
+                state["clock"] = _advance(np.concatenate([state["clock"], new]), times, state["d"])
+            if done:
+                yield pd.concat([pd.DataFrame(x) for x in done], ignore_index=True)[EXITS]
         if state is not None:
-            yield emit(state)
+            yield pd.DataFrame(finish(state))[EXITS]
 
     return exits
 
 
 def _slice_clocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Walk each domain's slices in order and note the clock every slice starts with."""
-    domain, clock, taken, after = None, NO_FETCH, False, NO_FETCH
-    for is_new, key, run in _runs(batches, ["domain", "slice"]):
-        if is_new:
-            if key[0] != domain:
-                domain, clock = key[0], NO_FETCH
-            else:
-                clock = after
-            taken, after = False, clock
-            yield pd.DataFrame({
-                "domain": [key[0]], "slice": [key[1]], "d": [int(run["d"].iloc[0])], "clock": [clock],
-            })
-        if taken:
-            continue
-        usable = run[run["first_fetch"].notna()]
-        if clock != NO_FETCH:
-            usable = usable[usable["first_fetch"].astype("int64") >= clock + int(run["d"].iloc[0])]
-        if len(usable):
-            taken, after = True, int(usable["last_fetch"].iloc[0])
+    current, clock, after, taken = None, NO_FETCH, NO_FETCH, False
+    for batch in batches:
+        out = []
+        delays, first, last = (batch[c].to_numpy() for c in ("d", "first_fetch", "last_fetch"))
+        for key, rows in _runs(batch, ["domain", "slice"]):
+            d = int(delays[rows.start])
+            if key != current:
+                clock = after if current is not None and key[0] == current[0] else NO_FETCH
+                current, after, taken = key, clock, False
+                out.append((key[0], int(key[1]), d, clock))
+            if taken:
+                continue
+            usable = np.flatnonzero((first[rows] != NO_FETCH) & (first[rows] >= clock + d))
+            if len(usable):
+                taken, after = True, int(last[rows][usable[0]])
+        yield pd.DataFrame(out, columns=["domain", "slice", "d", "clock"])
 
 
 def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    clock = NO_FETCH
-    for is_new, _, run in _runs(batches, ["domain", "slice"]):
-        if is_new:
-            clock = NO_FETCH
-        starts = run["is_clock"].to_numpy(bool)
-        if starts.any():
-            clock = int(run["t"].to_numpy(np.int64)[starts][0])
-            run = run[~starts]
-        if run.empty:
-            continue
-        t = run["t"].to_numpy(np.int64)
-        d = int(run["d"].iloc[0])
-        movers = np.flatnonzero(run["moves"].to_numpy(bool))
-        mover_t = t[movers]
-        chain_pos, chain_t, now = [], [], clock
-        while True:
-            i = int(np.searchsorted(mover_t, now + d, side="left"))
-            if i >= len(mover_t):
-                break
-            now = int(mover_t[i])
-            chain_pos.append(int(movers[i]))
-            chain_t.append(now)
-        clocks = np.array([clock, *chain_t], dtype=np.int64)
-        seen = clocks[np.searchsorted(np.array(chain_pos, dtype=np.int64), np.arange(len(t)), side="left")]
-        yield pd.DataFrame({"job_id": run["job_id"].to_numpy(), "polite": t >= seen + d})
-        clock = now
+    """Each slice opens with its clock row; the requests follow in time order."""
+    current, clock = None, NO_FETCH
+    for batch in batches:
+        t, d_all, moves, is_clock, jobs = (batch[c].to_numpy() for c in ("t", "d", "moves", "is_clock", "job_id"))
+        polite = np.zeros(len(batch), dtype=bool)
+        for key, rows in _runs(batch, ["domain", "slice"]):
+            if key != current:
+                current, clock = key, NO_FETCH
+            start = rows.start
+            if is_clock[start]:
+                clock, start = int(t[start]), start + 1
+            rows = slice(start, rows.stop)
+            times, d = t[rows], int(d_all[rows.stop - 1])
+            movers = np.flatnonzero(moves[rows].astype(bool))
+            mover_times = times[movers]
+            places, chain = [], [clock]
+            while (i := int(np.searchsorted(mover_times, chain[-1] + d, side="left"))) < len(movers):
+                places.append(int(movers[i]))
+                chain.append(int(mover_times[i]))
+            before = np.searchsorted(np.array(places, dtype=np.int64), np.arange(len(times)), side="left")
+            polite[rows] = times >= np.array(chain, dtype=np.int64)[before] + d
+            clock = chain[-1]
+        asked = ~is_clock.astype(bool)
+        yield pd.DataFrame({"job_id": jobs[asked], "polite": polite[asked]})
 
 
 def politeness_gate(requests: DataFrame, slice_delays: int = SLICE_DELAYS) -> DataFrame:
@@ -183,12 +182,13 @@ def politeness_gate(requests: DataFrame, slice_delays: int = SLICE_DELAYS) -> Da
         .mapInPandas(_slice_clocks, "domain string, slice long, d long, clock long")
     )
     marks = clocks.select(
-        "domain", "slice", F.lit(None).cast(rows.schema["job_id"].dataType).alias("job_id"),
+        "domain", "slice", F.lit(0).cast("long").alias("job_id"),
         F.col("clock").alias("t"), "d", F.lit(False).alias("moves"), F.lit(True).alias("is_clock"),
     )
+    # Step 3 opens every slice with its clock row.
     both = rows.withColumn("is_clock", F.lit(False)).unionByName(marks)
     return (
         both.repartition("domain", "slice")
         .sortWithinPartitions("domain", "slice", F.desc("is_clock"), "t", "job_id")
-        .mapInPandas(_decide, f"job_id {rows.schema['job_id'].dataType.simpleString()}, polite boolean")
+        .mapInPandas(_decide, "job_id long, polite boolean")
     )

@@ -237,3 +237,9 @@ ORACLES = {
             count(*) - count(*) FILTER (allowed AND polite AND response_status = 200) AS failed, count(*) AS new_jobs_created
         FROM verdicts v LEFT JOIN gate g ON g.id = v.page_id""", "verdicts", recursive=True, **CRAWL),
 }
+
+ORACLES["stream_ingest_articles"] = query(f"SELECT {CLEAN.replace('ingest_seq', 'ingest_seq AS id', 1)} FROM fresh", "fresh")
+ORACLES["stream_url_dedup"] = query("SELECT DISTINCT url, source_name FROM clean", "clean")
+ORACLES["stream_sentiment_trends"] = query(TREND.format(where="true"), "sentiment_events")
+ORACLES["stream_events_sink"] = ORACLES["sentiment_events_sink"]
+ORACLES["stream_politeness_gate"] = ORACLES["politeness_gate"]

@@ -18,6 +18,7 @@ from pressgauge.operators import (
 from pressgauge.plans import views as V
 from pressgauge.session import work_path
 from pressgauge.sources import events as event_log, feeds, tables
+from pressgauge.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -461,14 +462,17 @@ def robots_check(spark, sf_dir):
     return _checked(spark, sf_dir).select("page_id", "domain", "allowed", "reason", "crawl_delay")
 
 
-@query
-def politeness_gate(spark, sf_dir):
-    """Each user is a domain asking at its events' times; the delay is an hour per parity, errors get no response."""
-    requests = V.table(spark, sf_dir, "events").selectExpr(
+def _requests(events: DataFrame) -> DataFrame:
+    """Each user is a domain asking at its events' times, one to five hours apart; errors get no response."""
+    return events.selectExpr(
         "concat('host', user_id) AS domain", "event_id AS job_id", "ts AS requested_at",
         "3600.0D * (1 + user_id % 5) AS delay", "event_type <> 'error' AS fetched",
     )
-    return politeness.politeness_gate(requests)
+
+
+@query
+def politeness_gate(spark, sf_dir):
+    return politeness.politeness_gate(_requests(V.table(spark, sf_dir, "events")))
 
 
 @query
@@ -504,3 +508,64 @@ def crawl_run(spark, sf_dir):
 def crawl_run_summary(spark, sf_dir):
     run = _run(spark, sf_dir)
     return analytics.crawl_run_summary(run["outcomes"], run["new_jobs"])
+
+
+# --- streams ---------------------------------------------------------------------
+
+
+def _stream(spark, sf_dir, name):
+    """One driver table as a stream."""
+    schema = V.table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def _response_log(spark, sf_dir):
+    """The feed responses as a log of JSON files, the stream's input."""
+    log = work_path(spark, "responses")
+    V.responses(spark, sf_dir).write.json(log)
+    return feeds.stream_responses(spark, log)
+
+
+@query
+def stream_ingest_articles(spark, sf_dir):
+    out = work_path(spark, "articles")
+    streams.drain(streams.ingest_stream(
+        _response_log(spark, sf_dir), V.lexicon(spark, sf_dir), out, work_path(spark, "state"),
+        V.stored_urls(spark, sf_dir), sentiment.lexicon_scores_plain,
+    ))
+    return spark.read.parquet(out).drop("batch", "sentiment_label", "sentiment_score")
+
+
+@query
+def stream_url_dedup(spark, sf_dir):
+    out = work_path(spark, "dedup")
+    deduped = streams.dedup_stream(feeds.raw_feed(_response_log(spark, sf_dir)))
+    streams.drain(streams.append_stream(deduped.select("url", "source_name"), out, work_path(spark, "state")))
+    return spark.read.schema("url string, source_name string").parquet(out)
+
+
+@query
+def stream_sentiment_trends(spark, sf_dir):
+    out = work_path(spark, "trends")
+    events = V.sentiment_events(spark, sf_dir, _stream(spark, sf_dir, "events"))
+    streams.drain(streams.trend_stream(events, out, work_path(spark, "state")))
+    stored = "article_count long, avg_sentiment_score double, avg_magnitude double, date date, sentiment_label string"
+    return _rounded(
+        spark.read.schema(stored).parquet(out).withColumn("date", _day("date")), "avg_sentiment_score", "avg_magnitude"
+    )
+
+
+@query
+def stream_events_sink(spark, sf_dir):
+    out = work_path(spark, "events")
+    events = V.sentiment_events(spark, sf_dir, _stream(spark, sf_dir, "events"))
+    streams.drain(streams.event_sink_stream(events, out, work_path(spark, "state")))
+    return spark.read.parquet(out).select(*EVENT_COLUMNS, _day("ingested_date"))
+
+
+@query
+def stream_politeness_gate(spark, sf_dir):
+    out = work_path(spark, "gate")
+    requests = _requests(_stream(spark, sf_dir, "events"))
+    streams.drain(streams.append_stream(streams.politeness_stream(requests), out, work_path(spark, "state")))
+    return spark.read.schema("job_id long, polite boolean").parquet(out)

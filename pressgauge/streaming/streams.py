@@ -10,14 +10,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 from pressgauge.operators.ingest import ingest_new_articles
 from pressgauge.operators.normalize import clean_feed
 from pressgauge.operators.politeness import effective_delay
 from pressgauge.operators.sentiment import lexicon_scores
-from pressgauge.schemas import T
 from pressgauge.session import ROCKSDB
 from pressgauge.sources.feeds import raw_feed
 
@@ -129,32 +128,28 @@ def event_sink_stream(events: DataFrame, path: str, checkpoint: str) -> Streamin
     )
 
 
-GATE_OUTPUT = T.StructType([T.StructField("job_id", T.LongType()), T.StructField("polite", T.BooleanType())])
+GATE_OUTPUT = "job_id long, polite boolean"
+GATE_STATE = "t long"
 
 
-class PolitenessProcessor(StatefulProcessor):
-    """One number per domain: the microsecond of its last fetch. Idle domains are forgotten after a day."""
+def _gate(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """One number per domain: the microsecond of its last fetch.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.clock = handle.getValueState("clock", "t long", ttlDurationMs=24 * 3600 * 1000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        last = self.clock.get()[0] if self.clock.exists() else None
-        before = last
-        for batch in rows:
-            batch = batch.sort_values(["t", "job_id"], kind="stable")
-            verdicts = []
-            for t, d, moves in zip(batch["t"].tolist(), batch["d"].tolist(), batch["moves"].tolist()):
-                allowed = last is None or t >= last + d
-                verdicts.append(allowed)
-                if allowed and moves:
-                    last = t
-            yield pd.DataFrame({"job_id": batch["job_id"].to_numpy(), "polite": verdicts})
-        if last is not None and last != before:
-            self.clock.update((last,))
-
-    def close(self) -> None:
-        pass
+    No timeout: state is 8 bytes per domain, and a processing-time timeout would
+    keep an availableNow run from ever ending.
+    """
+    last = state.get[0] if state.exists else None
+    for batch in batches:
+        batch = batch.sort_values(["t", "job_id"], kind="stable")
+        verdicts = []
+        for t, d, moves in zip(batch["t"].tolist(), batch["d"].tolist(), batch["moves"].tolist()):
+            allowed = last is None or t >= last + d
+            verdicts.append(allowed)
+            if allowed and moves:
+                last = t
+        yield pd.DataFrame({"job_id": batch["job_id"].to_numpy(), "polite": verdicts})
+    if last is not None:
+        state.update((last,))
 
 
 def politeness_stream(requests: DataFrame) -> DataFrame:
@@ -165,8 +160,8 @@ def politeness_stream(requests: DataFrame) -> DataFrame:
         "domain", F.col("job_id").cast("long").alias("job_id"), t.alias("t"),
         (effective_delay(F.col("delay")) * 1_000_000).cast("long").alias("d"), F.col("fetched").alias("moves"),
     )
-    return rows.groupBy("domain").transformWithStateInPandas(
-        PolitenessProcessor(), GATE_OUTPUT, outputMode="append", timeMode="processingTime"
+    return rows.groupBy("domain").applyInPandasWithState(
+        _gate, GATE_OUTPUT, GATE_STATE, "append", "NoTimeout"
     )
 
 

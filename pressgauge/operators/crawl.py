@@ -57,7 +57,7 @@ def attempt(
     jobs: DataFrame, articles: DataFrame, fetches: DataFrame, snapshots: DataFrame,
     user_agent: str = settings.USER_AGENT,
 ) -> tuple[DataFrame, DataFrame]:
-    """Robots check, politeness and response per job; and the text per job.
+    """Robots check, politeness and response per job; and the text per article.
 
     ``fetches`` is the recorded outcome of each request, by url: requested_at,
     response_status (NULL = connection failed), response_error, html. The html goes
@@ -83,15 +83,15 @@ def attempt(
     gate = politeness_gate(requests).withColumnRenamed("job_id", "id")
     decided = materialize(asked.join(gate, "id", "left").withColumn("polite", F.coalesce("polite", F.lit(False))))
     readable = decided.filter("robots_allowed AND polite AND response_status < 400 AND response_error IS NULL")
-    pages = readable.select("id", "url").join(fetches.select("url", "html"), "url")
-    texts = extract_text(pages.select("id", "html"), "id")
-    return decided, texts
+    # One page per article, however many of its jobs read it; several branches need the text.
+    pages = readable.select("article_id", "url").distinct().join(fetches.select("url", "html"), "url")
+    return decided, materialize(extract_text(pages.select("article_id", "html"), "article_id"))
 
 
 def with_text_flag(decided: DataFrame, texts: DataFrame) -> DataFrame:
     """Attempts as ``crawl_outcomes`` reads them. Blank or missing text counts as none."""
-    flags = texts.select("id", F.coalesce(F.col("text") != "", F.lit(False)).alias("has_text"))
-    return decided.join(flags, "id", "left").withColumns({
+    flags = texts.select("article_id", F.coalesce(F.col("text") != "", F.lit(False)).alias("has_text"))
+    return decided.join(flags, "article_id", "left").withColumns({
         "has_text": F.coalesce("has_text", F.lit(False)),
         "fetched_at": F.col("requested_at"),
         "processing_error": F.lit(None).cast("string"),
@@ -118,10 +118,7 @@ def crawl_run(
     decided, texts = attempt(picked, articles, fetches, snapshots, user_agent)
     outcomes = crawl_outcomes(with_text_flag(decided, texts), as_of)
 
-    read = texts.filter("text <> ''").join(picked.select("id", "article_id"), "id")
-    whole = read.select("article_id", "text", at(as_of).alias("extracted_at"))
-    # Two jobs of one article carry the same text; one row per article is stored.
-    whole = whole.dropDuplicates(["article_id"])
+    whole = texts.filter("text <> ''").select("article_id", "text", at(as_of).alias("extracted_at"))
     contents = content_upsert(tables["article_contents"], content_store(whole))
     scores = lexicon_scores(whole, "article_id", "text", lexicon)
     sizes = whole.select("article_id", F.char_length("text").cast("long").alias("content_length"))

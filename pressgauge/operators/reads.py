@@ -55,19 +55,22 @@ def user_bookmarks(bookmarks: DataFrame, articles: DataFrame, user_id: int) -> D
     return mine.join(articles.withColumnRenamed("id", "article_id"), "article_id")
 
 
-def sources_with_articles(sources: DataFrame, articles: DataFrame, per_row: int = 1000) -> DataFrame:
+def sources_with_articles(
+    sources: DataFrame, articles: DataFrame, per_row: int = 1000, unique: str = "id"
+) -> DataFrame:
     """Sources with their article ids as sorted lists of bounded length.
 
     A source may own most of the articles, so its list comes in parts: ids are
-    spread over ceil(n / per_row) parts by remainder, n counted beforehand on
-    (source, count) rows. A source without articles has one empty part.
+    spread over ceil(n / per_row) parts by the remainder of the ``unique`` column, n
+    counted beforehand on (source, count) rows. A source without articles has one
+    empty part.
     """
     counts = articles.groupBy("source_id").agg(F.count("*").alias("n_articles"))
     dim = sources.select(F.col("id").alias("source_id"), "name").join(counts, "source_id", "left")
     dim = dim.withColumn("n_articles", F.coalesce("n_articles", F.lit(0)))
     dim = dim.withColumn("parts", F.greatest(F.ceil(F.col("n_articles") / per_row), F.lit(1)).cast("long"))
-    keyed = articles.select("source_id", "id").join(broadcast_if_small(dim.select("source_id", "parts")), "source_id")
-    lists = keyed.groupBy("source_id", F.pmod("id", "parts").alias("part")).agg(
+    keyed = articles.select("source_id", "id", F.col(unique).alias("_unique")).join(broadcast_if_small(dim.select("source_id", "parts")), "source_id")
+    lists = keyed.groupBy("source_id", F.pmod("_unique", "parts").alias("part")).agg(
         F.sort_array(F.collect_list("id")).alias("article_ids")
     )
     return dim.drop("parts").join(lists, "source_id", "left").select(
@@ -78,8 +81,8 @@ def sources_with_articles(sources: DataFrame, articles: DataFrame, per_row: int
 
 def users_with_bookmarks(users: DataFrame, bookmarks: DataFrame, per_row: int = 1000) -> DataFrame:
     """Users with their bookmarked article ids, in parts like ``sources_with_articles``."""
-    owned = bookmarks.select(F.col("user_id").alias("source_id"), "id")
-    lists = sources_with_articles(users.select("id", F.col("email").alias("name")), owned, per_row)
+    owned = bookmarks.select(F.col("user_id").alias("source_id"), F.col("article_id").alias("id"), F.col("id").alias("bookmark_id"))
+    lists = sources_with_articles(users.select("id", F.col("email").alias("name")), owned, per_row, "bookmark_id")
     return lists.select(
         F.col("source_id").alias("id"), F.col("name").alias("email"), F.col("n_articles").alias("n_bookmarks"),
         "part", F.col("article_ids").alias("bookmarks"),

@@ -27,6 +27,6 @@ def spread(df: DataFrame) -> DataFrame:
     """
     if df.isStreaming:
         return df
-    files = df.inputFiles()
+    files = len(df._jdf.inputFiles())  # the count only; a large table has too many names to bring over
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(files) < cores else df
+    return df.repartition(cores) if 0 < files < cores else df

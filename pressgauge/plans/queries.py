@@ -131,11 +131,11 @@ def normalize_required_fields(spark, sf_dir):
 
 
 @query
-def canonical_url_pages(spark, sf_dir):
+def canonical_url_of_pages(spark, sf_dir):
     return V.table(spark, sf_dir, "pages").select("page_id", canonical_url(F.col("url")).alias("url"))
 
 
-QUERIES["canonical_url"] = QUERIES.pop("canonical_url_pages")
+QUERIES["canonical_url"] = QUERIES.pop("canonical_url_of_pages")
 
 
 @query
@@ -238,7 +238,7 @@ def users_with_bookmarks(spark, sf_dir):
     users = V.table(spark, sf_dir, "events").select("user_id").distinct().selectExpr(
         "user_id AS id", "concat('user', user_id, '@example.org') AS email"
     )
-    rows = reads.users_with_bookmarks(users, V.bookmarks(spark, sf_dir).withColumn("id", F.col("article_id")))
+    rows = reads.users_with_bookmarks(users, V.bookmarks(spark, sf_dir))
     return rows.withColumn("bookmarks", F.array_join("bookmarks", ","))
 
 
@@ -413,12 +413,12 @@ def sentiment_with_fallback(spark, sf_dir):
 
 
 @query
-def url_domain_pages(spark, sf_dir):
+def url_domain_of_pages(spark, sf_dir):
     domain = url_domain(F.col("url"))
     return V.table(spark, sf_dir, "pages").select("page_id", domain.alias("domain"), robots_url(domain).alias("robots_url"))
 
 
-QUERIES["url_domain"] = QUERIES.pop("url_domain_pages")
+QUERIES["url_domain"] = QUERIES.pop("url_domain_of_pages")
 
 
 @query

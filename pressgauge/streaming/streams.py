@@ -114,7 +114,7 @@ def event_sink_stream(events: DataFrame, path: str, checkpoint: str) -> Streamin
         if stored is not None:
             # Repeats carry their original instant, so only the days of this batch are looked up.
             days = batch.select(F.to_date("ingested_at").alias("ingested_date")).distinct()
-            seen = stored.join(F.broadcast(days), "ingested_date", "left_semi").select("event_id")
+            seen = stored.join(days, "ingested_date", "left_semi").select("event_id")
             fresh = fresh.join(seen, "event_id", "left_anti")
         fresh = fresh.withColumn("ingested_date", F.to_date("ingested_at"))
         (

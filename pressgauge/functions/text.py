@@ -88,12 +88,42 @@ _ISO = (
 )
 
 
+_WEEK_DATE = r"^(\d{4})-?W(\d{2})(?:-?([1-7]))?(?=$|\D)"
+_YEAR_DAY = r"^(\d{4})-?(\d{3})(?=$|\D)"
+
+
+def _calendar_date(text: Column) -> Column:
+    """Week dates (YYYY-Www[-D]) and year days (YYYY-DDD) rewritten as YYYY-MM-DD; impossible ones are NULL."""
+    def number(pattern: str, i: int) -> Column:
+        return F.regexp_extract(text, pattern, i).try_cast("int")
+
+    week, weekday = number(_WEEK_DATE, 2), F.coalesce(number(_WEEK_DATE, 3), F.lit(1))
+    first_monday = F.to_date(F.date_trunc("week", F.make_date(number(_WEEK_DATE, 1), F.lit(1), F.lit(4))))
+    monday = F.date_add(first_monday, (week - 1) * 7)
+    # A week belongs to the year of its Thursday.
+    real_week = week.between(1, 53) & (F.year(F.date_add(monday, F.lit(3))) == number(_WEEK_DATE, 1))
+    year_day = F.date_add(F.make_date(number(_YEAR_DAY, 1), F.lit(1), F.lit(1)), number(_YEAR_DAY, 2) - 1)
+    real_day = F.year(year_day) == number(_YEAR_DAY, 1)
+
+    def rewritten(date: Column, pattern: str) -> Column:
+        return F.concat(F.date_format(date, "yyyy-MM-dd"), F.regexp_replace(text, pattern, ""))
+
+    return (
+        F.when(text.rlike(_WEEK_DATE), F.when(real_week, rewritten(F.date_add(monday, weekday - 1), _WEEK_DATE)))
+        .when(text.rlike(_YEAR_DAY), F.when(real_day, rewritten(year_day, _YEAR_DAY)))
+        .otherwise(text)
+    )
+
+
 def parse_iso(text: Column) -> Column:
     """ISO-8601 text to a UTC instant; anything else is NULL.
 
-    Accepts YYYY, YYYY-MM, YYYY-MM-DD, YYYYMMDD and, after a full date, one
-    separator character with hh[:mm[:ss[.f]]] and an optional Z or offset.
+    Accepts YYYY, YYYY-MM, YYYY-MM-DD, YYYYMMDD, week dates, year days and, after
+    a full date, one separator character with hh[:mm[:ss[.f]]] and an optional Z
+    or offset.
     """
+    text = _calendar_date(text)
+
     def part(i: int) -> Column:
         return F.nullif(F.regexp_extract(text, _ISO, i), F.lit(""))
 

@@ -49,6 +49,9 @@ def test_parse_iso(spark):
         "2025": d(2025, 1, 1), "2025-11-18 10:30:00.123456": d(2025, 11, 18, 10, 30, 0, 123456),
         "2025-11-18T24:00": d(2025, 11, 19), "soon": None, "2025-13-01": None, "2025-1-1": None, "": None, None: None,
         "2025-11-18T10:30:00+02": d(2025, 11, 18, 8, 30), "2025-02-30": None,
+        "2025-W47-2": d(2025, 11, 18), "2025W472T10:30Z": d(2025, 11, 18, 10, 30), "2026-W01": d(2025, 12, 29),
+        "2020-W53-7": d(2021, 1, 3), "2025-W53-1": None, "2025-W00-1": None, "2025-322": d(2025, 11, 18), "2024366": d(2024, 12, 31),
+        "2025-366": None, "2025-000": None,
     }
     assert column(spark, list(cases), X.parse_iso) == list(cases.values())
 

@@ -122,29 +122,33 @@ def parse_iso(text: Column) -> Column:
     a full date, one separator character with hh[:mm[:ss[.f]]] and an optional Z
     or offset.
     """
-    text = _calendar_date(text)
-
-    def part(i: int) -> Column:
-        return F.nullif(F.regexp_extract(text, _ISO, i), F.lit(""))
-
-    month = F.coalesce(part(2), part(4), F.lit("01"))
-    day = F.coalesce(part(3), part(5), F.lit("01"))
-    hour, minute, second = (F.coalesce(part(i), F.lit("00")) for i in (6, 7, 8))
-    midnight = (hour == "24") & (minute == "00") & (second == "00") & (F.coalesce(part(9), F.lit("0")).cast("int") == 0)
-    clock = F.concat_ws(":", F.when(midnight, "00").otherwise(hour), minute, second)
-    local = F.concat(
-        F.concat_ws("-", part(1), month, day), F.lit(" "), clock, F.lit("."), F.coalesce(part(9), F.lit("0"))
-    ).try_cast("timestamp_ntz")
-    zone = part(10)
-    sign = F.when(F.substring(zone, 1, 1) == "-", 1).otherwise(-1)
-    digits = F.regexp_replace(zone, r"[^0-9]", "")
-    shift = F.when(
-        digits.rlike(r"^\d"),
-        sign * (F.substring(digits, 1, 2).cast("int") * 60 + F.coalesce(F.nullif(F.substring(digits, 3, 2), F.lit("")).cast("int"), F.lit(0))),
-    ).otherwise(0)
-    shift = shift + F.when(midnight, 1440).otherwise(0)
-    utc = local + F.make_dt_interval(F.lit(0), F.lit(0), shift)
-    return F.when(text.rlike(_ISO), utc)
+    # transform() over a one-element array names an intermediate value once; the
+    # optimizer would copy a plain expression into each of its many uses.
+    def bind(value: Column, use) -> Column:
+        return F.get(F.transform(F.array(value), use), 0)
+
+    def instant(fields: Column) -> Column:
+        def part(i: int) -> Column:
+            return F.nullif(F.get(fields, i - 1), F.lit(""))
+
+        month, day = F.coalesce(part(2), part(4), F.lit("01")), F.coalesce(part(3), part(5), F.lit("01"))
+        hour, minute, second, fraction = (F.coalesce(part(i), F.lit("00")) for i in (6, 7, 8, 9))
+        midnight = F.concat(hour, minute, second, fraction).rlike("^240+$")
+        local = F.concat(
+            F.concat_ws("-", part(1), month, day), F.lit(" "),
+            F.concat_ws(":", F.when(midnight, "00").otherwise(hour), minute, second), F.lit("."), fraction,
+        ).try_cast("timestamp_ntz")
+        digits = F.regexp_replace(part(10), "[^0-9]", "")
+        minutes = F.substring(digits, 1, 2).try_cast("int") * 60 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
+        east = F.when(F.startswith(part(10), F.lit("-")), -1).otherwise(1)
+        shift = F.when(midnight, 1440).otherwise(0) - F.coalesce(minutes * east, F.lit(0))
+        return local + F.make_dt_interval(F.lit(0), F.lit(0), shift)
+
+    def read(iso: Column) -> Column:
+        fields = F.split(F.regexp_replace(iso, _ISO, "|".join(f"${i}" for i in range(1, 11))), r"\|")
+        return F.when(iso.rlike(_ISO), bind(fields, instant))
+
+    return bind(_calendar_date(text), read)
 
 
 def label_for(score: Column, positive: Column, negative: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare
-from . import decontaminate
+from . import decontaminate, language
 from .frames import table
 
 
@@ -23,8 +23,18 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from those whose crc32 of the id leaves another remainder than 2 by 4."""
+    prepare(spark)
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    model = language.fit(docs.where("NOT held_out AND doc_id IS NOT NULL"), F.col("text"), F.col("lang"), F.col("doc_id"))
+    return language.predict(docs, model, ["doc_id", "held_out"])
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op3_language": op3_language,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

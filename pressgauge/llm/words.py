@@ -77,6 +77,45 @@ def portions(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]
         yield low, len(sizes)
 
 
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True, cut where a text ends, and the first run of each text."""
+    first = offsets[:-1][np.diff(offsets) > 0]
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1]
+    begin[first] = inside[first]
+    stop = np.zeros(len(inside) + 1, bool)
+    stop[1:] = inside
+    stop[1:-1] &= ~inside[1:]
+    later = first[first > 0]
+    stop[later] = inside[later - 1]
+    starts = np.flatnonzero(begin)
+    return starts, np.flatnonzero(stop), np.searchsorted(starts, offsets)
+
+
+class Lookup:
+    """Places of 64-bit hashes in a sorted array of distinct ones; -1 for those it lacks."""
+
+    def __init__(self, keys: np.ndarray, bits: int = 22):
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        slot = keys >> self.shift
+        self.first = np.full(1 << bits, -1, np.int32)
+        self.first[slot] = np.arange(len(keys), dtype=np.int32)
+        self.crowded = np.bincount(slot.astype(np.int64), minlength=1 << bits) > 1
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(hashes), -1, np.int32)
+        slot = hashes >> self.shift
+        at = self.first[slot]
+        missed = self.keys[at] != hashes
+        again = np.flatnonzero(missed & self.crowded[slot])
+        at[missed] = -1
+        if len(again):
+            place = np.minimum(np.searchsorted(self.keys, hashes[again]), len(self.keys) - 1)
+            at[again] = np.where(self.keys[place] == hashes[again], place, -1)
+        return at
+
+
 class Words:
     """Words of some texts: byte ``starts`` and ``ends`` in ``data``, words per text, and the text's number of each."""
 
@@ -84,18 +123,7 @@ class Words:
         self.data, self.offsets = text_buffers(column)
         if lower:
             self.data = LOWER[self.data]
-        inside = ~separators[self.data]
-        first = self.offsets[:-1][np.diff(self.offsets) > 0]
-        begin = inside.copy()
-        begin[1:] &= ~inside[:-1]
-        begin[first] = inside[first]
-        stop = np.zeros(len(inside) + 1, bool)
-        stop[1:] = inside
-        stop[1:-1] &= ~inside[1:]
-        later = first[first > 0]
-        stop[later] = inside[later - 1]
-        self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(stop)
-        self.bounds = np.searchsorted(self.starts, self.offsets)
+        self.starts, self.ends, self.bounds = runs(~separators[self.data], self.offsets)
         self.counts = np.diff(self.bounds)
 
     def texts(self) -> np.ndarray:

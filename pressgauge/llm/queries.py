@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare
-from . import decontaminate, language
+from . import decontaminate, language, mixing
 from .frames import table
 
 
@@ -32,9 +32,16 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model, ["doc_id", "held_out"])
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix with source weights 1, 2, 3, repeating, takes of each text."""
+    prepare(spark)
+    return mixing.Mix(table(spark, sf_dir, "documents"), ["doc_id"]).taken()
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_language": op3_language,
+    "op5_mixing": op5_mixing,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare
-from . import decontaminate, language, mixing
+from . import decontaminate, language, mixing, winnow
 from .frames import table
 
 
@@ -38,10 +38,17 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(table(spark, sf_dir, "documents"), ["doc_id"]).taken()
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowed fingerprints of every text and of its edited text."""
+    prepare(spark)
+    return winnow.compared(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_language": op3_language,
     "op5_mixing": op5_mixing,
+    "op6_fingerprints": op6_fingerprints,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

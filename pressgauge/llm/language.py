@@ -93,7 +93,7 @@ def fit(docs: DataFrame, text: Column, lang: Column, key: Column, max_docs: int
 
     def counted(batches):
         for batch in batches:
-            for low, high in portions(batch.column(1)):
+            for low, high in portions(batch.column(1), 1 << 20):
                 names = batch.column(0)[low:high].to_numpy(zero_copy_only=False)
                 s = Spelling(batch.column(1)[low:high])
                 everything = np.arange(len(s.starts))
@@ -170,7 +170,7 @@ def predict(docs: DataFrame, model: dict, keep: list[str], text: str = "text") -
     def named(batches):
         for batch in batches:
             names, scores = [], []
-            for low, high in portions(batch.column(0)):
+            for low, high in portions(batch.column(0), 1 << 20):
                 n, s = judged(batch.column(0)[low:high], shared)
                 names += n
                 scores.append(s)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare
-from . import decontaminate, language, mixing, winnow
+from . import decontaminate, language, mixing, secrets, winnow
 from .frames import table
 
 
@@ -32,6 +32,18 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model, ["doc_id", "held_out"])
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base secrets of every text and the strings that look random, all with their places."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.transitions(secrets.samples_of(docs)), ["doc_id"])
+    x = F.col("found")
+    return found.select(
+        "doc_id", *[secrets.count_of(x, k).alias(f"n_{k}") for k in secrets.KINDS],
+        F.sha2(secrets.written(secrets.base(x)), 256).alias("base_sha256"), secrets.written(x).alias("spans"),
+    )
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix with source weights 1, 2, 3, repeating, takes of each text."""
     prepare(spark)
@@ -47,6 +59,7 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_language": op3_language,
+    "op4_secrets": op4_secrets,
     "op5_mixing": op5_mixing,
     "op6_fingerprints": op6_fingerprints,
 }

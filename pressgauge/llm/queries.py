@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare
-from . import decontaminate, language, mixing, secrets, winnow
+from . import decontaminate, language, licences, mixing, secrets, warc, winnow
 from .frames import table
 
 
@@ -56,18 +56,87 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compared(table(spark, sf_dir, "documents"))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that a whole text is, and those among its lines and paragraphs."""
+    prepare(spark)
+    found = licences.scan(table(spark, sf_dir, "documents"), licences.known(spark), ["doc_id"])
+    return found.select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("whole", "parts")])
+
+
+def op8_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of a damaged replica of the pages as WARC records.
+
+    In the replica, records of urls with a fragment have a wrong first byte and those of urls with ``ref=`` are lost.
+    """
+    prepare(spark)
+    stock = warc.records(table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    broken = F.when(F.contains("url", F.lit("#")), F.concat(F.lit("X").cast("binary"), F.substring("content", 2, 1 << 30))).otherwise(F.col("content"))
+    damaged = stock.where("url IS NULL OR NOT contains(url, 'ref=')").withColumn("content", broken)
+    return warc.audit(warc.tree(stock, "stock"), warc.tree(damaged, "copy"))
+
+
 QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_language": op3_language,
     "op4_secrets": op4_secrets,
     "op5_mixing": op5_mixing,
     "op6_fingerprints": op6_fingerprints,
+    "op7_licences": op7_licences,
+    "op8_warc_audit": op8_warc_audit,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, " + r"'[0-9a-z\x{80}-\x{10FFFF}]+')"
 
+
+def _licence_lines(text: str) -> str:
+    t = f"lower(coalesce({text}, ''))"
+    t = rf"regexp_replace({t}, '(?m)^[^\p{{L}}\p{{N}}\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$', chr(1), 'g')"
+    t = rf"regexp_replace({t}, '[^\p{{L}}\p{{N}}\n\x01]+', ' ', 'g')"
+    t = f"(' ' || replace({t}, chr(10), ' ' || chr(10) || ' ') || ' ')"
+    for spelling, one in licences.SAME:
+        t = f"replace({t}, ' {spelling} ', ' {one} ')"
+    return f"list_filter(string_split({t}, chr(10)), lambda x: NOT contains(x, chr(1)))"
+
+
+_KNOWN = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in licences.KNOWN)
+_DIGEST = "sha256(trim(regexp_replace({}, ' +', ' ', 'g')))"
+
 ORACLES = {
+    "op7_licences": f"""
+        WITH known AS (
+            SELECT DISTINCT {_DIGEST.format(f"array_to_string({_licence_lines('text')}, ' ')")} AS digest, licence
+            FROM (VALUES {_KNOWN}) AS k(licence, text)
+        ),
+        docs AS (SELECT row_number() OVER () AS r, doc_id, {_licence_lines('text')} AS lines FROM documents),
+        units AS (
+            SELECT r, true AS whole, {_DIGEST.format("array_to_string(lines, ' ')")} AS digest FROM docs
+            UNION ALL
+            SELECT r, false, {_DIGEST.format('x')} FROM (SELECT r, unnest(lines) AS x FROM docs)
+            UNION ALL
+            SELECT r, false, {_DIGEST.format("replace(x, chr(10), ' ')")}
+            FROM (SELECT r, unnest(string_split_regex(array_to_string(lines, chr(10)), '\\n\\s*\\n')) AS x FROM docs) WHERE contains(x, chr(10))
+        ),
+        found AS (SELECT r, whole, licence FROM units JOIN known USING (digest) WHERE digest <> sha256(''))
+        SELECT doc_id, coalesce(string_agg(DISTINCT licence, ',' ORDER BY licence) FILTER (whole), '') AS whole,
+               coalesce(string_agg(DISTINCT licence, ',' ORDER BY licence) FILTER (NOT whole), '') AS parts
+        FROM docs LEFT JOIN found USING (r) GROUP BY r, doc_id""",
+    "op8_warc_audit": """
+        WITH rows AS (
+            SELECT page_id, url,
+                   (CAST('0x' || substr(md5(page_id || '|' || url), 1, 8) AS BIGINT)) % (SELECT greatest(1, ceil(count(*) / 256.0)::BIGINT) FROM pages) AS file,
+                   octet_length(encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url
+                       || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || page_id || '>' || chr(13) || chr(10) || 'Content-Type: text/html'
+                       || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(html)) || repeat(chr(13) || chr(10), 2)
+                       || html || repeat(chr(13) || chr(10), 2))) AS length
+            FROM pages
+        ),
+        placed AS (SELECT *, CAST(sum(length) OVER (PARTITION BY file ORDER BY page_id) - length AS BIGINT) AS offset FROM rows)
+        SELECT file, CASE WHEN contains(url, 'ref=') THEN 'missing' ELSE 'changed' END AS kind, "offset", length, page_id AS record_id,
+               CASE WHEN NOT contains(url, 'ref=') THEN "offset" END AS copy_offset,
+               CASE WHEN NOT contains(url, 'ref=') THEN length END AS copy_length,
+               CASE WHEN NOT contains(url, 'ref=') THEN page_id END AS copy_record_id
+        FROM placed WHERE contains(url, '#') OR contains(url, 'ref=')""",
     "op2_decontamination": f"""
         WITH dw AS (SELECT doc_id, coalesce({_WORDS}, []) AS ws FROM documents),
         bw AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),

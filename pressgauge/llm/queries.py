@@ -5,8 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare
-from . import decontaminate, language, licences, mixing, secrets, warc, winnow
-from .frames import table
+from . import decontaminate, language, licences, mixing, quality, secrets, warc, winnow
+from .frames import stored, table
+
+
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the texts that the labels call good and not toxic."""
+    return table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0").select("doc_id")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every text under a model of the trusted ones, and whether its language's threshold rejects it."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(quality.trusted_texts(docs, trusted(spark, sf_dir)))
+    scores = stored(quality.perplexities(docs, model, ["doc_id", "lang"]), "perplexities")
+    return quality.judge(scores, trusted(spark, sf_dir))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +90,7 @@ def op8_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
     "op3_language": op3_language,
     "op4_secrets": op4_secrets,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare
-from . import decontaminate, language, licences, mixing, quality, secrets, warc, winnow
+from . import decontaminate, language, licences, lines, mixing, quality, secrets, warc, winnow
 from .frames import stored, table
 
 
@@ -89,6 +89,13 @@ def op8_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.audit(warc.tree(stock, "stock"), warc.tree(damaged, "copy"))
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the lines that repeat an earlier one, exactly or nearly."""
+    prepare(spark)
+    cleaned = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return cleaned.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
@@ -98,6 +105,7 @@ QUERIES = {
     "op6_fingerprints": op6_fingerprints,
     "op7_licences": op7_licences,
     "op8_warc_audit": op8_warc_audit,
+    "op10_lines": op10_lines,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

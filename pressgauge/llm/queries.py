@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare
-from . import decontaminate, language, licences, lines, mixing, quality, secrets, warc, winnow
+from . import decontaminate, jaccard, language, licences, lines, mixing, quality, secrets, warc, winnow
 from .frames import stored, table
 
 
@@ -89,6 +89,13 @@ def op8_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.audit(warc.tree(stock, "stock"), warc.tree(damaged, "copy"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every text's set of shingles and the smallest document it is linked with."""
+    prepare(spark)
+    _, found, _ = jaccard.classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text without the lines that repeat an earlier one, exactly or nearly."""
     prepare(spark)
@@ -105,6 +112,7 @@ QUERIES = {
     "op6_fingerprints": op6_fingerprints,
     "op7_licences": op7_licences,
     "op8_warc_audit": op8_warc_audit,
+    "op9_jaccard": op9_jaccard,
     "op10_lines": op10_lines,
 }
 
@@ -144,6 +152,23 @@ ORACLES = {
         SELECT doc_id, coalesce(string_agg(DISTINCT licence, ',' ORDER BY licence) FILTER (whole), '') AS whole,
                coalesce(string_agg(DISTINCT licence, ',' ORDER BY licence) FILTER (NOT whole), '') AS parts
         FROM docs LEFT JOIN found USING (r) GROUP BY r, doc_id""",
+    "op9_jaccard": f"""
+        WITH RECURSIVE dw AS (
+            SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents
+        ),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(ws[i + 1 : i + least(5, len(ws))], ' ') AS g
+            FROM (SELECT *, unnest(range(len(ws) - least(5, len(ws)) + 1)) AS i FROM dw WHERE len(ws) > 0)
+        ),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id
+            JOIN n AS na ON na.doc_id = a.doc_id JOIN n AS nb ON nb.doc_id = b.doc_id
+            GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(na.n) + any_value(nb.n) - count(*))
+        ),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM dw UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, c.component_id
+        FROM dw LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) AS c USING (doc_id)""",
     "op8_warc_audit": """
         WITH rows AS (
             SELECT page_id, url,

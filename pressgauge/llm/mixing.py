@@ -23,6 +23,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .frames import free_name
+from .winnow import let
+
 MOST = 3
 MAX_SOURCES = 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -71,14 +74,15 @@ def permuted(x: Column, n: Column, *salt: Column, rounds: int = 12) -> Column:
 class Mix:
     """The mix of ``docs``: ``sources`` on the driver, ``rows`` (texts and their place), ``slots`` (the blocks taken).
 
-    ``keep`` columns of the texts appear in ``rows`` beside src, size, place.
+    ``keep`` columns of the texts appear in ``rows`` beside src, size, place. The order of a source's texts is drawn from
+    the ``order`` columns (those kept, unless given) and the text.
     """
 
-    def __init__(self, docs: DataFrame, keep: list[str], text: str = "text", source: str = "source", weights=lambda i: i % 3 + 1, block: int = 128, shard: int = 1024, seed: int = 7):
+    def __init__(self, docs: DataFrame, keep: list[str], text: str = "text", source: str = "source", weights=lambda i: i % 3 + 1, block: int = 128, shard: int = 1024, seed: int = 7, order: list[str] | None = None):
         self.spark, self.block, self.seed = docs.sparkSession, block, seed
         words = F.coalesce(F.size(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
         kept = [F.col(c).alias(f"kept {i}") for i, c in enumerate(keep)]
-        self.narrow = docs.select(*kept, source_key(F.col(source)).alias("src"), F.when(F.col(text).isNull(), F.lit(0)).otherwise(words).alias("size"), F.xxhash64(*keep, text).alias("draw"))
+        self.narrow = docs.select(*kept, source_key(F.col(source)).alias("src"), F.when(F.col(text).isNull(), F.lit(0)).otherwise(words).alias("size"), F.xxhash64(*(order or keep), text).alias("draw"))
         summed = self.narrow.groupBy("src").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
         if len(summed) > MAX_SOURCES:
             raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -165,14 +169,34 @@ class Mix:
         )
 
 
-def mixed_blocks(docs: DataFrame, text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The mix itself: shard, slot, source, pass, index and the text of each block, words joined by a space."""
-    mix = Mix(docs, [text], text, source, **options)
-    words = F.regexp_extract_all(F.col("kept 0"), F.lit(WORD), F.lit(0))
-    pieces = mix.pieces().select("src", "index", "place", F.array_join(F.slice(words, F.col("begin").cast("int") + 1, F.col("words").cast("int")), " ").alias("part"))
-    blocks = pieces.groupBy("src", "index").agg(F.sort_array(F.collect_list(F.struct("place", "part"))).alias("parts"))
-    blocks = blocks.select("src", "index", F.array_join(F.transform("parts", lambda p: p["part"]), " ").alias("text"))
+def mixed_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix itself: shard, slot, source, pass, index, the keys of the texts in each block, and its words.
+
+    Texts move once to their places and their pieces once to their blocks. ``docs`` must give its rows in the same order
+    whenever it is read (a table does).
+    """
+    row = free_name(docs.columns, "row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    mix = Mix(numbered, [row], text, source, order=[key], **options)
+    size = F.lit(mix.block).cast("long")
+    places = mix.rows().where("size > 0").select("src", "size", "place", F.col("kept 0").alias("row"))
+    texts = numbered.select(F.col(row).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    blocks = F.sequence(F.floor(F.col("place") / size), F.floor((F.col("place") + F.col("size") - 1) / size))
+
+    def pieces(words: Column) -> Column:
+        def piece(i: Column) -> Column:
+            begin = F.greatest(i * size - F.col("place"), F.lit(0))
+            end = F.least((i + 1) * size - F.col("place"), F.col("size"))
+            part = F.array_join(F.slice(words, begin.cast("int") + 1, (end - begin).cast("int")), " ")
+            return F.struct(i.alias("index"), F.struct(F.col("place"), F.col("key"), part.alias("part")).alias("part"))
+
+        return F.transform(blocks, piece)
+
+    cut = texts.join(places, "row").select("src", F.explode(let(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), pieces)).alias("piece"))
+    packed = cut.groupBy("src", "piece.index").agg(F.sort_array(F.collect_list("piece.part")).alias("parts"))  # a block's words at most
     order = Window.partitionBy("shard").orderBy(F.xxhash64("src", "pass", "index"), "src", "pass", "index")
     slots = mix.slots().withColumn("slot", F.row_number().over(order) - 1)
-    source_name = F.when(F.col("src") != "", F.substring("src", 2, 1 << 30))
-    return slots.join(blocks, ["src", "index"]).select("shard", "slot", source_name.alias("source"), "pass", "index", "text")
+    return slots.join(packed, ["src", "index"]).select(
+        "shard", "slot", F.when(F.col("src") != "", F.substring("src", 2, 1 << 30)).alias("source"), "pass", "index",
+        F.transform("parts", lambda p: p["key"]).alias("doc_ids"), F.array_join(F.transform("parts", lambda p: p["part"]), " ").alias("text"),
+    )

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .frames import stored
+from .frames import free_name, stored
 from .words import SPACE, Lookup, Words, portions
 
 MAX_WORDS = (1 << 16) - 2
@@ -240,3 +240,16 @@ def judge(scores: DataFrame, trusted: DataFrame, key: str = "doc_id", lang: str
     threshold = F.coalesce(F.col("own"), F.lit(every).cast("double"))
     rejected = F.coalesce(F.col("perplexity") > F.col("threshold"), F.lit(False))
     return scores.withColumn("spoken", spoken).join(limits, "spoken", "left").withColumn("threshold", threshold).drop("spoken", "own").withColumn("rejected", rejected)
+
+
+def accepted(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
+    """The rows of ``docs`` that the model of the ``trusted`` keys' texts does not reject.
+
+    ``docs`` must give its rows in the same order whenever it is read (a table does).
+    """
+    row = free_name(docs.columns, "row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    model = fit(trusted_texts(docs, trusted.select(trusted.columns[0]).toDF(key), key, text))
+    scores = stored(perplexities(numbered, model, [row, key, lang], text), "perplexities")
+    rejected = judge(scores, trusted.toDF(key), key, lang, **options).where("rejected").select(row)
+    return numbered.join(rejected, row, "left_anti").select(*docs.columns)

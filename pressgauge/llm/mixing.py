@@ -41,12 +41,10 @@ def targets(sizes: list[int], weights: list[float]) -> list[float]:
     out = [0.0] * len(sizes)
     rest, weight = float(sum(sizes)), float(sum(weights))
     for i in sorted(range(len(sizes)), key=lambda i: MOST * sizes[i] / weights[i]):
-        out[i] = min(MOST * sizes[i], rest * weights[i] / weight) if weight > 0 else 0.0
-        if out[i] == MOST * sizes[i]:
+        out[i] = min(float(MOST * sizes[i]), rest * weights[i] / weight)
+        if out[i] == MOST * sizes[i]:  # the others share what is left
             rest -= out[i]
             weight -= weights[i]
-        else:
-            out[i] = rest * weights[i] / weight
     return out
 
 

@@ -14,6 +14,12 @@ WHITESPACE = (
 WHITESPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 
+def digest_number(*columns: Column) -> Column:
+    """A number of 60 bits from a digest of the columns' text; repeats on every engine."""
+    digest = F.md5(F.concat_ws("|", *[c.cast("string") for c in columns]))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 

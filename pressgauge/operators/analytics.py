@@ -5,11 +5,12 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pressgauge import settings
 from pressgauge.functions.text import at, days, hours
 from pressgauge.operators import content, retention
+from pressgauge.session import materialize
 
 
 def recent_events(events: DataFrame, as_of: datetime | str, n_days: int) -> DataFrame:
@@ -72,13 +73,12 @@ def articles_last_24h(articles: DataFrame, as_of: datetime | str) -> DataFrame:
 
 def crawl_run_summary(outcomes: DataFrame, new_jobs: DataFrame) -> DataFrame:
     """processed, successful, failed, new_jobs_created."""
-    done = outcomes.agg(
-        F.count("*").alias("processed"), F.count_if(F.col("status") == "SUCCESS").alias("successful")
-    )
-    made = new_jobs.agg(F.count("*").alias("new_jobs_created"))
-    # Two one-row frames; a constant key keeps this an ordinary equi-join.
-    return done.withColumn("k", F.lit(1)).join(made.withColumn("k", F.lit(1)), "k").select(
-        "processed", "successful", (F.col("processed") - F.col("successful")).alias("failed"), "new_jobs_created"
+    rows = outcomes.select("status", F.lit(0).alias("made")).unionByName(new_jobs.select(F.lit(None).cast("string").alias("status"), F.lit(1).alias("made")))
+    done = F.count_if(F.col("made") == 0)
+    successful = F.count_if(F.col("status") == "SUCCESS")
+    return rows.agg(
+        done.alias("processed"), successful.alias("successful"), (done - successful).alias("failed"),
+        F.count_if(F.col("made") == 1).alias("new_jobs_created"),
     )
 
 
@@ -114,27 +114,41 @@ def cleanup_report(
     return reduce(DataFrame.unionByName, parts)
 
 
+def touched_days(rows: DataFrame, gone: Column, instant: str) -> DataFrame:
+    """The days that lose rows: what a write-back must replace."""
+    return rows.filter(gone).select(F.to_date(instant).alias("day")).distinct()
+
+
 def run_cleanup(tables: dict[str, DataFrame], as_of: datetime | str, sinks: dict) -> dict:
     """Run each cleanup part on its own: one failing part is reported, the others still run.
 
-    ``sinks`` maps "article_contents" / "crawl_jobs" to a function that stores the
-    kept rows. The returned values are the parts' one-row reports or error texts.
+    ``sinks`` maps "article_contents" / "crawl_jobs" to a function (kept rows of the days
+    that lose some, those days) that stores them and returns the table as it is then. Each
+    part counts before it deletes; the statistics are of the tables afterwards.
     """
+    after = dict(tables)
+
+    def part(name: str, report: DataFrame, gone: Column, instant: str):
+        def run() -> dict:
+            rows = tables[name]
+            counted = report.first().asDict()
+            days = materialize(touched_days(rows, gone, instant))
+            kept = rows.filter(~gone).join(days, F.to_date(instant) == F.col("day"), "left_semi")
+            after[name] = sinks[name](kept, days)
+            return counted
+
+        return run
+
+    contents, jobs = tables["article_contents"], tables["crawl_jobs"]
     parts = {
-        "content_cleanup": lambda: (
-            sinks["article_contents"](content.ttl_cleanup(tables["article_contents"], as_of)),
-            content.content_cleanup_report(tables["article_contents"], as_of).first().asDict(),
-        )[1],
-        "crawl_job_cleanup": lambda: (
-            sinks["crawl_jobs"](retention.crawl_job_retention(tables["crawl_jobs"], as_of)),
-            retention.crawl_job_report(tables["crawl_jobs"], as_of).first().asDict(),
-        )[1],
-        "database_stats": lambda: {r.statistic: r.value for r in database_stats(tables).collect()},
+        "content_cleanup": part("article_contents", content.content_cleanup_report(contents, as_of), content.is_expired(as_of), "expires_at"),
+        "crawl_job_cleanup": part("crawl_jobs", retention.crawl_job_report(jobs, as_of), retention.is_old_job(as_of), "created_at"),
+        "database_stats": lambda: {r.statistic: r.value for r in database_stats(after).collect()},
     }
     report: dict = {}
-    for name, part in parts.items():
+    for name, run in parts.items():
         try:
-            report[name] = part()
+            report[name] = run()
         except Exception as error:
             report[f"{name}_error"] = str(error)
     return report

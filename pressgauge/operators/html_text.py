@@ -7,6 +7,7 @@ texts of the elements that may turn out to be the article.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.entities import html5
 from html.parser import HTMLParser
@@ -14,8 +15,6 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from pressgauge.operators.sizes import spread
-
 # --- fixed values -------------------------------------------------------------
 
 DROPPED = {"script", "style", "nav", "header", "footer", "aside"}
@@ -41,6 +40,7 @@ class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=False)
         self.stack: list[tuple[str, list]] = []  # open tags with the collectors they started
+        self.open: Counter[str] = Counter()  # how many of each name are open
         self.found: dict[int, list[str]] = {}
         self.active: list[list[str]] = []
         self.pending: list[str] = []
@@ -92,14 +92,16 @@ class _Reader(HTMLParser):
                     started.append(self.found[place])
         self.active.extend(started)
         self.stack.append((tag, started))
+        self.open[tag] += 1
 
     def _close(self, tag: str) -> None:
         """Close up to the innermost open tag of that name; a stray end tag is ignored."""
         self._flush()
-        if not any(name == tag for name, _ in self.stack):
+        if not self.open[tag]:
             return
         while self.stack:
             name, started = self.stack.pop()
+            self.open[name] -= 1
             self.skipped -= name in DROPPED
             self.muted -= name in UNREAD
             if started:
@@ -142,16 +144,21 @@ class _Reader(HTMLParser):
             self._flush()
 
 
+def read_page(html: str | None) -> tuple[str | None, str | None]:
+    """Main text and the reader's error, one of them at most."""
+    try:
+        return main_text(html), None
+    except Exception as error:  # reported with the page: one bad page must not stop a job
+        return None, f"{type(error).__name__}: {error}"
+
+
 def main_text(html: str | None) -> str | None:
     if html is None:
         return None
     reader = _Reader()
-    try:
-        reader.feed(html)
-        reader.close()
-        reader._flush()
-    except Exception:  # a page the tokenizer gives up on has no text
-        return None
+    reader.feed(html)
+    reader.close()
+    reader._flush()
     text: str | None = None
     for place in range(len(PLACES)):
         if place in reader.found:
@@ -166,14 +173,14 @@ def main_text(html: str | None) -> str | None:
 
 
 def extract_text(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, html) to (key, text). Whole pages in, whole texts out; NULL when nothing was found.
+    """(key, html) to (key, text, error). Whole pages in, whole texts out; NULL when nothing was found.
 
-    Input stays in its scan partitions; ``spark.sql.execution.arrow.maxRecordsPerBatch``
-    bounds how many pages a batch holds.
+    Input stays in its partitions; ``spark.sql.execution.arrow.maxRecordsPerBatch`` bounds how many pages a batch holds.
     """
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({key: batch[key], "text": [main_text(h) for h in batch["html"]]})
+            read = [read_page(h) for h in batch["html"]]
+            yield pd.DataFrame({key: batch[key], "text": [t for t, _ in read], "error": [e for _, e in read]})
 
     kind = pages.schema[key].dataType.simpleString()
-    return spread(pages.select(key, "html")).mapInPandas(each, f"{key} {kind}, text string")
+    return pages.select(key, "html").mapInPandas(each, f"{key} {kind}, text string, error string")

@@ -6,10 +6,11 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
-from pressgauge.functions.text import at
+from pressgauge.functions.text import at, digest_number
 from pressgauge.operators.normalize import clean_feed, enrich, first_per_source
 from pressgauge.operators.sentiment import lexicon_scores
 from pressgauge.schemas import ARTICLES
+from pressgauge.session import materialize
 
 
 def first_new_urls(clean: DataFrame, stored: DataFrame) -> DataFrame:
@@ -29,10 +30,10 @@ def undated(clean: DataFrame) -> DataFrame:
 
 
 def new_sources(names: DataFrame, sources: DataFrame, as_of: datetime | str) -> DataFrame:
-    """One row per source name not stored yet. The id is a hash of the unique name."""
+    """One row per source name not stored yet. The id is a digest of the unique name."""
     fresh = names.select(F.col("source_name").alias("name")).distinct().join(sources.select("name"), "name", "left_anti")
     return fresh.select(
-        F.xxhash64("name").alias("id"), "name", at(as_of).alias("created_at"), at(as_of).alias("updated_at")
+        digest_number(F.col("name")).alias("id"), "name", at(as_of).alias("created_at"), at(as_of).alias("updated_at")
     )
 
 
@@ -49,13 +50,22 @@ def rejected_sources(requested: DataFrame, sources: DataFrame) -> DataFrame:
 def ingest_new_articles(
     raw: DataFrame, stored: DataFrame, lexicon: DataFrame, score=lexicon_scores
 ) -> DataFrame:
-    """The rows to append, still with source_name; ``ingest_seq`` doubles as article id.
+    """The rows to append, still with source_name; the id is a digest of the unique url.
 
-    The arrival number is unique and stored with the feed, so ids repeat exactly
-    when a lost task is run again.
+    So it repeats exactly when a lost task is run again, and never meets a stored one by a restarted numbering.
     """
     clean = clean_feed(raw)
-    return enrich(clean, first_new_urls(clean, stored), lexicon, score).withColumnRenamed("ingest_seq", "id")
+    rows = enrich(clean, first_new_urls(clean, stored), lexicon, score)
+    return rows.select(digest_number(F.col("url")).alias("id"), *[c for c in rows.columns if c != "ingest_seq"])
+
+
+def ingest(
+    raw: DataFrame, articles: DataFrame, sources: DataFrame, lexicon: DataFrame, as_of: datetime | str, score=lexicon_scores
+) -> tuple[DataFrame, DataFrame]:
+    """The article rows to append, with source_id and all stored columns, and the source table after the run."""
+    new = materialize(ingest_new_articles(raw, articles, lexicon, score))
+    after = upsert_sources(new.select("source_name"), sources, as_of)
+    return with_source_id(new, after), after
 
 
 def with_source_id(articles: DataFrame, sources: DataFrame) -> DataFrame:
@@ -65,9 +75,9 @@ def with_source_id(articles: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def create_crawl_jobs(articles: DataFrame, jobs: DataFrame, as_of: datetime | str, limit: int | None = None) -> DataFrame:
-    """A PENDING job for each article that has none; the job takes the article's id."""
+    """A PENDING job for each article that has none; its id is a digest of article and instant, unlike any stored one."""
     return articles_without_jobs(articles, jobs, limit).select(
-        F.col("id"), F.col("id").alias("article_id"), F.lit("PENDING").alias("status"),
+        digest_number(F.col("id"), at(as_of)).alias("id"), F.col("id").alias("article_id"), F.lit("PENDING").alias("status"),
         F.lit(None).cast("boolean").alias("robots_allowed"), F.lit(None).cast("int").alias("http_status"),
         F.lit(None).cast("timestamp_ntz").alias("fetched_at"), F.lit(None).cast("long").alias("bytes_downloaded"),
         F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("string").alias("error_message"),

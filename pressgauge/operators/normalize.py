@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pressgauge.functions.text import canonical_url, parse_iso, strip
 from pressgauge.operators.sentiment import lexicon_scores
+from pressgauge.session import materialize
 
 
 def clean_feed(raw: DataFrame) -> DataFrame:
@@ -45,13 +46,14 @@ def scoring_text():
 
 
 def enrich(clean: DataFrame, chosen: DataFrame, lexicon: DataFrame, score=lexicon_scores) -> DataFrame:
-    """The chosen rows (``ingest_seq``) with label and score of "title description"."""
-    scores = score(clean.select("ingest_seq", scoring_text().alias("text")), "ingest_seq", "text", lexicon)
-    picked = chosen.select("ingest_seq").join(
-        scores.select("ingest_seq", F.col("label").alias("sentiment_label"), F.col("score").alias("sentiment_score")),
-        "ingest_seq",
-    )
-    return clean.join(picked, "ingest_seq")
+    """The chosen rows (``ingest_seq``) with label and score of "title description".
+
+    Only chosen rows are scored. They are written once, so the feed is not read again for their texts.
+    """
+    picked = materialize(clean.join(chosen.select("ingest_seq"), "ingest_seq", "left_semi"))
+    scores = score(picked.select("ingest_seq", scoring_text().alias("text")), "ingest_seq", "text", lexicon)
+    labels = scores.select("ingest_seq", F.col("label").alias("sentiment_label"), F.col("score").alias("sentiment_score"))
+    return picked.join(labels, "ingest_seq")
 
 
 def normalize_articles(raw: DataFrame, lexicon: DataFrame, score=lexicon_scores) -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pressgauge.operators.sizes import broadcast_if_small
+from pressgauge.functions.text import digest_number
 
 
 def with_source(articles: DataFrame, sources: DataFrame) -> DataFrame:
-    """Articles with the nested source {id, name}; the dimension is broadcast after a size check."""
+    """Articles with the nested source {id, name}; Spark broadcasts the dimension while it is small by bytes."""
     dim = sources.select(F.col("id").alias("source_id"), F.col("name").alias("_name"))
-    joined = articles.join(broadcast_if_small(dim), "source_id", "left")
+    joined = articles.join(dim, "source_id", "left")
     return joined.withColumn("source", F.struct(F.col("source_id").alias("id"), F.col("_name").alias("name"))).drop("_name")
 
 
@@ -61,16 +61,16 @@ def sources_with_articles(
     """Sources with their article ids as sorted lists of bounded length.
 
     A source may own most of the articles, so its list comes in parts: ids are
-    spread over ceil(n / per_row) parts by the remainder of the ``unique`` column, n
-    counted beforehand on (source, count) rows. A source without articles has one
+    spread over ceil(n / per_row) parts by a digest of the ``unique`` column (ids may be
+    regular), n counted beforehand on (source, count) rows. A source without articles has one
     empty part.
     """
     counts = articles.groupBy("source_id").agg(F.count("*").alias("n_articles"))
     dim = sources.select(F.col("id").alias("source_id"), "name").join(counts, "source_id", "left")
     dim = dim.withColumn("n_articles", F.coalesce("n_articles", F.lit(0)))
     dim = dim.withColumn("parts", F.greatest(F.ceil(F.col("n_articles") / per_row), F.lit(1)).cast("long"))
-    keyed = articles.select("source_id", "id", F.col(unique).alias("_unique")).join(broadcast_if_small(dim.select("source_id", "parts")), "source_id")
-    lists = keyed.groupBy("source_id", F.pmod("_unique", "parts").alias("part")).agg(
+    keyed = articles.select("source_id", "id", F.col(unique).alias("_unique")).join(dim.select("source_id", "parts"), "source_id")
+    lists = keyed.groupBy("source_id", F.pmod(digest_number(F.col("_unique")), F.col("parts")).alias("part")).agg(
         F.sort_array(F.collect_list("id")).alias("article_ids")
     )
     return dim.drop("parts").join(lists, "source_id", "left").select(

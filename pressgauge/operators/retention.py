@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pressgauge import settings
 from pressgauge.functions.text import at, days
+from pressgauge.session import materialize
 
 
 def is_old_job(as_of: datetime | str, days_old: int = settings.JOB_RETENTION_DAYS) -> Column:
@@ -52,6 +53,7 @@ def cascade_delete(
         doomed = keys if doomed is None else doomed.unionByName(keys).distinct()
     if doomed is None:
         return out
+    doomed = materialize(doomed)  # five tables read it
     out["articles"] = tables["articles"].join(doomed, "id", "left_anti")
     child_keys = doomed.select(F.col("id").alias("article_id"))
     for name in CHILDREN:

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pressgauge import settings
 from pressgauge.functions.text import at, hours, percent_decode, percent_encode, strip, url_domain
-from pressgauge.operators.sizes import broadcast_if_small
 
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 RULE_FIELDS = ["allow", "disallow", "crawl-delay", "request-rate"]
@@ -125,14 +124,14 @@ def robots_check(
     """urls plus domain, allowed, reason, crawl_delay. ``snapshots`` has one file per domain.
 
     The rules travel as one array per domain and are tested inside the url's row:
-    no (url, rule) pairs are produced. Domains are broadcast when few; otherwise
+    no (url, rule) pairs are produced. Spark broadcasts the domains while they are small by bytes; otherwise
     the shuffle join has one right row per domain, so AQE can split a hot domain.
     ``on_missing`` says what a file answered with 404 means.
     """
     files = snapshots.select("domain", F.col("http_status").alias("_status"))
     policies = files.join(robots_policies(robots_rules(snapshots, user_agent)), "domain", "left")
     rows = urls.withColumn("domain", url_domain(F.col("url"))).withColumn("_target", _target(F.col("url")))
-    rows = rows.join(broadcast_if_small(policies), "domain", "left")
+    rows = rows.join(policies, "domain", "left")
     first = F.get(F.filter("rules", lambda r: F.col("_target").startswith(r["path"])), 0)
     verdict = (
         F.when(F.col("_status") == 200, F.coalesce(first["allow"], F.lit(True)))
@@ -141,8 +140,8 @@ def robots_check(
     )
     rows = rows.withColumn("allowed", verdict)
     reason = (
-        F.when(~F.coalesce(F.col("_status").isin(200, 404), F.lit(False)), "No robots.txt or fetch failed (permissive default)")
-        .when(F.col("allowed"), "Allowed by robots.txt")
-        .otherwise(f"Disallowed by robots.txt for user-agent '{user_agent}'")
+        F.when(~F.coalesce(F.col("_status").isin(200, 404), F.lit(False)), settings.MESSAGES["permissive"])
+        .when(F.col("allowed"), settings.MESSAGES["allowed"])
+        .otherwise(settings.MESSAGES["denied"].format(agent=user_agent))
     )
     return rows.withColumn("reason", reason).drop("_target", "_status", "rules")

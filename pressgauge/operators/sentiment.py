@@ -13,8 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pressgauge import settings
+from pressgauge.session import materialize
 from pressgauge.functions.text import WHITESPACE_RUN, is_upper, label_for, strip
-from pressgauge.operators.sizes import broadcast_if_small, spread
 
 # --- fixed values of the method -------------------------------------------------
 
@@ -103,12 +103,25 @@ def _emphasis(text: Column) -> Column:
     )
 
 
+MAX_BROADCAST_BYTES = 64 << 20
+
+
+def _lookup_side(words: DataFrame) -> DataFrame:
+    """The word table, stored once, broadcast if it is known to be small in bytes and merged by sorting otherwise.
+
+    Left alone, Spark may broadcast the other side: it does not see how many tokens a small file of texts holds.
+    """
+    words = materialize(words)
+    size = words.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0
+    return F.broadcast(words) if size <= MAX_BROADCAST_BYTES else words.hint("merge")
+
+
 def _words(lexicon: DataFrame) -> DataFrame:
     """The lexicon keyed by lowercase word, plus the end marker."""
     end = lexicon.sparkSession.createDataFrame([(END, 0.0)], "word string, valence double")
     words = lexicon.select(F.lower("word").alias("word"), F.col("valence").cast("double").alias("valence"))
     words = words.filter(F.col("word") != END).unionByName(end)
-    return broadcast_if_small(words.groupBy("word").agg(F.max("valence").alias("valence")))
+    return _lookup_side(words.groupBy("word").agg(F.max("valence").alias("valence")))
 
 
 def _dictionary(lexicon: DataFrame) -> DataFrame:
@@ -125,7 +138,7 @@ def _dictionary(lexicon: DataFrame) -> DataFrame:
     entries = words.unionByName(lexicon.sparkSession.createDataFrame(modifiers, schema)).groupBy("word").agg(
         F.max("valence").alias("valence"), F.max("strength").alias("strength"), F.bool_or("negates").alias("negates")
     )
-    return broadcast_if_small(entries)
+    return _lookup_side(entries)
 
 
 def _tokens(text: Column) -> Column:
@@ -147,7 +160,7 @@ def _hits(df: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
     ever copies them. Nothing is shuffled here.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    docs = spread(df.select(key, text)).select(
+    docs = df.select(key, text).select(
         F.col(key), _tokens(F.col(text)).alias("_tokens"), _emphasis(body).alias("_emphasis")
     )
     docs = docs.withColumn("_low", F.transform("_tokens", F.lower))
@@ -277,7 +290,7 @@ def lexicon_scores(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> Da
 
 def lexicon_scores_plain(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """The valence sum alone, without the modifier rules."""
-    tokens = spread(df.select(key, text)).select(key, F.explode_outer(F.transform(_tokens(F.col(text)), F.lower)).alias("_key"))
+    tokens = df.select(key, F.explode_outer(F.transform(_tokens(F.col(text)), F.lower)).alias("_key"))
     sums = tokens.join(_words(lexicon), F.col("_key") == F.col("word")).groupBy(key).agg(
         F.sum("valence").alias("total"), (F.count("*") - 1).alias("hits")
     )
@@ -306,6 +319,10 @@ def label_by_provider(scores: DataFrame, provider_table: DataFrame) -> DataFrame
     return rows.join(bounds, "_name").withColumn("label", label).drop("_name")
 
 
+def is_blank(text: Column) -> Column:
+    return F.coalesce(strip(text) == "", F.lit(True))
+
+
 def model_text(text: Column, max_bytes: int = settings.MODEL_MAX_TEXT_BYTES) -> Column:
     """What an external model is sent: at most max_bytes/4 characters of an oversized text."""
     return F.when(F.octet_length(text) > max_bytes, F.substring(text, 1, max_bytes // 4)).otherwise(text)
@@ -320,19 +337,20 @@ def sentiment_with_fallback(
 ) -> DataFrame:
     """Provider choice over score tables.
 
-    ``lexicon_scored`` has key, text, score, label for every text; ``model_scores``
+    ``lexicon_scored`` has key, blank, score, label for every text (blank: nothing but white
+    space, told where the text is scanned, so that no text is joined); ``model_scores``
     has key, score, magnitude for the texts the model answered. A text the model
     did not answer gets the lexicon's result (or neutral 0 without fallback).
     Blank texts are neutral 0 without magnitude.
     """
     wants_model = provider.upper() == settings.MODEL_PROVIDER
     _, positive, negative, _ = settings.PROVIDERS[1]
-    blank = F.coalesce(strip(F.col("text")) == "", F.lit(True))
+    blank = F.coalesce(F.col("blank"), F.lit(True))
     if not wants_model:
         return lexicon_scored.select(
-            key, F.when(F.col("text") == "", 0.0).otherwise(F.col("score")).alias("score"),
+            key, F.when(blank, 0.0).otherwise(F.col("score")).alias("score"),
             F.lit(None).cast("double").alias("magnitude"),
-            F.when(F.col("text") == "", "neutral").otherwise(F.col("label")).alias("label"),
+            F.when(blank, "neutral").otherwise(F.col("label")).alias("label"),
             F.lit(settings.LEXICON_PROVIDER).alias("provider_used"),
         )
     answers = model_scores.select(

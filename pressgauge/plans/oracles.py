@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 from pressgauge import settings
-from pressgauge.plans import sql as Q
+from pressgauge.plans import sql as Q, views as V
 from pressgauge.plans.sql import AS_OF, query
 
 EVENTS = (
     "event_id, article_id, article_url, article_title, source_name, published_at, ingested_at, sentiment_provider, "
-    "sentiment_model, sentiment_score, sentiment_magnitude, sentiment_label, language, content_length, extraction_method"
+    "sentiment_model, sentiment_score, sentiment_magnitude, sentiment_label, CAST(NULL AS DOUBLE) AS confidence, language, "
+    "CAST(NULL AS VARCHAR) AS country, CAST(NULL AS VARCHAR) AS category, content_length, CAST(NULL AS BIGINT) AS processing_time_ms, "
+    "extraction_method"
 )
+
+
+def number(text: str) -> str:
+    """A 60-bit number from a digest."""
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
+
+
 CLEAN = "ingest_seq, source_name, title, description, url, image_url, published_at, language, country, category"
 FEED = "title, description, url, image, image_url, published_at, source, language, country, category"
 OLD = f"status IN ({Q.words(settings.TERMINAL_STATUSES)}) AND created_at < {AS_OF} - INTERVAL 7 DAYS"
@@ -35,10 +44,15 @@ FIRSTS = """
     SELECT c.domain, c.t, min(r.id) AS id FROM chain c JOIN requests r ON r.domain = c.domain AND r.t = c.t AND r.moves
     GROUP BY c.domain, c.t"""
 
+JOB_ID = number("{} || '|" + V.AS_OF + "'")
 CRAWL = {
+    "jobs": f"""
+        SELECT id, article_id FROM crawl_jobs WHERE status = 'PENDING'
+        UNION ALL SELECT {JOB_ID.format('page_id')}, page_id FROM pages WHERE page_id NOT IN (SELECT article_id FROM crawl_jobs)""",
+    "tries": "SELECT jobs.id, v.* FROM jobs JOIN verdicts v ON v.page_id = jobs.article_id",
     "requests": """
-        SELECT page_id AS id, domain, t, CAST(coalesce(crawl_delay, 1.0) * 1000000 AS BIGINT) AS d,
-            response_status IS NOT NULL AS moves FROM verdicts WHERE allowed""",
+        SELECT id, domain, t, CAST(coalesce(crawl_delay, 1.0) * 1000000 AS BIGINT) AS d,
+            response_status IS NOT NULL AS moves FROM tries WHERE allowed""",
     "chain": CHAIN, "firsts": FIRSTS, "gate": POLITE,
 }
 
@@ -65,7 +79,8 @@ ORACLES = {
         SELECT a.article_id || '_' || provider || '_' || CAST(epoch(analyzed_at) AS BIGINT) AS event_id, article_id, url AS article_url,
             title AS article_title, source_name, published_at, analyzed_at AS ingested_at, provider AS sentiment_provider,
             model_name AS sentiment_model, score AS sentiment_score, magnitude AS sentiment_magnitude, label AS sentiment_label,
-            r.language, 'web_crawl' AS extraction_method, country, category
+            r.language, 'web_crawl' AS extraction_method, country, category, CAST(NULL AS DOUBLE) AS confidence,
+            CAST(NULL AS BIGINT) AS content_length, CAST(NULL AS BIGINT) AS processing_time_ms
         FROM analyses a JOIN articles r ON r.id = a.article_id""", "analyses", "articles"),
     "sentiment_events_sink": query(f"SELECT {EVENTS}, strftime(ingested_at, '%Y-%m-%d') AS ingested_date FROM sentiment_events", "sentiment_events"),
     "source_catalog": query("""
@@ -80,7 +95,7 @@ ORACLES = {
         f"SELECT {CLEAN}, s.label AS sentiment_label, s.score AS sentiment_score FROM per_source JOIN scores s ON s.key = ingest_seq",
         "per_source", "lexicon", **Q.scores("SELECT ingest_seq AS key, title || ' ' || description AS text FROM clean")),
     "ingest_new_articles": query(
-        f"SELECT {CLEAN.replace('ingest_seq', 'ingest_seq AS id', 1)}, s.label AS sentiment_label, s.score AS sentiment_score FROM fresh JOIN scores s ON s.key = ingest_seq",
+        f"SELECT {CLEAN.replace('ingest_seq', number('url') + ' AS id', 1)}, s.label AS sentiment_label, s.score AS sentiment_score FROM fresh JOIN scores s ON s.key = ingest_seq",
         "fresh", "lexicon", **Q.scores("SELECT ingest_seq AS key, title || ' ' || description AS text FROM clean")),
     "quarantined_dates": query("SELECT ingest_seq, source_name, url FROM per_source WHERE published_at IS NULL", "per_source"),
     "upsert_sources": query("""
@@ -104,9 +119,9 @@ ORACLES = {
         FROM (SELECT * FROM articles ORDER BY published_at DESC, id LIMIT 40) t LEFT JOIN analyses a ON a.article_id = t.id""", "articles", "analyses"),
     "pending_jobs": query("SELECT id, article_id, status, created_at FROM crawl_jobs WHERE status = 'PENDING' ORDER BY created_at, id LIMIT 10", "crawl_jobs"),
     "user_bookmarks": query("SELECT b.id, user_id, article_id, title, url FROM bookmarks b JOIN articles a ON a.id = b.article_id WHERE user_id = 7", "bookmarks", "articles"),
-    "sources_with_articles": query("""
+    "sources_with_articles": query(f"""
         SELECT source_id, name, n_articles, part, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS article_ids
-        FROM (SELECT *, id % greatest(CAST(ceil(n_articles / 50.0) AS BIGINT), 1) AS part
+        FROM (SELECT *, {number('CAST(id AS VARCHAR)')} % greatest(CAST(ceil(n_articles / 50.0) AS BIGINT), 1) AS part
             FROM (SELECT source_id, source_name AS name, id, count(*) OVER (PARTITION BY source_id) AS n_articles FROM articles))
         GROUP BY source_id, name, n_articles, part""", "articles"),
     "users_with_bookmarks": query("""
@@ -201,7 +216,7 @@ ORACLES = {
             'https://' || lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)) || '/robots.txt' AS robots_url FROM pages""",
     "articles_without_jobs": query("SELECT id, url FROM articles WHERE id NOT IN (SELECT article_id FROM crawl_jobs) ORDER BY id LIMIT 20", "articles", "crawl_jobs"),
     "create_crawl_jobs": query(f"""
-        SELECT id, id AS article_id, 'PENDING' AS status, {AS_OF} AS created_at, {AS_OF} AS updated_at
+        SELECT {JOB_ID.format('id')} AS id, id AS article_id, 'PENDING' AS status, {AS_OF} AS created_at, {AS_OF} AS updated_at
         FROM articles WHERE id NOT IN (SELECT article_id FROM crawl_jobs)""", "articles", "crawl_jobs"),
     "robots_snapshot": query(f"""
         SELECT domain, CASE n % 4 WHEN 0 THEN 404 ELSE 200 END AS http_status,
@@ -222,7 +237,7 @@ ORACLES = {
             event_type <> 'error' AS moves FROM events""",
         chain=CHAIN, firsts=FIRSTS, gate=POLITE),
     "crawl_outcomes": query(f"""
-        SELECT v.page_id AS id, v.page_id AS article_id,
+        SELECT v.id, v.page_id AS article_id,
             CASE WHEN NOT allowed THEN 'FORBIDDEN_BY_ROBOTS' WHEN NOT polite THEN 'RATE_LIMITED' WHEN response_status = 200 THEN 'SUCCESS' ELSE 'FAILED' END AS status,
             allowed AS robots_allowed,
             CASE WHEN allowed AND polite AND response_status = 200 THEN 200 END AS http_status,
@@ -231,14 +246,32 @@ ORACLES = {
             CASE WHEN allowed AND polite AND response_status IS DISTINCT FROM 200 THEN 'NETWORK_ERROR' END AS error_code,
             CASE WHEN NOT allowed THEN 'Disallowed by robots.txt for user-agent ''{UA}''' WHEN NOT polite THEN 'Rate limited - respecting crawl delay'
                 WHEN response_status IS NULL THEN 'Network error: connection reset' WHEN response_status <> 200 THEN 'Network error: HTTP status ' || response_status END AS error_message
-        FROM verdicts v LEFT JOIN gate g ON g.id = v.page_id""", "verdicts", recursive=True, **CRAWL),
+        FROM tries v LEFT JOIN gate g ON g.id = v.id""", "verdicts", "crawl_jobs", recursive=True, **CRAWL),
     "crawl_run_summary": query("""
         SELECT count(*) AS processed, count(*) FILTER (allowed AND polite AND response_status = 200) AS successful,
-            count(*) - count(*) FILTER (allowed AND polite AND response_status = 200) AS failed, count(*) AS new_jobs_created
-        FROM verdicts v LEFT JOIN gate g ON g.id = v.page_id""", "verdicts", recursive=True, **CRAWL),
+            count(*) - count(*) FILTER (allowed AND polite AND response_status = 200) AS failed,
+            (SELECT count(*) FROM pages WHERE page_id NOT IN (SELECT article_id FROM crawl_jobs)) AS new_jobs_created
+        FROM tries v LEFT JOIN gate g ON g.id = v.id""", "verdicts", "crawl_jobs", recursive=True, **CRAWL),
 }
 
-ORACLES["stream_ingest_articles"] = query(f"SELECT {CLEAN.replace('ingest_seq', 'ingest_seq AS id', 1)} FROM fresh", "fresh")
+ORACLES["stream_ingest_articles"] = query(
+    f"SELECT {CLEAN.replace('ingest_seq, ', '', 1)}, s.label AS sentiment_label, s.score AS sentiment_score FROM fresh JOIN scores s ON s.key = ingest_seq",
+    "fresh", "lexicon", **Q.scores("SELECT ingest_seq AS key, title || ' ' || description AS text FROM clean"))
+ORACLES["ingest_articles"] = query(
+    f"""SELECT {number('url')} AS id, coalesce(o.id, {number('source_name')}) AS source_id, title, description, url, image_url, published_at,
+        language, country, category, s.label AS sentiment_label, s.score AS sentiment_score
+    FROM fresh JOIN scores s ON s.key = ingest_seq LEFT JOIN sources o ON o.name = source_name""",
+    "fresh", "lexicon", "sources", **Q.scores("SELECT ingest_seq AS key, title || ' ' || description AS text FROM clean"))
+ORACLES["provider_info"] = query("""
+    SELECT p.*, count(a.id) AS n_analyses FROM (VALUES """ + ", ".join(
+    f"({Q.text(n)}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), {Q.text(m)}, {str(settings.FALLBACK_ENABLED).lower()}, {Q.text(','.join(settings.SUPPORTED_LANGUAGES))})"
+    for n, a, b, m in settings.PROVIDERS
+) + """) p(provider, positive_threshold, negative_threshold, model_name, fallback_enabled, supported_languages)
+    LEFT JOIN analyses a ON a.provider = p.provider GROUP BY ALL""", "analyses")
+ORACLES["retention_write_back"] = query(f"""
+    SELECT 'article_contents' AS table_name, article_id AS id FROM article_contents WHERE expires_at > {AS_OF}
+    UNION ALL SELECT 'crawl_jobs', id FROM crawl_jobs WHERE NOT ({OLD})""", "article_contents", "crawl_jobs")
+ORACLES["politeness_gate_short"] = ORACLES["politeness_gate"].replace("3600000000 *", "1000000 *")
 ORACLES["stream_url_dedup"] = query("SELECT DISTINCT url, source_name FROM clean", "clean")
 ORACLES["stream_sentiment_trends"] = query(TREND.format(where="true"), "sentiment_events")
 ORACLES["stream_events_sink"] = ORACLES["sentiment_events_sink"]

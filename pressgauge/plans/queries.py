@@ -53,7 +53,7 @@ def multi_source_union(spark, sf_dir):
         raw.filter("language = 'en'"),
         raw.filter("language = 'de'").drop("image"),
         raw.filter("language = 'fr'").drop("category", "image_url"),
-        raw.filter("language NOT IN ('en', 'de', 'fr')"),
+        raw.filter("language IS NULL OR language NOT IN ('en', 'de', 'fr')"),
     ]
     return feeds.union_feeds(batches)
 
@@ -89,14 +89,14 @@ def page_scan(spark, sf_dir):
 EVENT_COLUMNS = [
     "event_id", "article_id", "article_url", "article_title", "source_name", "published_at", "ingested_at",
     "sentiment_provider", "sentiment_model", "sentiment_score", "sentiment_magnitude", "sentiment_label",
-    "language", "content_length", "extraction_method",
+    "confidence", "language", "country", "category", "content_length", "processing_time_ms", "extraction_method",
 ]
 
 
 @query
 def sentiment_events_build(spark, sf_dir):
     built = event_log.build_events(V.analyses(spark, sf_dir), V.articles(spark, sf_dir))
-    return built.select(*EVENT_COLUMNS, "country", "category").drop("content_length")
+    return built.select(*EVENT_COLUMNS)
 
 
 @query
@@ -158,6 +158,17 @@ def ingest_new_articles(spark, sf_dir):
     return ingest.ingest_new_articles(_raw(spark, sf_dir), V.stored_urls(spark, sf_dir), V.lexicon(spark, sf_dir))
 
 
+@query
+def ingest_articles(spark, sf_dir):
+    """The whole insert: sources resolved or created, articles appended and read back with all their columns."""
+    path = work_path(spark, "articles")
+    new, _ = ingest.ingest(
+        _raw(spark, sf_dir), V.stored_urls(spark, sf_dir), V.sources(spark, sf_dir), V.lexicon(spark, sf_dir), V.AS_OF
+    )
+    tables.append(new, "articles", path)
+    return spark.read.parquet(path).drop("published_date")
+
+
 @query
 def quarantined_dates(spark, sf_dir):
     return ingest.undated(normalize.clean_feed(_raw(spark, sf_dir))).select("ingest_seq", "source_name", "url")
@@ -305,6 +316,35 @@ def crawl_job_retention(spark, sf_dir):
     return retention.crawl_job_retention(V.crawl_jobs(spark, sf_dir), V.AS_OF).select("id", "status", "created_at")
 
 
+@query
+def retention_write_back(spark, sf_dir):
+    """Both tables stored by days, cleaned up in place and read back: what is left of each."""
+    stored, paths = {}, {}
+    for name, rows in (("article_contents", _contents(spark, sf_dir)), ("crawl_jobs", V.crawl_jobs(spark, sf_dir))):
+        paths[name] = work_path(spark, name)
+        tables.create_days(rows, name, paths[name])
+        stored[name] = tables.read_days(spark, name, paths[name], rows.schema)
+
+    def sink(name):
+        def store(kept, days):
+            schema = stored[name].drop(tables.day_column(name)).schema
+            tables.replace_days(spark, kept, days, name, paths[name])
+            return tables.read_days(spark, name, paths[name], schema)
+
+        return store
+
+    others = {n: V.stored_tables(spark, sf_dir)[n] for n in ("sources", "articles", "sentiment_analyses")}
+    report = analytics.run_cleanup({**others, **stored}, V.AS_OF, {n: sink(n) for n in paths})
+    if failed := [k for k in report if k.endswith("_error")]:
+        raise RuntimeError(str({k: report[k] for k in failed}))
+    key = {"article_contents": "article_id", "crawl_jobs": "id"}
+    left = [
+        tables.read_days(spark, n, paths[n], stored[n].drop(tables.day_column(n)).schema).select(F.lit(n).alias("table_name"), F.col(key[n]).alias("id"))
+        for n in paths
+    ]
+    return left[0].unionByName(left[1])
+
+
 @query
 def cascade_delete(spark, sf_dir):
     """Drop the sources whose name sorts below 'src12' and the labelled toxic articles; what each table keeps."""
@@ -391,6 +431,13 @@ def lexicon_sentiment_plain(spark, sf_dir):
     return _doc_scores(spark, sf_dir, sentiment.lexicon_scores_plain)
 
 
+@query
+def provider_info(spark, sf_dir):
+    """Each provider's bounds, model, fallback switch and languages, with the analyses it has made."""
+    made = V.analyses(spark, sf_dir).groupBy("provider").agg(F.count("*").alias("n_analyses"))
+    return sentiment.providers(spark).join(made, "provider", "left").withColumn("n_analyses", F.coalesce("n_analyses", F.lit(0)))
+
+
 @query
 def label_by_provider(spark, sf_dir):
     scores = V.analyses(spark, sf_dir).selectExpr("id", "lower(provider) AS provider", "score")
@@ -401,7 +448,7 @@ def label_by_provider(spark, sf_dir):
 @query
 def sentiment_with_fallback(spark, sf_dir):
     """Model scores exist for the labelled documents only."""
-    docs = V.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", sentiment.is_blank(F.col("text")).alias("blank"))
     scored = docs.join(_doc_scores(spark, sf_dir), "doc_id")
     model = V.table(spark, sf_dir, "labels").selectExpr(
         "doc_id", "CAST(quality - toxic AS DOUBLE) / 2 AS score", "CAST(quality + toxic AS DOUBLE) AS magnitude"
@@ -475,6 +522,13 @@ def politeness_gate(spark, sf_dir):
     return politeness.politeness_gate(_requests(V.table(spark, sf_dir, "events")))
 
 
+@query
+def politeness_gate_short(spark, sf_dir):
+    """Delays of one to five seconds in slices of 64: many slices and clocks."""
+    quick = _requests(V.table(spark, sf_dir, "events")).withColumn("delay", F.col("delay") / 3600)
+    return politeness.politeness_gate(quick, 64)
+
+
 @query
 def extract_text(spark, sf_dir):
     return html_text.extract_text(V.table(spark, sf_dir, "pages"))
@@ -484,7 +538,7 @@ def _run(spark, sf_dir):
     articles = V.page_articles(spark, sf_dir)
     stored = {
         "articles": articles,
-        "crawl_jobs": V.crawl_jobs(spark, sf_dir).filter("1 = 0"),
+        "crawl_jobs": V.crawl_jobs(spark, sf_dir),
         "article_contents": _contents(spark, sf_dir),
     }
     files = robots.fresh_robots(V.robots_files(spark, sf_dir), V.AS_OF)
@@ -531,9 +585,9 @@ def stream_ingest_articles(spark, sf_dir):
     out = work_path(spark, "articles")
     streams.drain(streams.ingest_stream(
         _response_log(spark, sf_dir), V.lexicon(spark, sf_dir), out, work_path(spark, "state"),
-        V.stored_urls(spark, sf_dir), sentiment.lexicon_scores_plain,
+        V.stored_urls(spark, sf_dir),
     ))
-    return spark.read.parquet(out).drop("batch", "sentiment_label", "sentiment_score")
+    return spark.read.parquet(out).drop("batch", "id")
 
 
 @query
@@ -567,5 +621,5 @@ def stream_events_sink(spark, sf_dir):
 def stream_politeness_gate(spark, sf_dir):
     out = work_path(spark, "gate")
     requests = _requests(_stream(spark, sf_dir, "events"))
-    streams.drain(streams.append_stream(streams.politeness_stream(requests), out, work_path(spark, "state")))
-    return spark.read.schema("job_id long, polite boolean").parquet(out)
+    streams.drain(streams.politeness_stream(requests, out, work_path(spark, "state")))
+    return spark.read.schema("job_id long, polite boolean").parquet(f"{out}/verdicts").drop("batch")

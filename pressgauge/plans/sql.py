@@ -100,7 +100,7 @@ CTE = {
         SELECT word, valence FROM own_words UNION ALL
         SELECT word, CAST(length(word) * 7 % 9 - 4 AS DOUBLE) * 0.5 FROM (
             SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM benchmark
-        ) WHERE length(word) >= 4 AND word NOT IN (SELECT word FROM own_words)""",
+        ) WHERE word <> '' AND word NOT IN (SELECT word FROM own_words)""",
     "hosts": """
         SELECT domain, count(*) AS n, min(section) AS lo, max(section) AS hi FROM (
             SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS domain,
@@ -110,7 +110,7 @@ CTE = {
         SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS domain,
             regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1) AS path,
             page_id * 20000 AS t, {V.RESPONSE_STATUS} AS response_status, octet_length(encode(html)) AS bytes
-        FROM pages JOIN events ON event_id = page_id""",
+        FROM pages LEFT JOIN events ON event_id = page_id""",
     # The files are written by rule, so the verdict can be told from the same rule without parsing.
     # n % 4 = 1: the newest fetch failed and the older file is stale, which means permissive.
     "verdicts": """

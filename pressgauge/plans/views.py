@@ -178,10 +178,10 @@ def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Our own word list plus the longer words of the benchmark texts, valued by length."""
+    """Our own word list plus the words of the benchmark texts, valued by length."""
     own = spark.createDataFrame(list(DEFAULT_WORDS.items()), "word string, valence double")
     found = table(spark, sf_dir, "benchmark").selectExpr("explode(split(lower(text), '[^a-z]+')) AS word")
-    found = found.filter("length(word) >= 4").distinct().join(F.broadcast(own.select("word")), "word", "left_anti")
+    found = found.filter("word <> ''").distinct().join(own.select("word"), "word", "left_anti")
     return own.unionByName(found.selectExpr("word", "CAST(length(word) * 7 % 9 - 4 AS DOUBLE) * 0.5D AS valence"))
 
 
@@ -203,7 +203,7 @@ def fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The recorded request of each page: every 20 ms one, answered as the event of the same number says."""
     pages, events = table(spark, sf_dir, "pages"), table(spark, sf_dir, "events")
     answer = events.selectExpr("event_id AS page_id", f"{RESPONSE_STATUS} AS response_status")
-    return pages.join(answer, "page_id").selectExpr(
+    return pages.join(answer, "page_id", "left").selectExpr(
         "page_id", "url", "html", f"TIMESTAMP_NTZ'{AS_OF}' + make_dt_interval(0, 0, 0, CAST(page_id * 0.02 AS DECIMAL(18, 6))) AS requested_at",
         "response_status", "CASE WHEN response_status IS NULL THEN 'connection reset' END AS response_error",
     )

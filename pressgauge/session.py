@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,10 +16,12 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Whole texts go to Python: fewer of them at a time.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    # HotSpot never compiles methods above 8000 bytes; beyond it, plain operators are faster.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
+# Only for sessions built here. HotSpot never compiles methods above 8000 bytes; beyond it, plain operators are faster.
+OWN_CONF = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -26,16 +30,17 @@ def build_session(app: str = "pressgauge", master: str | None = None, **conf: st
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**RUNTIME_CONF, **OWN_CONF, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session somebody else created."""
+    """Apply the runtime settings to a session somebody else created, and send it the code."""
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
@@ -60,11 +65,24 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute once and keep in the shared folder, for narrow rows that several branches read.
+    """Compute once and keep as Parquet in the shared folder, for rows that several branches read.
 
-    A reliable checkpoint: it outlives lost executors, unlike a cache.
+    Outlives lost executors, unlike a cache; and Spark knows the real size of what it reads back.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_root(spark))
-    return df.checkpoint()
+    path = work_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors' Python workers, once for each application."""
+    context = spark.sparkContext
+    if getattr(context, "_pressgauge_shipped", False):
+        return
+    package = pathlib.Path(__file__).parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="pressgauge-")) / "pressgauge.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, pathlib.Path(package.name) / file.relative_to(package))
+    context.addPyFile(str(archive))  # Spark serves the driver's file to every executor
+    context._pressgauge_shipped = True

@@ -24,6 +24,16 @@ TERMINAL_STATUSES = ["SUCCESS", "FAILED", "FORBIDDEN_BY_ROBOTS"]
 USER_AGENT = "pressgauge/1.0"
 DEFAULT_CRAWL_DELAY = 1.0
 ROBOTS_MAX_AGE_HOURS = 24
+# Messages of the crawl.
+MESSAGES = {
+    "denied": "Disallowed by robots.txt for user-agent '{agent}'",
+    "allowed": "Allowed by robots.txt",
+    "permissive": "No robots.txt or fetch failed (permissive default)",
+    "limited": "Rate limited - respecting crawl delay",
+    "network": "Network error: ",
+    "processing": "Processing error: ",
+    "empty": "No article content could be extracted",
+}
 NEW_JOBS_PER_RUN = 20
 JOBS_PER_RUN = 5
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -54,7 +55,7 @@ def append_events(events: DataFrame, path: str) -> bool:
         tables.append(events, "sentiment_events", path)
         return True
     except Exception as error:  # the crawl's own results must survive a sink outage
-        print(f"event sink failed: {error}")
+        logging.getLogger(__name__).error("event sink failed: %s", error)
         return False
 
 

@@ -37,10 +37,13 @@ def raw_feed(responses: DataFrame) -> DataFrame:
     only order there is, and every first-wins rule downstream uses it.
     """
     body = F.from_json("payload", FEED_RESPONSE, {"mode": "PERMISSIVE"})
+    number = F.when(F.col("payload_seq").between(0, (1 << 31) - 1), F.col("payload_seq")).otherwise(
+        F.raise_error("response numbers must fit 31 bits")
+    )
     # The outer form spares the size filter Spark would add, which parses every body a second time.
     items = responses.select("payload_seq", "source_name", F.posexplode_outer(body["data"]).alias("pos", "item"))
     return items.filter("item IS NOT NULL").select(
-        F.shiftleft("payload_seq", 32).bitwiseOR(F.col("pos").cast("long")).alias("ingest_seq"),
+        F.shiftleft(number, 32).bitwiseOR(F.col("pos").cast("long")).alias("ingest_seq"),
         "source_name",
         *[F.col("item")[f.name].alias(f.name) for f in FEED_ITEM.fields],
     )
@@ -75,11 +78,13 @@ def select_feed(
     unwanted = [c[1:] for c in names if c.startswith("-")]
     published = parse_iso(F.col("published_at"))
     rows = raw.withColumn("published", published).filter(
-        F.col("language").isin(languages)
-        & F.col("category").isin(wanted)
-        & ~F.col("category").isin(unwanted)
-        & (F.to_date("published") == F.lit(day).cast("date"))
+        F.col("language").isin(languages) & (F.to_date("published") == F.lit(day).cast("date"))
     )
+    # An item without a category is in no wanted one, and in no unwanted one either.
+    if wanted:
+        rows = rows.filter(F.col("category").isin(wanted))
+    if unwanted:
+        rows = rows.filter(F.coalesce(~F.col("category").isin(unwanted), F.lit(True)))
     newest = Window.partitionBy("source_name").orderBy(F.desc("published"), "ingest_seq")
     return rows.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= limit)
 

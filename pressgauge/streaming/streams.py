@@ -6,18 +6,15 @@ overwrites its own folder (or its own key partitions) and nothing else.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 from pressgauge.operators.ingest import ingest_new_articles
 from pressgauge.operators.normalize import clean_feed
-from pressgauge.operators.politeness import effective_delay
+from pressgauge.operators.politeness import SLICE_DELAYS, effective_delay, politeness_gate
 from pressgauge.operators.sentiment import lexicon_scores
-from pressgauge.session import ROCKSDB
+from pressgauge.session import ROCKSDB, materialize
 from pressgauge.sources.feeds import raw_feed
 
 
@@ -36,7 +33,9 @@ def _stored(spark: SparkSession, path: str, but: int) -> DataFrame | None:
     """Rows of all batches except ``but`` (left over from a failed try), or None before the first one."""
     try:
         return spark.read.parquet(path).filter(F.col("batch") != but)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -128,40 +127,35 @@ def event_sink_stream(events: DataFrame, path: str, checkpoint: str) -> Streamin
     )
 
 
-GATE_OUTPUT = "job_id long, polite boolean"
-GATE_STATE = "t long"
+def politeness_stream(requests: DataFrame, path: str, checkpoint: str, slice_delays: int = SLICE_DELAYS) -> StreamingQuery:
+    """Requests to verdicts, by the batch gate over each micro-batch.
 
+    A table of clocks (the last fetch of each domain) goes from batch to batch. A request before its domain's clock and
+    delay have passed is refused and moves nothing; so the gate decides the rest from nothing. Verdicts and clocks of a
+    batch lie in folders of its number, which a replay overwrites.
+    """
 
-def _gate(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """One number per domain: the microsecond of its last fetch.
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = _stored(spark, f"{path}/clocks", batch_id)
+        clocks = spark.createDataFrame([], "domain string, clock long")
+        if before is not None:
+            newest = before.agg(F.max("batch")).first()[0]
+            clocks = before.filter(F.col("batch") == newest).select("domain", "clock") if newest is not None else clocks
+        t = F.unix_micros(F.col("requested_at").cast("timestamp"))
+        delay = (effective_delay(F.col("delay")) * 1_000_000).cast("long")
+        rows = materialize(batch.join(clocks, "domain", "left").withColumns({
+            "t": t, "early": F.coalesce(t < F.col("clock") + delay, F.lit(False)),
+        }))
+        decided = politeness_gate(rows.filter("NOT early").select("domain", "job_id", "requested_at", "delay", "fetched"), slice_delays)
+        refused = rows.filter("early").select(F.col("job_id").cast("long").alias("job_id"), F.lit(False).alias("polite"))
+        verdicts = materialize(decided.unionByName(refused))
+        moved = rows.filter("fetched").join(verdicts.filter("polite"), "job_id").groupBy("domain").agg(F.max("t").alias("clock"))
+        _write_batch(clocks.unionByName(moved).groupBy("domain").agg(F.max("clock").alias("clock")), f"{path}/clocks", batch_id)
+        _write_batch(verdicts, f"{path}/verdicts", batch_id)
 
-    No timeout: state is 8 bytes per domain, and a processing-time timeout would
-    keep an availableNow run from ever ending.
-    """
-    last = state.get[0] if state.exists else None
-    for batch in batches:
-        batch = batch.sort_values(["t", "job_id"], kind="stable")
-        verdicts = []
-        for t, d, moves in zip(batch["t"].tolist(), batch["d"].tolist(), batch["moves"].tolist()):
-            allowed = last is None or t >= last + d
-            verdicts.append(allowed)
-            if allowed and moves:
-                last = t
-        yield pd.DataFrame({"job_id": batch["job_id"].to_numpy(), "polite": verdicts})
-    if last is not None:
-        state.update((last,))
-
-
-def politeness_stream(requests: DataFrame) -> DataFrame:
-    """Requests in arrival order to verdicts; the clock of each domain lives in the state store."""
-    use_rocksdb(requests.sparkSession)
-    t = F.unix_micros(F.col("requested_at").cast("timestamp"))
-    rows = requests.select(
-        "domain", F.col("job_id").cast("long").alias("job_id"), t.alias("t"),
-        (effective_delay(F.col("delay")) * 1_000_000).cast("long").alias("d"), F.col("fetched").alias("moves"),
-    )
-    return rows.groupBy("domain").applyInPandasWithState(
-        _gate, GATE_OUTPUT, GATE_STATE, "append", "NoTimeout"
+    return (
+        requests.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 

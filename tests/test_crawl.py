@@ -6,7 +6,7 @@ from urllib.robotparser import RobotFileParser
 
 import pytest
 
-from pressgauge.operators import crawl, politeness, robots
+from pressgauge.operators import crawl, html_text, ingest, politeness, robots, sentiment
 from pressgauge.streaming import streams
 
 AGENT = "newsbot/1.0 (+https://example.org)"
@@ -107,8 +107,8 @@ def test_gate_stream_over_batches(spark, tmp_path):
     for part in range(3):
         frame(spark, requests[part * 200 : (part + 1) * 200]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(frame(spark, requests[:1]).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    streams.drain(streams.append_stream(streams.politeness_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp")))
-    got = {r.job_id: r.polite for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    streams.drain(streams.politeness_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")))
+    got = {r.job_id: r.polite for r in spark.read.parquet(str(tmp_path / "out" / "verdicts")).collect()}
     assert got == scan(requests)
 
 
@@ -134,3 +134,66 @@ def test_status_chain(spark):
     assert got[3].http_status is None and got[4].error_message == "Network error: timeout"
     assert got[5].error_message == "No article content could be extracted" and got[5].http_status == 200
     assert got[6].error_message == "Processing error: boom" and got[7].error_message is None and got[7].bytes_downloaded == 10
+
+
+def test_gate_stream_decides_a_batch_in_order(spark, tmp_path):
+    """One domain with 50,000 shuffled requests in one micro-batch equals the scan."""
+    rng = random.Random(9)
+    requests = [("d", i, round(rng.random() * 9000, 2), 1.5, rng.random() < 0.8) for i in range(50_000)]
+    rng.shuffle(requests)
+    frame(spark, requests).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame(spark, requests[:1]).schema).parquet(str(tmp_path / "in"))
+    streams.drain(streams.politeness_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), 64))
+    assert {r.job_id: r.polite for r in spark.read.parquet(str(tmp_path / "out" / "verdicts")).collect()} == scan(requests)
+
+
+def test_html_reader_is_linear_and_reports_errors(monkeypatch):
+    import time
+
+    def seconds(n):
+        page = "<body>" + "<p>one<li><b>two</b>" * n
+        start = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - start
+
+    seconds(2000)
+    assert seconds(40_000) < 8 * seconds(10_000) + 0.5
+
+    def fail(self, data):
+        raise ValueError("odd page")
+
+    monkeypatch.setattr(html_text._Reader, "feed", fail)
+    assert html_text.read_page("<p>") == (None, "ValueError: odd page")
+
+
+def test_crawl_run_on_stored_jobs_and_repeated_fetches(spark):
+    """Stored job ids equal article ids, an article has two jobs, a url was fetched twice: one outcome a job, one text an article."""
+    late = NOON + dt.timedelta(hours=1)
+    page = "<html><body><article>" + "good words " * 20 + "</article></body></html>"
+    articles = spark.createDataFrame(
+        [(i, i, f"t{i}", f"https://h{i}.org/a", NOON, None, None, "en", None, None, "s") for i in (1, 2, 3)],
+        "id long, source_id long, title string, url string, published_at timestamp_ntz, sentiment_label string, sentiment_score double, "
+        "language string, country string, category string, source_name string",
+    )
+    old = spark.createDataFrame(
+        [(1, 1, "PENDING", NOON), (3, 2, "PENDING", NOON), (7, 1, "SUCCESS", NOON)], "id long, article_id long, status string, created_at timestamp_ntz"
+    )
+    new = ingest.create_crawl_jobs(articles, old, NOON)
+    jobs = new.limit(0).unionByName(old, allowMissingColumns=True)
+    fetches = spark.createDataFrame(
+        [(f"https://h{i}.org/a", t, code, None, html) for i in (1, 2, 3) for t, code, html in ((NOON, 503, None), (late, 200, page))],
+        "url string, requested_at timestamp_ntz, response_status int, response_error string, html string",
+    )
+    files = spark.createDataFrame([], "domain string, http_status int, body string, fetched_at timestamp_ntz")
+    contents = spark.createDataFrame(
+        [], "id long, article_id long, content_text string, content_hash string, content_length int, extracted_at timestamp_ntz, expires_at timestamp_ntz"
+    )
+    model = spark.createDataFrame([(1, -0.9, 0.4)], "article_id long, score double, magnitude double")
+    tables = {"articles": articles, "crawl_jobs": jobs, "article_contents": contents}
+    run = crawl.crawl_run(tables, fetches, files, sentiment.default_lexicon(spark), late, None, None, provider="GCP_NL", model_scores=model)
+    outcomes = run["outcomes"].collect()
+    assert len(outcomes) == len({r.id for r in outcomes}) == 3 and {r.status for r in outcomes} == {"SUCCESS"}
+    assert {r.article_id for r in run["contents"].collect()} == {1, 2, 3} and run["contents"].count() == 3
+    made = {r.article_id: (r.provider, r.magnitude, r.label, r.model_name) for r in run["analyses"].collect()}
+    assert made[1] == ("GCP_NL", 0.4, "negative", "gcp_nl_v1") and made[2] == ("VADER", None, "positive", "vader_lexicon")
+    assert run["events"].count() == 3

@@ -111,7 +111,7 @@ def test_label_edges(spark):
 
 def test_fallback(spark):
     scored = spark.createDataFrame(
-        [(1, "a", 0.5, "positive"), (2, "b", -0.5, "negative"), (3, " ", 0.0, "neutral")], "k int, text string, score double, label string"
+        [(1, False, 0.5, "positive"), (2, False, -0.5, "negative"), (3, True, 0.0, "neutral")], "k int, blank boolean, score double, label string"
     )
     model_scores = spark.createDataFrame([(1, -0.3, 0.9)], "k int, score double, magnitude double")
 

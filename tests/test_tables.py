@@ -41,9 +41,17 @@ def test_normalize_and_ingest(spark):
 
     stored = spark.createDataFrame([("https://e.com/old",)], "url string")
     new = ingest.ingest_new_articles(feed, stored, words)
-    assert {(r.id, r.url) for r in new.select("id", "url").collect()} == {(1, "https://e.com/x"), (8, "https://e.com/late")}
+    found = {r.url: r.id for r in new.select("id", "url").collect()}
+    assert set(found) == {"https://e.com/x", "https://e.com/late"} and len(set(found.values())) == 2
     again = ingest.ingest_new_articles(feed, stored.unionByName(new.select("url")), words)
     assert again.count() == 0
+    # ids come from the urls: a numbering that starts anew gives the same
+    anew = ingest.ingest_new_articles(feed.withColumn("ingest_seq", F.col("ingest_seq") + 100), stored, words)
+    assert {r.url: r.id for r in anew.select("url", "id").collect()} == found
+    dim = spark.createDataFrame([(5, "a", NOW, NOW)], "id long, name string, created_at timestamp_ntz, updated_at timestamp_ntz")
+    rows, after = ingest.ingest(feed, stored, dim, words, NOW)
+    names = {r.name: r.id for r in after.collect()}
+    assert names["a"] == 5 and {r.url: r.source_id for r in rows.collect()} == {"https://e.com/x": 5, "https://e.com/late": names["b"]}
     assert [r.ingest_seq for r in ingest.undated(normalize.clean_feed(feed)).collect()] == [7]
 
 
@@ -145,6 +153,9 @@ def test_feed_cap_and_union(spark):
     assert picked.count() == 25 and {r.ingest_seq for r in picked.collect()} == set(range(15, 40))
     assert feeds.select_feed(feed.withColumn("category", F.lit("sports")), "2025-11-18").count() == 0
     assert feeds.union_feeds([feed, feed.drop("image")]).count() == 80
+    mixed = raw(spark, item(1, "a"), item(2, "a", category="sports"), item(3, "a", category=None))
+    assert {r.ingest_seq for r in feeds.select_feed(mixed, "2025-11-18", categories="-sports").collect()} == {1, 3}
+    assert {r.ingest_seq for r in feeds.select_feed(mixed, "2025-11-18", categories="general").collect()} == {1}
 
 
 def test_response_log(spark, tmp_path):
@@ -171,8 +182,42 @@ def test_event_log_layout(spark, tmp_path):
     plan = analytics.recent_events(back, NOW, 1)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(ingested_date" in plan
     assert not events.append_events(built, "/proc/no/such")
-    tables.overwrite_days(built.withColumn("event_id", F.lit("y")), "sentiment_events", path)
-    assert [r.event_id for r in events.read_events(spark, path).collect()] == ["y"]
+
+
+def test_retention_write_back(spark, tmp_path):
+    """Days that expire whole leave the table, boundary days are rewritten, others keep their files; one failing part is reported."""
+    texts = spark.createDataFrame([(i, f"t{i}", NOW - i * 12 * HOUR) for i in range(40)], "article_id long, text string, extracted_at timestamp_ntz")
+    jobs = spark.createDataFrame(
+        [(i, 1, "SUCCESS" if i % 2 else "PENDING", NOW - i * DAY) for i in range(20)], "id long, article_id long, status string, created_at timestamp_ntz"
+    )
+    stored, paths = {}, {}
+    for name, rows in (("article_contents", content.content_store(texts)), ("crawl_jobs", jobs)):
+        paths[name] = str(tmp_path / name)
+        tables.create_days(rows, name, paths[name])
+        stored[name] = tables.read_days(spark, name, paths[name], rows.schema)
+
+    def sink(name):
+        schema = stored[name].drop(tables.day_column(name)).schema
+
+        def store(kept, days):
+            tables.replace_days(spark, kept, days, name, paths[name])
+            return tables.read_days(spark, name, paths[name], schema)
+
+        return store
+
+    others = {n: jobs.limit(0) for n in ("sources", "articles", "sentiment_analyses")}
+    report = analytics.run_cleanup({**others, **stored}, NOW, {"article_contents": sink("article_contents"), "crawl_jobs": lambda *_: 1 / 0})
+    assert "division" in report["crawl_job_cleanup_error"]
+    assert report["content_cleanup"]["expired_content_deleted"] == 26 and report["content_cleanup"]["total_content_remaining"] == 14
+    assert report["database_stats"]["article_contents_count"] == 14 and report["database_stats"]["crawl_jobs_count"] == 20
+    left = tables.read_days(spark, "article_contents", paths["article_contents"], content.content_store(texts).schema)
+    assert {r.article_id for r in left.collect()} == set(range(14))
+    report = analytics.run_cleanup({**others, **stored}, NOW, {n: sink(n) for n in paths})
+    assert report["crawl_job_cleanup"]["old_crawl_jobs_deleted"] == 6
+    kept = tables.read_days(spark, "crawl_jobs", paths["crawl_jobs"], jobs.schema)
+    assert {r.id for r in kept.collect()} == {i for i in range(20) if i % 2 == 0 or i <= 7}
+    tables.create_days(jobs.limit(0), "crawl_jobs", str(tmp_path / "none"))
+    assert tables.read_days(spark, "crawl_jobs", str(tmp_path / "none"), jobs.schema).count() == 0
 
 
 def test_stream_ingest_batches(spark, tmp_path):
@@ -197,8 +242,8 @@ def test_stream_ingest_batches(spark, tmp_path):
 
 
 def test_nested_parts(spark):
-    articles = spark.createDataFrame([(i, 1) for i in range(25)], "id long, source_id long")
+    articles = spark.range(25_600).selectExpr("shiftleft(id div 100, 32) | id % 100 AS id", "1L AS source_id")  # ids as feeds pack them
     dim = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
-    rows = reads.sources_with_articles(dim, articles, per_row=10).collect()
-    assert sorted(x for r in rows if r.source_id == 1 for x in r.article_ids) == list(range(25))
-    assert max(len(r.article_ids) for r in rows) <= 10 and [list(r.article_ids) for r in rows if r.source_id == 2] == [[]]
+    rows = reads.sources_with_articles(dim, articles, per_row=100).collect()
+    assert sorted(x for r in rows if r.source_id == 1 for x in r.article_ids) == sorted(r.id for r in articles.collect())
+    assert len(rows) == 257 and max(len(r.article_ids) for r in rows) < 200 and [list(r.article_ids) for r in rows if r.source_id == 2] == [[]]

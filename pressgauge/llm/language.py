@@ -176,8 +176,10 @@ def predict(docs: DataFrame, model: dict, keep: list[str], text: str = "text") -
                 scores.append(s)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array(names, pa.string()), pa.array(np.concatenate([np.zeros(0), *scores]))],
-                names=[*keep, "lang_pred", "score"],
+                names=[*batch.schema.names[1:], "lang_pred", "score"],
             )
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields]
-    return docs.select(F.col(text).alias("text to judge"), *keep).mapInArrow(named, ", ".join([*fields, "lang_pred string", "score double"]))
+    rows = docs.select(F.col(text).alias("text"), *[F.col(c).alias(f"kept {i}") for i, c in enumerate(keep)])
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]
+    found = rows.mapInArrow(named, ", ".join([*fields, "lang_pred string", "score double"]))
+    return found.select(*[F.col(f"kept {i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")

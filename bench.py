@@ -16,6 +16,7 @@ HEADLINE = [
     "sentiment_trends", "source_sentiment_comparison", "normalize_articles", "ingest_new_articles",
     "lexicon_sentiment", "extract_text", "robots_check", "politeness_gate", "content_store", "content_upsert",
     "latest_with_analyses", "latest_sentiment", "cascade_delete", "cleanup_report", "crawl_outcomes",
+    "crawl_run", "sources_with_articles", "sentiment_with_fallback", "stream_events_sink", "stream_politeness_gate",
 ]
 
 

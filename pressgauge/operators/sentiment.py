@@ -16,6 +16,7 @@ from pressgauge import settings
 from pressgauge.session import materialize
 from pressgauge.functions.text import WHITESPACE_RUN, is_upper, label_for, strip
 
+# Rules, modifiers and constants are those of the published method (Hutto and Gilbert, 2014; MIT licence).
 # --- fixed values of the method -------------------------------------------------
 
 BOOST, CAPS, NEGATE = 0.293, 0.733, -0.74
@@ -42,7 +43,7 @@ IDIOMS = {
     "kiss of death": -1.5, "to die for": 3.0, "beating heart": 3.1, "broken heart": -2.9,
 }
 
-# A short word list of our own, valence -4..4.
+# A short word list, valence -4..4; valences follow those published with the method, from memory and unchecked.
 DEFAULT_WORDS = {
     "good": 1.9, "great": 3.1, "best": 3.2, "better": 1.9, "excellent": 2.7, "love": 3.2, "loved": 2.9, "happy": 2.7,
     "success": 2.7, "successful": 2.8, "win": 2.8, "winner": 2.8, "won": 2.7, "growth": 1.6, "gain": 2.4, "gains": 1.4,

@@ -272,7 +272,7 @@ ORACLES["retention_write_back"] = query(f"""
     SELECT 'article_contents' AS table_name, article_id AS id FROM article_contents WHERE expires_at > {AS_OF}
     UNION ALL SELECT 'crawl_jobs', id FROM crawl_jobs WHERE NOT ({OLD})""", "article_contents", "crawl_jobs")
 ORACLES["politeness_gate_short"] = ORACLES["politeness_gate"].replace("3600000000 *", "1000000 *")
-ORACLES["stream_url_dedup"] = query("SELECT DISTINCT url, source_name FROM clean", "clean")
+ORACLES["stream_url_dedup"] = ORACLES["dedup_feed"]
 ORACLES["stream_sentiment_trends"] = query(TREND.format(where="true"), "sentiment_events")
 ORACLES["stream_events_sink"] = ORACLES["sentiment_events_sink"]
 ORACLES["stream_politeness_gate"] = ORACLES["politeness_gate"]

@@ -593,9 +593,8 @@ def stream_ingest_articles(spark, sf_dir):
 @query
 def stream_url_dedup(spark, sf_dir):
     out = work_path(spark, "dedup")
-    deduped = streams.dedup_stream(feeds.raw_feed(_response_log(spark, sf_dir)))
-    streams.drain(streams.append_stream(deduped.select("url", "source_name"), out, work_path(spark, "state")))
-    return spark.read.schema("url string, source_name string").parquet(out)
+    streams.drain(streams.dedup_stream(_response_log(spark, sf_dir), out, work_path(spark, "state")))
+    return spark.read.parquet(out).drop("batch")
 
 
 @query
@@ -603,10 +602,7 @@ def stream_sentiment_trends(spark, sf_dir):
     out = work_path(spark, "trends")
     events = V.sentiment_events(spark, sf_dir, _stream(spark, sf_dir, "events"))
     streams.drain(streams.trend_stream(events, out, work_path(spark, "state")))
-    stored = "article_count long, avg_sentiment_score double, avg_magnitude double, date date, sentiment_label string"
-    return _rounded(
-        spark.read.schema(stored).parquet(out).withColumn("date", _day("date")), "avg_sentiment_score", "avg_magnitude"
-    )
+    return _rounded(streams.trend_table(spark, out).withColumn("date", _day("date")), "avg_sentiment_score", "avg_magnitude")
 
 
 @query

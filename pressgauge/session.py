@@ -23,8 +23,6 @@ RUNTIME_CONF = {
 # Only for sessions built here. HotSpot never compiles methods above 8000 bytes; beyond it, plain operators are faster.
 OWN_CONF = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def build_session(app: str = "pressgauge", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)

@@ -11,19 +11,13 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 from pressgauge.operators.ingest import ingest_new_articles
-from pressgauge.operators.normalize import clean_feed
+from pressgauge.operators.normalize import clean_feed, dedup_feed
 from pressgauge.operators.politeness import SLICE_DELAYS, effective_delay, politeness_gate
 from pressgauge.operators.sentiment import lexicon_scores
-from pressgauge.session import ROCKSDB, materialize
+from pressgauge.session import materialize
 from pressgauge.sources.feeds import raw_feed
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """Keep operator state on local disk with changelogs in the checkpoint, not in executor heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-
-
 def drain(query: StreamingQuery) -> None:
     """Wait for an availableNow query to end; its error, if any, is raised."""
     query.awaitTermination()
@@ -63,44 +57,52 @@ def ingest_stream(
     )
 
 
-def dedup_stream(raw: DataFrame, arrival: str = "arrived_at", keep: str = "7 days") -> DataFrame:
-    """Normalised items, one per (url, source) within the watermark.
+def dedup_stream(responses: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Normalised items, the first of each (url, source) over the whole stream, with all their columns.
 
-    The watermark runs on arrival time: publishers' dates may lie anywhere. State
-    holds the keys of the last ``keep`` only; older repeats are caught by the
-    anti join of the ingest.
+    Decided by arrival number, so it does not matter how responses fall into micro-batches or when they are read.
     """
-    use_rocksdb(raw.sparkSession)
-    return clean_feed(raw).withColumn(arrival, F.current_timestamp()).withWatermark(arrival, keep).dropDuplicatesWithinWatermark(
-        ["url", "source_name"]
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        rows = materialize(dedup_feed(clean_feed(raw_feed(batch))))
+        stored = _stored(batch.sparkSession, path, batch_id)
+        if stored is not None:
+            rows = rows.join(stored.select("url", "source_name"), ["url", "source_name"], "left_anti").select(*rows.columns)
+        _write_batch(rows, path, batch_id)
+
+    return (
+        responses.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def trend_stream(events: DataFrame, path: str, checkpoint: str, lateness: str = "1 day") -> StreamingQuery:
-    """Daily trend kept up to date: each batch rewrites the (date, label) cells it changed.
+def trend_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Daily trend kept up to date: each batch adds the sums of its (date, label) cells in a folder of its own.
 
-    Events later than ``lateness`` behind the newest one are dropped, which bounds the state.
+    Sums can be added whenever they come, so no event is too late and there is no state to bound.
     """
-    use_rocksdb(events.sparkSession)
-    daily = (
-        events.withColumn("ingested_at", F.col("ingested_at").cast("timestamp")).withWatermark("ingested_at", lateness)
-        .groupBy(F.window("ingested_at", "1 day").alias("w"), "sentiment_label")
-        .agg(
-            F.count("*").alias("article_count"), F.avg("sentiment_score").alias("avg_sentiment_score"),
-            F.avg("sentiment_magnitude").alias("avg_magnitude"),
-        )
-        .select(F.to_date("w.start").alias("date"), "sentiment_label", "article_count", "avg_sentiment_score", "avg_magnitude")
-    )
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        (
-            batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("date", "sentiment_label").parquet(path)
+        cells = batch.groupBy(F.to_date("ingested_at").alias("date"), "sentiment_label").agg(
+            F.count("*").alias("n"), F.sum("sentiment_score").alias("score"), F.count("sentiment_score").alias("scored"),
+            F.sum("sentiment_magnitude").alias("magnitude"), F.count("sentiment_magnitude").alias("measured"),
         )
+        _write_batch(cells, path, batch_id)
 
     return (
-        daily.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+CELLS = "date date, sentiment_label string, n long, score double, scored long, magnitude double, measured long, batch long"
+
+
+def trend_table(spark: SparkSession, path: str) -> DataFrame:
+    """The trend so far: a few cells a batch, added up."""
+    cells = spark.read.schema(CELLS).parquet(path).groupBy("date", "sentiment_label")
+    sums = cells.agg(*[F.sum(c).alias(c) for c in ("n", "score", "scored", "magnitude", "measured")])
+    return sums.select(
+        "date", "sentiment_label", F.col("n").alias("article_count"),
+        F.try_divide("score", "scored").alias("avg_sentiment_score"), F.try_divide("magnitude", "measured").alias("avg_magnitude"),
     )
 
 
@@ -157,11 +159,3 @@ def politeness_stream(requests: DataFrame, path: str, checkpoint: str, slice_del
     return (
         requests.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
-
-
-def append_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append-only result stream to a Parquet log (the file sink's own commit log makes it exactly-once)."""
-    return (
-        rows.writeStream.format("parquet").outputMode("append").option("path", path)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )

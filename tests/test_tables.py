@@ -247,3 +247,19 @@ def test_nested_parts(spark):
     rows = reads.sources_with_articles(dim, articles, per_row=100).collect()
     assert sorted(x for r in rows if r.source_id == 1 for x in r.article_ids) == sorted(r.id for r in articles.collect())
     assert len(rows) == 257 and max(len(r.article_ids) for r in rows) < 200 and [list(r.article_ids) for r in rows if r.source_id == 2] == [[]]
+
+
+def test_stream_trend_counts_late_events(spark, tmp_path):
+    """An event months late is counted on its day, as the batch trend does."""
+    schema = "ingested_at timestamp_ntz, sentiment_label string, sentiment_score double, sentiment_magnitude double"
+
+    def run(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        streams.drain(streams.trend_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")))
+        return {(r.date, r.sentiment_label): (r.article_count, r.avg_sentiment_score, r.avg_magnitude) for r in streams.trend_table(spark, str(tmp_path / "out")).collect()}
+
+    old = NOW - 90 * DAY
+    run((NOW, "positive", 0.5, None))
+    assert run((NOW, "positive", 1.0, 0.2), (old, "negative", -0.5, None)) == {
+        (NOW.date(), "positive"): (2, 0.75, 0.2), (old.date(), "negative"): (1, -0.5, None),
+    }

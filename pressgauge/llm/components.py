@@ -1,11 +1,12 @@
 """Connected components, and the search for links within tiles, both as distributed joins.
 
-``components`` alternates large-star and small-star steps (a distributed union-find) until nothing changes; each step is a
+``components`` alternates large-star and small-star steps (a distributed union-find) until only stars are left; each step is a
 table in the shared folder. ``resolve`` finds the components of a graph whose links must be verified, when any linked two
 ids share a tile, without making all pairs of a large tile:
 
 1. each id is compared with one leader it shares a tile with;
-2. in tiles that still hold several components, each id with one id of another component;
+2. twice: in tiles that still hold several components, each component's LIKELIEST pairs with others. Any tiles do for
+   this, so each id takes part in FEW of its tiles only;
 3. what is left, ids of one tile in different components, exhaustively: in blocks of BLOCK ids, where a bound from above
    (``plausible``) comes first and only pairs that pass it are verified.
 
@@ -16,18 +17,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .frames import stored
 
 BLOCK = 512
+FEW, LIKELIEST = 4, 3
 
 
 def components(links: DataFrame) -> DataFrame:
     """(a, b) links of longs; returns (id, component) for every id with a link, component being the smallest id."""
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
-    before = None
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -35,43 +38,43 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         edges = stored(small.distinct(), "edges")
-        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if now == before:
-            break
-        before = now
     roots = edges.select("b").distinct()
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots.select(F.col("b").alias("id"), F.col("b").alias("component")))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every id points at one smaller id only, and that at none: then that is its component's smallest."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("out")).unionByName(edges.select(F.col("b").alias("id"), F.lit(0).alias("out")))
+    counts = ends.groupBy("id").agg(F.sum("out").alias("out"), F.min("out").alias("least"))
+    return counts.where("out > 1 OR (out = 1 AND least = 0)").isEmpty()
+
+
 def _pairs(a: Column, b: Column) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
-def resolve(tiles: DataFrame, verify: Callable[[DataFrame], DataFrame], attributes: Callable[[DataFrame], DataFrame], plausible: Callable) -> DataFrame:
+def resolve(tiles: DataFrame, known: Callable[[DataFrame], tuple[Callable, DataFrame]], plausible: Callable) -> DataFrame:
     """(id, component) of all ids with a link. ``tiles``: (tile, id) longs, repeats allowed.
 
-    ``verify`` takes distinct (a, b) pairs and returns those that are links. ``attributes`` adds columns to rows with an
-    ``id``; ``plausible`` takes two pandas frames of rows with those columns and returns index arrays of pairs worth
-    verifying.
+    ``known`` takes the ids that share a tile with another and returns ``verify``, which takes distinct (a, b) pairs and
+    returns those that are links, and ``attributes``, a table by id. ``plausible`` takes two blocks of rows, as dicts of arrays with those columns, and returns index arrays of the
+    pairs worth verifying, and how far apart each is.
     """
     by_tile = Window.partitionBy("tile")
     led = tiles.withColumn("leader", F.min("id").over(by_tile)).withColumn("last", F.max("id").over(by_tile)).where("leader < last")
     rows = stored(led.select("tile", "id", "leader").distinct(), "tiles")
+    verify, attributes = known(rows.select("id").distinct())
 
     first = rows.where("leader < id").groupBy("id").agg(F.min("leader").alias("b"))
     tried = stored(first.select(*_pairs(F.col("id"), F.col("b"))), "pairs")
     links = stored(verify(tried), "links")
     found = stored(components(links), "components")
 
-    for last in (False, True):
-        known = rows.select("tile", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        smallest = F.min(F.struct("component", "id")).over(by_tile)
-        mixed = known.withColumn("smallest", smallest).withColumn("largest", F.max("component").over(by_tile)).where(F.col("smallest.component") < F.col("largest"))
+    for last in (False, False, True):
+        placed = rows.select("tile", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = placed.withColumn("smallest", F.min("component").over(by_tile)).withColumn("largest", F.max("component").over(by_tile)).where("smallest < largest")
         rows = mixed = stored(mixed, "mixed")
-        if last:
-            pairs = _across(mixed, attributes, plausible)
-        else:
-            pairs = mixed.where(F.col("component") > F.col("smallest.component")).select(*_pairs(F.col("id"), F.col("smallest.id")))
+        pairs = _across(mixed, attributes, plausible, every=last)
         new = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(new)
         more = stored(verify(new), "links")
@@ -81,27 +84,56 @@ def resolve(tiles: DataFrame, verify: Callable[[DataFrame], DataFrame], attribut
     return found
 
 
-def _across(mixed: DataFrame, attributes, plausible) -> DataFrame:
+def _across(mixed: DataFrame, attributes, plausible, every: bool) -> DataFrame:
     """Plausible pairs of ids of one tile and different components, from blocks of the tile taken two at a time."""
     by_tile = Window.partitionBy("tile")
     rows = mixed.select("tile", "id", "component").distinct()
+    if not every:
+        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("tile"))).where(F.col("rank") <= FEW)
     rows = rows.withColumn("block", F.floor((F.row_number().over(by_tile.orderBy("id")) - 1) / BLOCK)).withColumn("blocks", F.max("block").over(by_tile))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks"))))
-    rows = rows.select("tile", "id", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-
-    def compared(key, frame):
-        import pandas as pd
-
-        low, high = key[1], key[2]
-        left = frame[frame["block"] == low].reset_index(drop=True)
-        right = frame[frame["block"] == high].reset_index(drop=True)
-        out_a, out_b = [], []
-        if len(left) and len(right):
-            i, j = plausible(left, right)
-            a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-            keep = left["component"].to_numpy()[i] != right["component"].to_numpy()[j]
-            out_a, out_b = a[keep], b[keep]
-        return pd.DataFrame({"x": out_a, "y": out_b}, dtype="int64")
-
-    pairs = attributes(rows).groupBy("tile", "low", "high").applyInPandas(compared, "x long, y long")
-    return pairs.where("x <> y").select(*_pairs(F.col("x"), F.col("y")))
+    rows = rows.select("tile", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "component")
+
+    def compared(batches):
+        """Groups of (tile, low, high) come one after the other, none of more than two blocks; one may go on in the next
+        batch."""
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            groups = np.column_stack([table.column(i).to_numpy() for i in range(3)])
+            edges = np.flatnonzero((groups[1:] != groups[:-1]).any(1)) + 1
+            yield from _block_pairs(table, [0, *edges], plausible, every)
+            rest = table.slice(edges[-1] if len(edges) else 0)
+        if rest is not None:
+            yield from _block_pairs(rest, [0, rest.num_rows], plausible, every)
+
+    rows = rows.join(attributes, "id").select(*rows.columns, *[c for c in attributes.columns if c != "id"]).repartition("tile", "low", "high").sortWithinPartitions("tile", "low", "high")
+    pairs = rows.mapInArrow(compared, "x long, y long")
+    return pairs.select(*_pairs(F.col("x"), F.col("y")))
+
+
+def _block_pairs(table: pa.Table, edges: list[int], plausible, every: bool):
+    """Pairs of all groups but what follows the last edge; all of them, or the likeliest of each component."""
+    columns = {n: table.column(n).to_numpy() if table.schema.field(n).type != pa.binary() else np.array(table.column(n).to_pylist(), object) for n in table.column_names[1:]}
+    out = [np.zeros((0, 2), np.int64)]
+    for a, b in zip(edges, edges[1:]):
+        own = {n: c[a:b] for n, c in columns.items()}
+        left = {n: c[own["block"] == own["low"][0]] for n, c in own.items()}
+        right = {n: c[own["block"] == own["high"][0]] for n, c in own.items()}
+        if len(left["id"]) and len(right["id"]):
+            i, j, distance = plausible(left, right)
+            keep = np.flatnonzero(left["component"][i] != right["component"][j])
+            if not every and len(keep):
+                keep = np.union1d(_nearest(keep, left["component"][i[keep]], distance[keep]), _nearest(keep, right["component"][j[keep]], distance[keep]))
+            out.append(np.column_stack([left["id"][i[keep]], right["id"][j[keep]]]))
+    found = np.concatenate(out)
+    found = np.unique(np.sort(found, axis=1), axis=0)  # a pair may share several tiles
+    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["x", "y"])
+
+
+def _nearest(pairs: np.ndarray, component: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """The LIKELIEST pairs of each component."""
+    order = np.lexsort((distance, component))
+    first = np.flatnonzero(np.diff(component[order], prepend=component[order[0]] - 1))
+    rank = np.arange(len(order)) - np.repeat(first, np.diff([*first, len(order)]))
+    return pairs[order[rank < LIKELIEST]]

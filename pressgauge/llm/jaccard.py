@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import resolve
 from .frames import free_name, stored
+from .sketches import bounded, plausible, side, sketch
 from .words import SPACE, Words, grams, mix, portions
 
 SHINGLE = 5
@@ -94,12 +95,6 @@ def shared_shingles(docs: DataFrame, text: str) -> np.ndarray:
     return out
 
 
-def sketch(members: np.ndarray) -> bytes:
-    """Parity bit map, of as many bits as members (a power of two from 64 to 8192)."""
-    bits = min(8192, max(64, 1 << (len(members) - 1).bit_length()))
-    return np.packbits((np.bincount((members % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
-
-
 def tiled(docs: DataFrame, key: str, text: str, row: str) -> DataFrame:
     """One row for each text: row, key, n, id (null for an empty set); for candidates also tiles, sketch and members."""
     shared = docs.sparkSession.sparkContext.broadcast(shared_shingles(docs, text))
@@ -132,36 +127,6 @@ def tiled(docs: DataFrame, key: str, text: str, row: str) -> DataFrame:
     return source.mapInArrow(rows, f"row long, key {source.schema['key'].dataType.simpleString()}, n long, id long, tiles array<long>, sketch binary, members binary")
 
 
-def close(n, m, apart):
-    """Sets of n and m members that differ in ``apart`` or more of them may still be linked."""
-    return (100 + PERCENT) * apart <= (100 - PERCENT) * (n + m)
-
-
-def _fold(bits: np.ndarray, size: int) -> np.ndarray:
-    while len(bits) > size:
-        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
-    return bits
-
-
-def apart(a: bytes, b: bytes) -> int:
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    size = min(len(x), len(y))
-    return int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum())
-
-
-def plausible(left, right):
-    """Pairs of two blocks whose sizes and bit maps allow the similarity."""
-    n, m = left["n"].to_numpy(), right["n"].to_numpy()
-    size = min(min(map(len, left["sketch"])), min(map(len, right["sketch"])))
-    b = np.stack([_fold(np.frombuffer(x, np.uint8), size) for x in right["sketch"]])
-    rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i, x in enumerate(left["sketch"]):
-        near = np.flatnonzero((100 * np.minimum(n[i], m) >= PERCENT * np.maximum(n[i], m)) & close(n[i], m, np.bitwise_count(_fold(np.frombuffer(x, np.uint8), size) ^ b).sum(1)))
-        rows.append(np.full(len(near), i, np.int64))
-        columns.append(near)
-    return np.concatenate(rows), np.concatenate(columns)
-
-
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
@@ -175,26 +140,17 @@ def linked(texts: DataFrame) -> DataFrame:
     copy = F.count("*").over(_copies())
     members = candidates.select("id", "members").withColumn("copy", copy).where("copy = 1").select("id", "members")
 
-    def bounded(batches):
-        for batch in batches:
-            n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            off = [apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(close(n, m, np.array(off, np.int64)), pa.bool_()))
-
     def exact(batches):
         for batch in batches:
             good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    def side(table: DataFrame, x: str) -> DataFrame:
-        return table.select(F.col("id").alias(x), *[F.col(c).alias(f"{c} {x}") for c in table.columns if c != "id"])
-
     def verify(pairs: DataFrame) -> DataFrame:
-        seen = pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b").select("a", "b", "n a", "n b", "sketch a", "sketch b").mapInArrow(bounded, "a long, b long")
-        return seen.join(side(members, "a"), "a").join(side(members, "b"), "b").select("a", "b", "members a", "members b").mapInArrow(exact, "a long, b long")
+        seen = bounded(pairs, sketches, PERCENT).join(side(members, "a"), "a").join(side(members, "b"), "b")
+        return seen.select("a", "b", "members a", "members b").mapInArrow(exact, "a long, b long")
 
     tiles = candidates.select(F.explode("tiles").alias("tile"), "id")
-    return resolve(tiles, verify, lambda rows: rows.join(sketches, "id"), plausible)
+    return resolve(tiles, lambda ids: (verify, sketches), lambda a, b: plausible(a, b, PERCENT))
 
 
 def _copies():

@@ -1,7 +1,7 @@
 """Fuzzy line dedup: MinHash signatures of character shingles, banding, exact verification, union-find.
 
 Lines are separated by line feeds. A line's shingles are its distinct runs of SHINGLE code points in lower case. Lines
-whose shingles have a Jaccard similarity of ``SIMILAR`` or more are linked, equal lines without more ado; of each connected
+whose shingles have a Jaccard similarity of PERCENT or more are linked, equal lines without more ado; of each connected
 component the first line stays, by key of the text, then by row and line number. BANDS bands of ROWS minima make linked
 lines candidates with a probability of at least 1 - (1 - 0.8 ** ROWS) ** BANDS = 99.8 %; every candidate is verified.
 
@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import resolve
 from .frames import free_name, stored
-from .quality import BITS, bit_map, held
-from .words import mix, portions, runs, text_buffers
+from .quality import BITS, bit_map, bits_set
+from .sketches import bounded, plausible, side, sketch
+from .words import BASE, mix, portions, runs, text_buffers
 
 SHINGLE = 9
 BANDS, ROWS = 9, 3
-SIMILAR = (8, 10)  # as a fraction
+PERCENT = 80
 
 _RANDOM = np.random.default_rng(91)
 _TURNS = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -52,45 +53,52 @@ class Lines:
         """BANDS keys for each of some lines of SHINGLE or more code points."""
         if not len(those):
             return np.zeros((0, BANDS), np.int64)
-        codes = folded(np.frombuffer(self.data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32))
-        hashes = shingle_hashes(codes)
-        count = self.ends[those] - self.starts[those] - SHINGLE + 1
-        first = np.cumsum(count) - count
-        at = np.arange(count.sum()) - np.repeat(first - self.starts[those], count)
-        hashes = (hashes[at] >> np.uint64(32)).astype(np.uint32)
+        hashes = (shingle_hashes(points_of(self.data)) >> np.uint64(32)).astype(np.uint32)
+        hashes = np.append(hashes, np.uint32(0))
+        ranges = np.column_stack([self.starts[those], self.ends[those] - SHINGLE + 1]).ravel()  # the odd ones lie between lines
         keys = np.zeros((len(those), BANDS), np.uint64)
         for k in range(BANDS * ROWS):
-            least = np.minimum.reduceat((hashes ^ _TURNS[k]) * _STEPS[k], first)
+            least = np.minimum.reduceat((hashes ^ _TURNS[k]) * _STEPS[k], ranges)[::2]
             keys[:, k // ROWS] = mix(keys[:, k // ROWS] * np.uint64(31) + least.astype(np.uint64) + np.uint64(k // ROWS + 1))
         return keys.view(np.int64)
 
 
-def folded(codes: np.ndarray) -> np.ndarray:
-    """Lower case of A-Z and the Latin-1 capitals."""
+def points_of(data: np.ndarray) -> np.ndarray:
+    """Code points of UTF-8 bytes, A-Z and the Latin-1 capitals in lower case."""
+    codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
     big = (codes >= 65) & (codes <= 90) | (codes >= 0xC0) & (codes <= 0xDE) & (codes != 0xD7)
     return codes + big.astype(np.uint32) * np.uint32(32)
 
 
 def shingle_hashes(codes: np.ndarray) -> np.ndarray:
-    last = len(codes) - SHINGLE + 1
-    if last < 1:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(last, np.uint64)
-    wide = codes.astype(np.uint64) + np.uint64(1)
-    for k in range(SHINGLE):
-        out *= np.uint64(0x9E3779B97F4A7C15)
-        out += wide[k : k + last]
-    return mix(out)
+    """A polynomial hash of each SHINGLE code points, put together from runs of 1, 2, 4, ... of them."""
+    have = codes.astype(np.uint64) + np.uint64(1)
+    out, size, run = None, 0, 1
+    while run <= SHINGLE:
+        if SHINGLE & run:
+            # what there is so far covers the last ``size`` code points, this run those before them
+            out = have if out is None else have[: max(0, len(have) - size)] * _power(size) + out[run:]
+            size += run
+        have = have[:-run] * _power(run) + have[run:] if len(have) > run else have[:0]
+        run *= 2
+    return mix(out[: max(0, len(codes) - SHINGLE + 1)])
 
 
-def shingles(line: str) -> np.ndarray:
-    """Distinct shingle hashes of one line, sorted."""
-    return np.unique(shingle_hashes(folded(np.frombuffer(line.encode("utf-32-le", "replace"), np.uint32))))
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(int(BASE), n, 1 << 64))
+
+
+def shingle_sets(column: pa.Array) -> list[np.ndarray]:
+    """Distinct shingle hashes of each line, sorted."""
+    data, offsets = text_buffers(column)
+    places = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets].tolist()
+    hashes = shingle_hashes(points_of(data))
+    return [np.unique(hashes[a : max(a, b - SHINGLE + 1)]) for a, b in zip(places, places[1:])]
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both)
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
 def line_rows(docs: DataFrame, key: str, text: str, row: str) -> DataFrame:
@@ -121,8 +129,8 @@ def line_rows(docs: DataFrame, key: str, text: str, row: str) -> DataFrame:
 
 
 def line_texts(docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
-    """(id, line) of the lines whose id is in ``ids``; only lines that the bit map lets pass are shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(bit_map(ids, "id"))
+    """(id, line) of the lines whose id is in ``ids``; only lines that the bit map lets pass leave the task."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(ids.select(F.col("id").bitwiseAND(BITS - 1).alias("at")), "at"))
 
     def split(batches):
         for batch in batches:
@@ -130,62 +138,40 @@ def line_texts(docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
                 lines = Lines(batch.column(0)[low:high])
                 those = np.flatnonzero(lines.long)
                 ids, first = np.unique(lines.ids()[those], return_index=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), pa.array([lines.data[lines.low[k] : lines.high[k]].tobytes().decode("utf-8", "replace") for k in those[first]], pa.string())], names=["id", "line"]
-                )
+                wanted = np.flatnonzero(bits_set(shared.value, ids & (BITS - 1)))
+                found = [lines.data[lines.low[k] : lines.high[k]].tobytes().decode("utf-8", "replace") for k in those[first[wanted]]]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[wanted]), pa.array(found, pa.string())], names=["id", "line"])
 
-    def likely(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(held(shared.value, batch.column("at").to_numpy(zero_copy_only=False))))
-
-    # two steps, since the place in the bit map is Spark's hash of the id
-    rows = docs.select(text).mapInArrow(split, "id long, line string").withColumn("at", F.pmod(F.xxhash64("id"), F.lit(BITS)))
-    return rows.mapInArrow(likely, rows.schema).drop("at").join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    return docs.select(text).mapInArrow(split, "id long, line string").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 def groups(lines: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """(id, component) of the lines that have a link to another line."""
-    tiles = lines.where("bands IS NOT NULL AND size(bands) > 0").select(F.explode("bands").alias("tile"), "id")
-    near = tiles.groupBy("tile").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("tile")
-    tiles = stored(tiles.join(near, "tile").distinct(), "bands")
-    texts = stored(line_texts(docs, tiles.select("id").distinct(), text), "lines")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("id").alias(x), F.col("line").alias(f"line {x}")) for x in "ab")
+    tiles = lines.where("size(bands) > 0").select(F.explode("bands").alias("tile"), "id")
 
-        def kept(batches):
+    def known(ids: DataFrame):
+        def described(batches):
             for batch in batches:
-                x, y = batch.column("line a").to_pylist(), batch.column("line b").to_pylist()
-                good = [similar(shingles(p), shingles(q)) for p, q in zip(x, y)]
-                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "line a", "line b").mapInArrow(kept, "a long, b long")
-
-    def plausible(left, right):
-        return bounded([shingles(x) for x in left["line"]], [shingles(x) for x in right["line"]])
+                sets = shingle_sets(batch.column(1))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x) for x in sets], pa.binary())], names=["id", "line", "n", "sketch"]
+                )
 
-    return resolve(tiles, verify, lambda rows: rows.join(texts, "id"), plausible)
+        texts = stored(line_texts(docs, ids, text).mapInArrow(described, "id long, line string, n long, sketch binary"), "lines")
+        sketches, line = texts.select("id", "n", "sketch"), texts.select("id", "line")
 
+        def exact(batches):
+            for batch in batches:
+                good = [similar(x, y) for x, y in zip(shingle_sets(batch.column(2)), shingle_sets(batch.column(3)))]
+                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-def bounded(left: list[np.ndarray], right: list[np.ndarray], bits: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs whose parity bit maps allow the similarity: they differ in no more bits than the sets may in members."""
+        def verify(pairs: DataFrame) -> DataFrame:
+            seen = bounded(pairs, sketches, PERCENT).join(side(line, "a"), "a").join(side(line, "b"), "b")
+            return seen.select("a", "b", "line a", "line b").mapInArrow(exact, "a long, b long")
 
-    def sketch(sets):
-        out = np.zeros((len(sets), bits), bool)
-        for i, s in enumerate(sets):
-            out[i] = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
-        return np.packbits(out, axis=1)
+        return verify, sketches
 
-    a, b = sketch(left), sketch(right)
-    n, m = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-    rows, columns = [], []
-    for i in range(len(a)):
-        apart = np.bitwise_count(a[i] ^ b).sum(1)
-        # J >= p/q leaves at most (n + m) (q - p) / (q + p) members in one set only
-        near = np.flatnonzero((SIMILAR[0] + SIMILAR[1]) * apart <= (SIMILAR[1] - SIMILAR[0]) * (n[i] + m))
-        rows.append(np.full(len(near), i))
-        columns.append(near)
-    return np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64), np.concatenate([np.zeros(0, np.int64), *columns]).astype(np.int64)
+    return resolve(tiles, known, lambda a, b: plausible(a, b, PERCENT))
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, str]:
@@ -212,5 +198,6 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", counts: bool
     kept = F.when(F.col(lost).isNull(), F.col(text)).otherwise(F.array_join(F.transform(steps, lambda i: F.get(split, i)), "\n"))
     columns = [kept.alias(c) if c == text else F.col(c) for c in docs.columns]
     if counts:
-        columns += [F.coalesce(F.size(split), F.lit(0)).alias("n_lines"), F.coalesce(F.size(lost), F.lit(0)).alias("n_dropped")]
+        feeds = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+        columns += [F.coalesce(feeds + 1, F.lit(0)).alias("n_lines"), F.coalesce(F.size(lost), F.lit(0)).alias("n_dropped")]
     return both.select(*columns)

@@ -64,7 +64,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def portions(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def portions(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes of text each (one longer text stays whole)."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     low, total = 0, 0

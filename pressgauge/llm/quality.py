@@ -1,14 +1,16 @@
 """Quality by perplexity: an interpolated modified Kneser-Ney bigram model trained on trusted texts.
 
-Words are runs without white space, case kept. The vocabulary is closed: the MAX_WORDS commonest words of the trusted
-texts that occur twice; any other word is <unk>, whose probability is shared evenly among the rarer words seen. Bigrams
+Words are runs without white space, case kept. The vocabulary is closed and fitted on a bounded sample: the ``max_words``
+commonest words that occur twice in about ``max_texts`` trusted texts, chosen by a hash. Any other word is <unk>, whose
+probability is shared evenly among the rarer words of the sample. Counts and statistics are of all trusted texts. Bigrams
 seen once are pruned, their mass going to the back-off weight of their context, so each context still sums to one.
 
-What depends on single words (back-off weights, lowest-order probabilities) has MAX_WORDS rows and is broadcast, as are the
-HOT commonest bigrams; hot words and bigrams therefore never meet in one task. The others are found by a join: each text
-sends its remaining bigrams, less those that a bit map of fixed size shows to be unknown, to the shards of the count
-table, and the gains come back summed by text. A gain is what a seen bigram adds to the backed-off log-probability, so a
-text's log-likelihood is a plain sum.
+What depends on single words (back-off weights, lowest-order probabilities) has ``max_words`` rows and is broadcast, as
+are the HOT commonest bigrams; so hot words and bigrams never meet in one task. The other bigrams are found by a sharded
+join with the count table: each portion of texts sends one packed list to each shard (its remaining bigrams, less those
+that a bit map of fixed size shows to be unknown), and each shard returns one packed list of gains to the portion. A gain
+is what a seen bigram adds to the backed-off log-probability, so a text's log-likelihood is a plain sum. The number of
+shards grows with the texts, so that a shard's lists stay small.
 
 A text's threshold is the ``quantile`` of the perplexities of trusted texts of its language that were held out of the
 training; languages with fewer than ``least`` such texts take the quantile over all languages. Texts above it are rejected.
@@ -21,21 +23,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .frames import free_name, stored
-from .words import SPACE, Lookup, Words, portions
+from .words import SPACE, Lookup, Words, mix, portions
 
 MAX_WORDS = (1 << 16) - 2
 UNK, START, FIRST = 0, 1, 2  # word numbers
-HOT = 1 << 20
+MAX_TEXTS = 20_000
+HOT = 1 << 16
+SHARD_BYTES = 32 << 20  # text for each shard of the count table
 BITS = 1 << 27
 HELD_OUT = 5  # one trusted text in so many
 
 
-def bit_map(keys: DataFrame, key: str) -> np.ndarray:
-    """BITS bits, set at each key's hash: a fixed 16 MB on the driver, whatever the number of keys."""
-    at = keys.select((F.pmod(F.xxhash64(key), F.lit(BITS)) + 1).alias("at"))  # these functions count from 1
+def bit_map(keys: DataFrame, at: str) -> np.ndarray:
+    """BITS bits, set at each value of ``at`` (below BITS): a fixed 16 MB on the driver, whatever the number of keys."""
+    at = keys.select((F.col(at) + 1).alias("at"))  # these functions count from 1
     rows = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
     out = np.zeros(BITS // 8, np.uint8)
     for r in rows:
@@ -45,22 +50,23 @@ def bit_map(keys: DataFrame, key: str) -> np.ndarray:
     return out
 
 
-def held(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+def bits_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
 def trusted_texts(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Texts whose key is in ``trusted``, less the held-out ones. Only texts that the bit map lets pass are shuffled."""
     ids = trusted.select(F.col(key).alias("key")).where(F.col("key").isNotNull() & ~is_held_out(F.col("key"))).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(bit_map(ids, "key"))
+    place = F.pmod(F.xxhash64("key"), F.lit(BITS))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(ids.select(place.alias("at")), "at"))
 
     def likely(batches):
         for batch in batches:
-            yield batch.filter(pa.array(held(shared.value, batch.column("at").to_numpy(zero_copy_only=False))))
+            yield batch.filter(pa.array(bits_set(shared.value, batch.column("at").to_numpy(zero_copy_only=False))))
 
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = rows.withColumn("at", F.pmod(F.xxhash64("key"), F.lit(BITS)))
-    return rows.mapInArrow(likely, rows.schema).join(ids, "key", "left_semi").select("text")
+    rows = rows.withColumn("at", place)
+    return rows.mapInArrow(likely, rows.schema).join(ids, "key", "left_semi").select("key", "text")
 
 
 def is_held_out(key: Column) -> Column:
@@ -98,15 +104,17 @@ def _counted(batches, column: str, of):
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times.astype(np.int64))], names=[column, "times"])
 
 
-def fit(texts: DataFrame, hot: int = HOT, max_words: int = MAX_WORDS) -> dict:
-    """The model: word arrays and hot bigrams for the driver to broadcast, and ``tail``, the table of other bigrams."""
+def fit(texts: DataFrame, hot: int = HOT, max_words: int = MAX_WORDS, max_texts: int = MAX_TEXTS) -> dict:
+    """The model of (key, text) rows: word arrays and hot bigrams for the driver to broadcast, and ``tail``, the table of
+    the other bigrams."""
     spark = texts.sparkSession
-    texts = stored(texts, "trusted")
+    share = min(1.0, max_texts / max(1, texts.select("key").count()))
+    sample = texts if share == 1 else texts.where(F.xxhash64("key", F.lit("vocabulary")) < int((share - 0.5) * 2**64))
 
     def words_of(batches):
         return _counted(batches, "hash", lambda c: Words(c, SPACE).hashes().view(np.int64))
 
-    counts = stored(texts.mapInArrow(words_of, "hash long, times long").groupBy("hash").agg(F.sum("times").alias("times")), "words")
+    counts = stored(sample.select("text").mapInArrow(words_of, "hash long, times long").groupBy("hash").agg(F.sum("times").alias("times")), "words")
     kept = counts.where("times > 1").orderBy(F.desc("times"), "hash").limit(max_words).toPandas()
     keys = np.sort(kept["hash"].to_numpy(np.int64).view(np.uint64))
     rare = max(1, counts.count() - len(keys))
@@ -116,7 +124,7 @@ def fit(texts: DataFrame, hot: int = HOT, max_words: int = MAX_WORDS) -> dict:
         vocabulary = Lookup(shared.value, 20)
         return _counted(batches, "key", lambda c: numbered(Words(c, SPACE), vocabulary)[1])
 
-    bigrams = stored(texts.mapInArrow(bigrams_of, "key long, times long").groupBy("key").agg(F.sum("times").alias("times")), "bigrams")
+    bigrams = stored(texts.select("text").mapInArrow(bigrams_of, "key long, times long").groupBy("key").agg(F.sum("times").alias("times")), "bigrams")
 
     # by context and by word: at most MAX_WORDS + 2 rows each
     size = len(keys) + FIRST
@@ -143,9 +151,9 @@ def fit(texts: DataFrame, hot: int = HOT, max_words: int = MAX_WORDS) -> dict:
             key, times = (batch.column(i).to_numpy() for i in (0, 1))
             u, v = key >> 16, key & 65535
             gain = np.log1p(_discounted(times.astype(float), d) / totals[u] / (backoff[u] * lowest[v]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gain)], names=["key", "times", "gain"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gain), pa.array(places(key))], names=["key", "times", "gain", "at"])
 
-    table = bigrams.where("times > 1").mapInArrow(gains, "key long, times long, gain double")
+    table = bigrams.where("times > 1").mapInArrow(gains, "key long, times long, gain double, at long")
     top = table.orderBy(F.desc("times"), "key").limit(hot).toPandas()
     tail = table.where("false")
     if len(top) == hot:
@@ -154,76 +162,117 @@ def fit(texts: DataFrame, hot: int = HOT, max_words: int = MAX_WORDS) -> dict:
     top = top.sort_values("key")
     with np.errstate(divide="ignore"):
         words = {"keys": keys, "backoff": np.log(backoff), "lowest": np.log(lowest) - np.where(np.arange(size) == UNK, np.log(rare), 0.0)}
-    return {**words, "hot": top["key"].to_numpy(np.int64), "gain": top["gain"].to_numpy(float), "tail": stored(tail.select("key", "gain"), "tail")}
+    return {**words, "hot": top["key"].to_numpy(np.int64), "gain": top["gain"].to_numpy(float), "tail": stored(tail.select("key", "gain", "at"), "tail")}
 
 
-def perplexities(docs: DataFrame, model: dict, keep: list[str], text: str = "text") -> DataFrame:
+def places(key: np.ndarray) -> np.ndarray:
+    """Hash of bigram keys: their place in the bit map, and by the remainder their shard."""
+    return (mix(key.astype(np.uint64)) & np.uint64(BITS - 1)).astype(np.int64)
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of one length, byte plane by byte plane, since most planes are nearly constant."""
+    planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+    return len(columns[0]).to_bytes(8, "little") + zstandard.compress(planes, 1)
+
+
+def _unpacked(payload: bytes, *kinds) -> list[np.ndarray]:
+    n, planes, at, out = int.from_bytes(payload[:8], "little"), zstandard.decompress(payload[8:]), 0, []
+    for kind in map(np.dtype, kinds):
+        piece = np.frombuffer(planes, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(piece.T).view(kind).ravel())
+        at += n * kind.itemsize
+    return out
+
+
+def perplexities(docs: DataFrame, model: dict, keep: list[str], text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The columns ``keep`` of each text, n_words and perplexity."""
-    spark = docs.sparkSession
-    small = {k: v for k, v in model.items() if k != "tail"}
-    tail = model["tail"]
-    shared = spark.sparkContext.broadcast((small, bit_map(tail, "key")))
+    import pandas as pd
+
+    spark, tail = docs.sparkSession, model["tail"]
+    shards = max(16, -(-int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // shard_bytes))
+    shared = spark.sparkContext.broadcast(({k: v for k, v in model.items() if k != "tail"}, bit_map(tail, "at")))
     kept = [F.col(c).alias(f"kept {i}") for i, c in enumerate(keep)]
-    rows = docs.select(F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"), *kept)
-    fields = [f for f in rows.schema.fields if f.name != "text"]
+    rows = docs.select(F.col(text).alias("text"), F.monotonically_increasing_id().alias("block"), *kept)
 
-    def bigrams(batches):
-        model, _ = shared.value
+    def sent(batches):
+        """For each portion its own columns, base sums included, as one row; and one row for each shard."""
+        model, bits = shared.value
         vocabulary = Lookup(model["keys"], 20)
-        hot_keys = model["hot"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # spread, to be looked up
-        order = np.argsort(hot_keys)
-        hot, gain = Lookup(hot_keys[order], 22), model["gain"][order]
+        spread = mix(model["hot"].astype(np.uint64))
+        order = np.argsort(spread)
+        hot, gain = Lookup(spread[order], 20), np.append(model["gain"][order], 0.0)
         for batch in batches:
             for low, high in portions(batch.column(0)):
                 words = Words(batch.column(0)[low:high], SPACE)
                 number, key = numbered(words, vocabulary)
-                at = hot.find(key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                log = model["backoff"][key >> 16] + model["lowest"][number] + np.where(at >= 0, gain[at] if len(gain) else 0.0, 0.0)
-                n = len(words.counts)
-                base = np.bincount(words.texts(), log, n)
-                rest = np.flatnonzero((at < 0) & (key & 65535 != UNK) | (at < 0) & (key >> 16 != UNK))
-                pairs, times = np.unique(words.texts()[rest] << 32 | key[rest], return_counts=True)
-                source = batch.column(1)[low:high].to_numpy()
-                yield _rows(batch.slice(low, high - low), fields, source, None, base, words.counts)
-                yield _rows(None, fields, source[pairs >> 32], pairs & 0xFFFFFFFF, times.astype(float), None)
-
-    sent = rows.mapInArrow(bigrams, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "key long, amount double, n_words long"]))
-    if spark.conf.get("spark.sql.adaptive.enabled") != "true":
-        raise ValueError("the join with the count table relies on adaptive execution")
-
-    def known(batches):
-        for batch in batches:
-            at = batch.column("at").to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array((at < 0) | held(shared.value[1], np.maximum(at, 0))))
-
-    # each text's own row meets nothing: its key is below zero and its own, so such rows spread evenly
-    sent = sent.withColumn("at", F.when(F.col("key") < 0, F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64("key"), F.lit(BITS))))
-    sent = sent.mapInArrow(known, sent.schema).drop("at")
-    amount = F.when(F.col("key") < 0, F.col("amount")).otherwise(F.col("amount") * F.coalesce(F.col("gain"), F.lit(0.0)))
-    summed = sent.join(tail, "key", "left").groupBy("row").agg(
-        *[F.first(f"kept {i}", ignorenulls=True).alias(f"kept {i}") for i in range(len(keep))],
-        F.max("n_words").alias("n_words"), F.sum(amount).alias("log"),
-    )
-    perplexity = F.when(F.col("n_words") > 0, F.exp(-F.col("log") / F.col("n_words")))
-    return summed.select(*[F.col(f"kept {i}").alias(c) for i, c in enumerate(keep)], "n_words", perplexity.alias("perplexity"))
-
-
-def _rows(batch, fields, row, key, amount, n_words) -> pa.RecordBatch:
-    """Rows for the shards: a text's own (with its columns) or one for each of its bigrams."""
-    n = len(row)
-    if batch is not None:
-        own = batch.columns[2:]
-        key, n_words = -1 - row, pa.array(n_words.astype(np.int64))
-    else:
-        own = [pa.nulls(n, t) for t in _arrow(fields[1:])]
-        n_words = pa.nulls(n, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(row), *own, pa.array(key), pa.array(amount), n_words], names=[*[f.name for f in fields], "key", "amount", "n_words"])
-
-
-def _arrow(fields) -> list[pa.DataType]:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return [to_arrow_type(f.dataType) for f in fields]
+                at, texts = hot.find(mix(key.astype(np.uint64))), words.texts()
+                log = model["backoff"][key >> 16] + model["lowest"][number] + gain[at]  # the last gain is that of no hit
+                base = np.bincount(texts, log, len(words.counts))
+                own = pa.RecordBatch.from_arrays(
+                    [*(batch.column(i)[low:high] for i in range(2, batch.num_columns)), pa.array(words.counts.astype(np.int64)), pa.array(base)],
+                    names=[*batch.schema.names[2:], "n_words", "base"],
+                )
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, own.schema) as writer:
+                    writer.write_batch(own)
+                block = batch.column(1)[low].as_py()
+                out = [(block % shards, block, sink.getvalue().to_pybytes(), True)]
+                rest = np.flatnonzero(at < 0)
+                rest = rest[bits_set(bits, places(key[rest]))]
+                pairs, times = np.unique(key[rest] << 31 | texts[rest], return_counts=True)
+                key, texts = pairs >> 31, pairs & (1 << 31) - 1
+                shard = places(key) % shards
+                order = np.argsort(shard, kind="stable")
+                edges = np.searchsorted(shard[order], np.arange(shards + 1))
+                for i in np.flatnonzero(np.diff(edges)):
+                    those = order[edges[i] : edges[i + 1]]
+                    steps = np.diff(key[those], prepend=0).astype(np.uint32)
+                    out.append((int(i), block, _packed(steps, texts[those].astype(np.uint32), times[those].astype(np.uint32)), False))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, k) for x, k in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.bool_()))], names=["shard", "block", "payload", "own"]
+                )
+
+    def answered(key, asked, known):
+        known = known.sort_values("key")
+        keys, gain, out = known["key"].to_numpy(np.int64), known["gain"].to_numpy(float), []
+        for block, payload, own in zip(asked["block"], asked["payload"], asked["own"]):
+            if own:
+                out.append((block, payload, True))
+                continue
+            steps, texts, times = _unpacked(payload, np.uint32, np.uint32, np.uint32)
+            wanted = np.cumsum(steps.astype(np.int64))
+            at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+            hit = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+            sums = np.bincount(texts[hit], gain[at[hit]] * times[hit])
+            some = np.flatnonzero(sums)
+            if len(some):
+                out.append((block, _packed(np.diff(some, prepend=0).astype(np.uint32), sums[some].astype(np.float32)), False))
+        return pd.DataFrame(out, columns=["block", "payload", "own"])
+
+    def summed(tables):
+        """All rows of one portion, its own and the shards' answers."""
+        own, gains = None, []
+        for payload, mine in zip(tables.column("payload").to_pylist(), tables.column("own").to_pylist()):
+            if mine:
+                own = pa.ipc.open_stream(payload).read_all()
+            else:
+                gains.append(_unpacked(payload, np.uint32, np.float32))
+        log = own.column("base").to_numpy().copy()
+        for steps, sums in sorted(gains, key=lambda g: (len(g[0]), g[0].tobytes())):  # an order of its own: sums repeat
+            log[np.cumsum(steps.astype(np.int64))] += sums
+        n = own.column("n_words").to_numpy()
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            values = np.exp(-log / n)
+        values = pa.array(values, mask=n == 0)
+        return pa.table([*own.columns[:-1], values], names=[*own.schema.names[:-1], "perplexity"])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:]]
+    asked = rows.mapInArrow(sent, "shard int, block long, payload binary, own boolean")
+    known = tail.select(F.pmod("at", F.lit(shards)).cast("int").alias("shard"), "key", "gain")
+    answers = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(answered, "block long, payload binary, own boolean")
+    found = answers.groupBy("block").applyInArrow(summed, ", ".join([*fields, "n_words long", "perplexity double"]))
+    return found.select(*[F.col(f"kept {i}").alias(c) for i, c in enumerate(keep)], "n_words", "perplexity")
 
 
 def judge(scores: DataFrame, trusted: DataFrame, key: str = "doc_id", lang: str = "lang", quantile: float = 0.995, least: int = 30) -> DataFrame:

@@ -4,6 +4,8 @@ import pytest
 from compare import compare, duck
 
 import __spark_entry__ as entry
+from pressgauge.plans.oracles import ORACLES
+from pressgauge.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,9 +15,9 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, con, name):
-    assert compare(spark, con, entry.queries()[name], entry.oracle_sql()[name], SF) is None
+    assert compare(spark, con, QUERIES[name], ORACLES[name], SF) is None
 
 
 def test_every_oracle_has_a_query():
@@ -23,8 +25,8 @@ def test_every_oracle_has_a_query():
 
 
 def test_rows_only_queries_run(spark):
-    for name in set(entry.queries()) - set(entry.oracle_sql()):
-        assert entry.queries()[name](spark, SF).count() > 0, name
+    for name in set(QUERIES) - set(ORACLES):
+        assert QUERIES[name](spark, SF).count() > 0, name
 
 
 def test_entry(spark):

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import resolve
 from .frames import free_name, stored
@@ -137,7 +137,7 @@ def linked(texts: DataFrame) -> DataFrame:
     candidates = texts.where("tiles IS NOT NULL")
     sketches = candidates.select("id", "n", "sketch").distinct()
     # one row for each set; both joins below read the same exchange
-    copy = F.count("*").over(_copies())
+    copy = F.count("*").over(Window.partitionBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     members = candidates.select("id", "members").withColumn("copy", copy).where("copy = 1").select("id", "members")
 
     def exact(batches):
@@ -153,12 +153,6 @@ def linked(texts: DataFrame) -> DataFrame:
     return resolve(tiles, lambda ids: (verify, sketches), lambda a, b: plausible(a, b, PERCENT))
 
 
-def _copies():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, str]:
     """``docs`` with a row number, whose name is the last result, and (row, key, n, component, first) of every text:
     the smallest key of the texts it is linked with, directly or not, and that text's row."""

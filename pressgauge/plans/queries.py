@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pressgauge import settings
-from pressgauge.functions.text import canonical_url, parse_iso, robots_url, strip, url_domain
+from pressgauge.functions.text import canonical_url, parse_iso, robots_url, url_domain
 from pressgauge.operators import (
     analytics, content, crawl, html_text, ingest, normalize, politeness, reads, retention, robots, sentiment, validate,
 )

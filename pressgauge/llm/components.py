@@ -57,8 +57,8 @@ def resolve(tiles: DataFrame, known: Callable[[DataFrame], tuple[Callable, DataF
     """(id, component) of all ids with a link. ``tiles``: (tile, id) longs, repeats allowed.
 
     ``known`` takes the ids that share a tile with another and returns ``verify``, which takes distinct (a, b) pairs and
-    returns those that are links, and ``attributes``, a table by id. ``plausible`` takes two blocks of rows, as dicts of arrays with those columns, and returns index arrays of the
-    pairs worth verifying, and how far apart each is.
+    returns those that are links, and ``attributes``, a table by id. ``plausible`` takes two blocks of rows, as dicts of
+    arrays with those columns, and returns index arrays of the pairs worth verifying, and how far apart each is.
     """
     by_tile = Window.partitionBy("tile")
     led = tiles.withColumn("leader", F.min("id").over(by_tile)).withColumn("last", F.max("id").over(by_tile)).where("leader < last")
@@ -67,8 +67,7 @@ def resolve(tiles: DataFrame, known: Callable[[DataFrame], tuple[Callable, DataF
 
     first = rows.where("leader < id").groupBy("id").agg(F.min("leader").alias("b"))
     tried = stored(first.select(*_pairs(F.col("id"), F.col("b"))), "pairs")
-    links = stored(verify(tried), "links")
-    found = stored(components(links), "components")
+    found = stored(components(stored(verify(tried), "links")), "components")
 
     for last in (False, False, True):
         placed = rows.select("tile", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -78,7 +77,8 @@ def resolve(tiles: DataFrame, known: Callable[[DataFrame], tuple[Callable, DataF
         new = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(new)
         more = stored(verify(new), "links")
-        links = links.unionByName(more)
+        if more.isEmpty():
+            continue
         stars = found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
         found = stored(components(stars.unionByName(more)), "components")
     return found

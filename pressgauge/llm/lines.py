@@ -50,7 +50,7 @@ class Lines:
         return np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(self.low.tolist(), self.high.tolist())), np.uint64, len(self.low)).view(np.int64)
 
     def bands(self, those: np.ndarray) -> np.ndarray:
-        """BANDS keys for each of some lines of SHINGLE or more code points."""
+        """BANDS keys for each of some lines of SHINGLE or more code points, which must be in their order."""
         if not len(those):
             return np.zeros((0, BANDS), np.int64)
         hashes = (shingle_hashes(points_of(self.data)) >> np.uint64(32)).astype(np.uint32)
@@ -106,18 +106,15 @@ def line_rows(docs: DataFrame, key: str, text: str, row: str) -> DataFrame:
 
     def split(batches):
         for batch in batches:
-            for low, high in portions(batch.column(2), 2 << 20):
+            for low, high in portions(batch.column(2)):
                 lines = Lines(batch.column(2)[low:high])
                 ids = lines.ids()
                 those = np.flatnonzero(lines.long)
-                _, first = np.unique(ids[those], return_index=True)
+                first = np.sort(np.unique(ids[those], return_index=True)[1])
                 keys = lines.bands(those[first])
                 places = np.zeros(len(those) + 1, np.int64)
                 places[1:][first] = BANDS
-                order = np.argsort(first)
-                missing = np.ones(len(those), bool)
-                missing[first] = False
-                bands = pa.ListArray.from_arrays(pa.array(np.cumsum(places).astype(np.int32)), pa.array(keys[order].ravel()))
+                bands = pa.ListArray.from_arrays(pa.array(np.cumsum(places).astype(np.int32)), pa.array(keys.ravel()))
                 at = pa.array(lines.text[those] + low)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.number[those].astype(np.int32)), pa.array(ids[those]), bands],

@@ -14,8 +14,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+# Workers live long: what Arrow frees should go back to the system, not stay in its own pool.
+pa.set_memory_pool(pa.system_memory_pool())
+
 LONG_WORD = 256
-PIECE = 1 << 20
+PIECE = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -64,7 +67,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def portions(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def portions(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes of text each (one longer text stays whole)."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     low, total = 0, 0

@@ -118,8 +118,9 @@ def _block_pairs(table: pa.Table, edges: list[int], plausible, every: bool):
     out = [np.zeros((0, 2), np.int64)]
     for a, b in zip(edges, edges[1:]):
         own = {n: c[a:b] for n, c in columns.items()}
-        left = {n: c[own["block"] == own["low"][0]] for n, c in own.items()}
-        right = {n: c[own["block"] == own["high"][0]] for n, c in own.items()}
+        left = right = own
+        if own["low"][0] != own["high"][0]:
+            left, right = ({n: c[own["block"] == own[side][0]] for n, c in own.items()} for side in ("low", "high"))
         if len(left["id"]) and len(right["id"]):
             i, j, distance = plausible(left, right)
             keep = np.flatnonzero(left["component"][i] != right["component"][j])

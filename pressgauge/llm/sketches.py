@@ -37,19 +37,36 @@ def apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum())
 
 
+def _matrix(sketches: np.ndarray, size: int) -> np.ndarray:
+    """Maps as rows of 64-bit words, folded to ``size`` bytes."""
+    if len({len(x) for x in sketches}) == 1:
+        rows = _fold(np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1), size)
+    else:
+        rows = np.stack([_fold(np.frombuffer(x, np.uint8), size) for x in sketches])
+    return np.ascontiguousarray(rows).view(np.uint64)
+
+
 def plausible(left: dict, right: dict, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of two blocks (columns n and sketch) whose sizes and maps allow the similarity, and their distances."""
-    n, m = left["n"], right["n"]
+    """Pairs of two blocks (columns n and sketch) whose sizes and maps allow the similarity, and their distances.
+
+    Of a block with itself each pair is given once.
+    """
     size = min(min(map(len, left["sketch"])), min(map(len, right["sketch"])))
-    a, b = (np.stack([_fold(np.frombuffer(x, np.uint8), size) for x in side["sketch"]]) for side in (left, right))
-    a, b = a.view(np.uint64), b.view(np.uint64)
-    rows, columns, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-    for i in range(len(a)):
-        bits = np.bitwise_count(a[i] ^ b).sum(1, dtype=np.int64)
-        near = np.flatnonzero((100 * np.minimum(n[i], m) >= percent * np.maximum(n[i], m)) & close(n[i], m, bits, percent))
-        rows.append(np.full(len(near), i, np.int64))
-        columns.append(near)
-        far.append(bits[near] / (n[i] + m[near]))
+    a = _matrix(left["sketch"], size)
+    b = a if right is left else _matrix(right["sketch"], size)
+    n, m = left["n"], right["n"]
+    step = max(1, (1 << 18) // (len(b) * b.shape[1]))  # rows at a time
+    rows, columns, far = [], [], []
+    for low in range(0, len(a), step):
+        own = n[low : low + step, None]
+        bits = np.bitwise_count(a[low : low + step, None] ^ b[None]).sum(2, dtype=np.int64)
+        near = (100 * np.minimum(own, m) >= percent * np.maximum(own, m)) & close(own, m, bits, percent)
+        if right is left:
+            near &= np.arange(low, low + len(own))[:, None] < np.arange(len(b))
+        i, j = np.nonzero(near)
+        rows.append(i + low)
+        columns.append(j)
+        far.append(bits[i, j] / (n[i + low] + m[j]))
     return np.concatenate(rows), np.concatenate(columns), np.concatenate(far)
 
 

@@ -418,7 +418,10 @@ def cleanup_report(spark, sf_dir):
 
 
 def _doc_scores(spark, sf_dir, method=sentiment.lexicon_scores):
-    return method(V.table(spark, sf_dir, "documents"), "doc_id", "text", V.lexicon(spark, sf_dir))
+    # The table may be one file that a scan cannot split; the session's number of partitions deals its texts out.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", "text").repartition(parts, "doc_id")
+    return method(docs, "doc_id", "text", V.lexicon(spark, sf_dir))
 
 
 @query

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .frames import stored
+from .frames import discard, stored
 
 BLOCK = 512
 FEW, LIKELIEST = 4, 3
@@ -37,7 +37,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        edges = stored(small.distinct(), "edges")
+        edges, old = stored(small.distinct(), "edges"), edges
+        discard(old)
     roots = edges.select("b").distinct()
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots.select(F.col("b").alias("id"), F.col("b").alias("component")))
 
@@ -67,20 +68,29 @@ def resolve(tiles: DataFrame, known: Callable[[DataFrame], tuple[Callable, DataF
 
     first = rows.where("leader < id").groupBy("id").agg(F.min("leader").alias("b"))
     tried = stored(first.select(*_pairs(F.col("id"), F.col("b"))), "pairs")
-    found = stored(components(stored(verify(tried), "links")), "components")
+    links = stored(verify(tried), "links")
+    found = stored(components(links), "components")
+    discard(links)
+    spent = [tried]
 
     for last in (False, False, True):
         placed = rows.select("tile", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = placed.withColumn("smallest", F.min("component").over(by_tile)).withColumn("largest", F.max("component").over(by_tile)).where("smallest < largest")
-        rows = mixed = stored(mixed, "mixed")
+        rows, old = stored(mixed, "mixed"), rows
+        mixed = rows
+        discard(old)
         pairs = _across(mixed, attributes, plausible, every=last)
         new = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(new)
+        spent.append(new)
         more = stored(verify(new), "links")
         if more.isEmpty():
+            discard(more)
             continue
         stars = found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-        found = stored(components(stars.unionByName(more)), "components")
+        found, old = stored(components(stars.unionByName(more)), "components"), found
+        discard(old, more)
+    discard(rows, *spent)
     return found
 
 

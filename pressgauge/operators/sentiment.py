@@ -2,7 +2,7 @@
 
 The lexicon method is the published rule-based one (Hutto & Gilbert, ICWSM
 2014). The word list is a table argument; ``read_lexicon`` loads the usual
-tab-separated file and ``default_lexicon`` is a small list of our own.
+tab-separated file and ``default_lexicon`` is a short one.
 """
 
 from __future__ import annotations

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import work_path
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def free_name(columns: Iterable[str], base: str) -> str:
     """``base``, with underscores added until no column has that name (names compare without case)."""
@@ -17,10 +19,20 @@ def free_name(columns: Iterable[str], base: str) -> str:
     return base
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, and sizes are known afterwards."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+def stored(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """Write to the shared folder and read back: cuts the lineage, and sizes are known afterwards.
+
+    With ``tidy``, the shuffle files of the write go when it ends, not when the driver collects its garbage.
+    """
+    path, conf = work_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    if tidy:
+        conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     read = df.sparkSession.read.schema(df.schema).parquet(path)
     read.stored_at = path
     return read

@@ -1,16 +1,19 @@
 """Quality by perplexity: an interpolated modified Kneser-Ney bigram model trained on trusted texts.
 
-Words are runs without white space, case kept. The vocabulary is closed and fitted on a bounded sample: the ``max_words``
-commonest words that occur twice in about ``max_texts`` trusted texts, chosen by a hash. Any other word is <unk>, whose
-probability is shared evenly among the rarer words of the sample. Counts and statistics are of all trusted texts. Bigrams
-seen once are pruned, their mass going to the back-off weight of their context, so each context still sums to one.
-
-What depends on single words (back-off weights, lowest-order probabilities) has ``max_words`` rows and is broadcast, as
-are the HOT commonest bigrams; so hot words and bigrams never meet in one task. The other bigrams are found by a sharded
-join with the count table: each portion of texts sends one packed list to each shard (its remaining bigrams, less those
-that a bit map of fixed size shows to be unknown), and each shard returns one packed list of gains to the portion. A gain
-is what a seen bigram adds to the backed-off log-probability, so a text's log-likelihood is a plain sum. The number of
-shards grows with the texts, so that a shard's lists stay small.
+Words are runs without white space, case kept. The vocabulary is every word that occurs twice in the trusted texts, however
+many there are. Any other word is <unk>, whose probability is shared evenly among the words seen once. Counts and
+statistics are of all trusted texts. Bigrams seen once are pruned, their mass going to the back-off weight of their
+context, so each context still sums to one.
+
+What depends on single words (back-off weights, lowest-order probabilities) is broadcast for the HOT_WORDS commonest words,
+as are the HOT commonest bigrams; so hot words and bigrams never meet in one task. What belongs to the other words and
+bigrams is found by a sharded join with one table: each portion of texts sends one packed list to each shard (its remaining
+words and bigrams, less the bigrams that a bit map of fixed size shows to be unknown), and each shard returns one packed
+list of sums to the portion. A gain is what a seen bigram adds to the backed-off log-probability, so a text's
+log-likelihood is a plain sum. The number of shards grows with the texts, so that a shard's lists stay small.
+
+Which words are known is told exactly and without a join: a bit map of fixed size has the words that are not hot, and the
+few others that hit a set bit are listed beforehand. Words and bigrams are 63- and 64-bit hashes.
 
 A text's threshold is the ``quantile`` of the perplexities of trusted texts of its language that were held out of the
 training; languages with fewer than ``least`` such texts take the quantile over all languages. Texts above it are rejected.
@@ -26,23 +29,25 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .frames import free_name, stored
-from .words import SPACE, Lookup, Words, mix, portions
+from .frames import discard, free_name, stored
+from .words import BASE, SPACE, Lookup, Words, mix, portions
 
-MAX_WORDS = (1 << 16) - 2
+MAX_WORDS = None  # the vocabulary has no limit
+HOT_WORDS = (1 << 16) - 2
 UNK, START, FIRST = 0, 1, 2  # word numbers
-MAX_TEXTS = 20_000
+LOW, BOTH = 1 << 40, (1 << 40) + 1  # in place of a second word: a word's own terms, without and with its back-off weight
+SIGN = np.uint64(1 << 63)
 HOT = 1 << 16
 SHARD_BYTES = 32 << 20  # text for each shard of the count table
 BITS = 1 << 27
 HELD_OUT = 5  # one trusted text in so many
 
 
-def bit_map(keys: DataFrame, at: str) -> np.ndarray:
-    """BITS bits, set at each value of ``at`` (below BITS): a fixed 16 MB on the driver, whatever the number of keys."""
+def bit_map(keys: DataFrame, at: str, size: int = BITS) -> np.ndarray:
+    """``size`` bits, set at each value of ``at`` (below it): by default a fixed 16 MB on the driver, whatever the number of keys."""
     at = keys.select((F.col(at) + 1).alias("at"))  # these functions count from 1
     rows = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    out = np.zeros(BITS // 8, np.uint8)
+    out = np.zeros(size // 8, np.uint8)
     for r in rows:
         piece = np.frombuffer(r["bits"], np.uint8)
         low = (r["bucket"] - 1) * 4096
@@ -87,87 +92,188 @@ def _discounted(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray
     return np.maximum(counts - np.select([counts <= 0, counts == 1, counts == 2], [0.0, d[0], d[1]], d[2]), 0)
 
 
-def numbered(words: Words, vocabulary: Lookup) -> tuple[np.ndarray, np.ndarray]:
-    """Number of each word and key of the bigram that ends in it (each text begins after START)."""
-    at = vocabulary.find(words.hashes()).astype(np.int64)
-    number = np.where(at < 0, UNK, at + FIRST)
-    before = np.empty_like(number)
-    before[1:] = number[:-1]
-    before[words.bounds[:-1][words.counts > 0]] = START
-    return number, before << 16 | number
+class Vocabulary:
+    """Numbers of words: hot ones count from FIRST, other known ones have their hash with the sign set, the rest are UNK."""
+
+    def __init__(self, hot: np.ndarray, bits: np.ndarray, lures: np.ndarray):
+        self.hot, self.bits, self.lures = Lookup(hot, 20), bits, Lookup(lures, 20)
+
+    def likely(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes that are not hot and hit a set bit."""
+        rest = np.flatnonzero(self.hot.find(hashes) < 0)
+        return rest[bits_set(self.bits, (hashes[rest] & np.uint64(len(self.bits) * 8 - 1)).astype(np.int64))]
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        at = self.hot.find(hashes).astype(np.int64)
+        number = np.where(at < 0, UNK, at + FIRST)
+        rest = self.likely(hashes)
+        rest = rest[self.lures.find(hashes[rest]) < 0]
+        number[rest] = (hashes[rest] | SIGN).view(np.int64)
+        return number
+
+
+def before(words: Words, number: np.ndarray) -> np.ndarray:
+    """Number of what stands before each word (each text begins after START)."""
+    out = np.empty_like(number)
+    out[1:] = number[:-1]
+    out[words.bounds[:-1][words.counts > 0]] = START
+    return out
+
 
+def pair(u: np.ndarray, v: np.ndarray | int) -> np.ndarray:
+    """64-bit keys of bigrams."""
+    return mix(u.astype(np.uint64) * BASE + np.asarray(v).astype(np.uint64)).view(np.int64)
 
-def _counted(batches, column: str, of):
-    for batch in batches:
-        for low, high in portions(batch.column(0)):
-            found, times = np.unique(of(batch.column(0)[low:high]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times.astype(np.int64))], names=[column, "times"])
 
+def _of(values: np.ndarray, number: np.ndarray, other: float = 0.0) -> np.ndarray:
+    """Values of hot words; ``other`` for words that are not."""
+    return np.where(number < 0, other, values[np.maximum(number, 0)])
 
-def fit(texts: DataFrame, hot: int = HOT, max_words: int = MAX_WORDS, max_texts: int = MAX_TEXTS) -> dict:
-    """The model of (key, text) rows: word arrays and hot bigrams for the driver to broadcast, and ``tail``, the table of
-    the other bigrams."""
+
+def _rest(table: DataFrame, top, most: int, key: str) -> DataFrame:
+    """The rows that come after the ``most`` commonest, ``top``."""
+    if len(top) < most:
+        return table.where("false")
+    times, last = (int(top[c].iloc[-1]) for c in ("times", key))
+    return table.where((F.col("times") < times) | ((F.col("times") == times) & (F.col(key) > last)))
+
+
+def _hashes(rows: DataFrame) -> np.ndarray:
+    return np.sort(rows.toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
+
+
+def fit(texts: DataFrame, hot: int = HOT, hot_words: int = HOT_WORDS, size: int = BITS) -> dict:
+    """The model of (key, text) rows: arrays of hot words and bigrams for the driver to broadcast; ``cold``, the other known
+    words; and ``tail``, the table of what belongs to the other words and bigrams. ``size`` is that of the words' bit map."""
     spark = texts.sparkSession
-    share = min(1.0, max_texts / max(1, texts.select("key").count()))
-    sample = texts if share == 1 else texts.where(F.xxhash64("key", F.lit("vocabulary")) < int((share - 0.5) * 2**64))
 
     def words_of(batches):
-        return _counted(batches, "hash", lambda c: Words(c, SPACE).hashes().view(np.int64))
-
-    counts = stored(sample.select("text").mapInArrow(words_of, "hash long, times long").groupBy("hash").agg(F.sum("times").alias("times")), "words")
-    kept = counts.where("times > 1").orderBy(F.desc("times"), "hash").limit(max_words).toPandas()
+        for batch in batches:
+            for low, high in portions(batch.column(0)):
+                found, times = np.unique(Words(batch.column(0)[low:high], SPACE).hashes().view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times.astype(np.int64))], names=["hash", "times"])
+
+    counts = stored(texts.select("text").mapInArrow(words_of, "hash long, times long").groupBy("hash").agg(F.sum("times").alias("times")), "words", tidy=True)
+    known = counts.where("times > 1")
+    n_known = known.count()
+    rare = max(1, counts.count() - n_known)
+    kept = known.orderBy(F.desc("times"), "hash").limit(hot_words).toPandas()
+    cold = stored(_rest(known, kept, hot_words, "hash").select("hash"), "cold")
     keys = np.sort(kept["hash"].to_numpy(np.int64).view(np.uint64))
-    rare = max(1, counts.count() - len(keys))
-    shared = spark.sparkContext.broadcast(keys)
+    bits = bit_map(cold.select(F.col("hash").bitwiseAND(size - 1).alias("at")), "at", size)
+    shared = spark.sparkContext.broadcast((keys, bits))
+
+    def lured(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(bits_set(shared.value[1], batch.column(0).to_numpy() & (size - 1))))
+
+    lures = spark.sparkContext.broadcast(_hashes(counts.where("times = 1").select("hash").mapInArrow(lured, "hash long")))
+
+    discard(counts)
 
     def bigrams_of(batches):
-        vocabulary = Lookup(shared.value, 20)
-        return _counted(batches, "key", lambda c: numbered(Words(c, SPACE), vocabulary)[1])
+        vocabulary = Vocabulary(*shared.value, lures.value)
+        for batch in batches:
+            for low, high in portions(batch.column(0)):
+                words = Words(batch.column(0)[low:high], SPACE)
+                number = vocabulary.numbers(words.hashes())
+                first = before(words, number)
+                _, at, times = np.unique(pair(first, number), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (first[at], number[at], times.astype(np.int64))], names=["u", "v", "times"])
 
-    bigrams = stored(texts.select("text").mapInArrow(bigrams_of, "key long, times long").groupBy("key").agg(F.sum("times").alias("times")), "bigrams")
+    bigrams = stored(texts.select("text").mapInArrow(bigrams_of, "u long, v long, times long").groupBy("u", "v").agg(F.sum("times").alias("times")), "bigrams", tidy=True)
 
-    # by context and by word: at most MAX_WORDS + 2 rows each
-    size = len(keys) + FIRST
+    # by context and by word: rows for every known word; only those of hot ones are collected
     seen = [F.sum(F.when(F.col("times") == i, 1).otherwise(0)) for i in (1, 2)] + [F.sum(F.when(F.col("times") > 2, 1).otherwise(0))]
-    context = bigrams.groupBy(F.shiftright("key", 16).alias("word")).agg(F.sum("times").alias("total"), *[x.alias(f"n{i}") for i, x in enumerate(seen, 1)]).toPandas()
-    endings = bigrams.groupBy(F.col("key").bitwiseAND(65535).alias("word")).agg(F.count("*").alias("n")).toPandas()
-    of_counts = bigrams.where("times < 5").groupBy("times").count().collect()
-    d = _discounts([{r["times"]: r["count"] for r in of_counts}.get(i, 0) for i in (1, 2, 3, 4)])
-    backoff = np.ones(size)
-    backoff[context["word"]] = (context["n1"] + d[1] * context["n2"] + d[2] * context["n3"]) / context["total"]
-    totals = np.ones(size)
-    totals[context["word"]] = context["total"]
-    ended = np.zeros(size)
-    ended[endings["word"]] = endings["n"]
-    e = _discounts([int((ended == i).sum()) for i in (1, 2, 3, 4)])
-    mass = max(1.0, ended.sum())
-    lowest = _discounted(ended, e)
-    lowest = (lowest + (mass - lowest.sum()) / size) / mass
-    share = spark.sparkContext.broadcast((backoff, totals, lowest, d))
+    context = stored(bigrams.groupBy("u").agg(F.sum("times").alias("total"), *[x.alias(f"n{i}") for i, x in enumerate(seen, 1)]), "contexts", tidy=True)
+    endings = stored(bigrams.groupBy("v").agg(F.count("*").alias("n")), "endings", tidy=True)
+    d = _discounts(_few(bigrams, "times"))
+    e = _discounts(_few(endings, "n"))
+    sums = endings.groupBy(F.least("n", F.lit(3)).alias("kind")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()
+    mass = max(1.0, sum(r["n"] for r in sums))
+    spread = (mass - sum(r["n"] - e[r["kind"] - 1] * r["words"] for r in sums)) / (n_known + FIRST)
+
+    def weights(n1, n2, n3, total):
+        return (n1 + d[1] * n2 + d[2] * n3) / total
+
+    def likelihoods(n):
+        return (_discounted(n, e) + spread) / mass
+
+    of, ended = context.where("u >= 0").toPandas(), np.zeros(len(keys) + FIRST)
+    backoff, totals = np.ones(len(keys) + FIRST), np.ones(len(keys) + FIRST)
+    backoff[of["u"]] = weights(of["n1"], of["n2"], of["n3"], of["total"])
+    totals[of["u"]] = of["total"]
+    of = endings.where("v >= 0").toPandas()
+    ended[of["v"]] = of["n"]
+    lowest = likelihoods(ended)
+    share = spark.sparkContext.broadcast((backoff, totals, lowest))
 
     def gains(batches):
-        backoff, totals, lowest, d = share.value
+        backoff, totals, lowest = share.value
         for batch in batches:
-            key, times = (batch.column(i).to_numpy() for i in (0, 1))
-            u, v = key >> 16, key & 65535
-            gain = np.log1p(_discounted(times.astype(float), d) / totals[u] / (backoff[u] * lowest[v]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gain), pa.array(places(key))], names=["key", "times", "gain", "at"])
+            u, v, times, total, *n, ends = (batch.column(i).to_numpy() for i in range(8))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                under = np.where(u < 0, weights(*n, total), _of(backoff, u)) * np.where(v < 0, likelihoods(ends), _of(lowest, v))
+                gain = np.log1p(_discounted(times.astype(float), d) / np.where(u < 0, total, _of(totals, u)) / under)
+            yield pa.RecordBatch.from_arrays([pa.array(pair(u, v)), batch.column(2), pa.array(gain)], names=["key", "times", "gain"])
 
-    table = bigrams.where("times > 1").mapInArrow(gains, "key long, times long, gain double, at long")
+    def own_terms(batches):
+        for batch in batches:
+            w, ends, total, *n = (batch.column(i).to_numpy() for i in range(6))
+            low = np.log(likelihoods(ends))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                both = low + np.where(total > 0, np.log(weights(*n, total)), 0.0)
+            for key, term in ((pair(w, LOW), low), (pair(w, BOTH), both)):
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(term)], names=["key", "gain"])
+
+    # only what has a word that is not hot is joined, so no key is common
+    none = [F.lit(0).cast("long").alias(c) for c in ("total", "n1", "n2", "n3")]
+    rows = bigrams.where("times > 1")
+    rows = rows.where("u >= 0").select("u", "v", "times", *none).unionByName(rows.where("u < 0").join(context.where("u < 0"), "u"))
+    rows = rows.where("v >= 0").withColumn("n", none[0]).unionByName(rows.where("v < 0").join(endings.where("v < 0"), "v"))
+    rows = rows.select("u", "v", "times", "total", "n1", "n2", "n3", F.col("n").alias("ends"))
+    table = stored(rows.mapInArrow(gains, "key long, times long, gain double"), "gains", tidy=True)
+    ends = endings.where("v < 0").join(context.where("u < 0"), F.col("u") == F.col("v"), "left")
+    ends = ends.select("v", "n", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("total", "n1", "n2", "n3")])
+    ends = stored(ends.mapInArrow(own_terms, "key long, gain double"), "terms", tidy=True)
     top = table.orderBy(F.desc("times"), "key").limit(hot).toPandas()
-    tail = table.where("false")
-    if len(top) == hot:
-        last = top.iloc[-1]
-        tail = table.where((F.col("times") < int(last["times"])) | ((F.col("times") == int(last["times"])) & (F.col("key") > int(last["key"]))))
-    top = top.sort_values("key")
+    tail = _rest(table, top, hot, "key").select("key", "gain").unionByName(ends)
+    discard(bigrams, context, endings)
+    order = np.argsort(top["key"].to_numpy(np.int64).view(np.uint64))
     with np.errstate(divide="ignore"):
-        words = {"keys": keys, "backoff": np.log(backoff), "lowest": np.log(lowest) - np.where(np.arange(size) == UNK, np.log(rare), 0.0)}
-    return {**words, "hot": top["key"].to_numpy(np.int64), "gain": top["gain"].to_numpy(float), "tail": stored(tail.select("key", "gain", "at"), "tail")}
+        words = {"keys": keys, "bits": bits, "backoff": np.log(backoff), "lowest": np.log(lowest) - np.where(np.arange(len(lowest)) == UNK, np.log(rare), 0.0)}
+    cold = cold if n_known > len(keys) else None
+    return {**words, "hot": top["key"].to_numpy(np.int64)[order], "gain": top["gain"].to_numpy(float)[order], "tail": tail, "cold": cold}
+
+
+def _few(table: DataFrame, column: str) -> list[int]:
+    """How many rows have one to four of ``column``."""
+    found = {r[column]: r["count"] for r in table.where(F.col(column) < 5).groupBy(column).count().collect()}
+    return [found.get(i, 0) for i in (1, 2, 3, 4)]
+
+
+def _lures(docs: DataFrame, text: str, model: dict) -> np.ndarray:
+    """Words of the texts that hit a set bit of the vocabulary's map and are not known."""
+    if model["cold"] is None:
+        return np.zeros(0, np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast((model["keys"], model["bits"]))
+
+    def likely(batches):
+        vocabulary = Vocabulary(*shared.value, np.zeros(0, np.uint64))
+        for batch in batches:
+            for low, high in portions(batch.column(0)):
+                hashes = np.unique(Words(batch.column(0)[low:high], SPACE).hashes())
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[vocabulary.likely(hashes)].view(np.int64))], names=["hash"])
+
+    found = stored(docs.select(text).mapInArrow(likely, "hash long").distinct().join(model["cold"], "hash", "left_anti"), "lures", tidy=True)
+    hashes = _hashes(found)
+    discard(found)
+    return hashes
 
 
 def places(key: np.ndarray) -> np.ndarray:
-    """Hash of bigram keys: their place in the bit map, and by the remainder their shard."""
-    return (mix(key.astype(np.uint64)) & np.uint64(BITS - 1)).astype(np.int64)
+    """Lower bits of keys: their place in the bit map, and by the remainder their shard."""
+    return key & (BITS - 1)
 
 
 def _packed(*columns: np.ndarray) -> bytes:
@@ -189,25 +295,25 @@ def perplexities(docs: DataFrame, model: dict, keep: list[str], text: str = "tex
     """The columns ``keep`` of each text, n_words and perplexity."""
     import pandas as pd
 
-    spark, tail = docs.sparkSession, model["tail"]
+    spark, tail, at = docs.sparkSession, model["tail"], F.col("key").bitwiseAND(BITS - 1)
     shards = max(16, -(-int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // shard_bytes))
-    shared = spark.sparkContext.broadcast(({k: v for k, v in model.items() if k != "tail"}, bit_map(tail, "at")))
+    shared = spark.sparkContext.broadcast(({k: v for k, v in model.items() if k not in ("tail", "cold")}, _lures(docs, text, model), bit_map(tail.select(at.alias("at")), "at")))
     kept = [F.col(c).alias(f"kept {i}") for i, c in enumerate(keep)]
     rows = docs.select(F.col(text).alias("text"), F.monotonically_increasing_id().alias("block"), *kept)
 
     def sent(batches):
         """For each portion its own columns, base sums included, as one row; and one row for each shard."""
-        model, bits = shared.value
-        vocabulary = Lookup(model["keys"], 20)
-        spread = mix(model["hot"].astype(np.uint64))
-        order = np.argsort(spread)
-        hot, gain = Lookup(spread[order], 20), np.append(model["gain"][order], 0.0)
+        model, lures, bits = shared.value
+        vocabulary = Vocabulary(model["keys"], model["bits"], lures)
+        hot, gain = Lookup(model["hot"].view(np.uint64), 20), np.append(model["gain"], 0.0)
         for batch in batches:
             for low, high in portions(batch.column(0)):
                 words = Words(batch.column(0)[low:high], SPACE)
-                number, key = numbered(words, vocabulary)
-                at, texts = hot.find(mix(key.astype(np.uint64))), words.texts()
-                log = model["backoff"][key >> 16] + model["lowest"][number] + gain[at]  # the last gain is that of no hit
+                number = vocabulary.numbers(words.hashes())
+                first = before(words, number)
+                key = pair(first, number)
+                at, texts = hot.find(key.view(np.uint64)), words.texts()
+                log = _of(model["backoff"], first) + _of(model["lowest"], number) + gain[at]  # the last gain is that of no hit
                 base = np.bincount(texts, log, len(words.counts))
                 own = pa.RecordBatch.from_arrays(
                     [*(batch.column(i)[low:high] for i in range(2, batch.num_columns)), pa.array(words.counts.astype(np.int64)), pa.array(base)],
@@ -220,14 +326,20 @@ def perplexities(docs: DataFrame, model: dict, keep: list[str], text: str = "tex
                 out = [(block % shards, block, sink.getvalue().to_pybytes(), True)]
                 rest = np.flatnonzero(at < 0)
                 rest = rest[bits_set(bits, places(key[rest]))]
-                pairs, times = np.unique(key[rest] << 31 | texts[rest], return_counts=True)
-                key, texts = pairs >> 31, pairs & (1 << 31) - 1
+                cold, final = np.flatnonzero(number < 0), np.zeros(len(number), bool)
+                final[words.bounds[1:][words.counts > 0] - 1] = True
+                key = np.concatenate([key[rest], pair(number[cold], np.where(final[cold], LOW, BOTH))])
+                texts = np.concatenate([texts[rest], texts[cold]])
+                order = np.lexsort((texts, key))
+                key, texts = key[order], texts[order]
+                once = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (texts[1:] != texts[:-1]))[: len(key)])
+                key, texts, times = key[once], texts[once], np.diff(np.append(once, len(key)))
                 shard = places(key) % shards
                 order = np.argsort(shard, kind="stable")
                 edges = np.searchsorted(shard[order], np.arange(shards + 1))
                 for i in np.flatnonzero(np.diff(edges)):
                     those = order[edges[i] : edges[i + 1]]
-                    steps = np.diff(key[those], prepend=0).astype(np.uint32)
+                    steps = np.diff(key[those].view(np.uint64), prepend=np.uint64(0))
                     out.append((int(i), block, _packed(steps, texts[those].astype(np.uint32), times[those].astype(np.uint32)), False))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x, k) for x, k in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.bool_()))], names=["shard", "block", "payload", "own"]
@@ -240,8 +352,8 @@ def perplexities(docs: DataFrame, model: dict, keep: list[str], text: str = "tex
             if own:
                 out.append((block, payload, True))
                 continue
-            steps, texts, times = _unpacked(payload, np.uint32, np.uint32, np.uint32)
-            wanted = np.cumsum(steps.astype(np.int64))
+            steps, texts, times = _unpacked(payload, np.uint64, np.uint32, np.uint32)
+            wanted = np.cumsum(steps).view(np.int64)
             at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
             hit = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
             sums = np.bincount(texts[hit], gain[at[hit]] * times[hit])
@@ -269,7 +381,7 @@ def perplexities(docs: DataFrame, model: dict, keep: list[str], text: str = "tex
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:]]
     asked = rows.mapInArrow(sent, "shard int, block long, payload binary, own boolean")
-    known = tail.select(F.pmod("at", F.lit(shards)).cast("int").alias("shard"), "key", "gain")
+    known = tail.select(F.pmod(at, F.lit(shards)).cast("int").alias("shard"), "key", "gain")
     answers = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(answered, "block long, payload binary, own boolean")
     found = answers.groupBy("block").applyInArrow(summed, ", ".join([*fields, "n_words long", "perplexity double"]))
     return found.select(*[F.col(f"kept {i}").alias(c) for i, c in enumerate(keep)], "n_words", "perplexity")

@@ -2,8 +2,8 @@
 
 Words are runs without white space, case kept. The vocabulary is every word that occurs twice in the trusted texts, however
 many there are. Any other word is <unk>, whose probability is shared evenly among the words seen once. Counts and
-statistics are of all trusted texts. Bigrams seen once are pruned, their mass going to the back-off weight of their
-context, so each context still sums to one.
+statistics are of all trusted texts. Bigrams seen fewer than ``least`` times (1: none, 2: those seen once) are pruned, their
+mass going to the back-off weight of their context, so each context still sums to one. ``accepted`` and the query prune none.
 
 What depends on single words (back-off weights, lowest-order probabilities) is broadcast for the HOT_WORDS commonest words,
 as are the HOT commonest bigrams; so hot words and bigrams never meet in one task. What belongs to the other words and
@@ -142,7 +142,7 @@ def _hashes(rows: DataFrame) -> np.ndarray:
     return np.sort(rows.toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
 
 
-def fit(texts: DataFrame, hot: int = HOT, hot_words: int = HOT_WORDS, size: int = BITS) -> dict:
+def fit(texts: DataFrame, hot: int = HOT, hot_words: int = HOT_WORDS, size: int = BITS, least: int = 2) -> dict:
     """The model of (key, text) rows: arrays of hot words and bigrams for the driver to broadcast; ``cold``, the other known
     words; and ``tail``, the table of what belongs to the other words and bigrams. ``size`` is that of the words' bit map."""
     spark = texts.sparkSession
@@ -194,7 +194,7 @@ def fit(texts: DataFrame, hot: int = HOT, hot_words: int = HOT_WORDS, size: int
     spread = (mass - sum(r["n"] - e[r["kind"] - 1] * r["words"] for r in sums)) / (n_known + FIRST)
 
     def weights(n1, n2, n3, total):
-        return (n1 + d[1] * n2 + d[2] * n3) / total
+        return (n1 * (d[0] if least < 2 else 1.0) + d[1] * n2 + d[2] * n3) / total
 
     def likelihoods(n):
         return (_discounted(n, e) + spread) / mass
@@ -228,7 +228,7 @@ def fit(texts: DataFrame, hot: int = HOT, hot_words: int = HOT_WORDS, size: int
 
     # only what has a word that is not hot is joined, so no key is common
     none = [F.lit(0).cast("long").alias(c) for c in ("total", "n1", "n2", "n3")]
-    rows = bigrams.where("times > 1")
+    rows = bigrams.where(F.col("times") >= least)
     rows = rows.where("u >= 0").select("u", "v", "times", *none).unionByName(rows.where("u < 0").join(context.where("u < 0"), "u"))
     rows = rows.where("v >= 0").withColumn("n", none[0]).unionByName(rows.where("v < 0").join(endings.where("v < 0"), "v"))
     rows = rows.select("u", "v", "times", "total", "n1", "n2", "n3", F.col("n").alias("ends"))
@@ -410,7 +410,7 @@ def accepted(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str
     """
     row = free_name(docs.columns, "row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    model = fit(trusted_texts(docs, trusted.select(trusted.columns[0]).toDF(key), key, text))
+    model = fit(trusted_texts(docs, trusted.select(trusted.columns[0]).toDF(key), key, text), least=1)
     scores = stored(perplexities(numbered, model, [row, key, lang], text), "perplexities")
     rejected = judge(scores, trusted.toDF(key), key, lang, **options).where("rejected").select(row)
     return numbered.join(rejected, row, "left_anti").select(*docs.columns)

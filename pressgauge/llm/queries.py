@@ -19,7 +19,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity of every text under a model of the trusted ones, and whether its language's threshold rejects it."""
     prepare(spark)
     docs = table(spark, sf_dir, "documents")
-    model = quality.fit(quality.trusted_texts(docs, trusted(spark, sf_dir)))
+    model = quality.fit(quality.trusted_texts(docs, trusted(spark, sf_dir)), least=1)
     scores = stored(quality.perplexities(docs, model, ["doc_id", "lang"]), "perplexities")
     return quality.judge(scores, trusted(spark, sf_dir))
 

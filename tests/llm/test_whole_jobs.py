@@ -1,11 +1,14 @@
 """Operators do the whole job: no cap on the vocabulary, no pruning, no line or text too short to be seen."""
 
+import math
 import re
+from collections import Counter, defaultdict
 
 import pytest
 from test_llm_queries import SF, kneser_ney
 
 from pressgauge.llm import quality
+from pressgauge.llm.queries import QUERIES, trusted
 
 
 def words(text):
@@ -39,3 +42,55 @@ def test_words_that_only_seem_known(spark, docs):
     plain = kneser_ney(train, None)
     for text, perplexity in found.items():
         assert perplexity == pytest.approx(plain(words(text)), rel=1e-6)
+
+
+def unpruned(train):
+    """Kneser-Ney with all bigrams: every count is discounted, and only what the discounts take backs off."""
+    counts = Counter(w for t in train for w in t)
+    kept = {w for w, n in counts.items() if n > 1}
+    rare = max(1, len(counts) - len(kept))
+
+    def sent(text):
+        return ["<s>", *[w if w in kept else "<unk>" for w in text]]
+
+    pairs = Counter(p for t in train for p in zip(sent(t), sent(t)[1:]))
+    of = Counter(pairs.values())
+    d = quality._discounts([of.get(i, 0) for i in (1, 2, 3, 4)])
+    total, taken, ended = Counter(), defaultdict(float), Counter()
+    for (u, v), n in pairs.items():
+        total[u] += n
+        taken[u] += d[min(n, 3) - 1]
+        ended[v] += 1
+    of = Counter(ended.values())
+    e = quality._discounts([of.get(i, 0) for i in (1, 2, 3, 4)])
+    mass = sum(ended.values())
+    cut = {v: max(n - e[min(n, 3) - 1], 0) for v, n in ended.items()}
+    floor = (mass - sum(cut.values())) / (len(kept) + 2)
+
+    def perplexity(text):
+        s, log = sent(text), 0.0
+        for u, v in zip(s, s[1:]):
+            n = pairs.get((u, v), 0)
+            back = taken[u] / total[u] if total[u] else 1.0
+            p = back * (cut.get(v, 0) + floor) / mass + (max(n - d[min(n, 3) - 1], 0) / total[u] if n else 0)
+            log += math.log(p) - (math.log(rare) if v == "<unk>" else 0)
+        return math.exp(-log / len(text)) if text else None
+
+    return perplexity
+
+
+def test_bigrams_seen_once_count(spark, docs):
+    train, found = scored(spark, docs, hot=50, hot_words=20, least=1)
+    plain = unpruned(train)
+    for text, perplexity in found.items():
+        assert perplexity == pytest.approx(plain(words(text)), rel=1e-6)
+
+
+def test_query_prunes_nothing(spark, docs):
+    good = {r["doc_id"] for r in trusted(spark, SF).collect()}
+    ids = spark.createDataFrame(docs[["doc_id"]])
+    held = {r["doc_id"] for r in ids.where(quality.is_held_out(ids.doc_id)).collect()}
+    plain = unpruned([words(t) for k, t in zip(docs.doc_id, docs.text) if k in good - held])
+    texts = dict(zip(docs.doc_id, docs.text))
+    for r in QUERIES["op1_quality"](spark, SF).collect():
+        assert r["perplexity"] == pytest.approx(plain(words(texts[r["doc_id"]])), rel=1e-6)

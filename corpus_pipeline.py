@@ -23,7 +23,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that repeat an earlier one (operator 10); texts of nothing else go, empty ones stay."""
-    cleaned = lines.dedup(docs, counts=True)
+    cleaned = lines.dedup(docs, counts=True, short=True)
     left = F.col("text").isNull() | (F.col("n_dropped") == 0) | F.rlike("text", F.lit(r"\S"))
     return cleaned.where(left).select(*docs.columns).withColumn("n_chars", F.char_length("text").cast("long"))
 

@@ -3,9 +3,10 @@
 Lines are separated by line feeds. A line's shingles are its distinct runs of SHINGLE code points in lower case. Lines
 whose shingles have a Jaccard similarity of PERCENT or more are linked, equal lines without more ado; of each connected
 component the first line stays, by key of the text, then by row and line number. BANDS bands of ROWS minima make linked
-lines candidates with a probability of at least 1 - (1 - 0.8 ** ROWS) ** BANDS = 99.8 %; every candidate is verified.
+lines candidates with a probability of at least 1 - (1 - 0.8 ** ROWS) ** BANDS = 99.9 %; every candidate is verified.
 
-Lines of fewer than SHINGLE code points (blank ones too) always stay. Null texts have no lines and stay null; an empty
+With ``short``, lines of fewer than SHINGLE code points have their whole text, in lower case, as their only shingle, so that
+repeats of them link; without it they always stay. Short lines of white space only always stay. Null texts have no lines and stay null; an empty
 table gives an empty one; repeated rows are texts of their own, so the first of them keeps its lines. ``docs`` must give
 its rows in the same order whenever it is read (a table does): rows are told apart by their place.
 """
@@ -21,10 +22,10 @@ from .components import resolve
 from .frames import free_name, stored
 from .quality import BITS, bit_map, bits_set
 from .sketches import bounded, plausible, side, sketch
-from .words import BASE, mix, portions, runs, text_buffers
+from .words import BASE, SPACE, mix, portions, runs, text_buffers
 
-SHINGLE = 9
-BANDS, ROWS = 9, 3
+SHINGLE = 5
+BANDS, ROWS = 13, 4
 PERCENT = 80
 
 _RANDOM = np.random.default_rng(91)
@@ -33,14 +34,17 @@ _STEPS = _RANDOM.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32
 
 
 class Lines:
-    """Lines of some texts as code points: starts, ends, and which of each text."""
+    """Lines of some texts as code points: starts, ends, which of each text, and which are compared."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, short: bool = False):
         self.data, self.offsets = text_buffers(column)
         self.low, self.high, self.bounds = runs(self.data != 10, self.offsets)  # bytes; empty lines left out
         self.heads = np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80)])
         self.starts, self.ends = self.heads[self.low], self.heads[self.high]
-        self.long = self.ends - self.starts >= SHINGLE
+        self.compared = self.ends - self.starts >= SHINGLE
+        if short:
+            filled = np.concatenate([[0], np.cumsum(~SPACE[self.data])])
+            self.compared |= filled[self.high] > filled[self.low]
         feeds = np.concatenate([[0], np.cumsum(self.data == 10)])
         text = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.bounds))
         self.text, self.number = text, feeds[self.low] - feeds[self.offsets[text]]
@@ -50,12 +54,16 @@ class Lines:
         return np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(self.low.tolist(), self.high.tolist())), np.uint64, len(self.low)).view(np.int64)
 
     def bands(self, those: np.ndarray) -> np.ndarray:
-        """BANDS keys for each of some lines of SHINGLE or more code points, which must be in their order."""
+        """BANDS keys for each of some compared lines, which must be in their order."""
         if not len(those):
             return np.zeros((0, BANDS), np.int64)
-        hashes = (shingle_hashes(points_of(self.data)) >> np.uint64(32)).astype(np.uint32)
-        hashes = np.append(hashes, np.uint32(0))
-        ranges = np.column_stack([self.starts[those], self.ends[those] - SHINGLE + 1]).ravel()  # the odd ones lie between lines
+        codes, starts, ends = points_of(self.data), self.starts[those], self.ends[those]
+        hashes, found = np.zeros(len(codes) + 1, np.uint64), shingle_hashes(codes)
+        hashes[: len(found)] = found
+        small = ends - starts < SHINGLE
+        hashes[starts[small]] = whole_hashes(codes, starts[small], ends[small])  # no line's shingles start there
+        hashes = (hashes >> np.uint64(32)).astype(np.uint32)
+        ranges = np.column_stack([starts, np.maximum(starts + 1, ends - SHINGLE + 1)]).ravel()  # the odd ones lie between lines
         keys = np.zeros((len(those), BANDS), np.uint64)
         for k in range(BANDS * ROWS):
             least = np.minimum.reduceat((hashes ^ _TURNS[k]) * _STEPS[k], ranges)[::2]
@@ -84,6 +92,15 @@ def shingle_hashes(codes: np.ndarray) -> np.ndarray:
     return mix(out[: max(0, len(codes) - SHINGLE + 1)])
 
 
+def whole_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each of some texts of fewer than SHINGLE code points."""
+    out = np.zeros(len(starts), np.uint64)
+    for k in range(SHINGLE - 1):
+        more = starts + k < ends
+        out[more] = out[more] * BASE + codes[starts[more] + k].astype(np.uint64) + np.uint64(1)
+    return mix(out)
+
+
 def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(BASE), n, 1 << 64))
 
@@ -91,9 +108,11 @@ def _power(n: int) -> np.uint64:
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
     """Distinct shingle hashes of each line, sorted."""
     data, offsets = text_buffers(column)
-    places = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets].tolist()
-    hashes = shingle_hashes(points_of(data))
-    return [np.unique(hashes[a : max(a, b - SHINGLE + 1)]) for a, b in zip(places, places[1:])]
+    places = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    codes = points_of(data)
+    hashes, whole = shingle_hashes(codes), whole_hashes(codes, places[:-1], places[1:])
+    places = places.tolist()
+    return [np.unique(hashes[a : b - SHINGLE + 1]) if b - a >= SHINGLE else whole[i : i + (b > a)] for i, (a, b) in enumerate(zip(places, places[1:]))]
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -101,15 +120,15 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def line_rows(docs: DataFrame, key: str, text: str, row: str) -> DataFrame:
-    """One row for each line of SHINGLE or more: row, key, number, id, and its bands where first met in a portion."""
+def line_rows(docs: DataFrame, key: str, text: str, row: str, short: bool = False) -> DataFrame:
+    """One row for each compared line: row, key, number, id, and its bands where first met in a portion."""
 
     def split(batches):
         for batch in batches:
             for low, high in portions(batch.column(2)):
-                lines = Lines(batch.column(2)[low:high])
+                lines = Lines(batch.column(2)[low:high], short)
                 ids = lines.ids()
-                those = np.flatnonzero(lines.long)
+                those = np.flatnonzero(lines.compared)
                 first = np.sort(np.unique(ids[those], return_index=True)[1])
                 keys = lines.bands(those[first])
                 places = np.zeros(len(those) + 1, np.int64)
@@ -125,15 +144,15 @@ def line_rows(docs: DataFrame, key: str, text: str, row: str) -> DataFrame:
     return source.mapInArrow(split, f"row long, key {source.schema['key'].dataType.simpleString()}, number int, id long, bands array<long>")
 
 
-def line_texts(docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
+def line_texts(docs: DataFrame, ids: DataFrame, text: str, short: bool = False) -> DataFrame:
     """(id, line) of the lines whose id is in ``ids``; only lines that the bit map lets pass leave the task."""
     shared = docs.sparkSession.sparkContext.broadcast(bit_map(ids.select(F.col("id").bitwiseAND(BITS - 1).alias("at")), "at"))
 
     def split(batches):
         for batch in batches:
             for low, high in portions(batch.column(0)):
-                lines = Lines(batch.column(0)[low:high])
-                those = np.flatnonzero(lines.long)
+                lines = Lines(batch.column(0)[low:high], short)
+                those = np.flatnonzero(lines.compared)
                 ids, first = np.unique(lines.ids()[those], return_index=True)
                 wanted = np.flatnonzero(bits_set(shared.value, ids & (BITS - 1)))
                 found = [lines.data[lines.low[k] : lines.high[k]].tobytes().decode("utf-8", "replace") for k in those[first[wanted]]]
@@ -142,7 +161,7 @@ def line_texts(docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(split, "id long, line string").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
-def groups(lines: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+def groups(lines: DataFrame, docs: DataFrame, text: str, short: bool = False) -> DataFrame:
     """(id, component) of the lines that have a link to another line."""
     tiles = lines.where("size(bands) > 0").select(F.explode("bands").alias("tile"), "id")
 
@@ -154,7 +173,7 @@ def groups(lines: DataFrame, docs: DataFrame, text: str) -> DataFrame:
                     [*batch.columns, pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x) for x in sets], pa.binary())], names=["id", "line", "n", "sketch"]
                 )
 
-        texts = stored(line_texts(docs, ids, text).mapInArrow(described, "id long, line string, n long, sketch binary"), "lines")
+        texts = stored(line_texts(docs, ids, text, short).mapInArrow(described, "id long, line string, n long, sketch binary"), "lines")
         sketches, line = texts.select("id", "n", "sketch"), texts.select("id", "line")
 
         def exact(batches):
@@ -171,12 +190,12 @@ def groups(lines: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     return resolve(tiles, known, lambda a, b: plausible(a, b, PERCENT))
 
 
-def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, str]:
+def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", short: bool = False) -> tuple[DataFrame, DataFrame, str]:
     """``docs`` with a row number, and (row, numbers) of the lines to drop; the name of the row number."""
     row = free_name(docs.columns, "row")
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    lines = stored(line_rows(numbered, key, text, row), "line-rows")
-    linked = groups(lines, docs, text)
+    lines = stored(line_rows(numbered, key, text, row, short), "line-rows")
+    linked = groups(lines, docs, text, short)
     members = lines.select("row", "key", "number", "id").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
     place = F.struct(F.col("key").isNull().alias("z"), "key", "row", "number")
     firsts = members.groupBy("component").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").select("component", "kept")
@@ -184,9 +203,9 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[
     return numbered, dropped.groupBy("row").agg(F.sort_array(F.collect_list("number")).alias("dropped")), row
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", counts: bool = False, short: bool = False) -> DataFrame:
     """The columns of ``docs``, repeated lines cut out of the texts; with ``counts`` also n_lines and n_dropped."""
-    numbered, drops, row = repeated(docs, key, text)
+    numbered, drops, row = repeated(docs, key, text, short)
     drops = drops.withColumnRenamed("row", row)
     lost = free_name(numbered.columns, "dropped")
     both = numbered.join(drops.withColumnRenamed("dropped", lost), row, "left")

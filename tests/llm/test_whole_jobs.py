@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from test_llm_queries import SF, kneser_ney
 
-from pressgauge.llm import quality
+from pressgauge.llm import lines, quality
 from pressgauge.llm.queries import QUERIES, trusted
 
 
@@ -94,3 +94,20 @@ def test_query_prunes_nothing(spark, docs):
     texts = dict(zip(docs.doc_id, docs.text))
     for r in QUERIES["op1_quality"](spark, SF).collect():
         assert r["perplexity"] == pytest.approx(plain(words(texts[r["doc_id"]])), rel=1e-6)
+
+
+def left(spark, texts, **options):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["text"] for r in sorted(lines.dedup(frame, **options).collect(), key=lambda r: r["doc_id"])]
+
+
+def test_one_edit_in_a_line_of_sixty(spark):
+    """One changed character leaves (L - 9) / (L + 1) of the shingles."""
+    line = "the quick brown fox jumps over the lazy dog by winter rivers"
+    assert len(line) == 60 and left(spark, [line, line[:30] + "#" + line[31:], line[::-1]]) == [line, "", line[::-1]]
+
+
+def test_short_lines(spark):
+    texts = ["Ietzte.\nOf.\n \n目\n\nnew", "Ietzte.\nof.\n \n目\n\nold", "x\n日\nOf!"]
+    assert left(spark, texts, short=True) == ["Ietzte.\nOf.\n \n目\n\nnew", " \n\nold", "x\n日\nOf!"]
+    assert left(spark, texts) == ["Ietzte.\nOf.\n \n目\n\nnew", "of.\n \n目\n\nold", "x\n日\nOf!"]

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from test_llm_queries import SF, kneser_ney
 
-from pressgauge.llm import lines, quality
+from pressgauge.llm import licences, lines, quality
 from pressgauge.llm.queries import QUERIES, trusted
 
 
@@ -111,3 +111,27 @@ def test_short_lines(spark):
     texts = ["Ietzte.\nOf.\n \n目\n\nnew", "Ietzte.\nof.\n \n目\n\nold", "x\n日\nOf!"]
     assert left(spark, texts, short=True) == ["Ietzte.\nOf.\n \n目\n\nnew", " \n\nold", "x\n日\nOf!"]
     assert left(spark, texts) == ["Ietzte.\nOf.\n \n目\n\nnew", "of.\n \n目\n\nold", "x\n日\nOf!"]
+
+
+def test_entire_licences(spark):
+    texts = dict(licences.entire())
+    bare = texts["MIT"].split("\n\n", 1)[1]
+    cases = [("whole", n, t) for n, t in texts.items()] + [
+        ("whole", "MIT", "The MIT License (MIT)\n\nCopyright (c) 2020 Somebody\n\n" + bare), ("whole", "MIT", bare),
+        ("whole", "Apache-2.0", texts["Apache-2.0"].split("APPENDIX")[0]),
+        ("parts", "MIT", "# Project\n\nSome words.\n\n## License\n\n" + bare + "\nMore words."),
+        ("parts", "GPL-3.0", "Preface of our own\n\n" + texts["GPL-3.0"] + "\n\nafterword"),
+        ("none", "", "Some words.\n\n" + bare.rsplit("\n\n", 1)[0]),
+    ]
+    frame = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(cases)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in licences.scan(frame, licences.known(spark), ["doc_id"]).collect()}
+    for i, (where, name, _) in enumerate(cases):
+        assert [r for r in ("whole", "parts") if name in found[i][r]][:1] == [where] if name else found[i]["parts"] == [] == found[i]["whole"], (where, name)
+
+
+def test_licence_table_as_input(spark):
+    text = "House License\n\n" + "You may read this text on every day of the week but one.\n\n" * 2 + "You may not sell any part of it to anybody else at any time."
+    rules = licences.known(spark, spark.createDataFrame([("House", text)], "licence string, text string"))
+    frame = spark.createDataFrame([(1, text.split("\n\n", 1)[1]), (2, "a\n\n" + text)], "doc_id long, text string")
+    found = {r["doc_id"]: (r["whole"], r["parts"]) for r in licences.scan(frame, rules, ["doc_id"]).collect()}
+    assert found == {1: (["House"], ["House"]), 2: ([], ["House"])}

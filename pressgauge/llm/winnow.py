@@ -1,6 +1,8 @@
 """Document fingerprints by winnowing, as column expressions.
 
-A text's words (runs without white space, in lower case) give one hash for each run of K words; of every W consecutive
+A text's words (runs without white space, in lower case) give one hash for each run of K words. What has no spaces between
+words counts by its characters: each character of UNSPACED scripts, and of words of more than LONG characters, is a word of
+its own. Of every W consecutive
 hashes the smallest is kept, the rightmost of equal ones, with its position in words. So texts that share a run of
 K + W - 1 words share a fingerprint. A text of fewer than K words has its whole sequence as its only run; with fewer than
 W runs, the smallest of them is kept. Hashes are compared by their upper 31 bits and kept in full.
@@ -18,6 +20,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .frames import stored
 
 K, W = 5, 12
+LONG = 32
+# Thai to Myanmar, Khmer, Japanese kana, Chinese characters (also the later planes)
+UNSPACED = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}]"
+UNUSUAL = rf"{UNSPACED}|[^\x20\x09-\x0D]{{{LONG + 1}}}"
 GAP = r"[\x20\x09-\x0D]+"
 HALF = (1 << 31) - 1
 
@@ -28,7 +34,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def word_hashes(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(text), GAP), lambda w: w != "")
+    def split(t: Column) -> Column:
+        return F.filter(F.split(t, GAP), lambda w: w != "")
+
+    low = F.lower(text)
+    parts = split(F.regexp_replace(low, f"({UNSPACED})", " $1 "))
+    parts = F.flatten(F.transform(parts, lambda w: F.when(F.char_length(w) > LONG, F.filter(F.split(w, ""), lambda c: c != "")).otherwise(F.array(w))))
+    words = F.when(F.rlike(low, F.lit(UNUSUAL)), parts).otherwise(split(low))
     return F.transform(words, lambda w: F.xxhash64(w))
 
 

@@ -5,9 +5,10 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 from test_llm_queries import SF, kneser_ney
 
-from pressgauge.llm import licences, lines, quality
+from pressgauge.llm import licences, lines, quality, winnow
 from pressgauge.llm.queries import QUERIES, trusted
 
 
@@ -135,3 +136,15 @@ def test_licence_table_as_input(spark):
     frame = spark.createDataFrame([(1, text.split("\n\n", 1)[1]), (2, "a\n\n" + text)], "doc_id long, text string")
     found = {r["doc_id"]: (r["whole"], r["parts"]) for r in licences.scan(frame, rules, ["doc_id"]).collect()}
     assert found == {1: (["House"], ["House"]), 2: ([], ["House"])}
+
+
+@pytest.mark.parametrize("alphabet", ["目山水火木金土日月年人口大小中", "กขคงจฉชซฌญฎฏฐ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"])
+def test_text_without_spaces_shares_fingerprints(spark, alphabet):
+    import random
+
+    draw = random.Random(5)
+    shared, one, two = ("".join(draw.choices(alphabet, k=300)) for _ in range(3))
+    row = spark.createDataFrame([(shared + one, shared + two, one)], "a string, b string, c string")
+    a, b, c = (winnow.fingerprint(F.col(x)) for x in "abc")
+    near, far = row.select(winnow.likeness(a, b), winnow.likeness(b, c)).first()
+    assert 0.2 < near < 0.6 and far < 0.1

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import prepare
-from . import decontaminate, jaccard, language, licences, lines, mixing, quality, secrets, warc, winnow
+from . import clustering, codes, decontaminate, jaccard, language, licences, lines, mixing, packing, quality, secrets, warc, winnow
 from .frames import stored, table
 
 
@@ -104,6 +105,27 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after ten rounds of eight centroids."""
+    prepare(spark)
+    found, centers, inertias = clustering.cluster(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", ["vec_id"])
+    return clustering.labelled(found, centers, inertias)
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code of every vector: eight parts, sixteen entries each, after six rounds."""
+    prepare(spark)
+    coded, books = codes.encode(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", ["vec_id", "label"])
+    return codes.with_label_errors(coded, "label", "vec_id").drop("label").withColumn("codebooks_sha256", F.lit(codes.digest(books)))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 4,096 tokens."""
+    prepare(spark)
+    made = packing.pieces(table(spark, sf_dir, "documents"), ["doc_id"], public_tokenizers.path("word_bpe_49k.json"))
+    return packing.kept(packing.packed(made), ["doc_id"])
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_quality": op1_quality,
@@ -116,6 +138,9 @@ QUERIES = {
     "op8_warc_audit": op8_warc_audit,
     "op9_jaccard": op9_jaccard,
     "op10_lines": op10_lines,
+    "op11_clusters": op11_clusters,
+    "op12_codes": op12_codes,
+    "op13_packing": op13_packing,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

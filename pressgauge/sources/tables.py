@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pressgauge.schemas import T
+from pressgauge.sources.versions import Versions
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -52,55 +51,32 @@ def append(rows: DataFrame, table: str, path: str) -> None:
     lay_out(rows, table).write.mode("append").partitionBy(day_column(table)).parquet(path)
 
 
-MANIFEST = "version long, day date, folder string"
-
-
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(day, folder) of the table's newest version: one row for each day it has."""
-    rows = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
-    return rows.filter(F.col("version") == (rows.agg(F.max("version")).first()[0] or 0)).filter("day IS NOT NULL").select("day", "folder")
-
-
-def _commit(spark: SparkSession, path: str, version: int, days: DataFrame) -> None:
-    # A row without a day marks the version itself, so an empty table has one too.
-    mark = spark.createDataFrame([(version, None, None)], MANIFEST)
-    rows = days.select(F.lit(version).cast("long").alias("version"), "day", "folder").unionByName(mark)
-    rows.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+def by_days(spark: SparkSession, table: str, path: str, schema: T.StructType) -> Versions:
+    """A table with versions whose parts are its days."""
+    instant, order = LAYOUT[table]
+    schema = T.StructType([f for f in schema.fields if f.name != day_column(table)])
+    return Versions(spark, path, schema, day_column(table), F.to_date(instant), T.DateType(), order)
 
 
 def create_days(rows: DataFrame, table: str, path: str) -> None:
     """The first version of a table kept by days."""
-    spark, folder = rows.sparkSession, f"{path}/data/1"
-    lay_out(rows, table).write.partitionBy(day_column(table)).parquet(folder)
-    days = spark.read.parquet(folder).select(F.col(day_column(table)).alias("day")).distinct() if rows.take(1) else None
-    none = spark.createDataFrame([], "day date")
-    _commit(spark, path, 1, (none if days is None else days).withColumn("folder", F.lit(folder)))
+    by_days(rows.sparkSession, table, path, rows.schema).append(rows)
 
 
 def read_days(spark: SparkSession, table: str, path: str, schema: T.StructType) -> DataFrame:
     """The newest version. Its folders are read as they are; the day column prunes them."""
-    day = day_column(table)
-    whole = T.StructType([*schema.fields, T.StructField(day, T.DateType())])
-    folders = manifest(spark, path).collect()  # one row a day
-    if not folders:
-        return spark.createDataFrame([], whole)
-    parts: dict[str, list] = {}
-    for r in folders:
-        parts.setdefault(r["folder"], []).append(r["day"])
-    frames = [spark.read.schema(whole).parquet(f).filter(F.col(day).isin(days)) for f, days in parts.items()]
-    return reduce(DataFrame.unionByName, frames)
-
-
-def replace_days(spark: SparkSession, kept: DataFrame, days: DataFrame, table: str, path: str) -> None:
+    return by_days(spark, table, path, schema).read()
+
+
+def replace_days(spark: SparkSession, kept: DataFrame, days: DataFrame, table: str, path: str, vacuum: bool = True) -> None:
     """A new version in which the days of ``days`` (column day) hold exactly the rows of ``kept``, which has no others.
 
-    A day without kept rows leaves the table; other days keep their folders. Readers see the old version until the
-    manifest row is written.
+    A day without kept rows leaves the table; other days keep their folders. Readers see the old version until the new
+    one is committed; a second writer gets ``Conflict``. What only older versions had is deleted from disk afterwards,
+    unless ``vacuum`` is false.
     """
-    old = manifest(spark, path)
-    version = (spark.read.schema(MANIFEST).parquet(f"{path}/manifest").agg(F.max("version")).first()[0] or 0) + 1
-    folder, day = f"{path}/data/{version}", day_column(table)
-    lay_out(kept.drop(day), table).write.mode("overwrite").partitionBy(day).parquet(folder)
-    schema = T.StructType([f for f in kept.schema.fields if f.name != day] + [T.StructField(day, T.DateType())])
-    new = spark.read.schema(schema).parquet(folder).select(F.col(day).alias("day")).distinct().withColumn("folder", F.lit(folder))
-    _commit(spark, path, version, old.join(days, "day", "left_anti").unionByName(new))
+    store = by_days(spark, table, path, kept.schema)
+    base = store.snapshot()
+    store.replace(kept, [str(r.day) for r in days.filter("day IS NOT NULL").collect()], base)  # at most a row a day
+    if vacuum:
+        store.vacuum(hours=0)

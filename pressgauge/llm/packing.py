@@ -11,8 +11,9 @@ fit again). There are at most three ranges a length, so the driver's work and th
 the data. On Spark each piece then gets its rank among those of its length, from counts of slices of about SLICE pieces and
 its rank in its slice, and looks its step up. A length that a third of all pieces have is many slices.
 
-Words between ASCII white space are tokenized once a worker: the tokenizer normalises and splits within them only (tests
-compare with whole texts). WORDS bounds what a worker remembers, not what is tokenized.
+A tokenizer that normalises and splits its text within words only is asked once for each word that a worker meets (tests
+compare with whole texts); texts with special tokens' strings, and those of other tokenizers, are tokenized whole. WORDS
+bounds what a worker remembers, not what is tokenized.
 
 Null and empty texts have the end id only. Texts may be of any length; pieces of one are not kept together. Repeated rows
 are documents of their own. An empty table gives no rows. Of other columns only those of ``keep`` are read; they may have
@@ -21,6 +22,8 @@ any name, also names of results, which follow them.
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import zlib
 
@@ -35,49 +38,89 @@ from .words import portions
 
 SIZE, END = 4096, 1
 SLICE = 4096
-WORDS, LONG = 200_000, 64
+PORTION = 4 << 20
+WORDS, LONG = 400_000, 64
+SIGNS = r"!-&(-/:-@\[-`{-~"
+
+# Fixed value: how a tokenizer with word ends splits its text. Words never reach over white space, and a run of letters ends
+# where a run of signs begins; only the apostrophe joins them.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Tokens:
-    """Token ids of texts, from ids of their words."""
+    """Token ids of texts; from ids of their words where the tokenizer takes words one by one."""
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(file, encoding="utf-8") as source:
+            form = json.load(source)
         self.tokenizer = Tokenizer.from_file(file)
-        self.known: dict[str, np.ndarray] = {}
-
-    def _ids(self, words: list[str]) -> list[np.ndarray]:
-        fresh = [w for w in words if w not in self.known]
-        found = {}
-        for i in range(0, len(fresh), 1000):
-            some = fresh[i : i + 1000]
-            for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                found[w] = np.array(e.ids, np.uint32)
-        out = [found[w] if w in found else self.known[w] for w in words]
-        if len(self.known) + len(found) > WORDS:
-            self.known.clear()
-        self.known.update((w, ids) for w, ids in list(found.items())[:WORDS] if len(w) <= LONG)
-        return out
+        self.known: dict[str, list[int]] = {}
+        self.special = {t["content"]: t["id"] for t in form["added_tokens"]}
+        kinds = [[x["type"] for x in (form.get(part) or {}).get(group, [])] for part, group in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        split = form["pre_tokenizer"]["pretokenizers"][0] if kinds == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] else {}
+        self.by_word = bool(self.special) and split.get("pattern") == {"Regex": WORD_PATTERN} and split["invert"] and split["behavior"] == "Removed"
 
     def of(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by ``end``, end to end, and the offsets of the texts."""
-        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        texts = pc.fill_null(texts, "")
+        words = _words(texts)
         coded = words.flatten().dictionary_encode()
-        ids = self._ids(coded.dictionary.to_pylist())
+        ids = self._ids(coded.dictionary.to_pylist()) if self.by_word else []
+        indices = coded.indices.to_numpy()
+        count = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        # texts with a special token's string, and all texts of other tokenizers, are taken whole: one word each
+        whole = np.full(len(texts), not self.by_word)
+        for content in self.special:
+            whole |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        if whole.any():
+            indices = indices[np.repeat(~whole, count)]
+            count = np.where(whole, 1, count)
+            at = np.flatnonzero(whole)
+            indices = np.insert(indices, (np.cumsum(count) - count)[at] - np.arange(len(at)), len(ids) + np.arange(len(at)))
+            ids = ids + [self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids for i in at]
+        ids.append([end])
         lengths = np.array([len(x) for x in ids], np.int64)
-        pool = np.concatenate([*ids, np.array([end], np.uint32)])
-        starts = np.concatenate([np.cumsum(lengths) - lengths, [len(pool) - 1]])
-        lengths = np.append(lengths, 1)
+        pool = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        starts = np.cumsum(lengths) - lengths
         # after the words of each text comes the end, as one more word
-        edges = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))])
-        used = np.insert(coded.indices.to_numpy(), edges[1:], len(ids))
+        edges = np.cumsum(count)
+        used = np.insert(indices, edges, len(ids) - 1)
         size = lengths[used]
         ends = np.cumsum(size)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[used] - (ends - size), size)
-        closing = edges[1:] + np.arange(len(texts))
-        return pool[at], np.concatenate([[0], ends[closing]])
+        return pool[at], np.concatenate([[0], ends[edges + np.arange(len(texts))]])
+
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        known, model = self.known, self.tokenizer.model
+        fresh = [w for w in words if w not in known]
+        rest = [w for w in fresh if not (w.isascii() and w.isalpha())]
+        known.update((w, [t.id for t in model.tokenize(w)]) for w in fresh if w.isascii() and w.isalpha())
+        mark, mark_id = next(iter(self.special.items()), ("", -1))
+        for i in range(0, len(rest), 2000):
+            some = rest[i : i + 2000]
+            joined = [*self.tokenizer.encode(mark.join(some), add_special_tokens=False).ids, mark_id]
+            a = 0
+            for w, b in zip(some, np.flatnonzero(np.array(joined) == mark_id).tolist()):
+                known[w] = joined[a:b]
+                a = b + 1
+        out = list(map(known.__getitem__, words))
+        if len(known) > WORDS:
+            known.clear()
+        for w in fresh:
+            if len(w) > LONG:
+                known.pop(w, None)
+        return out
+
+
+def _words(texts: pa.Array) -> pa.Array:
+    """Lower-case words between ASCII white space; ASCII letters and ASCII signs (but the apostrophe) are words apart."""
+    plain = pc.ascii_lower(texts)
+    for pattern in (f"([a-z])([{SIGNS}])", f"([{SIGNS}])([a-z])"):
+        plain = pc.replace_substring_regex(plain, pattern, r"\1 \2")
+    return pc.ascii_split_whitespace(plain)
 
 
 _TOKENS: dict[str, Tokens] = {}
@@ -102,7 +145,7 @@ def pieces(docs: DataFrame, keep: list[str], tokenizer: str, text: str = "text",
             _TOKENS[file] = Tokens(file)
         tokens = _TOKENS[file]
         for batch in batches:
-            for low, high in portions(batch.column(1)):
+            for low, high in portions(batch.column(1), PORTION):
                 ids, edges = tokens.of(batch.column(1).slice(low, high - low), end)
                 n = np.diff(edges)
                 count = -(-n // size)

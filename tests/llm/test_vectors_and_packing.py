@@ -246,15 +246,33 @@ def test_segment_tree():
 def test_ids_are_the_tokenizer_s(spark):
     """Words between ASCII white space give the same ids as whole texts."""
     rng = random.Random(11)
-    odd = ["don't", "É", "é", "́", "ΑΣ", "İ", "ǅ", "<|endoftext|>", "a<|endoftext|>b", " ", " x", "\u0085", "漢字", "かな", "x9", "'s", "'", "--'ll", "\x1c", "🙂", "가", "ﬁ", " ", "Ω", "ſ", "…", "½", "\x00"]
+    odd = ["don't", "A.b", "x_y", "C++", "<|STARTOFTEXT|>", "O'Neil's.", "a-́b", "É", "é", "́", "ΑΣ", "İ", "ǅ", "<|endoftext|>", "a<|endoftext|>b", " ", " x", "\u0085", "漢字", "かな", "x9", "'s", "'", "--'ll", "\x1c", "🙂", "가", "ﬁ", " ", "Ω", "ſ", "…", "½", "\x00"]
     texts = ["".join(rng.choice([*odd, " ", "\n", "\t", "\r", "\x0b", "\x0c", "word"]) for _ in range(rng.randint(0, 60))) for _ in range(400)]
     tokens = packing.Tokens(TOKENIZER)
     import pyarrow as pa
 
     plain = tokenizer()
-    for some in (texts, [None, "", *texts[:5], None], []):
+    assert tokens.by_word
+    for some in (texts, [None, "", *texts[:5], None], [], ["<|endoftext|>"], ["<|ENDOFTEXT|> İİ ǨK"]):
         ids, edges = tokens.of(pa.array(some, pa.string()), 1)
         assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:])] == [plain.encode(t or "", add_special_tokens=False).ids + [1] for t in some]
+    # letters with every combining mark, in both cases
+    marks = [chr(m) for m in [*range(0x300, 0x370), 0x1AB0, 0x20D0, 0x3099]]
+    some = [" ".join(a + m for m in marks) for a in "aAiIkKsSzZ.-'"]
+    ids, edges = tokens.of(pa.array(some), 1)
+    assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:])] == [plain.encode(t, add_special_tokens=False).ids + [1] for t in some]
+
+
+def test_other_tokenizers_take_whole_texts():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    tokens, plain = packing.Tokens(file), Tokenizer.from_file(file)
+    some = ["two words", None, " A  b\n", "a<|endoftext|>b"]
+    ids, edges = tokens.of(pa.array(some), 7)
+    assert not tokens.by_word
+    assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:])] == [plain.encode(t or "", add_special_tokens=False).ids + [7] for t in some]
 
 
 def test_packing_of_the_query(spark):

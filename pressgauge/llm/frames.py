@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import work_path
 
@@ -46,5 +46,35 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+FILES = 500_000
+
+
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """``docs`` with a number for each row, as the column ``row``: the same one whenever and however the frame is read.
+
+    A row of a Parquet table is known by its file and its place there, whatever partitions a scan makes of the files; its
+    number is made of the file's (from a table written once, broadcast up to FILES files) and that place. Rows of anything
+    else are written once with their numbers.
+    """
+    if _is_scan(docs):
+        metadata = docs.metadataColumn("_metadata")
+        path = free_name(docs.columns, "file")
+        files = docs.select(metadata["file_path"].alias(path)).distinct()
+        files = stored(files.withColumn("file no", F.row_number().over(Window.orderBy(path)).cast("long")), "files")
+        if files.count() <= FILES:
+            place = free_name(docs.columns, "place")
+            placed = docs.select("*", metadata["file_path"].alias(path), metadata["row_index"].alias(place)).join(F.broadcast(files), path)
+            return placed.select(*docs.columns, F.shiftleft("file no", 40).bitwiseOR(F.col(place)).alias(row))
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+
+
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether each row is one row of a Parquet file: a scan, then only projections and filters."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and "parquet" in plan.simpleString(25).rsplit("]", 1)[-1]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

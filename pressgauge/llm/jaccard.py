@@ -13,8 +13,8 @@ to its own and the next. Pairs of one tile are bounded by their parity bit maps
 at most d bits), and only pairs that pass are intersected. ``components.resolve`` spares pairs already connected.
 
 Texts with one set are one node, told by 63 bits of its digest, so copies are never paired. Null and blank texts have an
-empty set and link with nothing, not even with each other. Rows are told apart by their place: repeated rows and ids
-are members of one component. ``docs`` must give its rows in the same order whenever it is read (a table does).
+empty set and link with nothing, not even with each other. Rows are told apart by ``frames.numbered``: repeated rows and
+ids are members of one component. Texts may be of any length.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import resolve
-from .frames import free_name, stored
+from .frames import free_name, numbered, stored
 from .sketches import bounded, plausible, side, sketch
 from .words import SPACE, Words, grams, mix, portions
 
@@ -157,18 +157,18 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     """``docs`` with a row number, whose name is the last result, and (row, key, n, component, first) of every text:
     the smallest key of the texts it is linked with, directly or not, and that text's row."""
     row = free_name(docs.columns, "row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    texts = stored(tiled(numbered, key, text, row), "tiled")
+    counted = numbered(docs, row)
+    texts = stored(tiled(counted, key, text, row), "tiled")
     # an empty set is a component of its own: its number is below zero, as no digest is
     node = F.coalesce(F.col("component"), F.col("id"), -1 - F.col("row"))
     members = texts.select("row", "key", "n", "id").join(linked(texts), "id", "left").withColumn("node", node)
     firsts = members.groupBy("node").agg(F.min(F.struct(F.col("key").isNull().alias("z"), "key", "row")).alias("least"))
     found = members.join(firsts, "node").select("row", "key", "n", F.col("least.key").alias("component"), F.col("least.row").alias("first"))
-    return numbered, found, row
+    return counted, found, row
 
 
 def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that come first, by key, in their component."""
-    numbered, found, row = classes(docs, key, text)
+    counted, found, row = classes(docs, key, text)
     later = found.where("row <> first").select(F.col("row").alias(row))
-    return numbered.join(later, row, "left_anti").select(*docs.columns)
+    return counted.join(later, row, "left_anti").select(*docs.columns)

@@ -7,8 +7,8 @@ lines candidates with a probability of at least 1 - (1 - 0.8 ** ROWS) ** BANDS =
 
 With ``short``, lines of fewer than SHINGLE code points have their whole text, in lower case, as their only shingle, so that
 repeats of them link; without it they always stay. Short lines of white space only always stay. Null texts have no lines and stay null; an empty
-table gives an empty one; repeated rows are texts of their own, so the first of them keeps its lines. ``docs`` must give
-its rows in the same order whenever it is read (a table does): rows are told apart by their place.
+table gives an empty one; repeated rows are texts of their own, so the first of them keeps its lines: rows are told apart
+by ``frames.numbered``. Texts and lines may be of any length.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import resolve
-from .frames import free_name, stored
+from .frames import free_name, numbered, stored
 from .quality import BITS, bit_map, bits_set
 from .sketches import bounded, plausible, side, sketch
 from .words import BASE, SPACE, mix, portions, runs, text_buffers
@@ -193,22 +193,22 @@ def groups(lines: DataFrame, docs: DataFrame, text: str, short: bool = False) ->
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", short: bool = False) -> tuple[DataFrame, DataFrame, str]:
     """``docs`` with a row number, and (row, numbers) of the lines to drop; the name of the row number."""
     row = free_name(docs.columns, "row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    lines = stored(line_rows(numbered, key, text, row, short), "line-rows")
+    counted = numbered(docs, row)
+    lines = stored(line_rows(counted, key, text, row, short), "line-rows")
     linked = groups(lines, docs, text, short)
     members = lines.select("row", "key", "number", "id").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
     place = F.struct(F.col("key").isNull().alias("z"), "key", "row", "number")
     firsts = members.groupBy("component").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").select("component", "kept")
     dropped = members.join(firsts, "component").where((F.col("row") != F.col("kept.row")) | (F.col("number") != F.col("kept.number")))
-    return numbered, dropped.groupBy("row").agg(F.sort_array(F.collect_list("number")).alias("dropped")), row
+    return counted, dropped.groupBy("row").agg(F.sort_array(F.collect_list("number")).alias("dropped")), row
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", counts: bool = False, short: bool = False) -> DataFrame:
     """The columns of ``docs``, repeated lines cut out of the texts; with ``counts`` also n_lines and n_dropped."""
-    numbered, drops, row = repeated(docs, key, text, short)
+    counted, drops, row = repeated(docs, key, text, short)
     drops = drops.withColumnRenamed("row", row)
-    lost = free_name(numbered.columns, "dropped")
-    both = numbered.join(drops.withColumnRenamed("dropped", lost), row, "left")
+    lost = free_name(counted.columns, "dropped")
+    both = counted.join(drops.withColumnRenamed("dropped", lost), row, "left")
     split = F.split(text, "\n", -1)
     steps = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(lost))
     kept = F.when(F.col(lost).isNull(), F.col(text)).otherwise(F.array_join(F.transform(steps, lambda i: F.get(split, i)), "\n"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .frames import discard, free_name, stored
+from .frames import discard, free_name, numbered, stored
 from .words import BASE, SPACE, Lookup, Words, mix, portions
 
 MAX_WORDS = None  # the vocabulary has no limit
@@ -404,13 +404,10 @@ def judge(scores: DataFrame, trusted: DataFrame, key: str = "doc_id", lang: str
 
 
 def accepted(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
-    """The rows of ``docs`` that the model of the ``trusted`` keys' texts does not reject.
-
-    ``docs`` must give its rows in the same order whenever it is read (a table does).
-    """
+    """The rows of ``docs`` that the model of the ``trusted`` keys' texts does not reject."""
     row = free_name(docs.columns, "row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    counted = numbered(docs, row)
     model = fit(trusted_texts(docs, trusted.select(trusted.columns[0]).toDF(key), key, text), least=1)
-    scores = stored(perplexities(numbered, model, [row, key, lang], text), "perplexities")
+    scores = stored(perplexities(counted, model, [row, key, lang], text), "perplexities")
     rejected = judge(scores, trusted.toDF(key), key, lang, **options).where("rejected").select(row)
-    return numbered.join(rejected, row, "left_anti").select(*docs.columns)
+    return counted.join(rejected, row, "left_anti").select(*docs.columns)

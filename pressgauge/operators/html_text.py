@@ -7,6 +7,7 @@ texts of the elements that may turn out to be the article.
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from html.entities import html5
@@ -29,6 +30,7 @@ VOID = set(
     "area base br col embed hr img input keygen link menuitem meta param source track wbr "
     "basefont bgsound command frame image isindex nextid spacer".split()
 )
+UNFINISHED = 100  # more tags than this that never end are text
 UNREAD = {"template"}  # text below these is not part of an element's text
 
 # ------------------------------------------------------------------------------
@@ -46,6 +48,7 @@ class _Reader(HTMLParser):
         self.pending: list[str] = []
         self.muted = 0
         self.skipped = 0
+        self.comments_until = self.sections_until = sys.maxsize
 
     def _flush(self) -> None:
         if self.pending:
@@ -128,6 +131,23 @@ class _Reader(HTMLParser):
         except (ValueError, OverflowError):
             self.pending.append("\N{REPLACEMENT CHARACTER}")
 
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """Where no comment ends after one place, none ends after a later one: looked for once."""
+        if i < self.comments_until:
+            end = super().parse_comment(i, report)
+            if end >= 0:
+                return end
+            self.comments_until = i
+        return -1
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        if i < self.sections_until:
+            end = super().parse_marked_section(i, report)
+            if end >= 0:
+                return end
+            self.sections_until = i
+        return -1
+
     def handle_comment(self, data: str) -> None:
         self._flush()
 
@@ -156,8 +176,15 @@ def main_text(html: str | None) -> str | None:
     if html is None:
         return None
     reader = _Reader()
-    reader.feed(html)
-    reader.close()
+    whole = html.rfind(">") + 1
+    if html.count("<", whole) > UNFINISHED:  # the tokenizer would look for the end of each of these tags
+        reader.feed(html[:whole])
+        reader.close()
+        if not reader.cdata_elem:
+            reader.handle_data(html[whole:])
+    else:
+        reader.feed(html)
+        reader.close()
     reader._flush()
     text: str | None = None
     for place in range(len(PLACES)):

@@ -34,7 +34,7 @@ def effective_delay(delay: Column, default: float = settings.DEFAULT_CRAWL_DELAY
     return F.coalesce(F.nullif(delay.cast("double"), F.lit(0.0)), F.lit(default))
 
 
-def _sliced(requests: DataFrame, slice_delays: int) -> DataFrame:
+def sliced(requests: DataFrame, slice_delays: int) -> DataFrame:
     """Narrow request rows: domain, job_id, t and delay in microseconds, slice, moves."""
     t = F.unix_micros(F.col("requested_at").cast("timestamp"))
     d = (effective_delay(F.col("delay")) * 1_000_000).cast("long")
@@ -43,7 +43,7 @@ def _sliced(requests: DataFrame, slice_delays: int) -> DataFrame:
     return rows.withColumn("slice", F.expr(f"t div (d * {int(slice_delays)})"))
 
 
-def _runs(batch: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, slice]]:
+def runs(batch: pd.DataFrame, keys: list[str]) -> Iterator[tuple[tuple, slice]]:
     """Cut a sorted batch at key changes."""
     columns = [batch[k].to_numpy() for k in keys]
     changed = np.zeros(len(batch), dtype=bool)
@@ -89,7 +89,7 @@ def _slice_exits(slice_delays: int):
         for batch in batches:
             done = []
             t, moves, delays = (batch[c].to_numpy() for c in ("t", "moves", "d"))
-            for key, rows in _runs(batch, ["domain", "slice"]):
+            for key, rows in runs(batch, ["domain", "slice"]):
                 if state is None or key != state["key"]:
                     if state is not None:
                         done.append(finish(state))
@@ -125,7 +125,7 @@ def _slice_clocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         delays, first, last = (batch[c].to_numpy() for c in ("d", "first_fetch", "last_fetch"))
-        for key, rows in _runs(batch, ["domain", "slice"]):
+        for key, rows in runs(batch, ["domain", "slice"]):
             d = int(delays[rows.start])
             if key != current:
                 clock = after if current is not None and key[0] == current[0] else NO_FETCH
@@ -139,31 +139,35 @@ def _slice_clocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["domain", "slice", "d", "clock"])
 
 
-def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each slice opens with its clock row; the requests follow in time order."""
-    current, clock = None, NO_FETCH
-    for batch in batches:
-        t, d_all, moves, is_clock, jobs = (batch[c].to_numpy() for c in ("t", "d", "moves", "is_clock", "job_id"))
-        polite = np.zeros(len(batch), dtype=bool)
-        for key, rows in _runs(batch, ["domain", "slice"]):
-            if key != current:
-                current, clock = key, NO_FETCH
-            start = rows.start
-            if is_clock[start]:
-                clock, start = int(t[start]), start + 1
-            rows = slice(start, rows.stop)
-            times, d = t[rows], int(d_all[rows.stop - 1])
-            movers = np.flatnonzero(moves[rows].astype(bool))
-            mover_times = times[movers]
-            places, chain = [], [clock]
-            while (i := int(np.searchsorted(mover_times, chain[-1] + d, side="left"))) < len(movers):
-                places.append(int(movers[i]))
-                chain.append(int(mover_times[i]))
-            before = np.searchsorted(np.array(places, dtype=np.int64), np.arange(len(times)), side="left")
-            polite[rows] = times >= np.array(chain, dtype=np.int64)[before] + d
-            clock = chain[-1]
-        asked = ~is_clock.astype(bool)
-        yield pd.DataFrame({"job_id": jobs[asked], "polite": polite[asked]})
+def decide(unmarked: int = NO_FETCH):
+    """Each slice opens with its clock row; the requests follow in time order. ``unmarked``: the clock of slices without."""
+
+    def verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, clock = None, unmarked
+        for batch in batches:
+            t, d_all, moves, is_clock, jobs = (batch[c].to_numpy() for c in ("t", "d", "moves", "is_clock", "job_id"))
+            polite = np.zeros(len(batch), dtype=bool)
+            for key, rows in runs(batch, ["domain", "slice"]):
+                if key != current:
+                    current, clock = key, unmarked
+                start = rows.start
+                if is_clock[start]:
+                    clock, start = int(t[start]), start + 1
+                rows = slice(start, rows.stop)
+                times, d = t[rows], int(d_all[rows.stop - 1])
+                movers = np.flatnonzero(moves[rows].astype(bool))
+                mover_times = times[movers]
+                places, chain = [], [clock]
+                while (i := int(np.searchsorted(mover_times, chain[-1] + d, side="left"))) < len(movers):
+                    places.append(int(movers[i]))
+                    chain.append(int(mover_times[i]))
+                before = np.searchsorted(np.array(places, dtype=np.int64), np.arange(len(times)), side="left")
+                polite[rows] = times >= np.array(chain, dtype=np.int64)[before] + d
+                clock = chain[-1]
+            asked = ~is_clock.astype(bool)
+            yield pd.DataFrame({"job_id": jobs[asked], "polite": polite[asked]})
+
+    return verdicts
 
 
 def politeness_gate(requests: DataFrame, slice_delays: int = SLICE_DELAYS) -> DataFrame:
@@ -172,9 +176,9 @@ def politeness_gate(requests: DataFrame, slice_delays: int = SLICE_DELAYS) -> Da
     ``delay`` is constant per domain. ``fetched`` is false for requests that got no
     response; they may be allowed but leave the clock alone. Equal times go by job_id.
     """
-    rows = _sliced(requests, slice_delays)
-    sliced = rows.select("domain", "slice", "t", "d", "moves").repartition("domain", "slice")
-    exits = sliced.sortWithinPartitions("domain", "slice", "t").mapInPandas(
+    rows = sliced(requests, slice_delays)
+    narrow = rows.select("domain", "slice", "t", "d", "moves").repartition("domain", "slice")
+    exits = narrow.sortWithinPartitions("domain", "slice", "t").mapInPandas(
         _slice_exits(slice_delays), "domain string, slice long, d long, first_fetch long, last_fetch long"
     )
     clocks = (
@@ -190,5 +194,5 @@ def politeness_gate(requests: DataFrame, slice_delays: int = SLICE_DELAYS) -> Da
     return (
         both.repartition("domain", "slice")
         .sortWithinPartitions("domain", "slice", F.desc("is_clock"), "t", "job_id")
-        .mapInPandas(_decide, "job_id long, polite boolean")
+        .mapInPandas(decide(), "job_id long, polite boolean")
     )

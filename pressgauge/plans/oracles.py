@@ -276,3 +276,15 @@ ORACLES["stream_url_dedup"] = ORACLES["dedup_feed"]
 ORACLES["stream_sentiment_trends"] = query(TREND.format(where="true"), "sentiment_events")
 ORACLES["stream_events_sink"] = ORACLES["sentiment_events_sink"]
 ORACLES["stream_politeness_gate"] = ORACLES["politeness_gate"]
+ORACLES["content_merge"] = query("""
+    SELECT article_id AS id, article_id, CASE WHEN l.doc_id IS NULL THEN content_text ELSE substr(text || ' [updated]', 1, 1024) END AS content_text,
+        CASE WHEN l.doc_id IS NULL THEN content_hash ELSE sha256(text || ' [updated]') END AS content_hash,
+        CASE WHEN l.doc_id IS NULL THEN content_length ELSE CAST(length(text) + 10 AS INT) END AS content_length,
+        CASE WHEN l.doc_id IS NULL THEN c.extracted_at ELSE c.extracted_at + INTERVAL 24 HOURS END AS extracted_at,
+        CASE WHEN l.doc_id IS NULL THEN expires_at ELSE expires_at + INTERVAL 24 HOURS END AS expires_at
+    FROM article_contents c JOIN texts USING (article_id) LEFT JOIN labels l ON l.doc_id = article_id""", "article_contents")
+ORACLES["bookmark_deletes_stored"] = ORACLES["bookmark_deletes"]
+ORACLES["article_sentiment_merge"] = ORACLES["article_sentiment_update"]
+ORACLES["stream_content_expiry"] = query("""
+    SELECT article_id, content_hash, expires_at FROM article_contents
+    WHERE expires_at > (SELECT max(extracted_at) FROM article_contents)""", "article_contents")

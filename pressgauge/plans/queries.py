@@ -18,7 +18,8 @@ from pressgauge.operators import (
 from pressgauge.plans import views as V
 from pressgauge.session import work_path
 from pressgauge.sources import events as event_log, feeds, tables
-from pressgauge.streaming import streams
+from pressgauge.sources.versions import Versions
+from pressgauge.streaming import stateful, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -276,13 +277,18 @@ def content_store(spark, sf_dir):
     return _contents(spark, sf_dir)
 
 
-@query
-def content_upsert(spark, sf_dir):
-    """Labelled documents are extracted again a day later; the rest of the table stays."""
+def _again(spark, sf_dir):
+    """Labelled documents are extracted again a day later."""
     again = V.texts(spark, sf_dir).join(
         V.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("article_id")), "article_id", "left_semi"
     ).withColumns({"text": F.concat("text", F.lit(" [updated]")), "extracted_at": F.col("extracted_at") + F.expr("INTERVAL 24 HOURS")})
-    after = content.content_upsert(_contents(spark, sf_dir), content.content_store(again))
+    return content.content_store(again)
+
+
+@query
+def content_upsert(spark, sf_dir):
+    """Labelled documents are extracted again a day later; the rest of the table stays."""
+    after = content.content_upsert(_contents(spark, sf_dir), _again(spark, sf_dir))
     return after.select("article_id", "content_hash", "content_length", "extracted_at", "expires_at")
 
 
@@ -361,13 +367,16 @@ def cascade_delete(spark, sf_dir):
     return out
 
 
+def _asked_deletes(spark, sf_dir):
+    return V.table(spark, sf_dir, "events").filter("value > 20").selectExpr(
+        "event_id AS id", "CASE WHEN value > 60 THEN 0 ELSE user_id END AS user_id"
+    )
+
+
 @query
 def bookmark_deletes(spark, sf_dir):
     """Every user asks to delete the bookmark numbered like each of their costly purchases, and one of user 0's."""
-    asked = V.table(spark, sf_dir, "events").filter("value > 20").selectExpr(
-        "event_id AS id", "CASE WHEN value > 60 THEN 0 ELSE user_id END AS user_id"
-    )
-    return retention.bookmark_deletes(V.bookmarks(spark, sf_dir), asked)
+    return retention.bookmark_deletes(V.bookmarks(spark, sf_dir), _asked_deletes(spark, sf_dir))
 
 
 # --- analytics -------------------------------------------------------------------
@@ -417,10 +426,13 @@ def cleanup_report(spark, sf_dir):
 # --- sentiment -------------------------------------------------------------------
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """The table may be one file that a scan cannot split; the session's number of partitions deals its texts out."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _doc_scores(spark, sf_dir, method=sentiment.lexicon_scores):
-    # The table may be one file that a scan cannot split; the session's number of partitions deals its texts out.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = V.table(spark, sf_dir, "documents").select("doc_id", "text").repartition(parts, "doc_id")
+    docs = _dealt(V.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return method(docs, "doc_id", "text", V.lexicon(spark, sf_dir))
 
 
@@ -534,7 +546,7 @@ def politeness_gate_short(spark, sf_dir):
 
 @query
 def extract_text(spark, sf_dir):
-    return html_text.extract_text(V.table(spark, sf_dir, "pages"))
+    return html_text.extract_text(_dealt(V.table(spark, sf_dir, "pages").select("page_id", "html"), "page_id"))
 
 
 def _run(spark, sf_dir):
@@ -597,7 +609,7 @@ def stream_ingest_articles(spark, sf_dir):
 def stream_url_dedup(spark, sf_dir):
     out = work_path(spark, "dedup")
     streams.drain(streams.dedup_stream(_response_log(spark, sf_dir), out, work_path(spark, "state")))
-    return spark.read.parquet(out).drop("batch")
+    return streams.first_items(spark, out)
 
 
 @query
@@ -613,7 +625,7 @@ def stream_events_sink(spark, sf_dir):
     out = work_path(spark, "events")
     events = V.sentiment_events(spark, sf_dir, _stream(spark, sf_dir, "events"))
     streams.drain(streams.event_sink_stream(events, out, work_path(spark, "state")))
-    return spark.read.parquet(out).select(*EVENT_COLUMNS, _day("ingested_date"))
+    return event_log.read_events(spark, out).select(*EVENT_COLUMNS, _day("ingested_date"))
 
 
 @query
@@ -621,4 +633,52 @@ def stream_politeness_gate(spark, sf_dir):
     out = work_path(spark, "gate")
     requests = _requests(_stream(spark, sf_dir, "events"))
     streams.drain(streams.politeness_stream(requests, out, work_path(spark, "state")))
-    return spark.read.schema("job_id long, polite boolean").parquet(f"{out}/verdicts").drop("batch")
+    return streams.politeness_verdicts(spark, out)
+
+
+@query
+def stream_content_expiry(spark, sf_dir):
+    """Contents stored by article, and what is left when the same contents have passed the stream of expiries by hours.
+
+    The clock is the newest extraction of all, so this is the cleanup of that instant.
+    """
+    rows = _contents(spark, sf_dir)
+    store = tables.by_article(spark, "article_contents", work_path(spark, "contents"), rows.schema)
+    store.append(rows)
+    arriving = work_path(spark, "extractions")
+    rows.select("article_id", "expires_at").write.parquet(arriving)
+    stream = spark.readStream.schema("article_id long, expires_at timestamp_ntz").parquet(arriving)
+    streams.drain(stateful.expiry_stream(stream, store, work_path(spark, "state")))
+    return store.read().select("article_id", "content_hash", "expires_at")
+
+
+@query
+def content_merge(spark, sf_dir):
+    """The content table by buckets of articles after the upsert of ``content_upsert`` was merged into it, with its texts."""
+    rows = _contents(spark, sf_dir)
+    store = tables.by_article(spark, "article_contents", work_path(spark, "contents"), rows.schema)
+    store.append(rows)
+    store.merge(_again(spark, sf_dir), ["article_id"])
+    store.vacuum(hours=0)
+    return store.read().drop("bucket")
+
+
+@query
+def bookmark_deletes_stored(spark, sf_dir):
+    """``bookmark_deletes`` on a stored table: only the buckets of asked-for bookmarks are rewritten."""
+    rows = V.bookmarks(spark, sf_dir)
+    store = Versions.buckets(spark, work_path(spark, "bookmarks"), rows.schema, ["id"])
+    store.append(rows)
+    store.merge(_asked_deletes(spark, sf_dir), ["id", "user_id"], "delete")
+    return store.read().drop("bucket")
+
+
+@query
+def article_sentiment_merge(spark, sf_dir):
+    """``article_sentiment_update`` on the stored articles."""
+    rows = V.articles(spark, sf_dir).drop("source_name")
+    store = Versions.buckets(spark, work_path(spark, "articles"), rows.schema, ["id"])
+    store.append(rows)
+    newest = reads.latest_sentiment(V.analyses(spark, sf_dir)).selectExpr("article_id AS id", "label AS sentiment_label", "score AS sentiment_score")
+    store.merge(newest, ["id"], "update", ["sentiment_label", "sentiment_score"])
+    return store.read().select("id", "url", "sentiment_label", "sentiment_score")

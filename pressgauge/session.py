@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import pathlib
 import tempfile
 import uuid
@@ -78,6 +79,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_pressgauge_shipped", False):
         return
     package = pathlib.Path(__file__).parent
+    # The driver starts Python workers of its own for stateful streams; they do not get the file below.
+    paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    context.environment["PYTHONPATH"] = os.pathsep.join([*paths, str(package.parent)])
     archive = pathlib.Path(tempfile.mkdtemp(prefix="pressgauge-")) / "pressgauge.zip"
     with zipfile.ZipFile(archive, "w") as out:
         for file in sorted(package.rglob("*.py")):

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pressgauge import settings
 from pressgauge.functions.text import at
-from pressgauge.schemas import SENTIMENT_EVENTS, T
+from pressgauge.schemas import SENTIMENT_EVENTS
 from pressgauge.sources import tables
+from pressgauge.sources.versions import Versions
 
 
 def build_events(analyses: DataFrame, articles: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
@@ -49,10 +50,18 @@ def build_events(analyses: DataFrame, articles: DataFrame, as_of: datetime | str
     )
 
 
+def event_table(spark: SparkSession, path: str) -> Versions:
+    return tables.by_days(spark, "sentiment_events", path, SENTIMENT_EVENTS)
+
+
 def append_events(events: DataFrame, path: str) -> bool:
-    """Best-effort append: a failing sink is reported, not raised."""
+    """Best-effort append of the events that the log lacks, by event id, so a retry adds nothing.
+
+    A failing sink is reported, not raised.
+    """
     try:
-        tables.append(events, "sentiment_events", path)
+        table = event_table(events.sparkSession, path)
+        table.append(table.missing(events.dropDuplicates(["event_id"]), ["event_id"]))
         return True
     except Exception as error:  # the crawl's own results must survive a sink outage
         logging.getLogger(__name__).error("event sink failed: %s", error)
@@ -61,5 +70,4 @@ def append_events(events: DataFrame, path: str) -> bool:
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """The log with its day column ``ingested_date`` for partition pruning."""
-    stored = T.StructType([*SENTIMENT_EVENTS.fields, T.StructField("ingested_date", T.DateType())])
-    return spark.read.schema(stored).parquet(path)
+    return event_table(spark, path).read()

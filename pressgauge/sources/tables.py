@@ -58,6 +58,11 @@ def by_days(spark: SparkSession, table: str, path: str, schema: T.StructType) ->
     return Versions(spark, path, schema, day_column(table), F.to_date(instant), T.DateType(), order)
 
 
+def by_article(spark: SparkSession, table: str, path: str, schema: T.StructType, n: int = 64) -> Versions:
+    """A table with versions in buckets of articles, for changes by key."""
+    return Versions.buckets(spark, path, schema, ["article_id"], n, LAYOUT[table][1])
+
+
 def create_days(rows: DataFrame, table: str, path: str) -> None:
     """The first version of a table kept by days."""
     by_days(rows.sparkSession, table, path, rows.schema).append(rows)

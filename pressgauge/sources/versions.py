@@ -35,7 +35,7 @@ class Conflict(RuntimeError):
 
 @dataclass
 class Snapshot:
-    """One version: folders by part, and the last batch of each stream."""
+    """One version: folders by part, the last batch of each stream and other numbers that writers note."""
 
     version: int = 0
     parts: dict[str, list[str]] = field(default_factory=dict)
@@ -111,8 +111,9 @@ class Versions:
     def _entry(self, version: int) -> str:
         return f"{self.path}/log/{version:020d}.json"
 
-    def commit(self, base: Snapshot, parts: dict[str, list[str]], batch: tuple[str, int] | None = None) -> Snapshot:
-        new = Snapshot(base.version + 1, {p: f for p, f in parts.items() if f}, {**base.batches, **dict([batch] if batch else [])})
+    def commit(self, base: Snapshot, parts: dict[str, list[str]], batch: tuple[str, int] | None = None, notes: dict[str, int] | None = None) -> Snapshot:
+        batches = {**base.batches, **dict([batch] if batch else []), **(notes or {})}
+        new = Snapshot(base.version + 1, {p: f for p, f in parts.items() if f}, batches)
         self.files.create(self._entry(new.version), json.dumps(new.__dict__, sort_keys=True))
         return new
 
@@ -176,22 +177,16 @@ class Versions:
             kept[p] = [*kept.get(p, []), write]
         return self.commit(base, kept, batch)
 
-    def merge(self, changes: DataFrame, keys: list[str], how: str = "upsert", columns: list[str] | None = None, batch: tuple[str, int] | None = None, broadcast: int = BROADCAST) -> Snapshot | None:
+    def merge(self, changes: DataFrame, keys: list[str], how: str = "upsert", columns: list[str] | None = None, batch: tuple[str, int] | None = None, notes: dict[str, int] | None = None, broadcast: int = BROADCAST) -> Snapshot | None:
         """Apply changes by key: ``upsert`` replaces or adds rows, ``update`` sets ``columns`` of stored rows,
         ``delete`` removes them. Changes have one row a key and at least the columns that parts are made from."""
         if batch and self.has(batch):
             return None
         base, write = self.snapshot(), uuid.uuid4().hex
         needed = {"upsert": self.schema.names, "update": [*keys, *(columns or [])], "delete": keys}[how]
-        types = {f.name: f.dataType for f in self.schema.fields}
-        pending = materialize(changes.select(*[F.col(c).cast(types[c]) for c in needed]).withColumn(self.part, self.by.cast(self.kind)))
-        size = F.lit(64) + F.octet_length(F.to_json(F.struct(*needed)))
-        counted = pending.groupBy(F.col(self.part)).agg(F.sum(size).alias("bytes")).collect()  # a row a bucket
-        touched = {NULL_PART if r[0] is None else str(r[0]): r["bytes"] for r in counted}
-        for group, small in _groups(touched, broadcast):
-            value = [None if p == NULL_PART else p for p in group]
-            mine = pending.where(F.col(self.part).cast("string").isin([v for v in value if v is not None]) | (F.col(self.part).isNull() if None in value else F.lit(False)))
-            mine = mine.drop(self.part)
+        touched = set()
+        for group, mine, small in self._by_bucket(changes, needed, broadcast):
+            touched.update(group)
             side = F.broadcast if small else (lambda df: df)
             stored = self.read(base, group)
             if how == "update":
@@ -206,7 +201,28 @@ class Versions:
                 self._write(self._rows(mine), write, True)
         parts = {p: f for p, f in base.parts.items() if p not in touched}
         parts.update({p: [write] for p in self._written(write)})
-        return self.commit(base, parts, batch)
+        return self.commit(base, parts, batch, notes)
+
+    def _by_bucket(self, rows: DataFrame, columns: list[str], broadcast: int) -> Iterable[tuple[list[str], DataFrame, bool]]:
+        """Rows (written once) in groups of buckets, each with its buckets and whether its measured size may be broadcast."""
+        types = {f.name: f.dataType for f in self.schema.fields}
+        pending = materialize(rows.select(*[F.col(c).cast(types[c]) for c in columns]).withColumn(self.part, self.by.cast(self.kind)))
+        size = F.lit(64) + F.octet_length(F.to_json(F.struct(*columns)))
+        counted = pending.groupBy(self.part).agg(F.sum(size).alias("bytes")).collect()  # a row a bucket
+        name = F.coalesce(F.col(self.part).cast("string"), F.lit(NULL_PART))
+        for group, small in _groups({NULL_PART if r[0] is None else str(r[0]): r["bytes"] for r in counted}, broadcast):
+            yield group, pending.where(name.isin(group)).drop(self.part), small
+
+    def missing(self, rows: DataFrame, keys: list[str], broadcast: int = BROADCAST) -> DataFrame:
+        """The rows whose keys the table lacks. Only key columns of the buckets that rows fall into are read, and they are
+        not shuffled: the keys that ask are broadcast to them, group by group."""
+        base, out = self.snapshot(), None
+        for group, mine, small in self._by_bucket(rows, self.schema.names, broadcast):
+            asked = mine.select(*keys).distinct()
+            known = self.read(base, group).select(*keys).join(F.broadcast(asked) if small else asked, keys, "left_semi").distinct()
+            fresh = mine.join(known, keys, "left_anti").select(*self.schema.names)
+            out = fresh if out is None else out.unionByName(fresh)
+        return out if out is not None else self.spark.createDataFrame([], self.schema)
 
     # --- upkeep
 

@@ -1,7 +1,8 @@
 """Structured Streaming twins of the batch operators.
 
 Sinks are idempotent per micro-batch: a batch that is replayed after a failure
-overwrites its own folder (or its own key partitions) and nothing else.
+overwrites its own folder, or is found in the table's log and not written again.
+What is decided by key has its state in ``stateful``.
 """
 
 from __future__ import annotations
@@ -11,11 +12,19 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 from pressgauge.operators.ingest import ingest_new_articles
-from pressgauge.operators.normalize import clean_feed, dedup_feed
-from pressgauge.operators.politeness import SLICE_DELAYS, effective_delay, politeness_gate
+from pressgauge.operators.normalize import clean_feed
+from pressgauge.operators.politeness import SLICE_DELAYS
 from pressgauge.operators.sentiment import lexicon_scores
-from pressgauge.session import materialize
+from pressgauge.schemas import RAW_FEED
+from pressgauge.sources.events import event_table
 from pressgauge.sources.feeds import raw_feed
+from pressgauge.sources.versions import Versions
+from pressgauge.streaming.stateful import first_arrivals, gate_stream, tidy, trend_stream, trend_table, verdicts
+
+__all__ = [
+    "dedup_stream", "drain", "event_sink_stream", "first_items", "ingest_stream", "politeness_stream", "politeness_verdicts",
+    "trend_stream", "trend_table",
+]
 
 
 def drain(query: StreamingQuery) -> None:
@@ -57,72 +66,29 @@ def ingest_stream(
     )
 
 
-def dedup_stream(responses: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def dedup_stream(responses: DataFrame, path: str, checkpoint: str, keep_hours: float = 168) -> StreamingQuery:
     """Normalised items, the first of each (url, source) over the whole stream, with all their columns.
 
-    Decided by arrival number, so it does not matter how responses fall into micro-batches or when they are read.
+    Within a micro-batch the smallest arrival number is first, so it does not matter how responses fall into tasks.
     """
+    return first_arrivals(clean_feed(raw_feed(responses)), ["url", "source_name"], "ingest_seq", path, checkpoint, keep_hours)
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        rows = materialize(dedup_feed(clean_feed(raw_feed(batch))))
-        stored = _stored(batch.sparkSession, path, batch_id)
-        if stored is not None:
-            rows = rows.join(stored.select("url", "source_name"), ["url", "source_name"], "left_anti").select(*rows.columns)
-        _write_batch(rows, path, batch_id)
 
-    return (
-        responses.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-
-
-def trend_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Daily trend kept up to date: each batch adds the sums of its (date, label) cells in a folder of its own.
-
-    Sums can be added whenever they come, so no event is too late and there is no state to bound.
-    """
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        cells = batch.groupBy(F.to_date("ingested_at").alias("date"), "sentiment_label").agg(
-            F.count("*").alias("n"), F.sum("sentiment_score").alias("score"), F.count("sentiment_score").alias("scored"),
-            F.sum("sentiment_magnitude").alias("magnitude"), F.count("sentiment_magnitude").alias("measured"),
-        )
-        _write_batch(cells, path, batch_id)
-
-    return (
-        events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-
-
-CELLS = "date date, sentiment_label string, n long, score double, scored long, magnitude double, measured long, batch long"
-
-
-def trend_table(spark: SparkSession, path: str) -> DataFrame:
-    """The trend so far: a few cells a batch, added up."""
-    cells = spark.read.schema(CELLS).parquet(path).groupBy("date", "sentiment_label")
-    sums = cells.agg(*[F.sum(c).alias(c) for c in ("n", "score", "scored", "magnitude", "measured")])
-    return sums.select(
-        "date", "sentiment_label", F.col("n").alias("article_count"),
-        F.try_divide("score", "scored").alias("avg_sentiment_score"), F.try_divide("magnitude", "measured").alias("avg_magnitude"),
-    )
+def first_items(spark: SparkSession, path: str) -> DataFrame:
+    """What ``dedup_stream`` has stored."""
+    schema = clean_feed(spark.createDataFrame([], RAW_FEED)).schema
+    return Versions.buckets(spark, path, schema, ["url", "source_name"]).read().select(*schema.names)
 
 
 def event_sink_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Exactly-once event log: a folder per batch, one row per event id over all batches."""
+    """Exactly-once event log by days: one row per event id over all batches; a replayed batch is not written again."""
+    table = event_table(events.sparkSession, path)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        stored = _stored(batch.sparkSession, path, batch_id)
-        fresh = batch.dropDuplicates(["event_id"])
-        if stored is not None:
+        if not table.has(("events", batch_id)):
             # Repeats carry their original instant, so only the days of this batch are looked up.
-            days = batch.select(F.to_date("ingested_at").alias("ingested_date")).distinct()
-            seen = stored.join(days, "ingested_date", "left_semi").select("event_id")
-            fresh = fresh.join(seen, "event_id", "left_anti")
-        fresh = fresh.withColumn("ingested_date", F.to_date("ingested_at"))
-        (
-            fresh.sortWithinPartitions("ingested_date", "sentiment_label", "source_name")
-            .write.mode("overwrite").option("partitionOverwriteMode", "static")
-            .partitionBy("ingested_date").parquet(f"{path}/batch={batch_id}")
-        )
+            table.append(table.missing(batch.dropDuplicates(["event_id"]), ["event_id"]), ("events", batch_id))
+        tidy(table, batch_id)
 
     return (
         events.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -130,32 +96,9 @@ def event_sink_stream(events: DataFrame, path: str, checkpoint: str) -> Streamin
 
 
 def politeness_stream(requests: DataFrame, path: str, checkpoint: str, slice_delays: int = SLICE_DELAYS) -> StreamingQuery:
-    """Requests to verdicts, by the batch gate over each micro-batch.
+    """Requests to verdicts; ``politeness_verdicts`` reads them."""
+    return gate_stream(requests, path, checkpoint, slice_delays)
 
-    A table of clocks (the last fetch of each domain) goes from batch to batch. A request before its domain's clock and
-    delay have passed is refused and moves nothing; so the gate decides the rest from nothing. Verdicts and clocks of a
-    batch lie in folders of its number, which a replay overwrites.
-    """
-
-    def store(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = _stored(spark, f"{path}/clocks", batch_id)
-        clocks = spark.createDataFrame([], "domain string, clock long")
-        if before is not None:
-            newest = before.agg(F.max("batch")).first()[0]
-            clocks = before.filter(F.col("batch") == newest).select("domain", "clock") if newest is not None else clocks
-        t = F.unix_micros(F.col("requested_at").cast("timestamp"))
-        delay = (effective_delay(F.col("delay")) * 1_000_000).cast("long")
-        rows = materialize(batch.join(clocks, "domain", "left").withColumns({
-            "t": t, "early": F.coalesce(t < F.col("clock") + delay, F.lit(False)),
-        }))
-        decided = politeness_gate(rows.filter("NOT early").select("domain", "job_id", "requested_at", "delay", "fetched"), slice_delays)
-        refused = rows.filter("early").select(F.col("job_id").cast("long").alias("job_id"), F.lit(False).alias("polite"))
-        verdicts = materialize(decided.unionByName(refused))
-        moved = rows.filter("fetched").join(verdicts.filter("polite"), "job_id").groupBy("domain").agg(F.max("t").alias("clock"))
-        _write_batch(clocks.unionByName(moved).groupBy("domain").agg(F.max("clock").alias("clock")), f"{path}/clocks", batch_id)
-        _write_batch(verdicts, f"{path}/verdicts", batch_id)
 
-    return (
-        requests.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+def politeness_verdicts(spark: SparkSession, path: str) -> DataFrame:
+    return verdicts(spark, path).read().select("job_id", "polite")

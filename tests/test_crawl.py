@@ -108,7 +108,7 @@ def test_gate_stream_over_batches(spark, tmp_path):
         frame(spark, requests[part * 200 : (part + 1) * 200]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(frame(spark, requests[:1]).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     streams.drain(streams.politeness_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")))
-    got = {r.job_id: r.polite for r in spark.read.parquet(str(tmp_path / "out" / "verdicts")).collect()}
+    got = {r.job_id: r.polite for r in streams.politeness_verdicts(spark, str(tmp_path / "out")).collect()}
     assert got == scan(requests)
 
 
@@ -144,7 +144,7 @@ def test_gate_stream_decides_a_batch_in_order(spark, tmp_path):
     frame(spark, requests).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(frame(spark, requests[:1]).schema).parquet(str(tmp_path / "in"))
     streams.drain(streams.politeness_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), 64))
-    assert {r.job_id: r.polite for r in spark.read.parquet(str(tmp_path / "out" / "verdicts")).collect()} == scan(requests)
+    assert {r.job_id: r.polite for r in streams.politeness_verdicts(spark, str(tmp_path / "out")).collect()} == scan(requests)
 
 
 def test_html_reader_is_linear_and_reports_errors(monkeypatch):
@@ -197,3 +197,25 @@ def test_crawl_run_on_stored_jobs_and_repeated_fetches(spark):
     made = {r.article_id: (r.provider, r.magnitude, r.label, r.model_name) for r in run["analyses"].collect()}
     assert made[1] == ("GCP_NL", 0.4, "negative", "gcp_nl_v1") and made[2] == ("VADER", None, "positive", "vader_lexicon")
     assert run["events"].count() == 3
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<!--", "<!-- >", "<![CDATA[ >", "</a ", "<?x ", "<a b='"])
+def test_unclosed_tags_take_linear_time(piece):
+    import time
+
+    def seconds(n):
+        page = "<body>" + piece * n
+        start = time.process_time()
+        html_text.read_page(page)
+        return time.process_time() - start
+
+    small = min(seconds(40_000) for _ in range(3))
+    assert min(seconds(160_000) for _ in range(3)) < 10 * small + 0.05
+
+
+def test_unfinished_tails():
+    long = "word " * 30
+    assert html_text.main_text(f"<body><p>{long}</p><a ") == long.strip() + " <a"
+    assert html_text.main_text(f"<article>{long}</article>" + "<a " * 300) == long.strip()
+    assert html_text.main_text("<body>some text" + "<a " * 101) == "some text" + ("<a " * 101).rstrip()
+    assert html_text.main_text("<body>some text<script>" + "<a " * 101) == "some text"

@@ -288,3 +288,6 @@ ORACLES["article_sentiment_merge"] = ORACLES["article_sentiment_update"]
 ORACLES["stream_content_expiry"] = query("""
     SELECT article_id, content_hash, expires_at FROM article_contents
     WHERE expires_at > (SELECT max(extracted_at) FROM article_contents)""", "article_contents")
+ORACLES["unreadable_responses"] = """
+    SELECT DISTINCT doc_id // 500 * 1000 + CAST(substr(source, 4) AS BIGINT) AS payload_seq, source AS source_name
+    FROM documents WHERE doc_id // 500 % 5 < 3"""

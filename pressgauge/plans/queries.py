@@ -59,6 +59,15 @@ def multi_source_union(spark, sf_dir):
     return feeds.union_feeds(batches)
 
 
+@query
+def unreadable_responses(spark, sf_dir):
+    """The failed sources of a run: in every five responses one is an error object, one is empty and one never came."""
+    broken = V.responses(spark, sf_dir).withColumn("payload", F.expr(
+        "CASE payload_seq div 1000 % 5 WHEN 0 THEN '{\"error\": {\"code\": 429}}' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE payload END"
+    ))
+    return feeds.unreadable_responses(broken).select("payload_seq", "source_name")
+
+
 @query
 def feed_selection(spark, sf_dir):
     picked = feeds.select_feed(_raw(spark, sf_dir), "2024-01-05")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pressgauge import settings
 from pressgauge.functions.text import at, hours, percent_decode, percent_encode, strip, url_domain
+from pressgauge.session import materialize
 
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 RULE_FIELDS = ["allow", "disallow", "crawl-delay", "request-rate"]
@@ -118,23 +119,46 @@ def _target(url: Column) -> Column:
     return F.when(path == "", "/").otherwise(path)
 
 
+def first_by_prefix(targets: DataFrame, policies: DataFrame) -> DataFrame:
+    """For each distinct (domain, target): what the first rule by position that begins it says, as column ``_found``.
+
+    The rules are an index by (domain, path). A target asks for its own beginnings, at the lengths its domain's rules
+    have, so the work depends on the length of urls and not on the number of rules.
+    """
+    paths = policies.select("domain", F.explode("rules").alias("r"))
+    paths = paths.groupBy("domain", F.col("r.path").alias("_prefix")).agg(F.min(F.struct("r.pos", "r.allow")).alias("_rule"))
+    lengths = policies.select("domain", F.array_distinct(F.transform("rules", lambda r: F.char_length(r["path"]))).alias("_lengths"))
+    # Repeated urls shrink to one before they ask.
+    asked = targets.join(lengths.select("domain"), "domain", "left_semi").distinct().join(lengths, "domain")
+    fitting = F.filter("_lengths", lambda n: n <= F.char_length("_target"))
+    asked = asked.select("domain", "_target", F.explode(fitting).alias("_n"))
+    asked = asked.select("domain", "_target", F.expr("left(_target, _n)").alias("_prefix"))
+    first = asked.join(paths, ["domain", "_prefix"]).groupBy("domain", "_target").agg(F.min("_rule").alias("_rule"))
+    return first.select("domain", "_target", F.col("_rule.allow").alias("_found"))
+
+
 def robots_check(
-    urls: DataFrame, snapshots: DataFrame, user_agent: str = settings.USER_AGENT, on_missing: str = "allow"
+    urls: DataFrame, snapshots: DataFrame, user_agent: str = settings.USER_AGENT, on_missing: str = "allow",
+    rules_in_row: int = settings.ROBOTS_RULES_IN_ROW,
 ) -> DataFrame:
     """urls plus domain, allowed, reason, crawl_delay. ``snapshots`` has one file per domain.
 
-    The rules travel as one array per domain and are tested inside the url's row:
-    no (url, rule) pairs are produced. Spark broadcasts the domains while they are small by bytes; otherwise
-    the shuffle join has one right row per domain, so AQE can split a hot domain.
-    ``on_missing`` says what a file answered with 404 means.
+    Up to ``rules_in_row`` rules of a domain travel as one array and are tested inside the url's row; longer files are
+    looked up by prefix, and only their urls pay for it. The parsed files are written once, so their sizes and whether
+    any is long are known. Spark broadcasts the domains while they are small by bytes; otherwise the shuffle join has one
+    right row per domain, so AQE can split a hot domain. ``on_missing`` says what a file answered with 404 means.
     """
     files = snapshots.select("domain", F.col("http_status").alias("_status"))
-    policies = files.join(robots_policies(robots_rules(snapshots, user_agent)), "domain", "left")
+    policies = materialize(files.join(robots_policies(robots_rules(snapshots, user_agent)), "domain", "left"))
+    long = policies.filter(F.size("rules") > rules_in_row)
     rows = urls.withColumn("domain", url_domain(F.col("url"))).withColumn("_target", _target(F.col("url")))
-    rows = rows.join(policies, "domain", "left")
-    first = F.get(F.filter("rules", lambda r: F.col("_target").startswith(r["path"])), 0)
+    rows = rows.join(policies.withColumn("rules", F.when(F.size("rules") <= rules_in_row, F.col("rules"))), "domain", "left")
+    first = F.get(F.filter("rules", lambda r: F.col("_target").startswith(r["path"])), 0)["allow"]
+    if not long.isEmpty():
+        rows = rows.join(first_by_prefix(rows.select("domain", "_target"), long), ["domain", "_target"], "left")
+        first = F.coalesce(first, "_found")
     verdict = (
-        F.when(F.col("_status") == 200, F.coalesce(first["allow"], F.lit(True)))
+        F.when(F.col("_status") == 200, F.coalesce(first, F.lit(True)))
         .when(F.col("_status") == 404, F.lit(on_missing == "allow"))
         .otherwise(F.lit(True))
     )
@@ -144,4 +168,6 @@ def robots_check(
         .when(F.col("allowed"), settings.MESSAGES["allowed"])
         .otherwise(settings.MESSAGES["denied"].format(agent=user_agent))
     )
-    return rows.withColumn("reason", reason).drop("_target", "_status", "rules")
+    added = ["allowed", "reason", "crawl_delay"]
+    kept = [c for c in urls.columns if c not in ["domain", *added]]
+    return rows.withColumn("reason", reason).select(*kept, "domain", *added)

@@ -228,6 +228,12 @@ ORACLES = {
         UNION ALL
         SELECT domain, 2, false, true, 2.0, r, r = 0, CASE r WHEN 0 THEN '/' || lo || '/1' ELSE '/' || lo || '/' END
         FROM hosts, (VALUES (0), (1)) v(r) WHERE n % 4 >= 2 AND domain LIKE '%.org'""", "hosts"),
+    "robots_check_long": query(f"""
+        SELECT page_id, domain, coalesce(first, true) AS allowed, CASE WHEN coalesce(first, true) THEN 'Allowed by robots.txt'
+            ELSE 'Disallowed by robots.txt for user-agent ''{UA}''' END AS reason FROM (
+            SELECT f.page_id, any_value(f.domain) AS domain, arg_min((r.page_id + k) % 3 <> 0, r.page_id * 3 + k) AS first
+            FROM fetches f JOIN (SELECT *, left(path, greatest(1, length(path) - k)) AS rule FROM fetches, range(3) t(k)) r
+                ON f.domain = r.domain AND starts_with(f.path, r.rule) GROUP BY f.page_id)""", "fetches"),
     "robots_check": query(f"""
         SELECT page_id, domain, allowed, crawl_delay, CASE WHEN file_status IS NULL THEN 'No robots.txt or fetch failed (permissive default)'
             WHEN allowed THEN 'Allowed by robots.txt' ELSE 'Disallowed by robots.txt for user-agent ''{UA}''' END AS reason FROM verdicts""", "verdicts"),

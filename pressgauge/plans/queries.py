@@ -533,6 +533,14 @@ def robots_check(spark, sf_dir):
     return _checked(spark, sf_dir).select("page_id", "domain", "allowed", "reason", "crawl_delay")
 
 
+@query
+def robots_check_long(spark, sf_dir):
+    """Files whose rules grow with the pages, looked up by prefix."""
+    urls = V.table(spark, sf_dir, "pages").select("page_id", "url")
+    checked = robots.robots_check(urls, V.long_robots_files(spark, sf_dir), rules_in_row=3)
+    return checked.select("page_id", "domain", "allowed", "reason")
+
+
 def _requests(events: DataFrame) -> DataFrame:
     """Each user is a domain asking at its events' times, one to five hours apart; errors get no response."""
     return events.selectExpr(

@@ -229,6 +229,22 @@ def robots_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return old.unionByName(new)
 
 
+def long_robots_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file per host with three rules for each of its pages: the page's path and two beginnings of it."""
+    rules = table(spark, sf_dir, "pages").selectExpr(
+        "page_id", "lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS domain",
+        "regexp_extract(url, '^[a-z]+://[^/]*(/[^?#]*)', 1) AS path", "explode(sequence(0, 2)) AS k",
+    ).selectExpr(
+        "domain", "page_id * 3 + k AS pos",
+        "concat(CASE WHEN (page_id + k) % 3 = 0 THEN 'Disallow: ' ELSE 'Allow: ' END, left(path, greatest(1, length(path) - k))) AS line",
+    )
+    lines = rules.groupBy("domain").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("rules"))
+    return lines.selectExpr(
+        "domain", "200 AS http_status", "concat_ws('\n', 'User-agent: *', transform(rules, r -> r.line)) AS body",
+        f"TIMESTAMP_NTZ'{AS_OF}' AS fetched_at",
+    )
+
+
 def stored_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     from pressgauge.operators.content import content_store
 

@@ -24,6 +24,7 @@ TERMINAL_STATUSES = ["SUCCESS", "FAILED", "FORBIDDEN_BY_ROBOTS"]
 USER_AGENT = "pressgauge/1.0"
 DEFAULT_CRAWL_DELAY = 1.0
 ROBOTS_MAX_AGE_HOURS = 24
+ROBOTS_RULES_IN_ROW = 256  # files with more rules are looked up by prefix
 # Messages of the crawl.
 MESSAGES = {
     "denied": "Disallowed by robots.txt for user-agent '{agent}'",

@@ -33,6 +33,8 @@ def test_robots_equal_stdlib(spark):
     urls = [f"https://{d}{p}" for d in bodies for p in paths]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     got = {r.url: (r.allowed, r.crawl_delay) for r in robots.robots_check(df, files, AGENT).collect()}
+    looked_up = robots.robots_check(df, files, AGENT, rules_in_row=2)
+    assert {r.url: (r.allowed, r.crawl_delay) for r in looked_up.collect()} == got
     for domain, body in bodies.items():
         parser = RobotFileParser()
         parser.parse(body.splitlines())
@@ -42,6 +44,33 @@ def test_robots_equal_stdlib(spark):
             assert got[url] == (parser.can_fetch(AGENT, url), float(delay) if delay else None), (body, url)
 
 
+def test_robots_with_many_rules(spark):
+    """100,000 rules of one domain: the first by position decides, urls repeat, and no url scans the rules."""
+    rng = random.Random(8)
+    rules = [("Allow" if rng.random() < 0.5 else "Disallow", f"/{rng.randrange(30)}/{rng.randrange(40)}/{rng.randrange(2000)}") for _ in range(100_000)]
+    rules.insert(50_000, ("Disallow", "/7/"))
+    body = "User-agent: *\n" + "\n".join(f"{kind}: {path}" for kind, path in rules)
+    files = spark.createDataFrame(
+        [("big.org", 200, body, NOON), ("small.org", 200, "User-agent: *\nDisallow: /7/", NOON)],
+        "domain string, http_status int, body string, fetched_at timestamp_ntz",
+    )
+    paths = [f"/{rng.randrange(30)}/{rng.randrange(40)}/{rng.randrange(3000)}" for _ in range(4000)] + ["/7/x"] * 500 + ["", "/7"]
+    urls = [(i, f"https://{rng.choice(['big', 'big', 'small', 'none'])}.org{p}") for i, p in enumerate(paths)] + [(-1, None)]
+    got = {r.n: r.allowed for r in robots.robots_check(spark.createDataFrame(urls, "n int, url string"), files, AGENT).collect()}
+    first = {}
+    for pos, (kind, path) in enumerate(rules):
+        first.setdefault(path, (pos, kind == "Allow"))
+    for n, url in urls:
+        host, _, path = (url or "").removeprefix("https://").partition("/")
+        target = "/" + path
+        if host == "big.org":
+            found = min((first[target[:k]] for k in range(1, len(target) + 1) if target[:k] in first), default=(0, True))
+            assert got[n] == found[1], url
+        else:
+            assert got[n] == (host != "small.org" or not target.startswith("/7/")), url
+    assert len(got) == len(urls)
+
+
 def test_robots_missing_and_failed(spark):
     files = spark.createDataFrame([("a.org", 404, None, NOON)], "domain string, http_status int, body string, fetched_at timestamp_ntz")
     urls = spark.createDataFrame([("https://a.org/x",), ("https://b.org/x",)], "url string")

@@ -124,11 +124,29 @@ def crawl_run(
     if requeue_rate_limited:
         queue = queue.withColumn("status", F.when(F.col("status") == "RATE_LIMITED", "PENDING").otherwise(F.col("status")))
     picked = materialize(pending_jobs(queue, max_jobs))
+    results = work_off(
+        picked, articles, fetches, snapshots, lexicon, as_of, user_agent, provider, model_scores
+    )
+    return {
+        "new_jobs": new_jobs,
+        "outcomes": results["outcomes"],
+        "contents": content_upsert(tables["article_contents"], results["contents"]),
+        "analyses": results["analyses"],
+        "articles": article_sentiment_update(articles, results["analyses"]),
+        "events": results["events"],
+    }
+
+
+def work_off(
+    picked: DataFrame, articles: DataFrame, fetches: DataFrame, snapshots: DataFrame, lexicon: DataFrame,
+    as_of: datetime | str, user_agent: str = settings.USER_AGENT, provider: str = settings.LEXICON_PROVIDER,
+    model_scores: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """What trying the picked jobs gives: outcomes by job, contents and analyses by article, events. All are new rows."""
     decided, texts = attempt(picked, articles, fetches, snapshots, user_agent)
     outcomes = crawl_outcomes(with_text_flag(decided, texts), as_of)
 
     whole = texts.filter("text <> ''").select("article_id", "text", at(as_of).alias("extracted_at"))
-    contents = content_upsert(tables["article_contents"], content_store(whole))
     flags = whole.select("article_id", is_blank(F.col("text")).alias("blank"), F.char_length("text").cast("long").alias("content_length"))
     scored = lexicon_scores(whole, "article_id", "text", lexicon).join(flags.drop("content_length"), "article_id")
     if model_scores is None:
@@ -141,10 +159,8 @@ def crawl_run(
         "score", "magnitude", "label", F.lit(settings.DEFAULT_LANGUAGE).alias("language"), at(as_of).alias("analyzed_at"),
     )
     return {
-        "new_jobs": new_jobs,
         "outcomes": outcomes,
-        "contents": contents,
+        "contents": content_store(whole),
         "analyses": analyses,
-        "articles": article_sentiment_update(articles, analyses),
         "events": build_events(analyses.join(flags.drop("blank"), "article_id"), articles, as_of),
     }

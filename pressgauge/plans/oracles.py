@@ -260,6 +260,14 @@ ORACLES = {
         FROM tries v LEFT JOIN gate g ON g.id = v.id""", "verdicts", "crawl_jobs", recursive=True, **CRAWL),
 }
 
+# The outcome of each try, then the stored jobs that were not tried.
+OUTCOME = ORACLES["crawl_outcomes"]
+ORACLES["crawl_jobs_stored"] = f"""
+    SELECT * FROM ({OUTCOME})
+    UNION ALL SELECT event_id, user_id, {V.JOB_STATUS}, event_type <> 'purchase', CASE WHEN event_type = 'click' THEN 200 END,
+        CASE WHEN event_type = 'click' THEN ts END, CAST(length(props) AS BIGINT), CASE WHEN event_type = 'error' THEN 'NETWORK_ERROR' END, NULL
+    FROM events WHERE {V.JOB_STATUS} <> 'PENDING' OR user_id NOT IN (SELECT page_id FROM pages)"""
+
 ORACLES["stream_ingest_articles"] = query(
     f"SELECT {CLEAN.replace('ingest_seq, ', '', 1)}, s.label AS sentiment_label, s.score AS sentiment_score FROM fresh JOIN scores s ON s.key = ingest_seq",
     "fresh", "lexicon", **Q.scores("SELECT ingest_seq AS key, title || ' ' || description AS text FROM clean"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pressgauge import settings
 from pressgauge.functions.text import canonical_url, parse_iso, robots_url, url_domain
 from pressgauge.operators import (
-    analytics, content, crawl, html_text, ingest, normalize, politeness, reads, retention, robots, sentiment, validate,
+    analytics, content, crawl, crawl_stored, html_text, ingest, normalize, politeness, reads, retention, robots, sentiment, validate,
 )
 from pressgauge.plans import views as V
 from pressgauge.session import work_path
@@ -590,6 +590,39 @@ def crawl_run(spark, sf_dir):
     )
 
 
+def _stored_run(spark, sf_dir):
+    """The run of ``_run`` on stored tables, asked for twice: the second call finds it done."""
+    root = work_path(spark, "crawl")
+    stores = crawl_stored.open_tables(spark, root)
+    stores["articles"].append(V.page_articles(spark, sf_dir))
+    stores["crawl_jobs"].append(V.crawl_jobs(spark, sf_dir))
+    stores["article_contents"].append(_contents(spark, sf_dir))
+    # Articles of pages have the sources src0, src1, ...
+    names = V.page_articles(spark, sf_dir).selectExpr("source_id AS id", "source_name AS name").distinct()
+    files = robots.fresh_robots(V.robots_files(spark, sf_dir), V.AS_OF)
+    for _ in range(2):
+        counts = crawl_stored.stored_crawl_run(
+            stores, names, f"{root}/events", V.fetches(spark, sf_dir), files, V.lexicon(spark, sf_dir), V.AS_OF, None, None
+        )
+    return stores, f"{root}/events", counts
+
+
+@query
+def crawl_jobs_stored(spark, sf_dir):
+    """The stored jobs after a run: outcomes in place of the tried ones, all others as they were."""
+    stores, _, _ = _stored_run(spark, sf_dir)
+    return crawl_stored.stored(stores["crawl_jobs"]).select(
+        "id", "article_id", "status", "robots_allowed", "http_status", "fetched_at", "bytes_downloaded", "error_code", "error_message"
+    )
+
+
+@query
+def crawl_events_stored(spark, sf_dir):
+    """The event log that a stored run leaves, with all columns."""
+    _, path, _ = _stored_run(spark, sf_dir)
+    return event_log.read_events(spark, path)
+
+
 @query
 def crawl_run_summary(spark, sf_dir):
     run = _run(spark, sf_dir)

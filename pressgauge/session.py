@@ -8,7 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Settings that may be changed on a running session.
 RUNTIME_CONF = {
@@ -73,6 +73,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``materialize`` with counts of the rows written, observed by the job that writes them: no second pass."""
+    seen = Observation()
+    rows = materialize(df.observe(seen, *[count.alias(name) for name, count in counts.items()]))
+    return rows, {name: int(seen.get.get(name) or 0) for name in counts}
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors' Python workers, once for each application."""
     context = spark.sparkContext

@@ -6,7 +6,8 @@ from urllib.robotparser import RobotFileParser
 
 import pytest
 
-from pressgauge.operators import crawl, html_text, ingest, politeness, robots, sentiment
+from pressgauge.operators import crawl, crawl_stored, html_text, ingest, politeness, robots, sentiment
+from pressgauge.sources import events
 from pressgauge.streaming import streams
 
 AGENT = "newsbot/1.0 (+https://example.org)"
@@ -248,3 +249,68 @@ def test_unfinished_tails():
     assert html_text.main_text(f"<article>{long}</article>" + "<a " * 300) == long.strip()
     assert html_text.main_text("<body>some text" + "<a " * 101) == "some text" + ("<a " * 101).rstrip()
     assert html_text.main_text("<body>some text<script>" + "<a " * 101) == "some text"
+
+
+def test_stored_run_breaks_off_and_goes_on(spark, tmp_path, monkeypatch):
+    """A run dies before its second and before its last commit; called again it leaves what an undisturbed run leaves, and so does a replay."""
+    page = "<html><body><article>" + "good words " * 20 + "</article></body></html>"
+    article = [(i, i % 2, f"t{i}", f"https://h{i}.org/a", NOON, "en") for i in range(1, 6)]
+    articles = spark.createDataFrame(article, "id long, source_id long, title string, url string, published_at timestamp_ntz, language string")
+    for c, kind in [("description", "string"), ("image_url", "string"), ("country", "string"), ("category", "string"), ("sentiment_label", "string"), ("sentiment_score", "double")]:
+        articles = articles.selectExpr("*", f"CAST(NULL AS {kind}) AS {c}")
+    sources = spark.createDataFrame([(0, "even"), (1, "odd")], "id long, name string")
+    early = NOON - dt.timedelta(days=2)
+    old = spark.createDataFrame(
+        [(1, 1, "PENDING", early, early), (2, 2, "IN_PROGRESS", early, early), (3, 3, "SUCCESS", early, early), (4, 99, "PENDING", early, early)],
+        "id long, article_id long, status string, created_at timestamp_ntz, updated_at timestamp_ntz",
+    )
+    jobs = ingest.create_crawl_jobs(articles, old, NOON).limit(0).unionByName(old, allowMissingColumns=True)
+    fetches = spark.createDataFrame(
+        [(f"https://h{i}.org/a", NOON, 503 if i == 5 else 200, None, page) for i in range(1, 6)],
+        "url string, requested_at timestamp_ntz, response_status int, response_error string, html string",
+    )
+    files = spark.createDataFrame([], "domain string, http_status int, body string, fetched_at timestamp_ntz")
+    lexicon = sentiment.default_lexicon(spark)
+    real = crawl_stored.Versions.commit
+
+    def run(stores, root):
+        return crawl_stored.stored_crawl_run(
+            stores, sources, f"{root}/events", fetches, files, lexicon, NOON, None, None, abandoned_hours=24
+        )
+
+    def result(stores, root):
+        out = {n: sorted(map(str, crawl_stored.stored(s).collect())) for n, s in stores.items()}
+        return {**out, "events": sorted(map(str, events.read_events(spark, f"{root}/events").collect()))}
+
+    wanted = None
+    for broken in (None, 1, 5):
+        root = str(tmp_path / f"run{broken}")
+        stores = crawl_stored.open_tables(spark, root, 2)
+        stores["articles"].append(articles)
+        stores["crawl_jobs"].append(jobs)
+        done = []
+
+        def commit(self, *args, **more):
+            if broken is not None and len(done) == broken:
+                done.append("broken")
+                raise OSError("lost")
+            done.append(self.path)
+            return real(self, *args, **more)
+
+        with monkeypatch.context() as m:
+            m.setattr(crawl_stored.Versions, "commit", commit)
+            if broken is not None:
+                # the event log's failure is reported, not raised
+                with pytest.raises(OSError):
+                    run(stores, root)
+            counts = run(stores, root)
+        assert counts == {"processed": 4, "successful": 3, "failed": 1, "new_jobs_created": 2}
+        got = result(stores, root)
+        if wanted is None:
+            wanted = got
+            state = {r.id: r.status for r in crawl_stored.stored(stores["crawl_jobs"]).collect()}
+            assert [state[i] for i in (1, 2, 3, 4)] == ["SUCCESS", "SUCCESS", "SUCCESS", "PENDING"]
+            assert len(got["events"]) == len(got["sentiment_analyses"]) == len(got["article_contents"]) == 3
+            versions = {n: s.snapshot().version for n, s in stores.items()}
+            assert run(stores, root) == counts and {n: s.snapshot().version for n, s in stores.items()} == versions
+        assert got == wanted, broken

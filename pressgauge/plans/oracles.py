@@ -276,6 +276,13 @@ ORACLES["ingest_articles"] = query(
         language, country, category, s.label AS sentiment_label, s.score AS sentiment_score
     FROM fresh JOIN scores s ON s.key = ingest_seq LEFT JOIN sources o ON o.name = source_name""",
     "fresh", "lexicon", "sources", **Q.scores("SELECT ingest_seq AS key, title || ' ' || description AS text FROM clean"))
+ORACLES["ingest_run_stored"] = ORACLES["ingest_articles"]
+ORACLES["ingest_run_counts"] = query("""
+    SELECT (SELECT count(DISTINCT url) FROM stored_urls) + (SELECT count(*) FROM fresh) AS stored_articles,
+        (SELECT count(DISTINCT (doc_id // 500, source)) FROM documents) AS responses, CAST(0 AS BIGINT) AS failed_responses,
+        (SELECT count(*) FROM raw) AS items, (SELECT count(*) FROM per_source WHERE published_at IS NULL) AS undated_items,
+        (SELECT count(DISTINCT source_name) FROM fresh WHERE source_name NOT IN (SELECT name FROM sources)) AS new_sources,
+        (SELECT count(*) FROM fresh) AS new_articles""", "fresh", "sources")
 ORACLES["provider_info"] = query("""
     SELECT p.*, count(a.id) AS n_analyses FROM (VALUES """ + ", ".join(
     f"({Q.text(n)}, CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), {Q.text(m)}, {str(settings.FALLBACK_ENABLED).lower()}, {Q.text(','.join(settings.SUPPORTED_LANGUAGES))})"

@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from pressgauge.session import materialize
+from pressgauge.session import work_path
 
 BROADCAST = 64 << 20
 NULL_PART = "__HIVE_DEFAULT_PARTITION__"
@@ -185,7 +185,8 @@ class Versions:
         base, write = self.snapshot(), uuid.uuid4().hex
         needed = {"upsert": self.schema.names, "update": [*keys, *(columns or [])], "delete": keys}[how]
         touched = set()
-        for group, mine, small in self._by_bucket(changes, needed, broadcast):
+        sized = [*keys, *(columns or [])] if how == "update" else keys
+        for group, mine, small in self._by_bucket(changes, needed, sized, broadcast):
             touched.update(group)
             side = F.broadcast if small else (lambda df: df)
             stored = self.read(base, group)
@@ -203,26 +204,52 @@ class Versions:
         parts.update({p: [write] for p in self._written(write)})
         return self.commit(base, parts, batch, notes)
 
-    def _by_bucket(self, rows: DataFrame, columns: list[str], broadcast: int) -> Iterable[tuple[list[str], DataFrame, bool]]:
-        """Rows (written once) in groups of buckets, each with its buckets and whether its measured size may be broadcast."""
+    def _gathered(self, rows: DataFrame, columns: list[str], sized: list[str]) -> tuple[DataFrame, dict[str, int]]:
+        """Rows written once into a folder a bucket, and the bytes that ``sized`` columns take in each. What is read of a
+        bucket's rows costs that bucket only, however many others there are."""
         types = {f.name: f.dataType for f in self.schema.fields}
-        pending = materialize(rows.select(*[F.col(c).cast(types[c]) for c in columns]).withColumn(self.part, self.by.cast(self.kind)))
-        size = F.lit(64) + F.octet_length(F.to_json(F.struct(*columns)))
+        named = rows.select(*[F.col(c).cast(types[c]) for c in columns]).withColumn(self.part, self.by.cast(self.kind))
+        path = work_path(self.spark, "pending")
+        named.hint("rebalance", self.part).write.partitionBy(self.part).parquet(path)
+        pending = self.spark.read.schema(named.schema).parquet(path).select(*named.columns)
+        size = F.lit(64) + F.octet_length(F.to_json(F.struct(*sized)))
         counted = pending.groupBy(self.part).agg(F.sum(size).alias("bytes")).collect()  # a row a bucket
-        name = F.coalesce(F.col(self.part).cast("string"), F.lit(NULL_PART))
-        for group, small in _groups({NULL_PART if r[0] is None else str(r[0]): r["bytes"] for r in counted}, broadcast):
-            yield group, pending.where(name.isin(group)).drop(self.part), small
+        return pending, {NULL_PART if r[0] is None else str(r[0]): r["bytes"] for r in counted}
+
+    def _of(self, pending: DataFrame, group: list[str]) -> DataFrame:
+        """Rows of the buckets in ``group``; only their folders are read."""
+        values = [F.lit(p).cast(self.kind) for p in group if p != NULL_PART]
+        chosen = F.col(self.part).isin(*values) if values else F.lit(False)
+        return pending.where(chosen | F.col(self.part).isNull() if NULL_PART in group else chosen).drop(self.part)
+
+    def _by_bucket(self, rows: DataFrame, columns: list[str], sized: list[str], broadcast: int) -> Iterable[tuple[list[str], DataFrame, bool]]:
+        """Rows (written once) in groups of buckets, each with its buckets and whether the measured size of its ``sized``
+        columns may be broadcast."""
+        pending, sizes = self._gathered(rows, columns, sized)
+        for group, small in _groups(sizes, broadcast):
+            yield group, self._of(pending, group), small
 
     def missing(self, rows: DataFrame, keys: list[str], broadcast: int = BROADCAST) -> DataFrame:
         """The rows whose keys the table lacks. Only key columns of the buckets that rows fall into are read, and they are
-        not shuffled: the keys that ask are broadcast to them, group by group."""
-        base, out = self.snapshot(), None
-        for group, mine, small in self._by_bucket(rows, self.schema.names, broadcast):
-            asked = mine.select(*keys).distinct()
-            known = self.read(base, group).select(*keys).join(F.broadcast(asked) if small else asked, keys, "left_semi").distinct()
-            fresh = mine.join(known, keys, "left_anti").select(*self.schema.names)
-            out = fresh if out is None else out.unionByName(fresh)
-        return out if out is not None else self.spark.createDataFrame([], self.schema)
+        not shuffled where the keys that ask can be broadcast to them, group by group; larger buckets are joined at once.
+        Rows of buckets that the table does not have need no look."""
+        base = self.snapshot()
+        if not base.parts:
+            return rows.select(*self.schema.names)
+        pending, sizes = self._gathered(rows, self.schema.names, keys)
+        there = {p: size for p, size in sizes.items() if p in base.parts}
+        groups = list(_groups(there, broadcast))
+        large = [p for group, small in groups if not small for p in group]
+        groups = [group for group, small in groups if small]
+        fresh, path = self._of(pending, [p for p in sizes if p not in there]), work_path(self.spark, "known")
+        for group in [*groups, *([large] if large else [])]:
+            asked = self._of(pending, group).select(*keys).distinct()
+            found = self.read(base, group).select(*keys).join(asked if group is large else F.broadcast(asked), keys, "left_semi")
+            found.distinct().write.mode("append").parquet(path)
+        if there:
+            known = self.spark.read.schema(pending.select(*keys).schema).parquet(path)
+            fresh = fresh.unionByName(self._of(pending, list(there)).join(known, keys, "left_anti"))
+        return fresh.select(*self.schema.names)
 
     # --- upkeep
 

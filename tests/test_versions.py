@@ -149,3 +149,28 @@ def test_parts_of_odd_values(spark, tmp_path):
     ids.append(frame(spark, [(None, 1, "a"), (1, 1, "b")]))
     ids.merge(frame(spark, [(None, 1, ""), (1, 1, "")]), ["id"], "delete")
     assert rows(ids) == [(None, 1, "a")]  # a null key names no row
+
+
+def test_missing_rows(spark, tmp_path):
+    """Buckets that the table lacks, groups that are broadcast, and larger buckets: the same rows, and no join per bucket."""
+    store = table(spark, tmp_path / "t")
+    asked = frame(spark, [(i, 1, "y") for i in range(40, 120)] + [(None, 1, "y")])
+    assert store.missing(asked, ["id"]).count() == 81
+    store.append(frame(spark, [(i, 0, "x") for i in range(80)]))
+    for limit in (1 << 20, 1500, 300):
+        fresh = store.missing(asked, ["id"], limit)
+        assert sorted((r.id or 0) for r in fresh.collect()) == [0, *range(80, 120)]
+        assert fresh.columns == SCHEMA.names
+        assert fresh._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    some = table(spark, tmp_path / "some")
+    some.append(frame(spark, [(1, 0, "x")]))
+    assert sorted(r.id for r in some.missing(frame(spark, [(i, 0, "x") for i in range(9)]), ["id"]).collect()) == [0, *range(2, 9)]
+
+
+def test_a_group_reads_its_own_buckets(spark, tmp_path):
+    store = table(spark, tmp_path / "t")
+    pending, sizes = store._gathered(frame(spark, [(i, 0, "x" * 1000) for i in range(200)]), SCHEMA.names, ["id"])
+    assert len(sizes) == 8 and sum(sizes.values()) < 200 * 100  # of the keys, not of the texts
+    seen = [store._of(pending, [p]) for p in sizes]
+    assert sum(x.count() for x in seen) == 200
+    assert all("PartitionFilters: [isnotnull(bucket" in x._jdf.queryExecution().executedPlan().toString() for x in seen)

@@ -72,49 +72,108 @@ def _advance(clock: np.ndarray, times: np.ndarray, d: int) -> np.ndarray:
 EXITS = ["domain", "slice", "d", "first_fetch", "last_fetch"]
 
 
+def _numbered(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a sorted batch the number of its (domain, slice), and the places where these begin."""
+    changed = np.zeros(len(batch), dtype=bool)
+    changed[:1] = True
+    for column in (batch["domain"].to_numpy(), batch["slice"].to_numpy()):
+        changed[1:] |= column[1:] != column[:-1]
+    opens = np.flatnonzero(changed)
+    return np.repeat(np.arange(len(opens)), np.diff(np.append(opens, len(batch)))), opens
+
+
+def _first_at(times: np.ndarray, group: np.ndarray, wanted: np.ndarray, wanted_group: np.ndarray) -> np.ndarray:
+    """The place of the first time of each wanted group that is not before the wanted one; len(times) if there is none.
+
+    Groups ascend, and times within them. All groups are searched at once, by sorting what is wanted in between.
+    """
+    n = len(times)
+    late = np.append(np.ones(n, dtype=bool), np.zeros(len(wanted), dtype=bool))
+    order = np.lexsort((late, np.append(times, wanted), np.append(group, wanted_group)))
+    asks = order >= n
+    at = np.empty(len(wanted), dtype=np.int64)
+    at[order[asks] - n] = np.cumsum(~asks)[asks]
+    return np.where(np.append(group, -1)[at] == wanted_group, at, n)
+
+
+def _whole_exits(batch: pd.DataFrame, slice_delays: int) -> pd.DataFrame:
+    """The exits of slices that lie in the batch as wholes, all at once."""
+    group, opens = _numbered(batch)
+    moving = batch["moves"].to_numpy().astype(bool)
+    rows, g = batch[moving], group[moving]
+    t, d = rows["t"].to_numpy(), rows["d"].to_numpy()
+    n, opening = len(rows), np.append(True, g[1:] != g[:-1])[: len(g)]
+    early = t < rows["slice"].to_numpy() * d * slice_delays + d
+    # any fetch in the first delay may come first; so may the one right after it
+    first = early | opening | np.append(True, early[:-1])[:n]
+    first &= opening | np.append(True, t[1:] != t[:-1])[:n]
+    up = _first_at(t, g, t + d, g)
+    up = np.where(up == n, np.arange(n), up)  # the last fetch of a chain points to itself
+    while not ((further := up[up]) == up).all():
+        up = further
+    out = rows[["domain", "slice", "d"]].assign(first_fetch=t, last_fetch=t[up])[first]
+    idle = np.setdiff1d(np.arange(len(opens)), g)  # slices without fetches still pass the clock on
+    return pd.concat([out, batch.iloc[opens[idle]][["domain", "slice", "d"]].assign(first_fetch=NO_FETCH, last_fetch=NO_FETCH)], ignore_index=True)
+
+
 def _slice_exits(slice_delays: int):
-    """Per (domain, slice): every request that may be its first fetch, and the last fetch that leads to."""
+    """Per (domain, slice): every request that may be its first fetch, and the last fetch that leads to.
+
+    Only the slices at a batch's ends may go on in another one: they are followed with a state, all others at once.
+    """
 
-    def finish(state: dict) -> dict:
+    def begin(key: tuple, d: int) -> dict:
+        return {
+            "key": key, "d": d, "open_until": int(key[1]) * d * slice_delays + d, "closed": False,
+            "starts": np.empty(0, np.int64), "clock": np.empty(0, np.int64),
+        }
+
+    def finish(state: dict) -> pd.DataFrame:
         none = np.array([NO_FETCH], dtype=np.int64)  # a slice without fetches still passes the clock on
         starts, clock = (state["starts"], state["clock"]) if len(state["starts"]) else (none, none)
         n = len(starts)
-        return {
+        return pd.DataFrame({
             "domain": np.repeat(state["key"][0], n), "slice": np.repeat(state["key"][1], n),
             "d": np.repeat(state["d"], n), "first_fetch": starts, "last_fetch": clock,
-        }
+        })[EXITS]
+
+    def follow(state: dict, rows: pd.DataFrame) -> None:
+        times = rows["t"].to_numpy()[rows["moves"].to_numpy().astype(bool)]
+        if not len(times):
+            return
+        # Any fetch in the first delay may come first; so may the one right after it.
+        new = times[:0]
+        if not state["closed"]:
+            k = int(np.searchsorted(times, state["open_until"], side="left"))
+            state["closed"] = k < len(times)
+            new = np.unique(times[: k + 1])
+            if len(state["starts"]):
+                new = new[new > state["starts"][-1]]
+        state["starts"] = np.concatenate([state["starts"], new])
+        state["clock"] = _advance(np.concatenate([state["clock"], new]), times, state["d"])
 
     def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: dict | None = None
         for batch in batches:
-            done = []
-            t, moves, delays = (batch[c].to_numpy() for c in ("t", "moves", "d"))
-            for key, rows in runs(batch, ["domain", "slice"]):
-                if state is None or key != state["key"]:
-                    if state is not None:
-                        done.append(finish(state))
-                    d = int(delays[rows.start])
-                    state = {
-                        "key": key, "d": d, "open_until": int(key[1]) * d * slice_delays + d, "closed": False,
-                        "starts": np.empty(0, np.int64), "clock": np.empty(0, np.int64),
-                    }
-                times = t[rows][moves[rows].astype(bool)]
-                if not len(times):
-                    continue
-                # Any fetch in the first delay may come first; so may the one right after it.
-                new = times[:0]
-                if not state["closed"]:
-                    k = int(np.searchsorted(times, state["open_until"], side="left"))
-                    state["closed"] = k < len(times)
-                    new = np.unique(times[: k + 1])
-                    if len(state["starts"]):
-                        new = new[new > state["starts"][-1]]
-                state["starts"] = np.concatenate([state["starts"], new])
-                state["clock"] = _advance(np.concatenate([state["clock"], new]), times, state["d"])
+            if not len(batch):
+                continue
+            _, opens = _numbered(batch)
+            key, d, done = list(zip(batch["domain"], batch["slice"])), batch["d"].to_numpy(), []
+            start, last = 0, int(opens[-1])
+            if state is not None and key[0] == state["key"]:
+                start = int(opens[1]) if len(opens) > 1 else len(batch)
+                follow(state, batch[:start])
+            if start < len(batch):  # another slice begins
+                if state is not None:
+                    done.append(finish(state))
+                if start < last:
+                    done.append(_whole_exits(batch[start:last], slice_delays)[EXITS])
+                state = begin(key[last], int(d[last]))
+                follow(state, batch[last:])
             if done:
-                yield pd.concat([pd.DataFrame(x) for x in done], ignore_index=True)[EXITS]
+                yield pd.concat(done, ignore_index=True)
         if state is not None:
-            yield pd.DataFrame(finish(state))[EXITS]
+            yield finish(state)
 
     return exits
 
@@ -124,48 +183,51 @@ def _slice_clocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     current, clock, after, taken = None, NO_FETCH, NO_FETCH, False
     for batch in batches:
         out = []
-        delays, first, last = (batch[c].to_numpy() for c in ("d", "first_fetch", "last_fetch"))
-        for key, rows in runs(batch, ["domain", "slice"]):
-            d = int(delays[rows.start])
-            if key != current:
-                clock = after if current is not None and key[0] == current[0] else NO_FETCH
-                current, after, taken = key, clock, False
-                out.append((key[0], int(key[1]), d, clock))
-            if taken:
-                continue
-            usable = np.flatnonzero((first[rows] != NO_FETCH) & (first[rows] >= clock + d))
-            if len(usable):
-                taken, after = True, int(last[rows][usable[0]])
+        for domain, part, d, first, last in zip(*(batch[c].tolist() for c in EXITS)):
+            if (domain, part) != current:
+                clock = after if current is not None and domain == current[0] else NO_FETCH
+                current, after, taken = (domain, part), clock, False
+                out.append((domain, part, d, clock))
+            if not taken and first != NO_FETCH and first >= clock + d:
+                taken, after = True, last
         yield pd.DataFrame(out, columns=["domain", "slice", "d", "clock"])
 
 
 def decide(unmarked: int = NO_FETCH):
-    """Each slice opens with its clock row; the requests follow in time order. ``unmarked``: the clock of slices without."""
+    """Each slice opens with its clock row; the requests follow in time order. ``unmarked``: the clock of slices without.
+
+    The slices of a batch are decided together: their chains of fetches are followed step by step, all at once.
+    """
 
     def verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, clock = None, unmarked
         for batch in batches:
-            t, d_all, moves, is_clock, jobs = (batch[c].to_numpy() for c in ("t", "d", "moves", "is_clock", "job_id"))
-            polite = np.zeros(len(batch), dtype=bool)
-            for key, rows in runs(batch, ["domain", "slice"]):
-                if key != current:
-                    current, clock = key, unmarked
-                start = rows.start
-                if is_clock[start]:
-                    clock, start = int(t[start]), start + 1
-                rows = slice(start, rows.stop)
-                times, d = t[rows], int(d_all[rows.stop - 1])
-                movers = np.flatnonzero(moves[rows].astype(bool))
-                mover_times = times[movers]
-                places, chain = [], [clock]
-                while (i := int(np.searchsorted(mover_times, chain[-1] + d, side="left"))) < len(movers):
-                    places.append(int(movers[i]))
-                    chain.append(int(mover_times[i]))
-                before = np.searchsorted(np.array(places, dtype=np.int64), np.arange(len(times)), side="left")
-                polite[rows] = times >= np.array(chain, dtype=np.int64)[before] + d
-                clock = chain[-1]
-            asked = ~is_clock.astype(bool)
-            yield pd.DataFrame({"job_id": jobs[asked], "polite": polite[asked]})
+            if not len(batch):
+                continue
+            t, d, jobs = (batch[c].to_numpy() for c in ("t", "d", "job_id"))
+            is_clock, moves = (batch[c].to_numpy().astype(bool) for c in ("is_clock", "moves"))
+            group, opens = _numbered(batch)
+            clocks = np.full(len(opens), unmarked, dtype=np.int64)
+            if (batch["domain"].iat[0], batch["slice"].iat[0]) == current:
+                clocks[0] = clock
+            clocks = np.where(is_clock[opens], t[opens], clocks)
+            movers = np.flatnonzero(moves & ~is_clock)
+            times, n = t[movers], len(movers)
+            after = _first_at(times, group[movers], times + d[movers], group[movers])
+            at, fetched = _first_at(times, group[movers], clocks + d[opens], np.arange(len(opens))), np.zeros(n, dtype=bool)
+            while len(at := at[at < n]):
+                fetched[at] = True
+                at = after[at]
+            # the place after the last fetch before each row; the slice's clock counts where that is in an earlier slice
+            places = movers[fetched] + 1
+            last = np.zeros(len(batch) + 1, dtype=np.int64)
+            last[places] = places
+            last = np.maximum.accumulate(last)
+            since = np.where(last[:-1] > opens[group], t[last[:-1] - 1], clocks[group])
+            polite = t >= since + d
+            current = (batch["domain"].iat[-1], batch["slice"].iat[-1])
+            clock = int(t[last[-1] - 1] if last[-1] > opens[-1] else clocks[-1])
+            yield pd.DataFrame({"job_id": jobs[~is_clock], "polite": polite[~is_clock]})
 
     return verdicts
 

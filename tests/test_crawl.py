@@ -4,6 +4,7 @@ import datetime as dt
 import random
 from urllib.robotparser import RobotFileParser
 
+import pandas as pd
 import pytest
 
 from pressgauge.operators import crawl, crawl_stored, html_text, ingest, politeness, robots, sentiment
@@ -314,3 +315,26 @@ def test_stored_run_breaks_off_and_goes_on(spark, tmp_path, monkeypatch):
             versions = {n: s.snapshot().version for n, s in stores.items()}
             assert run(stores, root) == counts and {n: s.snapshot().version for n, s in stores.items()} == versions
         assert got == wanted, broken
+
+
+def test_slices_of_a_batch_go_together(monkeypatch):
+    """A thousand short slices in one batch: only those at its ends are followed alone, and exits equal a walk by hand."""
+    rng, calls = random.Random(4), []
+    real = politeness._advance
+    monkeypatch.setattr(politeness, "_advance", lambda *args: calls.append(1) or real(*args))
+    rows = sorted((domain, t // (d * 4), t, d, rng.random() < 0.7) for domain, d in (("a", 3), ("b", 5)) for t in (rng.randrange(1, 9000) for _ in range(1500)))
+    batch = pd.DataFrame(rows, columns=["domain", "slice", "t", "d", "moves"])
+    got = pd.concat(politeness._slice_exits(4)(iter([batch])))
+    assert len(calls) <= 2
+    want = set()
+    for (domain, part, d), group in batch.groupby(["domain", "slice", "d"]):
+        times = sorted(set(group["t"][group["moves"]]))
+        early = sum(t < part * d * 4 + d for t in times)
+        for first in times[: early + 1]:
+            last = first
+            while later := [t for t in times if t >= last + d]:
+                last = later[0]
+            want.add((domain, part, d, first, last))
+        if not times:
+            want.add((domain, part, d, politeness.NO_FETCH, politeness.NO_FETCH))
+    assert len(got) == len(want) > 500 and {tuple(r) for r in got.itertuples(index=False)} == want

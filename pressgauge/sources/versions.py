@@ -136,6 +136,15 @@ class Versions:
 
     # --- writing
 
+    def settled(self, rows: DataFrame) -> DataFrame:
+        """Rows for this table's session. Batches of stateful streams come with adaptive execution off, and without it nothing
+        gathers a part's rows: each task would write a file a part. They are written once as they are and read again."""
+        if rows.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
+            return rows
+        path = work_path(self.spark, "rows")
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def _rows(self, rows: DataFrame) -> DataFrame:
         typed = rows.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields])
         return typed.withColumn(self.part, self.by.cast(self.kind))
@@ -155,7 +164,7 @@ class Versions:
         if batch and self.has(batch):
             return None
         write = uuid.uuid4().hex
-        self._write(self._rows(rows), write, True)
+        self._write(self._rows(self.settled(rows)), write, True)
         for left in reversed(range(tries)):
             base = self.snapshot()
             parts = {p: list(f) for p, f in base.parts.items()}
@@ -208,7 +217,7 @@ class Versions:
         """Rows written once into a folder a bucket, and the bytes that ``sized`` columns take in each. What is read of a
         bucket's rows costs that bucket only, however many others there are."""
         types = {f.name: f.dataType for f in self.schema.fields}
-        named = rows.select(*[F.col(c).cast(types[c]) for c in columns]).withColumn(self.part, self.by.cast(self.kind))
+        named = self.settled(rows).select(*[F.col(c).cast(types[c]) for c in columns]).withColumn(self.part, self.by.cast(self.kind))
         path = work_path(self.spark, "pending")
         named.hint("rebalance", self.part).write.partitionBy(self.part).parquet(path)
         pending = self.spark.read.schema(named.schema).parquet(path).select(*named.columns)

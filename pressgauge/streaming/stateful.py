@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pressgauge import settings
 from pressgauge.operators.politeness import NO_FETCH, SLICE_DELAYS, decide, runs, sliced
-from pressgauge.session import materialize, ship
+from pressgauge.session import ship
 from pressgauge.sources.versions import Versions
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -319,45 +319,25 @@ def trend_table(spark: SparkSession, path: str) -> DataFrame:
 # --- R5: expiry of contents ------------------------------------------------------
 
 
-def expiry(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A time-out at the expiry of an article's newest content."""
-    if state.hasTimedOut:
-        expires = state.get[0]
-        state.remove()
-        yield pd.DataFrame([(key[0], expires)], columns=["article_id", "expires"])
-        return
-    newest = max(int(b["expires"].max()) for b in rows)
-    if state.exists:
-        newest = max(newest, state.get[0])
-    state.update((newest,))
-    # it fires when the watermark is beyond its time, and contents expire when it is there
-    state.setTimeoutTimestamp(max(_due_ms(newest) - 1, state.getCurrentWatermarkMs() + 1))
-
-
-def _due_ms(micros: int) -> int:
-    return -(-micros // 1000)
-
-
 def expiry_stream(
     contents: DataFrame, store: Versions, checkpoint: str, ttl_hours: int = settings.CONTENT_TTL_HOURS, lateness_hours: float = 0
 ) -> StreamingQuery:
     """Delete contents from ``store`` (buckets by article_id) as they expire by the stream's own clock.
 
-    The clock is the newest extraction, less ``lateness_hours``. Each article has one time-out, at the expiry of its
-    newest content; when it fires, the row of that expiry goes, so a newer one of the article stays. A content that has already
-    expired by the clock when it comes sets no time-out (Spark drops it as late); it is deleted with its own batch.
+    The clock is the newest extraction, less ``lateness_hours``. State has an entry for each article and expiry, which leaves
+    it when the watermark reaches the expiry; then the row of that expiry goes, so a newer one of the article stays. A content
+    that has already expired by the clock when it comes gets no entry (Spark drops it as late); it is deleted with its own batch.
     """
-    ship(contents.sparkSession)
     micros = F.unix_micros(F.col("expires_at").cast("timestamp"))
     rows = contents.select("article_id", micros.alias("expires"), F.col("expires_at").cast("timestamp").alias("due"))
-    timed = rows.withWatermark("due", f"{int((ttl_hours + lateness_hours) * 3600)} seconds").groupBy("article_id").applyInPandasWithState(
-        expiry, "article_id long, expires long", "expires long", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    timed = rows.withWatermark("due", f"{int((ttl_hours + lateness_hours) * 3600)} seconds").groupBy("due", "article_id").agg(
+        F.max("expires").alias("expires")
+    ).select("article_id", "expires")
     both = timed.withColumn("fired", F.lit(True)).unionByName(rows.select("article_id", "expires", F.lit(False).alias("fired")))
 
     def sweep(batch: DataFrame, batch_id: int) -> None:
         def delete() -> None:
-            rows = materialize(batch)  # read twice
+            rows = store.settled(batch)  # read twice
             newest = rows.where("NOT fired").agg(F.max("expires")).first()[0]
             clock = max(store.snapshot().batches.get("expiry clock", -1), (newest or 0) - int((ttl_hours + lateness_hours) * 3_600_000_000))
             gone = rows.where(F.col("fired") | (F.col("expires") <= clock)).select("article_id", "expires").distinct()

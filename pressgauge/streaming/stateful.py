@@ -184,34 +184,40 @@ def gate_stream(
 # --- R2: first arrival by key ----------------------------------------------------
 
 
+KEY_GROUPS = 4096  # a call of Python each, whatever the number of keys
+
+
 def first_of(keys: list[str], order: str):
     """The first row of each key in a task's portion: what it sends on."""
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
+        best, more = [], 0
         for batch in batches:
-            best = batch if best is None else pd.concat([best, batch], ignore_index=True)
-            best = best.sort_values(order, kind="stable").drop_duplicates(keys)
-        if best is not None and len(best):
-            yield best
+            best, more = [*best, batch], more + len(batch)
+            if more > len(best[0]):  # looked through when as many have come again
+                best, more = [pd.concat(best, ignore_index=True).sort_values(order, kind="stable").drop_duplicates(keys)], 0
+        if best and any(len(b) for b in best):
+            yield pd.concat(best, ignore_index=True).sort_values(order, kind="stable").drop_duplicates(keys)
 
     return first
 
 
 def first_seen(order: str, columns: list[str], keep_ms: int):
-    """Lets the first row of a key pass, then none for as long as the key is remembered."""
+    """Lets the first row of a key pass, then none for as long as the key is remembered. One call has a group of keys, whose
+    state is the keys and until when each is remembered."""
 
     def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         data, now = pd.concat(list(rows), ignore_index=True), state.getCurrentProcessingTimeMs()
-        known = state.exists and state.get[0] > now
-        if not known:
-            state.update((now + keep_ms,))
-        state.setTimeoutDuration(max(1, state.get[0] - now))
-        if not known:
-            yield data.sort_values(order).head(1)[columns]
+        held = {k: until for k, until in zip(*state.get) if until > now} if state.exists else {}
+        data = data[~data["key"].isin(held.keys())].sort_values(order).drop_duplicates("key")
+        held |= dict.fromkeys(data["key"], now + keep_ms)
+        state.update((list(held), list(held.values())))
+        state.setTimeoutDuration(max(1, max(held.values()) - now))  # when the last of them is out
+        if len(data):
+            yield data[columns]
 
     return step
 
@@ -219,15 +225,20 @@ def first_seen(order: str, columns: list[str], keep_ms: int):
 def first_arrivals(rows: DataFrame, keys: list[str], order: str, path: str, checkpoint: str, keep_hours: float = 168, buckets: int = 64) -> StreamingQuery:
     """The first row of each key over the whole stream, by ``order`` within a micro-batch.
 
-    State remembers keys for ``keep_hours`` after their arrival, so it has the keys of that time only. The rows that pass,
-    new keys and those forgotten, are looked up in the table: only in the buckets that they fall into, whose key columns
-    are scanned and joined with the few that ask. So no key is ever too late, and what most micro-batches repeat never
-    reaches the table.
+    State remembers keys for ``keep_hours`` after their arrival, so it has the keys of that time only (and those of their
+    group until rows of that group come or the last of them is out). Keys are held in KEY_GROUPS groups by hash, as they
+    are and not as hashes. The rows that pass, new keys and those forgotten, are looked up in the table: only in the
+    buckets that they fall into, whose key columns are scanned and joined with the few that ask. So no key is ever too
+    late, and what most micro-batches repeat never reaches the table.
     """
     spark, schema = rows.sparkSession, rows.schema
     ship(spark)
-    first = rows.mapInPandas(first_of(keys, order), schema).groupBy(*keys).applyInPandasWithState(
-        first_seen(order, schema.names, int(keep_hours * HOUR_MS)), schema, "until long", "append", GroupStateTimeout.ProcessingTimeTimeout
+    named = rows.mapInPandas(first_of(keys, order), schema).withColumns({
+        "key": F.to_json(F.struct(*keys)), "key_group": F.pmod(F.xxhash64(*keys), F.lit(KEY_GROUPS)).cast("int"),
+    })
+    first = named.groupBy("key_group").applyInPandasWithState(
+        first_seen(order, schema.names, int(keep_hours * HOUR_MS)), schema, "held array<string>, until array<long>", "append",
+        GroupStateTimeout.ProcessingTimeTimeout,
     )
     table = Versions.buckets(spark, path, schema, keys, buckets)
 

@@ -6,6 +6,7 @@ import random
 import shutil
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from test_crawl import frame, scan
@@ -189,3 +190,64 @@ def test_expiry_equals_cleanup_at_each_clock(spark, tmp_path):
     store.vacuum(hours=0)
     files = list((tmp_path / "store").rglob("*.parquet"))
     assert {r.article_id for f in files for r in spark.read.parquet(str(f)).collect()} == want  # expired texts are off the disk
+
+
+class OneState:
+    """A group's state and clock by hand."""
+
+    hasTimedOut, value = False, None
+
+    def __init__(self, now):
+        self.now = now
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def getCurrentProcessingTimeMs(self):
+        return self.now
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def test_one_call_lets_the_first_rows_of_many_keys_pass():
+    step, state = stateful.first_seen("n", ["n", "url"], 100), OneState(1000)
+
+    def arrive(rows):
+        data = pd.DataFrame(rows, columns=["n", "url", "key"])
+        return [tuple(r) for frame in step((7,), iter([data[:1], data[1:]]), state) for r in frame.itertuples(index=False)]
+
+    assert arrive([(n, f"u{n % 50}", f"k{n % 50}") for n in reversed(range(200))]) == [(n, f"u{n}") for n in range(50)]
+    state.now = 1050
+    assert arrive([(300, "u3", "k3"), (301, "v", "new")]) == [(301, "v")] and len(state.get[0]) == 51 and state.timeout == 100
+    state.now = 1120  # all but the new one are forgotten
+    assert arrive([(400, "u3", "k3"), (401, "v", "new")]) == [(400, "u3")] and sorted(state.get[0]) == ["k3", "new"]
+    state.hasTimedOut = True
+    assert arrive([]) == [] and not state.exists
+
+
+def test_first_rows_of_a_task_are_not_sorted_again_for_each_batch(monkeypatch):
+    batches, sorted_rows = [pd.DataFrame({"n": range(k * 10, k * 10 + 10), "url": [f"u{i % 400}" for i in range(k * 10, k * 10 + 10)]}) for k in range(64)], []
+    real = pd.DataFrame.sort_values
+    monkeypatch.setattr(pd.DataFrame, "sort_values", lambda self, *args, **more: sorted_rows.append(len(self)) or real(self, *args, **more))
+    got = pd.concat(stateful.first_of(["url"], "n")(iter(batches)))
+    assert got["n"].tolist() == list(range(400)) and sum(sorted_rows) <= 5 * 640
+
+
+def test_expiry_state_needs_no_call_for_an_article(spark, tmp_path):
+    """The state of expiries is Spark's own aggregation; contents leave it as they expire."""
+    new = content.content_store(spark.createDataFrame([(i, f"t{i}", NOW - (i % 2) * 5 * DAY) for i in range(200)], "article_id long, text string, extracted_at timestamp_ntz"))
+    store = tables.by_article(spark, "article_contents", str(tmp_path / "store"), new.schema, 4)
+    store.append(new)
+    for rows in (new, content.content_store(spark.createDataFrame([(500, "x", NOW + 3 * DAY)], "article_id long, text string, extracted_at timestamp_ntz"))):
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = stateful.expiry_stream(spark.readStream.schema(new.schema).parquet(str(tmp_path / "in")), store, str(tmp_path / "cp"))
+        streams.drain(query)
+        assert {o["operatorName"] for p in query.recentProgress for o in json.loads(p.json)["stateOperators"]} == {"stateStoreSave"}
+    assert sorted(r.article_id for r in store.read().collect()) == list(range(0, 200, 2)) and state_rows(query)[-1] == 101

@@ -23,7 +23,8 @@ K, W = 5, 12
 LONG = 32
 # Thai to Myanmar, Khmer, Japanese kana, Chinese characters (also the later planes)
 UNSPACED = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}]"
-UNUSUAL = rf"{UNSPACED}|[^\x20\x09-\x0D]{{{LONG + 1}}}"
+FAR = r"[^\x{0000}-\x{0DFF}]"  # all of UNSPACED and more, in one range
+OVERLONG = rf"[\x20\x09-\x0D][^\x20\x09-\x0D]{{{LONG + 1}}}"
 GAP = r"[\x20\x09-\x0D]+"
 HALF = (1 << 31) - 1
 
@@ -35,44 +36,47 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def word_hashes(text: Column) -> Column:
     def split(t: Column) -> Column:
-        return F.filter(F.split(t, GAP), lambda w: w != "")
+        return F.array_remove(F.split(t, GAP), "")
 
     low = F.lower(text)
     parts = split(F.regexp_replace(low, f"({UNSPACED})", " $1 "))
     parts = F.flatten(F.transform(parts, lambda w: F.when(F.char_length(w) > LONG, F.filter(F.split(w, ""), lambda c: c != "")).otherwise(F.array(w))))
-    words = F.when(F.rlike(low, F.lit(UNUSUAL)), parts).otherwise(split(low))
-    return F.transform(words, lambda w: F.xxhash64(w))
+    # one look at each character: long words are tried where a word begins, and most texts end at the single range
+    unspaced = F.rlike(low, F.lit(FAR)) & F.rlike(low, F.lit(UNSPACED))
+    unusual = unspaced | F.rlike(F.concat(F.lit(" "), low), F.lit(OVERLONG))
+    return F.transform(F.when(unusual, parts).otherwise(split(low)), lambda w: F.xxhash64(w))
 
 
 def _runs(h: Column, k: int) -> Column:
-    steps = F.sequence(F.lit(1), F.size(h) - k + 1)
-    return (
-        F.when(F.size(h) >= k, F.transform(steps, lambda i: F.xxhash64(F.slice(h, i, k))))
-        .when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
-    )
+    def runs(h: Column) -> Column:
+        # what lies beyond the end is null and adds nothing to a hash, so a short sequence is its only run
+        starts = F.transform(h, lambda v, i: F.xxhash64(v, *[F.get(h, i + j) for j in range(1, k)]))
+        return F.slice(starts, F.lit(1), F.greatest(F.size(h) - k + 1, F.lit(1)))
+
+    return let(h, runs)
 
 
 def _kept(g: Column, w: int) -> Column:
     # order first, then the reversed position, in one number: the minimum is the rightmost of the smallest
-    ranked = F.transform(g, lambda v, i: F.shiftrightunsigned(v, 33) * (HALF + 1) + (HALF - i))
+    ranked = F.transform(g, lambda v, i: F.shiftrightunsigned(v, 2).bitwiseOR(HALF) - i)
 
-    def minima(o: Column) -> Column:
-        steps = F.sequence(F.lit(1), F.size(o) - w + 1)
-        return (
-            F.when(F.size(o) > w, F.transform(steps, lambda i: F.array_min(F.slice(o, i, w))))
-            .when(F.size(o) > 0, F.array(F.array_min(o))).otherwise(o)
-        )
+    def minima(o: Column, have: int) -> Column:
+        """From minima of ``have`` consecutive numbers to those of ``w``; near the end, of what is left (null is no least)."""
+        if have == w:
+            return F.slice(o, F.lit(1), F.greatest(F.size(o) - w + 1, F.lit(1)))
+        step = min(have, w - have)
+        return let(F.zip_with(o, F.slice(o, F.lit(step + 1), F.size(o)), lambda a, b: F.least(a, b)), lambda m: minima(m, have + step))
 
     def place(m: Column) -> Column:
         return (HALF - m.bitwiseAND(HALF)).cast("int")
 
-    return F.transform(F.array_distinct(let(ranked, minima)), lambda m: F.struct(F.get(g, place(m)).alias("hash"), place(m).alias("position")))
+    return F.transform(F.array_distinct(let(ranked, lambda o: minima(o, 1))), lambda m: F.struct(F.get(g, place(m)).alias("hash"), place(m).alias("position")))
 
 
 def fingerprint(text: Column, k: int = K, w: int = W) -> Column:
     """array<struct<hash, position>>, by position; positions count words from 0."""
     text = F.coalesce(text, F.lit(""))
-    return let(word_hashes(text), lambda h: let(_runs(h, k), lambda g: _kept(g, w)))
+    return let(_runs(word_hashes(text), k), lambda g: _kept(g, w))
 
 
 def written(prints: Column) -> Column:

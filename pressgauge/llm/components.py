@@ -10,7 +10,8 @@ ids share a tile, without making all pairs of a large tile:
 3. what is left, ids of one tile in different components, exhaustively: in blocks of BLOCK ids, where a bound from above
    (``plausible``) comes first and only pairs that pass it are verified.
 
-Pairs within one component need no check, since they cannot change it. So no link between components is lost.
+Pairs within one component need no check, since they cannot change it. So no link between components is lost. Each table's
+shuffle files go when it is written, so the disk holds those of one step at a time.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ FEW, LIKELIEST = 4, 3
 
 def components(links: DataFrame) -> DataFrame:
     """(a, b) links of longs; returns (id, component) for every id with a link, component being the smallest id."""
-    edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
+    edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges", tidy=True)
     while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -37,7 +38,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        edges, old = stored(small.distinct(), "edges"), edges
+        edges, old = stored(small.distinct(), "edges", tidy=True), edges
         discard(old)
     roots = edges.select("b").distinct()
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots.select(F.col("b").alias("id"), F.col("b").alias("component")))
@@ -63,32 +64,32 @@ def resolve(tiles: DataFrame, known: Callable[[DataFrame], tuple[Callable, DataF
     """
     by_tile = Window.partitionBy("tile")
     led = tiles.withColumn("leader", F.min("id").over(by_tile)).withColumn("last", F.max("id").over(by_tile)).where("leader < last")
-    rows = stored(led.select("tile", "id", "leader").distinct(), "tiles")
+    rows = stored(led.select("tile", "id", "leader").distinct(), "tiles", tidy=True)
     verify, attributes = known(rows.select("id").distinct())
 
     first = rows.where("leader < id").groupBy("id").agg(F.min("leader").alias("b"))
-    tried = stored(first.select(*_pairs(F.col("id"), F.col("b"))), "pairs")
-    links = stored(verify(tried), "links")
-    found = stored(components(links), "components")
+    tried = stored(first.select(*_pairs(F.col("id"), F.col("b"))), "pairs", tidy=True)
+    links = stored(verify(tried), "links", tidy=True)
+    found = stored(components(links), "components", tidy=True)
     discard(links)
     spent = [tried]
 
     for last in (False, False, True):
         placed = rows.select("tile", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = placed.withColumn("smallest", F.min("component").over(by_tile)).withColumn("largest", F.max("component").over(by_tile)).where("smallest < largest")
-        rows, old = stored(mixed, "mixed"), rows
+        rows, old = stored(mixed, "mixed", tidy=True), rows
         mixed = rows
         discard(old)
         pairs = _across(mixed, attributes, plausible, every=last)
-        new = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        new = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs", tidy=True)
         tried = tried.unionByName(new)
         spent.append(new)
-        more = stored(verify(new), "links")
+        more = stored(verify(new), "links", tidy=True)
         if more.isEmpty():
             discard(more)
             continue
         stars = found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-        found, old = stored(components(stars.unionByName(more)), "components"), found
+        found, old = stored(components(stars.unionByName(more)), "components", tidy=True), found
         discard(old, more)
     discard(rows, *spent)
     return found

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import resolve
-from .frames import free_name, numbered, stored
+from .frames import discard, free_name, numbered, stored
 from .quality import BITS, bit_map, bits_set
 from .sketches import bounded, plausible, side, sketch
 from .words import BASE, SPACE, mix, portions, runs, text_buffers
@@ -164,6 +164,7 @@ def line_texts(docs: DataFrame, ids: DataFrame, text: str, short: bool = False)
 def groups(lines: DataFrame, docs: DataFrame, text: str, short: bool = False) -> DataFrame:
     """(id, component) of the lines that have a link to another line."""
     tiles = lines.where("size(bands) > 0").select(F.explode("bands").alias("tile"), "id")
+    spent = []
 
     def known(ids: DataFrame):
         def described(batches):
@@ -173,7 +174,8 @@ def groups(lines: DataFrame, docs: DataFrame, text: str, short: bool = False) ->
                     [*batch.columns, pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x) for x in sets], pa.binary())], names=["id", "line", "n", "sketch"]
                 )
 
-        texts = stored(line_texts(docs, ids, text, short).mapInArrow(described, "id long, line string, n long, sketch binary"), "lines")
+        texts = stored(line_texts(docs, ids, text, short).mapInArrow(described, "id long, line string, n long, sketch binary"), "lines", tidy=True)
+        spent.append(texts)
         sketches, line = texts.select("id", "n", "sketch"), texts.select("id", "line")
 
         def exact(batches):
@@ -187,7 +189,9 @@ def groups(lines: DataFrame, docs: DataFrame, text: str, short: bool = False) ->
 
         return verify, sketches
 
-    return resolve(tiles, known, lambda a, b: plausible(a, b, PERCENT))
+    found = resolve(tiles, known, lambda a, b: plausible(a, b, PERCENT))
+    discard(*spent)
+    return found
 
 
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", short: bool = False) -> tuple[DataFrame, DataFrame, str]:
@@ -200,7 +204,10 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", short: bo
     place = F.struct(F.col("key").isNull().alias("z"), "key", "row", "number")
     firsts = members.groupBy("component").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").select("component", "kept")
     dropped = members.join(firsts, "component").where((F.col("row") != F.col("kept.row")) | (F.col("number") != F.col("kept.number")))
-    return counted, dropped.groupBy("row").agg(F.sort_array(F.collect_list("number")).alias("dropped")), row
+    # written before the texts are joined: the lines and their shuffle files are gone when the texts are shuffled
+    drops = stored(dropped.groupBy("row").agg(F.sort_array(F.collect_list("number")).alias("dropped")), "drops", tidy=True)
+    discard(lines, linked)
+    return counted, drops, row
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", counts: bool = False, short: bool = False) -> DataFrame:

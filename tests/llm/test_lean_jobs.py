@@ -1,9 +1,14 @@
 """Work is done once, and what a step leaves on disk goes before the next step."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
-from pressgauge.llm import winnow
+from pressgauge.llm import lines, winnow
+from pressgauge.llm.frames import table
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_runs_take_word_hashes_once(spark):
@@ -37,3 +42,21 @@ def test_words_of_unusual_texts(spark):
     counts = [2, 34, 34, 2, 3, 2, 40, 3]
     frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     assert [r[0] for r in frame.orderBy("id").select(F.size(winnow.word_hashes(F.col("text")))).collect()] == counts
+
+
+def test_lines_leave_little_on_disk(spark):
+    """Before the texts are joined with the lines to drop, the lines, their texts and their shuffle files are gone."""
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        files = [files.apply(i) for i in range(files.size())]
+        return {f.getPath(): f.length() for f in files if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    had, tables = shuffled(), set(os.listdir(root))
+    cleaned = lines.dedup(table(spark, SF, "documents"), short=True)
+    made = {n.rsplit("-", 1)[0] for n in set(os.listdir(root)) - tables}
+    assert not made & {"line-rows", "lines", "tiles", "mixed", "pairs", "links"} and "drops" in made
+    left = sum(size for path, size in shuffled().items() if path not in had)
+    assert left < 200_000, left
+    assert cleaned.count() == table(spark, SF, "documents").count()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -19,20 +20,26 @@ def free_name(columns: Iterable[str], base: str) -> str:
     return base
 
 
+@contextmanager
+def tidied(spark: SparkSession):
+    """Shuffle files of what runs within go when it ends, not when the driver collects its garbage."""
+    conf = spark.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, and sizes are known afterwards.
 
-    With ``tidy``, the shuffle files of the write go when it ends, not when the driver collects its garbage.
+    With ``tidy``, the shuffle files of the write go when it ends.
     """
-    path, conf = work_path(df.sparkSession, name), df.sparkSession.conf
-    before = conf.get(CLEANUP, None)
-    if tidy:
-        conf.set(CLEANUP, "true")
-    try:
+    path = work_path(df.sparkSession, name)
+    with tidied(df.sparkSession) if tidy else nullcontext():
         df.write.parquet(path)
-    finally:
-        if tidy:
-            conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     read = df.sparkSession.read.schema(df.schema).parquet(path)
     read.stored_at = path
     return read

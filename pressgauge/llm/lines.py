@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import resolve
 from .frames import discard, free_name, numbered, stored
-from .quality import BITS, bit_map, bits_set
+from .quality import BITS, bit_map, bits_set, received, shipped
 from .sketches import bounded, plausible, side, sketch
 from .words import BASE, SPACE, mix, portions, runs, text_buffers
 
@@ -146,15 +146,16 @@ def line_rows(docs: DataFrame, key: str, text: str, row: str, short: bool = Fals
 
 def line_texts(docs: DataFrame, ids: DataFrame, text: str, short: bool = False) -> DataFrame:
     """(id, line) of the lines whose id is in ``ids``; only lines that the bit map lets pass leave the task."""
-    shared = docs.sparkSession.sparkContext.broadcast(bit_map(ids.select(F.col("id").bitwiseAND(BITS - 1).alias("at")), "at"))
+    shared = docs.sparkSession.sparkContext.broadcast(shipped(bit_map(ids.select(F.col("id").bitwiseAND(BITS - 1).alias("at")), "at")))
 
     def split(batches):
+        bits = received(shared.value)
         for batch in batches:
             for low, high in portions(batch.column(0)):
                 lines = Lines(batch.column(0)[low:high], short)
                 those = np.flatnonzero(lines.compared)
                 ids, first = np.unique(lines.ids()[those], return_index=True)
-                wanted = np.flatnonzero(bits_set(shared.value, ids & (BITS - 1)))
+                wanted = np.flatnonzero(bits_set(bits, ids & (BITS - 1)))
                 found = [lines.data[lines.low[k] : lines.high[k]].tobytes().decode("utf-8", "replace") for k in those[first[wanted]]]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[wanted]), pa.array(found, pa.string())], names=["id", "line"])
 

@@ -10,7 +10,8 @@ as are the HOT commonest bigrams; so hot words and bigrams never meet in one tas
 bigrams is found by a sharded join with one table: each portion of texts sends one packed list to each shard (its remaining
 words and bigrams, less the bigrams that a bit map of fixed size shows to be unknown), and each shard returns one packed
 list of sums to the portion. A gain is what a seen bigram adds to the backed-off log-probability, so a text's
-log-likelihood is a plain sum. The number of shards grows with the texts, so that a shard's lists stay small.
+log-likelihood is a plain sum. The number of shards grows with the texts, so that a shard's lists stay small. The table is
+packed by shard once, and the texts take turns in up to SLICES slices, so the disk holds the lists of one slice at a time.
 
 Which words are known is told exactly and without a join: a bit map of fixed size has the words that are not hot, and the
 few others that hit a set bit are listed beforehand. Words and bigrams are 63- and 64-bit hashes.
@@ -24,12 +25,14 @@ without trusted texts nothing is rejected. Repeated rows are judged alike, each
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .frames import discard, free_name, numbered, stored
+from .frames import discard, free_name, numbered, stored, tidied
 from .words import BASE, SPACE, Lookup, Words, mix, portions
 
 MAX_WORDS = None  # the vocabulary has no limit
@@ -39,6 +42,9 @@ LOW, BOTH = 1 << 40, (1 << 40) + 1  # in place of a second word: a word's own te
 SIGN = np.uint64(1 << 63)
 HOT = 1 << 16
 SHARD_BYTES = 32 << 20  # text for each shard of the count table
+SLICE_BYTES, SLICES = 128 << 20, 4  # text for each slice, until there are so many
+PACKED_ROWS = 1 << 20  # of the count table, packed at a time
+FEW_REJECTED = 1 << 20  # rows whose numbers are broadcast
 BITS = 1 << 27
 HELD_OUT = 5  # one trusted text in so many
 
@@ -46,7 +52,8 @@ HELD_OUT = 5  # one trusted text in so many
 def bit_map(keys: DataFrame, at: str, size: int = BITS) -> np.ndarray:
     """``size`` bits, set at each value of ``at`` (below it): by default a fixed 16 MB on the driver, whatever the number of keys."""
     at = keys.select((F.col(at) + 1).alias("at"))  # these functions count from 1
-    rows = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    with tidied(keys.sparkSession):
+        rows = at.groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
     out = np.zeros(size // 8, np.uint8)
     for r in rows:
         piece = np.frombuffer(r["bits"], np.uint8)
@@ -55,6 +62,15 @@ def bit_map(keys: DataFrame, at: str, size: int = BITS) -> np.ndarray:
     return out
 
 
+def shipped(bits: np.ndarray) -> bytes:
+    """A bit map to broadcast: every executor keeps a file of it, which grows with the bits that are set."""
+    return zstandard.compress(bits.tobytes(), 1)
+
+
+def received(payload: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(payload), np.uint8)
+
+
 def bits_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
@@ -63,11 +79,12 @@ def trusted_texts(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text
     """Texts whose key is in ``trusted``, less the held-out ones. Only texts that the bit map lets pass are shuffled."""
     ids = trusted.select(F.col(key).alias("key")).where(F.col("key").isNotNull() & ~is_held_out(F.col("key"))).distinct()
     place = F.pmod(F.xxhash64("key"), F.lit(BITS))
-    shared = docs.sparkSession.sparkContext.broadcast(bit_map(ids.select(place.alias("at")), "at"))
+    shared = docs.sparkSession.sparkContext.broadcast(shipped(bit_map(ids.select(place.alias("at")), "at")))
 
     def likely(batches):
+        bits = received(shared.value)
         for batch in batches:
-            yield batch.filter(pa.array(bits_set(shared.value, batch.column("at").to_numpy(zero_copy_only=False))))
+            yield batch.filter(pa.array(bits_set(bits, batch.column("at").to_numpy(zero_copy_only=False))))
 
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = rows.withColumn("at", place)
@@ -144,7 +161,13 @@ def _hashes(rows: DataFrame) -> np.ndarray:
 
 def fit(texts: DataFrame, hot: int = HOT, hot_words: int = HOT_WORDS, size: int = BITS, least: int = 2) -> dict:
     """The model of (key, text) rows: arrays of hot words and bigrams for the driver to broadcast; ``cold``, the other known
-    words; and ``tail``, the table of what belongs to the other words and bigrams. ``size`` is that of the words' bit map."""
+    words; and ``tail``, the table of what belongs to the other words and bigrams, made of the stored ``tables``. ``size`` is
+    that of the words' bit map."""
+    with tidied(texts.sparkSession):
+        return _fit(texts, hot, hot_words, size, least)
+
+
+def _fit(texts: DataFrame, hot: int, hot_words: int, size: int, least: int) -> dict:
     spark = texts.sparkSession
 
     def words_of(batches):
@@ -161,18 +184,20 @@ def fit(texts: DataFrame, hot: int = HOT, hot_words: int = HOT_WORDS, size: int
     cold = stored(_rest(known, kept, hot_words, "hash").select("hash"), "cold")
     keys = np.sort(kept["hash"].to_numpy(np.int64).view(np.uint64))
     bits = bit_map(cold.select(F.col("hash").bitwiseAND(size - 1).alias("at")), "at", size)
-    shared = spark.sparkContext.broadcast((keys, bits))
+    shared = spark.sparkContext.broadcast((keys, shipped(bits)))
 
     def lured(batches):
+        bits = received(shared.value[1])
         for batch in batches:
-            yield batch.filter(pa.array(bits_set(shared.value[1], batch.column(0).to_numpy() & (size - 1))))
+            yield batch.filter(pa.array(bits_set(bits, batch.column(0).to_numpy() & (size - 1))))
 
     lures = spark.sparkContext.broadcast(_hashes(counts.where("times = 1").select("hash").mapInArrow(lured, "hash long")))
 
     discard(counts)
 
     def bigrams_of(batches):
-        vocabulary = Vocabulary(*shared.value, lures.value)
+        keys, bits = shared.value
+        vocabulary = Vocabulary(keys, received(bits), lures.value)
         for batch in batches:
             for low, high in portions(batch.column(0)):
                 words = Words(batch.column(0)[low:high], SPACE)
@@ -182,6 +207,8 @@ def fit(texts: DataFrame, hot: int = HOT, hot_words: int = HOT_WORDS, size: int
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (first[at], number[at], times.astype(np.int64))], names=["u", "v", "times"])
 
     bigrams = stored(texts.select("text").mapInArrow(bigrams_of, "u long, v long, times long").groupBy("u", "v").agg(F.sum("times").alias("times")), "bigrams", tidy=True)
+    shared.destroy()
+    lures.destroy()
 
     # by context and by word: rows for every known word; only those of hot ones are collected
     seen = [F.sum(F.when(F.col("times") == i, 1).otherwise(0)) for i in (1, 2)] + [F.sum(F.when(F.col("times") > 2, 1).otherwise(0))]
@@ -236,6 +263,7 @@ def fit(texts: DataFrame, hot: int = HOT, hot_words: int = HOT_WORDS, size: int
     ends = endings.where("v < 0").join(context.where("u < 0"), F.col("u") == F.col("v"), "left")
     ends = ends.select("v", "n", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("total", "n1", "n2", "n3")])
     ends = stored(ends.mapInArrow(own_terms, "key long, gain double"), "terms", tidy=True)
+    share.destroy()
     top = table.orderBy(F.desc("times"), "key").limit(hot).toPandas()
     tail = _rest(table, top, hot, "key").select("key", "gain").unionByName(ends)
     discard(bigrams, context, endings)
@@ -243,7 +271,7 @@ def fit(texts: DataFrame, hot: int = HOT, hot_words: int = HOT_WORDS, size: int
     with np.errstate(divide="ignore"):
         words = {"keys": keys, "bits": bits, "backoff": np.log(backoff), "lowest": np.log(lowest) - np.where(np.arange(len(lowest)) == UNK, np.log(rare), 0.0)}
     cold = cold if n_known > len(keys) else None
-    return {**words, "hot": top["key"].to_numpy(np.int64)[order], "gain": top["gain"].to_numpy(float)[order], "tail": tail, "cold": cold}
+    return {**words, "hot": top["key"].to_numpy(np.int64)[order], "gain": top["gain"].to_numpy(float)[order], "tail": tail, "cold": cold, "tables": (table, ends)}
 
 
 def _few(table: DataFrame, column: str) -> list[int]:
@@ -256,16 +284,18 @@ def _lures(docs: DataFrame, text: str, model: dict) -> np.ndarray:
     """Words of the texts that hit a set bit of the vocabulary's map and are not known."""
     if model["cold"] is None:
         return np.zeros(0, np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast((model["keys"], model["bits"]))
+    shared = docs.sparkSession.sparkContext.broadcast((model["keys"], shipped(model["bits"])))
 
     def likely(batches):
-        vocabulary = Vocabulary(*shared.value, np.zeros(0, np.uint64))
+        keys, bits = shared.value
+        vocabulary = Vocabulary(keys, received(bits), np.zeros(0, np.uint64))
         for batch in batches:
             for low, high in portions(batch.column(0)):
                 hashes = np.unique(Words(batch.column(0)[low:high], SPACE).hashes())
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[vocabulary.likely(hashes)].view(np.int64))], names=["hash"])
 
     found = stored(docs.select(text).mapInArrow(likely, "hash long").distinct().join(model["cold"], "hash", "left_anti"), "lures", tidy=True)
+    shared.destroy()
     hashes = _hashes(found)
     discard(found)
     return hashes
@@ -291,20 +321,53 @@ def _unpacked(payload: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-def perplexities(docs: DataFrame, model: dict, keep: list[str], text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The columns ``keep`` of each text, n_words and perplexity."""
+def _sharded(tail: DataFrame, shards: int) -> DataFrame:
+    """The count table as packed lists of keys and gains, one for each shard and PACKED_ROWS rows."""
+
+    def packed(key: np.ndarray, gain: np.ndarray) -> pa.RecordBatch:
+        shard = places(key) % shards
+        order = np.lexsort((key.view(np.uint64), shard))
+        key, gain, shard = key[order], gain[order], shard[order]
+        edges = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(key))
+        lists = [_packed(np.diff(key[a:b].view(np.uint64), prepend=np.uint64(0)), gain[a:b]) for a, b in zip(edges, edges[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(shard[edges[:-1]].astype(np.int32)), pa.array(lists, pa.binary())], names=["shard", "payload"])
+
+    def split(batches):
+        keys, gains, n = [], [], 0
+        for batch in batches:
+            keys.append(batch.column(0).to_numpy())
+            gains.append(batch.column(1).to_numpy())
+            n += batch.num_rows
+            if n >= PACKED_ROWS:
+                yield packed(np.concatenate(keys), np.concatenate(gains))
+                keys, gains, n = [], [], 0
+        if n:
+            yield packed(np.concatenate(keys), np.concatenate(gains))
+
+    return tail.select("key", "gain").mapInArrow(split, "shard int, payload binary")
+
+
+def perplexities(docs: DataFrame, model: dict, keep: list[str], text: str = "text", shard_bytes: int = SHARD_BYTES, slice_bytes: int = SLICE_BYTES, spend: bool = False) -> DataFrame:
+    """The columns ``keep`` of each text, n_words and perplexity, stored. With ``spend`` the model's tables are deleted as soon
+    as they are packed, so the model serves no second time."""
     import pandas as pd
 
-    spark, tail, at = docs.sparkSession, model["tail"], F.col("key").bitwiseAND(BITS - 1)
-    shards = max(16, -(-int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // shard_bytes))
-    shared = spark.sparkContext.broadcast(({k: v for k, v in model.items() if k not in ("tail", "cold")}, _lures(docs, text, model), bit_map(tail.select(at.alias("at")), "at")))
+    spark = docs.sparkSession
+    size = int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+    shards, slices = max(16, -(-size // shard_bytes)), min(SLICES, max(1, -(-size // slice_bytes)))
+    lures, bits = _lures(docs, text, model), bit_map(model["tail"].select(F.col("key").bitwiseAND(BITS - 1).alias("at")), "at")
+    known = stored(_sharded(model["tail"], shards), "tail", tidy=True)
+    if spend:
+        discard(*model["tables"])
+    sent_along = {k: model[k] for k in ("keys", "backoff", "lowest", "hot", "gain")}
+    shared = spark.sparkContext.broadcast((sent_along, shipped(model["bits"]), lures, shipped(bits)))
     kept = [F.col(c).alias(f"kept {i}") for i, c in enumerate(keep)]
-    rows = docs.select(F.col(text).alias("text"), F.monotonically_increasing_id().alias("block"), *kept)
 
     def sent(batches):
         """For each portion its own columns, base sums included, as one row; and one row for each shard."""
-        model, lures, bits = shared.value
-        vocabulary = Vocabulary(model["keys"], model["bits"], lures)
+        model, words_bits, lures, bits = shared.value
+        bits = received(bits)
+        vocabulary = Vocabulary(model["keys"], received(words_bits), lures)
         hot, gain = Lookup(model["hot"].view(np.uint64), 20), np.append(model["gain"], 0.0)
         for batch in batches:
             for low, high in portions(batch.column(0)):
@@ -346,14 +409,18 @@ def perplexities(docs: DataFrame, model: dict, keep: list[str], text: str = "tex
                 )
 
     def answered(key, asked, known):
-        known = known.sort_values("key")
-        keys, gain, out = known["key"].to_numpy(np.int64), known["gain"].to_numpy(float), []
+        keys, gain, out = np.zeros(0, np.uint64), np.zeros(0), []
+        if len(asked) and len(known):
+            lists = [_unpacked(x, np.uint64, float) for x in known["payload"]]
+            keys, gain = np.concatenate([np.cumsum(steps) for steps, _ in lists]), np.concatenate([x for _, x in lists])
+            order = np.argsort(keys)
+            keys, gain = keys[order], gain[order]
         for block, payload, own in zip(asked["block"], asked["payload"], asked["own"]):
             if own:
                 out.append((block, payload, True))
                 continue
             steps, texts, times = _unpacked(payload, np.uint64, np.uint32, np.uint32)
-            wanted = np.cumsum(steps).view(np.int64)
+            wanted = np.cumsum(steps)
             at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
             hit = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
             sums = np.bincount(texts[hit], gain[at[hit]] * times[hit])
@@ -379,12 +446,18 @@ def perplexities(docs: DataFrame, model: dict, keep: list[str], text: str = "tex
         values = pa.array(values, mask=n == 0)
         return pa.table([*own.columns[:-1], values], names=[*own.schema.names[:-1], "perplexity"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:]]
-    asked = rows.mapInArrow(sent, "shard int, block long, payload binary, own boolean")
-    known = tail.select(F.pmod(at, F.lit(shards)).cast("int").alias("shard"), "key", "gain")
-    answers = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(answered, "block long, payload binary, own boolean")
-    found = answers.groupBy("block").applyInArrow(summed, ", ".join([*fields, "n_words long", "perplexity double"]))
-    return found.select(*[F.col(f"kept {i}").alias(c) for i, c in enumerate(keep)], "n_words", "perplexity")
+    found = []
+    for i in range(slices):
+        part = docs.where(F.pmod(F.xxhash64(text), F.lit(slices)) == i) if slices > 1 else docs
+        rows = part.select(F.col(text).alias("text"), F.monotonically_increasing_id().alias("block"), *kept)
+        fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:]]
+        asked = rows.mapInArrow(sent, "shard int, block long, payload binary, own boolean")
+        answers = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(answered, "block long, payload binary, own boolean")
+        sums = answers.groupBy("block").applyInArrow(summed, ", ".join([*fields, "n_words long", "perplexity double"]))
+        found.append(stored(sums.select(*[F.col(f"kept {i}").alias(c) for i, c in enumerate(keep)], "n_words", "perplexity"), "perplexities", tidy=True))
+    shared.destroy()
+    discard(known)
+    return reduce(DataFrame.unionByName, found)
 
 
 def judge(scores: DataFrame, trusted: DataFrame, key: str = "doc_id", lang: str = "lang", quantile: float = 0.995, least: int = 30) -> DataFrame:
@@ -408,6 +481,8 @@ def accepted(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str
     row = free_name(docs.columns, "row")
     counted = numbered(docs, row)
     model = fit(trusted_texts(docs, trusted.select(trusted.columns[0]).toDF(key), key, text), least=1)
-    scores = stored(perplexities(counted, model, [row, key, lang], text), "perplexities")
-    rejected = judge(scores, trusted.toDF(key), key, lang, **options).where("rejected").select(row)
+    scores = perplexities(counted, model, [row, key, lang], text, spend=True)
+    rejected = stored(judge(scores, trusted.toDF(key), key, lang, **options).where("rejected").select(row), "rejected", tidy=True)
+    if rejected.count() <= FEW_REJECTED:
+        rejected = F.broadcast(rejected)  # else the texts are shuffled
     return counted.join(rejected, row, "left_anti").select(*docs.columns)

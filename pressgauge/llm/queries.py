@@ -21,8 +21,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(quality.trusted_texts(docs, trusted(spark, sf_dir)), least=1)
-    scores = stored(quality.perplexities(docs, model, ["doc_id", "lang"]), "perplexities")
-    return quality.judge(scores, trusted(spark, sf_dir))
+    return quality.judge(quality.perplexities(docs, model, ["doc_id", "lang"], spend=True), trusted(spark, sf_dir))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

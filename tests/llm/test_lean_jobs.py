@@ -2,10 +2,12 @@
 
 import os
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pressgauge.llm import lines, winnow
+from pressgauge.llm import lines, quality, queries, winnow
 from pressgauge.llm.frames import table
 
 SF = "/root/testdata/sf0.001"
@@ -44,19 +46,47 @@ def test_words_of_unusual_texts(spark):
     assert [r[0] for r in frame.orderBy("id").select(F.size(winnow.word_hashes(F.col("text")))).collect()] == counts
 
 
+def shuffled(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = [files.apply(i) for i in range(files.size())]
+    return {f.getPath(): f.length() for f in files if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+
+def test_quality_leaves_little_on_disk(spark):
+    """Tables and shuffle files of the model are gone when its query returns, and it sends no files of a whole bit map."""
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    had, tables, sent = shuffled(spark), set(os.listdir(root)), []
+    broadcast = spark.sparkContext.broadcast
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(broadcast(value)) or sent[-1])
+        scores = queries.QUERIES["op1_quality"](spark, SF)
+    made = {n.rsplit("-", 1)[0] for n in set(os.listdir(root)) - tables}
+    assert not made & {"words", "bigrams", "contexts", "endings", "gains", "terms", "tail"} and "perplexities" in made
+    assert sum(size for path, size in shuffled(spark).items() if path not in had) < 200_000
+    assert len(sent) > 3 and all(len(pa.py_buffer(x)) < 1 << 22 for s in sent if s._path and os.path.exists(s._path) for x in [open(s._path, "rb").read()])
+    assert scores.count() == table(spark, SF, "documents").count()
+
+
+def test_perplexities_in_slices(spark):
+    docs = table(spark, SF, "documents")
+    docs = docs.union(docs.limit(40)).union(docs.limit(3).withColumn("text", F.lit(None).cast("string")))
+    model = quality.fit(docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("key"), "text"), hot=50, hot_words=100, least=1)
+    whole = quality.perplexities(docs, model, ["doc_id", "text"]).toPandas()
+    parts = quality.perplexities(docs, model, ["doc_id", "text"], slice_bytes=1, spend=True).toPandas()
+    for frame in (whole, parts):
+        frame.sort_values(["doc_id", "n_words"], inplace=True)
+    assert len(whole) == docs.count() and (whole["n_words"].to_numpy() == parts["n_words"].to_numpy()).all()
+    assert np.allclose(whole["perplexity"], parts["perplexity"], rtol=1e-5, equal_nan=True)
+
+
 def test_lines_leave_little_on_disk(spark):
     """Before the texts are joined with the lines to drop, the lines, their texts and their shuffle files are gone."""
 
-    def shuffled():
-        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
-        files = [files.apply(i) for i in range(files.size())]
-        return {f.getPath(): f.length() for f in files if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
-
     root = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
-    had, tables = shuffled(), set(os.listdir(root))
+    had, tables = shuffled(spark), set(os.listdir(root))
     cleaned = lines.dedup(table(spark, SF, "documents"), short=True)
     made = {n.rsplit("-", 1)[0] for n in set(os.listdir(root)) - tables}
     assert not made & {"line-rows", "lines", "tiles", "mixed", "pairs", "links"} and "drops" in made
-    left = sum(size for path, size in shuffled().items() if path not in had)
+    left = sum(size for path, size in shuffled(spark).items() if path not in had)
     assert left < 200_000, left
     assert cleaned.count() == table(spark, SF, "documents").count()

@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame, functions as F
 from .components import resolve
 from .frames import discard, free_name, numbered, stored
 from .quality import BITS, bit_map, bits_set, received, shipped
-from .sketches import bounded, plausible, side, sketch
+from .sketches import bounded, plausible, side, sketches
 from .words import BASE, SPACE, mix, portions, runs, text_buffers
 
 SHINGLE = 5
 BANDS, ROWS = 13, 4
 PERCENT = 80
+SPREAD = 1  # bits of a line's map for each shingle, at least; the maps are joined and compared, so their size is the disk's
 
 _RANDOM = np.random.default_rng(91)
 _TURNS = _RANDOM.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -105,14 +106,30 @@ def _power(n: int) -> np.uint64:
     return np.uint64(pow(int(BASE), n, 1 << 64))
 
 
-def shingle_sets(column: pa.Array) -> list[np.ndarray]:
-    """Distinct shingle hashes of each line, sorted."""
+def shingle_runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each line, sorted, one line's after another's; and where each line's begin."""
     data, offsets = text_buffers(column)
     places = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
-    codes = points_of(data)
-    hashes, whole = shingle_hashes(codes), whole_hashes(codes, places[:-1], places[1:])
-    places = places.tolist()
-    return [np.unique(hashes[a : b - SHINGLE + 1]) if b - a >= SHINGLE else whole[i : i + (b > a)] for i, (a, b) in enumerate(zip(places, places[1:]))]
+    codes, starts, length = points_of(data), places[:-1], np.diff(places)
+    hashes, found = np.zeros(len(codes) + 1, np.uint64), shingle_hashes(codes)
+    hashes[: len(found)] = found
+    small = length < SHINGLE
+    hashes[starts[small]] = whole_hashes(codes, starts[small], places[1:][small])  # no line's shingles start there
+    n = np.where(small, np.minimum(length, 1), length - SHINGLE + 1)
+    bounds = np.concatenate([[0], np.cumsum(n)])
+    members = hashes[np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], n)]
+    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        members[low:high].sort()
+    new = np.ones(len(members), bool)
+    new[1:] = members[1:] != members[:-1]
+    new[bounds[:-1][n > 0]] = True
+    return members[new], np.concatenate([[0], np.cumsum(new)])[bounds]
+
+
+def shingle_sets(column: pa.Array) -> list[np.ndarray]:
+    """Distinct shingle hashes of each line, sorted."""
+    members, bounds = shingle_runs(column)
+    return [members[low:high] for low, high in zip(bounds.tolist(), bounds[1:].tolist())]
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -170,14 +187,13 @@ def groups(lines: DataFrame, docs: DataFrame, text: str, short: bool = False) ->
     def known(ids: DataFrame):
         def described(batches):
             for batch in batches:
-                sets = shingle_sets(batch.column(1))
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array([len(x) for x in sets], pa.int64()), pa.array([sketch(x) for x in sets], pa.binary())], names=["id", "line", "n", "sketch"]
-                )
+                members, bounds = shingle_runs(batch.column(1))
+                maps = pa.array(sketches(members, bounds, SPREAD), pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(bounds)), maps], names=["id", "line", "n", "sketch"])
 
         texts = stored(line_texts(docs, ids, text, short).mapInArrow(described, "id long, line string, n long, sketch binary"), "lines", tidy=True)
         spent.append(texts)
-        sketches, line = texts.select("id", "n", "sketch"), texts.select("id", "line")
+        attributes, line = texts.select("id", "n", "sketch"), texts.select("id", "line")
 
         def exact(batches):
             for batch in batches:
@@ -185,10 +201,10 @@ def groups(lines: DataFrame, docs: DataFrame, text: str, short: bool = False) ->
                 yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
         def verify(pairs: DataFrame) -> DataFrame:
-            seen = bounded(pairs, sketches, PERCENT).join(side(line, "a"), "a").join(side(line, "b"), "b")
+            seen = bounded(pairs, attributes, PERCENT).join(side(line, "a"), "a").join(side(line, "b"), "b")
             return seen.select("a", "b", "line a", "line b").mapInArrow(exact, "a long, b long")
 
-        return verify, sketches
+        return verify, attributes
 
     found = resolve(tiles, known, lambda a, b: plausible(a, b, PERCENT))
     discard(*spent)

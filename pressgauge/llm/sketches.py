@@ -7,14 +7,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 LEAST, MOST, SPREAD = 64, 1 << 15, 4
+PLACES = 1 << 22  # bits of maps made at a time
 
 
-def sketch(members: np.ndarray) -> bytes:
-    """Of SPREAD or more bits for each member (a power of two, LEAST to MOST)."""
-    bits = min(MOST, max(LEAST, 1 << (SPREAD * len(members) - 1).bit_length()))
+def sketch(members: np.ndarray, spread: int = SPREAD) -> bytes:
+    """Of ``spread`` or more bits for each member (a power of two, LEAST to MOST)."""
+    bits = min(MOST, max(LEAST, 1 << max(0, spread * len(members) - 1).bit_length()))
     return np.packbits((np.bincount((members % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
 
 
+def sketches(members: np.ndarray, bounds: np.ndarray, spread: int = SPREAD) -> list[bytes]:
+    """``sketch`` of many sets, which lie one after another. Fewer bits a member keep the bound, and let more pairs pass it."""
+    n, out = np.diff(bounds), np.empty(len(bounds) - 1, object)
+    sizes = np.clip(1 << np.frexp(np.maximum(spread * n - 1, 0))[1].astype(np.int64), LEAST, MOST)
+    for bits in np.unique(sizes).tolist():
+        those = np.flatnonzero(sizes == bits)
+        for part in np.array_split(those, -(-len(those) * bits // PLACES)):
+            place = np.repeat(np.arange(len(part)) * bits, n[part])
+            place += (members[np.arange(len(place)) + np.repeat(bounds[part] - np.cumsum(n[part]) + n[part], n[part])] % np.uint64(bits)).astype(np.int64)
+            maps = np.packbits((np.bincount(place, minlength=len(part) * bits) & 1).astype(bool)).tobytes()
+            out[part] = [maps[i * bits // 8 : (i + 1) * bits // 8] for i in range(len(part))]
+    return out.tolist()
+
+
 def close(n, m, bits, percent: int):
     """Whether sets of n and m members whose maps differ in so many bits can be ``percent`` similar.
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pressgauge.llm import lines, quality, queries, winnow
+from pressgauge.llm import lines, quality, queries, sketches, winnow
 from pressgauge.llm.frames import table
 
 SF = "/root/testdata/sf0.001"
@@ -90,3 +90,18 @@ def test_lines_leave_little_on_disk(spark):
     left = sum(size for path, size in shuffled(spark).items() if path not in had)
     assert left < 200_000, left
     assert cleaned.count() == table(spark, SF, "documents").count()
+
+
+def test_maps_of_lines_are_small():
+    """Many at a time they are those of one at a time; a map has less than two bits a shingle, beyond the least."""
+    random = np.random.default_rng(4)
+    texts = ["", "a", "abcd", "abcde", "aaaaaaaaaaaa", "日本語の長い行です", *("".join(random.choice(list("abcdefgh é"), n)) for n in (30, 64, 70, 300, 3000))]
+    members, bounds = lines.shingle_runs(pa.array(texts))
+    for text, low, high in zip(texts, bounds, bounds[1:]):
+        assert high - low == (len({text[i : i + 5] for i in range(len(text) - 4)}) or bool(text))
+        assert (np.diff(members[low:high].astype(object)) > 0).all()
+    for spread in (1, 4):
+        maps = sketches.sketches(members, bounds, spread)
+        assert maps == [sketches.sketch(members[low:high], spread) for low, high in zip(bounds, bounds[1:])]
+    maps = sketches.sketches(members, bounds, lines.SPREAD)
+    assert all(8 * len(x) < max(sketches.LEAST + 1, 2 * n) for x, n in zip(maps, np.diff(bounds)))

@@ -105,3 +105,19 @@ def test_maps_of_lines_are_small():
         assert maps == [sketches.sketch(members[low:high], spread) for low, high in zip(bounds, bounds[1:])]
     maps = sketches.sketches(members, bounds, lines.SPREAD)
     assert all(8 * len(x) < max(sketches.LEAST + 1, 2 * n) for x, n in zip(maps, np.diff(bounds)))
+
+
+def test_texts_stay_where_they_are_for_the_rejected(spark):
+    """The first stage's texts are not shuffled to leave out a few rows, and those are the ones that op1_quality rejects."""
+    docs = table(spark, SF, "documents")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = quality.accepted(docs, queries.trusted(spark, SF))
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        left = sorted(r[0] for r in kept.select("doc_id").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    scores = queries.QUERIES["op1_quality"](spark, SF)
+    assert 0 < len(left) < docs.count() and left == sorted(r[0] for r in scores.where("NOT rejected").select("doc_id").collect())

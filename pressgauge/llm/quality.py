@@ -32,7 +32,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .frames import discard, free_name, numbered, stored, tidied
+from .frames import bucketed, discard, free_name, numbered, stored, tidied
 from .words import BASE, SPACE, Lookup, Words, mix, portions
 
 MAX_WORDS = None  # the vocabulary has no limit
@@ -45,6 +45,7 @@ SHARD_BYTES = 32 << 20  # text for each shard of the count table
 SLICE_BYTES, SLICES = 128 << 20, 4  # text for each slice, until there are so many
 PACKED_ROWS = 1 << 20  # of the count table, packed at a time
 FEW_REJECTED = 1 << 20  # rows whose numbers are broadcast
+FEW_LURES = 1 << 22  # keys whose hashes are
 BITS = 1 << 27
 HELD_OUT = 5  # one trusted text in so many
 
@@ -76,19 +77,38 @@ def bits_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def trusted_texts(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Texts whose key is in ``trusted``, less the held-out ones. Only texts that the bit map lets pass are shuffled."""
+    """Texts whose key is in ``trusted``, less the held-out ones. A bit map tells which they are, less the few other keys that
+    hit a set bit; no text is shuffled unless these are more than FEW_LURES."""
     ids = trusted.select(F.col(key).alias("key")).where(F.col("key").isNotNull() & ~is_held_out(F.col("key"))).distinct()
-    place = F.pmod(F.xxhash64("key"), F.lit(BITS))
-    shared = docs.sparkSession.sparkContext.broadcast(shipped(bit_map(ids.select(place.alias("at")), "at")))
-
-    def likely(batches):
-        bits = received(shared.value)
-        for batch in batches:
-            yield batch.filter(pa.array(bits_set(bits, batch.column("at").to_numpy(zero_copy_only=False))))
-
+    spark, of_key = docs.sparkSession, F.xxhash64("key")
+    bits = spark.sparkContext.broadcast(shipped(bit_map(ids.select(F.pmod(of_key, F.lit(BITS)).alias("at")), "at")))
+
+    def likely(lures):
+        def passed(batches):
+            mine, others = received(bits.value), lures.value
+            for batch in batches:
+                hashes = batch.column("hash").to_numpy(zero_copy_only=False)
+                good = bits_set(mine, hashes & (BITS - 1))
+                if len(others):
+                    good &= others[np.minimum(np.searchsorted(others, hashes), len(others) - 1)] != hashes
+                yield batch.filter(pa.array(good))
+
+        return passed
+
+    none = spark.sparkContext.broadcast(np.zeros(0, np.int64))
+    keys = docs.select(F.col(key).alias("key")).where("key IS NOT NULL").withColumn("hash", of_key)
+    wrong = keys.mapInArrow(likely(none), keys.schema).join(ids, "key", "left_anti").select("hash").distinct()
+    wrong = stored(wrong, "lures", tidy=True)
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = rows.withColumn("at", place)
-    return rows.mapInArrow(likely, rows.schema).join(ids, "key", "left_semi").select("key", "text")
+    rows = rows.withColumn("hash", of_key)
+    if wrong.count() > FEW_LURES:
+        texts = rows.mapInArrow(likely(none), rows.schema).join(ids, "key", "left_semi").select("key", "text")
+    else:
+        lures = spark.sparkContext.broadcast(np.sort(wrong.toPandas()["hash"].to_numpy(np.int64)))
+        texts = rows.mapInArrow(likely(lures), rows.schema).select("key", "text")
+        texts.made_of = rows, likely(lures)
+    discard(wrong)
+    return texts
 
 
 def is_held_out(key: Column) -> Column:
@@ -169,14 +189,17 @@ def fit(texts: DataFrame, hot: int = HOT, hot_words: int = HOT_WORDS, size: int
 
 def _fit(texts: DataFrame, hot: int, hot_words: int, size: int, least: int) -> dict:
     spark = texts.sparkSession
+    # texts are chosen by the Python worker that reads them: with a step each, two workers a task would hold memory
+    texts, chosen = getattr(texts, "made_of", (texts, lambda batches: batches))
+    texts = texts.select("text", *[c for c in texts.columns if c != "text"])
 
     def words_of(batches):
-        for batch in batches:
+        for batch in chosen(batches):
             for low, high in portions(batch.column(0)):
                 found, times = np.unique(Words(batch.column(0)[low:high], SPACE).hashes().view(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times.astype(np.int64))], names=["hash", "times"])
 
-    counts = stored(texts.select("text").mapInArrow(words_of, "hash long, times long").groupBy("hash").agg(F.sum("times").alias("times")), "words", tidy=True)
+    counts = stored(texts.mapInArrow(words_of, "hash long, times long").groupBy("hash").agg(F.sum("times").alias("times")), "words", tidy=True)
     known = counts.where("times > 1")
     n_known = known.count()
     rare = max(1, counts.count() - n_known)
@@ -198,7 +221,7 @@ def _fit(texts: DataFrame, hot: int, hot_words: int, size: int, least: int) -> d
     def bigrams_of(batches):
         keys, bits = shared.value
         vocabulary = Vocabulary(keys, received(bits), lures.value)
-        for batch in batches:
+        for batch in chosen(batches):
             for low, high in portions(batch.column(0)):
                 words = Words(batch.column(0)[low:high], SPACE)
                 number = vocabulary.numbers(words.hashes())
@@ -206,7 +229,8 @@ def _fit(texts: DataFrame, hot: int, hot_words: int, size: int, least: int) -> d
                 _, at, times = np.unique(pair(first, number), return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (first[at], number[at], times.astype(np.int64))], names=["u", "v", "times"])
 
-    bigrams = stored(texts.select("text").mapInArrow(bigrams_of, "u long, v long, times long").groupBy("u", "v").agg(F.sum("times").alias("times")), "bigrams", tidy=True)
+    bigrams = texts.mapInArrow(bigrams_of, "u long, v long, times long").groupBy("u", "v").agg(F.sum("times").alias("times"))
+    bigrams = stored(bigrams.sortWithinPartitions("u", "v"), "bigrams", tidy=True)  # sorted, it is a smaller file
     shared.destroy()
     lures.destroy()
 
@@ -356,7 +380,9 @@ def perplexities(docs: DataFrame, model: dict, keep: list[str], text: str = "tex
     size = int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
     shards, slices = max(16, -(-size // shard_bytes)), min(SLICES, max(1, -(-size // slice_bytes)))
     lures, bits = _lures(docs, text, model), bit_map(model["tail"].select(F.col("key").bitwiseAND(BITS - 1).alias("at")), "at")
-    known = stored(_sharded(model["tail"], shards), "tail", tidy=True)
+    in_turn = F.pmod(F.pmod(F.col("key").bitwiseAND(BITS - 1), F.lit(shards)), F.lit(slices))
+    parts = [_sharded(model["tail"].where(in_turn == i), shards) for i in range(slices)]
+    known = bucketed(parts, "tail", "shard", shards)  # each slice of texts asks it where it is
     if spend:
         discard(*model["tables"])
     sent_along = {k: model[k] for k in ("keys", "backoff", "lowest", "hot", "gain")}

@@ -79,6 +79,51 @@ def test_perplexities_in_slices(spark):
     assert np.allclose(whole["perplexity"], parts["perplexity"], rtol=1e-5, equal_nan=True)
 
 
+def plans_of(patch, module):
+    """Plans of the tables that a module's steps write, by name, as they are written."""
+    plans, write = {}, module.stored
+
+    def stored(df, name, **options):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name, **options)
+
+    patch.setattr(module, "stored", stored)
+    return plans
+
+
+def test_table_of_counts_is_shuffled_once(spark):
+    """Not again for each slice of texts; and one Python step reads the trusted texts, which are not shuffled."""
+    with pytest.MonkeyPatch.context() as patch:
+        plans = plans_of(patch, quality)
+        docs = table(spark, SF, "documents")
+        model = quality.fit(quality.trusted_texts(docs, queries.trusted(spark, SF)), hot=50, hot_words=100, least=1)
+        quality.perplexities(docs, model, ["doc_id"], slice_bytes=1)
+    assert len(plans["perplexities"]) == quality.SLICES
+    assert all(plan.count("Exchange hashpartitioning(shard") == 1 for plan in plans["perplexities"])
+    for plan in plans["words"] + plans["bigrams"]:
+        assert plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("bits, few", [(1 << 27, 1 << 22), (1 << 6, 1 << 22), (1 << 6, 0)])
+def test_trusted_texts(spark, monkeypatch, bits, few):
+    """The same ones whether other keys hit their bits or not, and however many do."""
+    monkeypatch.setattr(quality, "BITS", bits)
+    monkeypatch.setattr(quality, "FEW_LURES", few)
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    docs = docs.union(docs.limit(9)).union(spark.createDataFrame([(None, "no key"), (3, None)], docs.schema))
+    trusted = queries.trusted(spark, SF).union(spark.createDataFrame([(None,), (10**9,)], "doc_id long"))
+    mine = {r[0] for r in trusted.where(~quality.is_held_out(F.col("doc_id"))).collect()}
+    wanted = sorted((r[0], r[1]) for r in docs.collect() if r[0] in mine and r[0] is not None and r[1] is not None)
+    texts = quality.trusted_texts(docs, trusted)
+    assert wanted and sorted(map(tuple, texts.collect())) == wanted
+    if few:
+        rows, chosen = texts.made_of
+        assert "hash" in rows.columns and "text" in rows.columns and rows.count() > len(wanted)
+    model, plain = (quality.fit(x, hot=50, hot_words=100, least=1) for x in (texts, spark.createDataFrame(wanted, "key long, text string")))
+    assert (model["hot"] == plain["hot"]).all() and np.allclose(model["gain"], plain["gain"])
+    assert (model["keys"] == plain["keys"]).all() and np.allclose(model["lowest"], plain["lowest"])
+
+
 def test_lines_leave_little_on_disk(spark):
     """Before the texts are joined with the lines to drop, the lines, their texts and their shuffle files are gone."""
 

@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .frames import discard, stored
+from .sketches import plausible, plausible_pairs
 
 BLOCK = 512
 FEW, LIKELIEST = 4, 3
+SMALL = 64  # ids of a tile; smaller tiles are compared many at a time
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -55,12 +57,12 @@ def _pairs(a: Column, b: Column) -> list[Column]:
     return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
 
-def resolve(tiles: DataFrame, known: Callable[[DataFrame], tuple[Callable, DataFrame]], plausible: Callable) -> DataFrame:
+def resolve(tiles: DataFrame, known: Callable[[DataFrame], tuple[Callable, DataFrame]], percent: int) -> DataFrame:
     """(id, component) of all ids with a link. ``tiles``: (tile, id) longs, repeats allowed.
 
     ``known`` takes the ids that share a tile with another and returns ``verify``, which takes distinct (a, b) pairs and
-    returns those that are links, and ``attributes``, a table by id. ``plausible`` takes two blocks of rows, as dicts of
-    arrays with those columns, and returns index arrays of the pairs worth verifying, and how far apart each is.
+    returns those that are links, and ``attributes``, a table by id: n and sketch (``sketches``), by which pairs that are not
+    ``percent`` similar are told.
     """
     by_tile = Window.partitionBy("tile")
     led = tiles.withColumn("leader", F.min("id").over(by_tile)).withColumn("last", F.max("id").over(by_tile)).where("leader < last")
@@ -80,7 +82,7 @@ def resolve(tiles: DataFrame, known: Callable[[DataFrame], tuple[Callable, DataF
         rows, old = stored(mixed, "mixed", tidy=True), rows
         mixed = rows
         discard(old)
-        pairs = _across(mixed, attributes, plausible, every=last)
+        pairs = _across(mixed, attributes, percent, every=last)
         new = stored(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs", tidy=True)
         tried = tried.unionByName(new)
         spent.append(new)
@@ -95,7 +97,7 @@ def resolve(tiles: DataFrame, known: Callable[[DataFrame], tuple[Callable, DataF
     return found
 
 
-def _across(mixed: DataFrame, attributes, plausible, every: bool) -> DataFrame:
+def _across(mixed: DataFrame, attributes: DataFrame, percent: int, every: bool) -> DataFrame:
     """Plausible pairs of ids of one tile and different components, from blocks of the tile taken two at a time."""
     by_tile = Window.partitionBy("tile")
     rows = mixed.select("tile", "id", "component").distinct()
@@ -113,39 +115,56 @@ def _across(mixed: DataFrame, attributes, plausible, every: bool) -> DataFrame:
             table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
             groups = np.column_stack([table.column(i).to_numpy() for i in range(3)])
             edges = np.flatnonzero((groups[1:] != groups[:-1]).any(1)) + 1
-            yield from _block_pairs(table, [0, *edges], plausible, every)
+            yield from _block_pairs(table, [0, *edges], percent, every)
             rest = table.slice(edges[-1] if len(edges) else 0)
         if rest is not None:
-            yield from _block_pairs(rest, [0, rest.num_rows], plausible, every)
+            yield from _block_pairs(rest, [0, rest.num_rows], percent, every)
 
     rows = rows.join(attributes, "id").select(*rows.columns, *[c for c in attributes.columns if c != "id"]).repartition("tile", "low", "high").sortWithinPartitions("tile", "low", "high")
     pairs = rows.mapInArrow(compared, "x long, y long")
     return pairs.select(*_pairs(F.col("x"), F.col("y")))
 
 
-def _block_pairs(table: pa.Table, edges: list[int], plausible, every: bool):
+def _block_pairs(table: pa.Table, edges: list[int], percent: int, every: bool):
     """Pairs of all groups but what follows the last edge; all of them, or the likeliest of each component."""
     columns = {n: table.column(n).to_numpy() if table.schema.field(n).type != pa.binary() else np.array(table.column(n).to_pylist(), object) for n in table.column_names[1:]}
-    out = [np.zeros((0, 2), np.int64)]
-    for a, b in zip(edges, edges[1:]):
-        own = {n: c[a:b] for n, c in columns.items()}
+    out, sizes = [np.zeros((0, 2), np.int64)], np.diff(edges)
+
+    def chosen(left, right, i, j, distance, group):
+        ours, theirs = left["component"][i], right["component"][j]
+        keep = np.flatnonzero(ours != theirs)
+        if not every and len(keep):
+            group, distance = group[keep], distance[keep]
+            keep = np.union1d(_nearest(keep, group, ours[keep], distance), _nearest(keep, group, theirs[keep], distance))
+        out.append(np.column_stack([left["id"][i[keep]], right["id"][j[keep]]]))
+
+    heads = np.array(edges[:-1], np.int64)
+    small = (sizes <= SMALL) & (columns["low"][heads] == columns["high"][heads])
+    if small.any():
+        # the pairs of all small tiles, each row with those after it
+        at = np.concatenate([np.arange(low, low + n) for low, n in zip(heads[small], sizes[small])])
+        later = np.repeat(heads[small] + sizes[small], sizes[small]) - at - 1
+        i = np.repeat(at, later)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+        apart = columns["component"][i] != columns["component"][j]
+        i, j, distance = plausible_pairs(columns, i[apart], j[apart], percent)
+        chosen(columns, columns, i, j, distance, np.searchsorted(heads, i, "right"))
+    for a, n in zip(heads[~small], sizes[~small]):
+        own = {name: c[a : a + n] for name, c in columns.items()}
         left = right = own
         if own["low"][0] != own["high"][0]:
-            left, right = ({n: c[own["block"] == own[side][0]] for n, c in own.items()} for side in ("low", "high"))
+            left, right = ({name: c[own["block"] == own[side][0]] for name, c in own.items()} for side in ("low", "high"))
         if len(left["id"]) and len(right["id"]):
-            i, j, distance = plausible(left, right)
-            keep = np.flatnonzero(left["component"][i] != right["component"][j])
-            if not every and len(keep):
-                keep = np.union1d(_nearest(keep, left["component"][i[keep]], distance[keep]), _nearest(keep, right["component"][j[keep]], distance[keep]))
-            out.append(np.column_stack([left["id"][i[keep]], right["id"][j[keep]]]))
+            i, j, distance = plausible(left, right, percent)
+            chosen(left, right, i, j, distance, np.zeros(len(i), np.int64))
     found = np.concatenate(out)
     found = np.unique(np.sort(found, axis=1), axis=0)  # a pair may share several tiles
     yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["x", "y"])
 
 
-def _nearest(pairs: np.ndarray, component: np.ndarray, distance: np.ndarray) -> np.ndarray:
-    """The LIKELIEST pairs of each component."""
-    order = np.lexsort((distance, component))
-    first = np.flatnonzero(np.diff(component[order], prepend=component[order[0]] - 1))
+def _nearest(pairs: np.ndarray, group: np.ndarray, component: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """The LIKELIEST pairs of each component of each group."""
+    order = np.lexsort((distance, component, group))
+    first = np.flatnonzero(np.append(True, (np.diff(component[order]) != 0) | (np.diff(group[order]) != 0)))
     rank = np.arange(len(order)) - np.repeat(first, np.diff([*first, len(order)]))
     return pairs[order[rank < LIKELIEST]]

@@ -45,9 +45,10 @@ def stored(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
     return read
 
 
-def bucketed(parts: list[DataFrame], name: str, key: str, buckets: int) -> DataFrame:
+def bucketed(parts: list[DataFrame], name: str, key: str, buckets: int, placed: bool = False) -> DataFrame:
     """Frames of the same columns, ``stored`` together in buckets of ``key``. They are shuffled once, here and one after the
-    other; whatever groups or joins the table by ``key`` shuffles the other side only."""
+    other; whatever groups or joins the table by ``key`` shuffles the other side only. ``placed``: they are in as many partitions
+    of ``key`` already."""
     df, spark = parts[0], parts[0].sparkSession
     path = work_path(spark, name)
     known_as = path.rsplit("/", 1)[-1].replace("-", "_")
@@ -55,7 +56,7 @@ def bucketed(parts: list[DataFrame], name: str, key: str, buckets: int) -> DataF
     spark.sql(f"CREATE TABLE `{known_as}` ({df.schema.toDDL()}) USING parquet CLUSTERED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
     with tidied(spark):
         for part in parts:
-            part.repartition(buckets, key).write.insertInto(known_as)
+            (part if placed else part.repartition(buckets, key)).write.insertInto(known_as)
     read = spark.table(known_as)
     read.stored_at, read.known_as = path, known_as
     return read

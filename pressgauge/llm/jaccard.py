@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .components import resolve
 from .frames import free_name, numbered, stored
-from .sketches import bounded, plausible, side, sketch
+from .sketches import bounded, side, sketch
 from .words import SPACE, Words, grams, mix, portions
 
 SHINGLE = 5
@@ -150,7 +150,7 @@ def linked(texts: DataFrame) -> DataFrame:
         return seen.select("a", "b", "members a", "members b").mapInArrow(exact, "a long, b long")
 
     tiles = candidates.select(F.explode("tiles").alias("tile"), "id")
-    return resolve(tiles, lambda ids: (verify, sketches), lambda a, b: plausible(a, b, PERCENT))
+    return resolve(tiles, lambda ids: (verify, sketches), PERCENT)
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, str]:

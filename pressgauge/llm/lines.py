@@ -19,14 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .components import resolve
-from .frames import discard, free_name, numbered, stored
+from .frames import bucketed, discard, free_name, numbered, stored
 from .quality import BITS, bit_map, bits_set, received, shipped
-from .sketches import bounded, plausible, side, sketches
+from .sketches import bounded, side, sketches
 from .words import BASE, SPACE, mix, portions, runs, text_buffers
 
 SHINGLE = 5
 BANDS, ROWS = 13, 4
 PERCENT = 80
+AT_ONCE = 1 << 16  # shingles whose minima are taken at a time
 SPREAD = 1  # bits of a line's map for each shingle, at least; the maps are joined and compared, so their size is the disk's
 
 _RANDOM = np.random.default_rng(91)
@@ -63,13 +64,24 @@ class Lines:
         hashes[: len(found)] = found
         small = ends - starts < SHINGLE
         hashes[starts[small]] = whole_hashes(codes, starts[small], ends[small])  # no line's shingles start there
-        hashes = (hashes >> np.uint64(32)).astype(np.uint32)
-        ranges = np.column_stack([starts, np.maximum(starts + 1, ends - SHINGLE + 1)]).ravel()  # the odd ones lie between lines
-        keys = np.zeros((len(those), BANDS), np.uint64)
+        n = np.maximum(1, ends - starts - SHINGLE + 1)
+        bounds = np.concatenate([[0], np.cumsum(n)])
+        hashes = (hashes >> np.uint64(32)).astype(np.uint32)[np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], n)]
+        least = np.empty((BANDS * ROWS, len(those)), np.uint32)
+        low = 0
+        while low < len(those):
+            high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + AT_ONCE, "right")) - 1)
+            own, firsts = hashes[bounds[low] : bounds[high]], bounds[low:high] - bounds[low]
+            turned = np.empty_like(own)
+            for k in range(BANDS * ROWS):
+                np.bitwise_xor(own, _TURNS[k], out=turned)
+                np.multiply(turned, _STEPS[k], out=turned)
+                np.minimum.reduceat(turned, firsts, out=least[k, low:high])
+            low = high
+        keys = np.zeros((BANDS, len(those)), np.uint64)
         for k in range(BANDS * ROWS):
-            least = np.minimum.reduceat((hashes ^ _TURNS[k]) * _STEPS[k], ranges)[::2]
-            keys[:, k // ROWS] = mix(keys[:, k // ROWS] * np.uint64(31) + least.astype(np.uint64) + np.uint64(k // ROWS + 1))
-        return keys.view(np.int64)
+            keys[k // ROWS] = mix(keys[k // ROWS] * np.uint64(31) + least[k] + np.uint64(k // ROWS + 1))
+        return np.ascontiguousarray(keys.T).view(np.int64)
 
 
 def points_of(data: np.ndarray) -> np.ndarray:
@@ -161,8 +173,9 @@ def line_rows(docs: DataFrame, key: str, text: str, row: str, short: bool = Fals
     return source.mapInArrow(split, f"row long, key {source.schema['key'].dataType.simpleString()}, number int, id long, bands array<long>")
 
 
-def line_texts(docs: DataFrame, ids: DataFrame, text: str, short: bool = False) -> DataFrame:
-    """(id, line) of the lines whose id is in ``ids``; only lines that the bit map lets pass leave the task."""
+def line_texts(docs: DataFrame, ids: DataFrame, text: str, short: bool, partitions: int) -> DataFrame:
+    """(id, line, n, sketch) of the lines whose id is in ``ids``, in so many partitions of id; only lines that the bit map lets
+    pass leave the task."""
     shared = docs.sparkSession.sparkContext.broadcast(shipped(bit_map(ids.select(F.col("id").bitwiseAND(BITS - 1).alias("at")), "at")))
 
     def split(batches):
@@ -173,25 +186,25 @@ def line_texts(docs: DataFrame, ids: DataFrame, text: str, short: bool = False)
                 those = np.flatnonzero(lines.compared)
                 ids, first = np.unique(lines.ids()[those], return_index=True)
                 wanted = np.flatnonzero(bits_set(bits, ids & (BITS - 1)))
-                found = [lines.data[lines.low[k] : lines.high[k]].tobytes().decode("utf-8", "replace") for k in those[first[wanted]]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[wanted]), pa.array(found, pa.string())], names=["id", "line"])
+                found = pa.array([lines.data[lines.low[k] : lines.high[k]].tobytes().decode("utf-8", "replace") for k in those[first[wanted]]], pa.string())
+                members, bounds = shingle_runs(found)
+                maps = pa.array(sketches(members, bounds, SPREAD), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[wanted]), found, pa.array(np.diff(bounds)), maps], names=["id", "line", "n", "sketch"])
 
-    return docs.select(text).mapInArrow(split, "id long, line string").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    rows = docs.select(text).mapInArrow(split, "id long, line string, n long, sketch binary").repartition(partitions, "id")
+    return rows.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 def groups(lines: DataFrame, docs: DataFrame, text: str, short: bool = False) -> DataFrame:
-    """(id, component) of the lines that have a link to another line."""
+    """(id, component) of the lines that have a link to another line. ``lines``: (id, bands), stored; they are discarded."""
     tiles = lines.where("size(bands) > 0").select(F.explode("bands").alias("tile"), "id")
     spent = []
 
     def known(ids: DataFrame):
-        def described(batches):
-            for batch in batches:
-                members, bounds = shingle_runs(batch.column(1))
-                maps = pa.array(sketches(members, bounds, SPREAD), pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(bounds)), maps], names=["id", "line", "n", "sketch"])
-
-        texts = stored(line_texts(docs, ids, text, short).mapInArrow(described, "id long, line string, n long, sketch binary"), "lines", tidy=True)
+        discard(lines)  # the tiles are stored by now
+        partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # pairs come to the lines, time and again: these stay where they are
+        texts = bucketed([line_texts(docs, ids, text, short, partitions)], "lines", "id", partitions, placed=True)
         spent.append(texts)
         attributes, line = texts.select("id", "n", "sketch"), texts.select("id", "line")
 
@@ -206,7 +219,7 @@ def groups(lines: DataFrame, docs: DataFrame, text: str, short: bool = False) ->
 
         return verify, attributes
 
-    found = resolve(tiles, known, lambda a, b: plausible(a, b, PERCENT))
+    found = resolve(tiles, known, PERCENT)
     discard(*spent)
     return found
 
@@ -215,9 +228,10 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", short: bo
     """``docs`` with a row number, and (row, numbers) of the lines to drop; the name of the row number."""
     row = free_name(docs.columns, "row")
     counted = numbered(docs, row)
-    lines = stored(line_rows(counted, key, text, row, short), "line-rows")
-    linked = groups(lines, docs, text, short)
-    members = lines.select("row", "key", "number", "id").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    banded = stored(line_rows(counted, key, text, row, short), "line-bands")
+    lines = stored(banded.drop("bands"), "line-rows")
+    linked = groups(banded, docs, text, short)
+    members = lines.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
     place = F.struct(F.col("key").isNull().alias("z"), "key", "row", "number")
     firsts = members.groupBy("component").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").select("component", "kept")
     dropped = members.join(firsts, "component").where((F.col("row") != F.col("kept.row")) | (F.col("number") != F.col("kept.number")))
@@ -233,9 +247,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", counts: bool
     drops = drops.withColumnRenamed("row", row)
     lost = free_name(counted.columns, "dropped")
     both = counted.join(drops.withColumnRenamed("dropped", lost), row, "left")
-    split = F.split(text, "\n", -1)
-    steps = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(lost))
-    kept = F.when(F.col(lost).isNull(), F.col(text)).otherwise(F.array_join(F.transform(steps, lambda i: F.get(split, i)), "\n"))
+    # the text is split once: within the outer transform its lines have a name
+    left = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost))
+    joined = F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.array_join(F.transform(left(lines), lambda i: F.get(lines, i)), "\n"))
+    kept = F.when(F.col(lost).isNull(), F.col(text)).otherwise(F.get(joined, F.lit(0)))
     columns = [kept.alias(c) if c == text else F.col(c) for c in docs.columns]
     if counts:
         feeds = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))

@@ -54,11 +54,36 @@ def apart(a: bytes, b: bytes) -> int:
 
 def _matrix(sketches: np.ndarray, size: int) -> np.ndarray:
     """Maps as rows of 64-bit words, folded to ``size`` bytes."""
-    if len({len(x) for x in sketches}) == 1:
-        rows = _fold(np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1), size)
-    else:
-        rows = np.stack([_fold(np.frombuffer(x, np.uint8), size) for x in sketches])
-    return np.ascontiguousarray(rows).view(np.uint64)
+    rows, lengths = np.empty((len(sketches), size), np.uint8), np.fromiter(map(len, sketches), np.int64, len(sketches))
+    for n in np.unique(lengths):
+        those = np.flatnonzero(lengths == n)
+        rows[those] = _fold(np.frombuffer(b"".join(sketches[those]), np.uint8).reshape(len(those), -1), size)
+    return rows.view(np.uint64)
+
+
+def differing(sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits in which the maps of many pairs differ, each pair's folded to the smaller of its two."""
+    lengths = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    shorter, out = np.minimum(lengths[i], lengths[j]), np.zeros(len(i), np.int64)
+    for size in np.unique(shorter).tolist():
+        pairs = np.flatnonzero(shorter == size)
+        used, at = np.unique(np.concatenate([i[pairs], j[pairs]]), return_inverse=True)
+        maps, a, b = _matrix(sketches[used], size), at[: len(pairs)], at[len(pairs) :]
+        step = max(1, (1 << 20) // size)
+        for low in range(0, len(pairs), step):
+            x, y = a[low : low + step], b[low : low + step]
+            out[pairs[low : low + step]] = np.bitwise_count(maps[x] ^ maps[y]).sum(1, dtype=np.int64)
+    return out
+
+
+def plausible_pairs(rows: dict, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``plausible``, of given pairs of rows."""
+    n, m = rows["n"][i], rows["n"][j]
+    near = np.flatnonzero(100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    i, j, n, m = i[near], j[near], n[near], m[near]
+    bits = differing(rows["sketch"], i, j)
+    near = close(n, m, bits, percent)
+    return i[near], j[near], bits[near] / (n + m)[near]
 
 
 def plausible(left: dict, right: dict, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,8 +121,8 @@ def bounded(pairs: DataFrame, attributes: DataFrame, percent: int) -> DataFrame:
     def allowed(batches):
         for batch in batches:
             n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            bits = [apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(close(n, m, np.array(bits, np.int64), percent), pa.bool_()))
+            maps, at = np.array([*batch.column(4).to_pylist(), *batch.column(5).to_pylist()], object), np.arange(batch.num_rows)
+            yield batch.select(["a", "b"]).filter(pa.array(close(n, m, differing(maps, at, at + len(at)), percent), pa.bool_()))
 
     both = pairs.join(side(attributes, "a"), "a").join(side(attributes, "b"), "b")
     return both.select("a", "b", "n a", "n b", "sketch a", "sketch b").mapInArrow(allowed, "a long, b long")

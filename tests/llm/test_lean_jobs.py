@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pressgauge.llm import lines, quality, queries, sketches, winnow
+from pressgauge.llm import components, lines, quality, queries, sketches, winnow
 from pressgauge.llm.frames import table
 
 SF = "/root/testdata/sf0.001"
@@ -137,6 +137,67 @@ def test_lines_leave_little_on_disk(spark):
     assert cleaned.count() == table(spark, SF, "documents").count()
 
 
+def test_lines_are_shuffled_once(spark):
+    """Pairs come to them, where they are in buckets; their bands are gone when the tiles are stored."""
+    root, live = spark.conf.get("spark.checkpoint.dir").removeprefix("file:"), []
+    tables, had, line_texts = {t.name for t in spark.catalog.listTables()}, set(os.listdir(root)), lines.line_texts
+    with pytest.MonkeyPatch.context() as patch:
+        plans = plans_of(patch, components)
+        patch.setattr(lines, "line_texts", lambda *a: live.append(set(os.listdir(root)) - had) or line_texts(*a))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            cleaned = lines.dedup(table(spark, SF, "documents"), short=True)
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    verified = [p for p in plans["links"] if "MapInArrow exact" in p]
+    assert len(verified) == 4 and all(p.count("Bucketed: true") == 4 for p in verified)
+    for plan in verified + [p for p in plans["pairs"] if "MapInArrow compared" in p]:
+        above = [x.lstrip(" :+-") for x in plan.splitlines()]
+        scans = [i for i, x in enumerate(above) if "Bucketed: true" in x]
+        assert scans and not any("Exchange" in x for i in scans for x in above[i - 3 : i]), plan
+    assert live and not any(n.startswith("line-bands") for n in live[0])
+    assert {t.name for t in spark.catalog.listTables()} == tables  # the table in buckets is gone from the catalog too
+    plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(text") == 1  # a text is split once, not again for each of its lines
+
+
+def test_texts_of_many_lines(spark):
+    texts = ["\n".join(f"line {i % 7000} of a long text" if i % 3 else "" for i in range(20_000)), None, "", "a\n\nline 5 of a long text\n"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    drops = spark.createDataFrame([(0, list(range(7000, 20_000)))], "doc_id int, dropped array<int>")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(lines, "repeated", lambda *a: (frame, drops.withColumnRenamed("doc_id", "row"), "doc_id"))
+        got = {r[0]: r[1] for r in lines.dedup(frame).collect()}
+    assert got == {0: "\n".join(texts[0].split("\n")[:7000]), **dict(list(enumerate(texts))[1:])}
+
+
+@pytest.mark.parametrize("every", [True, False])
+def test_small_tiles_at_once(monkeypatch, every):
+    """The pairs that tiles give one by one, less some whose own maps show them to be unlike; none that is alike is lost."""
+    random, rows = np.random.default_rng(8), []
+    for tile in range(60):
+        base = random.integers(0, 1 << 62, 5 + tile * 4, dtype=np.uint64)
+        for i in range(int(random.integers(1, 12))):
+            own = np.unique(np.concatenate([base[random.random(len(base)) < 0.97], random.integers(0, 1 << 62, int(random.integers(0, 3)) * (1 + tile // 2), dtype=np.uint64)]))
+            rows.append((tile, 0, 0, 0, tile * 100 + i, int(random.integers(0, 4)), len(own), sketches.sketch(own, 1), own))
+    kinds = {"tile": pa.int64(), "low": pa.int64(), "high": pa.int64(), "block": pa.int64(), "id": pa.int64(), "component": pa.int64(), "n": pa.int64(), "sketch": pa.binary()}
+    frame = pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
+    edges = [0, *(i for i in range(1, len(rows)) if rows[i][0] != rows[i - 1][0]), len(rows)]
+    found = {}
+    for most in (0, 64):
+        monkeypatch.setattr(components, "SMALL", most)
+        found[most] = {(r["x"], r["y"]) for b in components._block_pairs(frame, edges, 80, every) for r in b.to_pylist()}
+    alike = {(a[4], b[4]) for a in rows for b in rows if a[0] == b[0] and a[4] < b[4] and a[5] != b[5] and 100 * (k := len(np.intersect1d(a[8], b[8]))) >= 80 * (a[6] + b[6] - k)}
+    assert len(alike) > 100
+    if every:
+        assert alike <= found[64] <= found[0]
+    else:
+        assert 60 < len(found[64]) and len(found[64] & found[0]) > 0.8 * len(found[0])
+    for i, j in zip(*random.integers(0, len(rows), (2, 300))):
+        maps = np.array([rows[i][7], rows[j][7]], object)
+        assert sketches.differing(maps, np.array([0]), np.array([1]))[0] == sketches.apart(*maps)
+
+
 def test_maps_of_lines_are_small():
     """Many at a time they are those of one at a time; a map has less than two bits a shingle, beyond the least."""
     random = np.random.default_rng(4)

@@ -1,7 +1,7 @@
 """Connected components, and the search for links within tiles, both as distributed joins.
 
 ``components`` alternates large-star and small-star steps (a distributed union-find) until only stars are left; each step is a
-table in the shared folder. ``resolve`` finds the components of a graph whose links must be verified, when any linked two
+table in the shared folder. Up to FEW_LINKS links need no such steps. ``resolve`` finds the components of a graph whose links must be verified, when any linked two
 ids share a tile, without making all pairs of a large tile:
 
 1. each id is compared with one leader it shares a tile with;
@@ -27,12 +27,17 @@ from .sketches import plausible, plausible_pairs
 
 BLOCK = 512
 FEW, LIKELIEST = 4, 3
+FEW_LINKS = 1 << 16  # links whose components the driver finds, 1 MB
 SMALL = 64  # ids of a tile; smaller tiles are compared many at a time
 
 
 def components(links: DataFrame) -> DataFrame:
     """(a, b) links of longs; returns (id, component) for every id with a link, component being the smallest id."""
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges", tidy=True)
+    if edges.count() <= FEW_LINKS:
+        found = _few(edges)
+        discard(edges)
+        return found
     while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -46,6 +51,33 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots.select(F.col("b").alias("id"), F.col("b").alias("component")))
 
 
+def _few(links: DataFrame) -> DataFrame:
+    """``components`` of links that the driver holds."""
+    table, least = links.toArrow(), {}
+
+    def root(x: int) -> int:
+        while least.setdefault(x, x) != x:
+            least[x] = x = least[least[x]]
+        return x
+
+    for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist()):
+        a, b = root(a), root(b)
+        least[max(a, b)] = min(a, b)
+    found = pa.table({"id": pa.array(list(least), pa.int64()), "component": pa.array([root(x) for x in list(least)], pa.int64())})
+    return links.sparkSession.createDataFrame(found, "id long, component long")
+
+
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``found`` after more links, of which only those between two components are looked at."""
+    a, b = (found.select(F.col("id").alias(x), F.col("component").alias(f"component {x}")) for x in "ab")
+    both = links.join(a, "a", "left").join(b, "b", "left")
+    both = both.select(F.coalesce("component a", "a").alias("a"), F.coalesce("component b", "b").alias("b"))
+    joined = components(both)
+    new = joined.join(found, "id", "left_anti")
+    known = found.join(joined.select(F.col("id").alias("component"), F.col("component").alias("less")), "component", "left")
+    return known.select("id", F.coalesce("less", "component").alias("component")).unionByName(new)
+
+
 def _stars(edges: DataFrame) -> bool:
     """Whether every id points at one smaller id only, and that at none: then that is its component's smallest."""
     ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("out")).unionByName(edges.select(F.col("b").alias("id"), F.lit(0).alias("out")))
@@ -90,8 +122,7 @@ def resolve(tiles: DataFrame, known: Callable[[DataFrame], tuple[Callable, DataF
         if more.isEmpty():
             discard(more)
             continue
-        stars = found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-        found, old = stored(components(stars.unionByName(more)), "components", tidy=True), found
+        found, old = stored(merged(found, more), "components", tidy=True), found
         discard(old, more)
     discard(rows, *spent)
     return found

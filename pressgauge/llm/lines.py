@@ -13,6 +13,8 @@ by ``frames.numbered``. Texts and lines may be of any length.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -20,12 +22,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import resolve
 from .frames import bucketed, discard, free_name, numbered, stored
+from .partners import partnered
 from .quality import BITS, bit_map, bits_set, received, shipped
 from .sketches import bounded, side, sketches
 from .words import BASE, SPACE, mix, portions, runs, text_buffers
 
 SHINGLE = 5
 BANDS, ROWS = 13, 4
+BAND = [f"band{k}" for k in range(BANDS)]
 PERCENT = 80
 AT_ONCE = 1 << 16  # shingles whose minima are taken at a time
 SPREAD = 1  # bits of a line's map for each shingle, at least; the maps are joined and compared, so their size is the disk's
@@ -55,10 +59,8 @@ class Lines:
         view = memoryview(np.ascontiguousarray(self.data))
         return np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(self.low.tolist(), self.high.tolist())), np.uint64, len(self.low)).view(np.int64)
 
-    def bands(self, those: np.ndarray) -> np.ndarray:
-        """BANDS keys for each of some compared lines, which must be in their order."""
-        if not len(those):
-            return np.zeros((0, BANDS), np.int64)
+    def shingles(self, those: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the shingles of some compared lines, and where each line's begin."""
         codes, starts, ends = points_of(self.data), self.starts[those], self.ends[those]
         hashes, found = np.zeros(len(codes) + 1, np.uint64), shingle_hashes(codes)
         hashes[: len(found)] = found
@@ -66,7 +68,14 @@ class Lines:
         hashes[starts[small]] = whole_hashes(codes, starts[small], ends[small])  # no line's shingles start there
         n = np.maximum(1, ends - starts - SHINGLE + 1)
         bounds = np.concatenate([[0], np.cumsum(n)])
-        hashes = (hashes >> np.uint64(32)).astype(np.uint32)[np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], n)]
+        return hashes[np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], n)], bounds
+
+    def bands(self, those: np.ndarray, shingles: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """BANDS keys for each of some compared lines, which must be in their order."""
+        if not len(those):
+            return np.zeros((0, BANDS), np.int64)
+        members, bounds = self.shingles(those) if shingles is None else shingles
+        hashes = (members >> np.uint64(32)).astype(np.uint32)
         least = np.empty((BANDS * ROWS, len(those)), np.uint32)
         low = 0
         while low < len(those):
@@ -129,12 +138,16 @@ def shingle_runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     hashes[starts[small]] = whole_hashes(codes, starts[small], places[1:][small])  # no line's shingles start there
     n = np.where(small, np.minimum(length, 1), length - SHINGLE + 1)
     bounds = np.concatenate([[0], np.cumsum(n)])
-    members = hashes[np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], n)]
+    return distinct(hashes[np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], n)], bounds)
+
+
+def distinct(members: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of the members of many sets, sorted set by set (in place), and where each set's begin."""
     for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         members[low:high].sort()
     new = np.ones(len(members), bool)
     new[1:] = members[1:] != members[:-1]
-    new[bounds[:-1][n > 0]] = True
+    new[bounds[:-1][np.diff(bounds) > 0]] = True
     return members[new], np.concatenate([[0], np.cumsum(new)])[bounds]
 
 
@@ -150,7 +163,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def line_rows(docs: DataFrame, key: str, text: str, row: str, short: bool = False) -> DataFrame:
-    """One row for each compared line: row, key, number, id, and its bands where first met in a portion."""
+    """One row for each compared line: row, key, number, id, and, where first met in a portion, n, sketch and its bands."""
 
     def split(batches):
         for batch in batches:
@@ -159,18 +172,22 @@ def line_rows(docs: DataFrame, key: str, text: str, row: str, short: bool = Fals
                 ids = lines.ids()
                 those = np.flatnonzero(lines.compared)
                 first = np.sort(np.unique(ids[those], return_index=True)[1])
-                keys = lines.bands(those[first])
-                places = np.zeros(len(those) + 1, np.int64)
-                places[1:][first] = BANDS
-                bands = pa.ListArray.from_arrays(pa.array(np.cumsum(places).astype(np.int32)), pa.array(keys.ravel()))
+                found = lines.shingles(those[first])
+                keys = lines.bands(those[first], found)
+                members, bounds = distinct(*found)
+                place, missing = np.zeros(len(those), np.int64), np.ones(len(those), bool)
+                place[first], missing[first] = np.arange(len(first)), False
+                place = pa.array(place, mask=missing)
+                attributes = [pa.array(np.diff(bounds)), pa.array(sketches(members, bounds, SPREAD), pa.binary()), *map(pa.array, np.ascontiguousarray(keys.T))]
                 at = pa.array(lines.text[those] + low)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.number[those].astype(np.int32)), pa.array(ids[those]), bands],
-                    names=["row", "key", "number", "id", "bands"],
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.number[those].astype(np.int32)), pa.array(ids[those]), *[x.take(place) for x in attributes]],
+                    names=["row", "key", "number", "id", "n", "sketch", *BAND],
                 )
 
     source = docs.select(F.col(row).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
-    return source.mapInArrow(split, f"row long, key {source.schema['key'].dataType.simpleString()}, number int, id long, bands array<long>")
+    kinds = f"row long, key {source.schema['key'].dataType.simpleString()}, number int, id long, n long, sketch binary"
+    return source.mapInArrow(split, ", ".join([kinds, *[f"{band} long" for band in BAND]]))
 
 
 def line_texts(docs: DataFrame, ids: DataFrame, text: str, short: bool, partitions: int) -> DataFrame:
@@ -196,13 +213,15 @@ def line_texts(docs: DataFrame, ids: DataFrame, text: str, short: bool, partitio
 
 
 def groups(lines: DataFrame, docs: DataFrame, text: str, short: bool = False) -> DataFrame:
-    """(id, component) of the lines that have a link to another line. ``lines``: (id, bands), stored; they are discarded."""
-    tiles = lines.where("size(bands) > 0").select(F.explode("bands").alias("tile"), "id")
+    """(id, component) of the lines that have a link to another line. ``lines``: as ``line_rows`` gives them, stored; they are
+    discarded."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = partnered(lines.where("n IS NOT NULL"), BAND, PERCENT, SPREAD, partitions)
+    discard(lines)
     spent = []
 
     def known(ids: DataFrame):
-        discard(lines)  # the tiles are stored by now
-        partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        discard(*tiles)  # they are stored again by now
         # pairs come to the lines, time and again: these stay where they are
         texts = bucketed([line_texts(docs, ids, text, short, partitions)], "lines", "id", partitions, placed=True)
         spent.append(texts)
@@ -219,7 +238,7 @@ def groups(lines: DataFrame, docs: DataFrame, text: str, short: bool = False) ->
 
         return verify, attributes
 
-    found = resolve(tiles, known, PERCENT)
+    found = resolve(reduce(DataFrame.unionByName, tiles), known, PERCENT)
     discard(*spent)
     return found
 
@@ -229,7 +248,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", short: bo
     row = free_name(docs.columns, "row")
     counted = numbered(docs, row)
     banded = stored(line_rows(counted, key, text, row, short), "line-bands")
-    lines = stored(banded.drop("bands"), "line-rows")
+    lines = stored(banded.select("row", "key", "number", "id"), "line-rows")
     linked = groups(banded, docs, text, short)
     members = lines.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
     place = F.struct(F.col("key").isNull().alias("z"), "key", "row", "number")

@@ -16,10 +16,15 @@ def sketch(members: np.ndarray, spread: int = SPREAD) -> bytes:
     return np.packbits((np.bincount((members % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(bool)).tobytes()
 
 
+def map_bits(n: np.ndarray, spread: int) -> np.ndarray:
+    """Bits of the maps of sets of so many members."""
+    return np.clip(1 << np.frexp(np.maximum(spread * n.astype(np.int64) - 1, 0))[1].astype(np.int64), LEAST, MOST)
+
+
 def sketches(members: np.ndarray, bounds: np.ndarray, spread: int = SPREAD) -> list[bytes]:
     """``sketch`` of many sets, which lie one after another. Fewer bits a member keep the bound, and let more pairs pass it."""
     n, out = np.diff(bounds), np.empty(len(bounds) - 1, object)
-    sizes = np.clip(1 << np.frexp(np.maximum(spread * n - 1, 0))[1].astype(np.int64), LEAST, MOST)
+    sizes = map_bits(n, spread)
     for bits in np.unique(sizes).tolist():
         those = np.flatnonzero(sizes == bits)
         for part in np.array_split(those, -(-len(those) * bits // PLACES)):
@@ -89,27 +94,37 @@ def plausible_pairs(rows: dict, i: np.ndarray, j: np.ndarray, percent: int) -> t
 def plausible(left: dict, right: dict, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of two blocks (columns n and sketch) whose sizes and maps allow the similarity, and their distances.
 
-    Of a block with itself each pair is given once.
+    Of a block with itself each pair is given once. Maps of one length are compared with those of another at a time: folded
+    to the shortest of the block, nearly all would pass.
     """
-    size = min(min(map(len, left["sketch"])), min(map(len, right["sketch"])))
-    a = _matrix(left["sketch"], size)
-    b = a if right is left else _matrix(right["sketch"], size)
-    n, m = left["n"], right["n"]
-    step = max(1, (1 << 18) // (len(b) * b.shape[1]))  # rows at a time
-    rows, columns, far = [], [], []
-    for low in range(0, len(a), step):
-        own = n[low : low + step, None]
-        bits = np.bitwise_count(a[low : low + step, None] ^ b[None]).sum(2, dtype=np.int64)
-        near = (100 * np.minimum(own, m) >= percent * np.maximum(own, m)) & close(own, m, bits, percent)
-        if right is left:
-            near &= np.arange(low, low + len(own))[:, None] < np.arange(len(b))
-        i, j = np.nonzero(near)
-        rows.append(i + low)
-        columns.append(j)
-        far.append(bits[i, j] / (n[i + low] + m[j]))
+    rows, columns, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    own, others = _by_length(left["sketch"]), _by_length(right["sketch"])
+    for x, those in own.items():
+        for y, with_these in others.items():
+            n, m = left["n"][those], right["n"][with_these]
+            if right is left and y < x or 100 * min(n.max(), m.max()) < percent * max(n.min(), m.min()):
+                continue
+            a = _matrix(left["sketch"][those], min(x, y))
+            b = a if right is left and x == y else _matrix(right["sketch"][with_these], min(x, y))
+            step = max(1, (1 << 18) // (len(b) * b.shape[1]))  # rows at a time
+            for low in range(0, len(a), step):
+                some = n[low : low + step, None]
+                bits = np.bitwise_count(a[low : low + step, None] ^ b[None]).sum(2, dtype=np.int64)
+                near = (100 * np.minimum(some, m) >= percent * np.maximum(some, m)) & close(some, m, bits, percent)
+                if b is a:
+                    near &= np.arange(low, low + len(some))[:, None] < np.arange(len(b))
+                i, j = np.nonzero(near)
+                rows.append(those[i + low])
+                columns.append(with_these[j])
+                far.append(bits[i, j] / (n[i + low] + m[j]))
     return np.concatenate(rows), np.concatenate(columns), np.concatenate(far)
 
 
+def _by_length(maps: np.ndarray) -> dict[int, np.ndarray]:
+    lengths = np.fromiter(map(len, maps), np.int64, len(maps))
+    return {size: np.flatnonzero(lengths == size) for size in np.unique(lengths).tolist()}
+
+
 def side(table: DataFrame, x: str) -> DataFrame:
     """``table`` by id, its columns renamed for one end of a pair."""
     return table.select(F.col("id").alias(x), *[F.col(c).alias(f"{c} {x}") for c in table.columns if c != "id"])
